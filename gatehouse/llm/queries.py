@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, quality, sharding, simhash
+from . import bpe, exact, packing, quality, sharding, simhash, substring
 
 #: Production parameters.
 SHARDS = 24
@@ -30,16 +36,43 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.STATISTICS, failed.alias("base_failed"), "kept")
 
 
+def token_digest(one: bpe.ByteBPE, ids: np.ndarray, bounds: np.ndarray) -> dict[str, pa.Array]:
+    """n_tokens, ids_sha256 and decoded_sha256 of each document of a batch."""
+    data, edges = one.decode(ids, bounds)
+    sha = lambda x, at: pa.array([hashlib.sha256(x[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+    return {"n_tokens": pa.array(np.diff(bounds)), "ids_sha256": sha(ids.astype("<u4"), bounds), "decoded_sha256": sha(data, edges)}
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, digest=(token_digest, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(documents(spark, sf_dir), [1.0] * SHARDS, grown=[1.0] * (SHARDS + 1))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = ("ids_crc32", "long", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), digest=crc)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.substring_dedup(documents(spark, sf_dir))
+    spaces = r"[\x20\x09-\x0D]+"
+    kept = F.regexp_replace(F.regexp_replace("text", f"^{spaces}|{spaces}$", ""), spaces, " ")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
     "op7_sharding": op7_sharding,
+    "op8_packing": op8_packing,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL = {
@@ -70,4 +103,15 @@ ORACLE_SQL = {
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
                     OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_upper > 6 * n_letters) AS kept
         FROM s""",
+    "op9_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        t AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS i, words FROM w WHERE len(words) >= 20),
+        g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(words[i:i + 19], ' ') ORDER BY doc_id, i) AS nth FROM t),
+        p AS (SELECT DISTINCT doc_id, i + j AS i FROM g, range(0, 20) AS r(j) WHERE nth > 1),
+        x AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+        k AS (SELECT x.doc_id, count(*) AS n_words, count(p.i) AS n_removed,
+                     sha256(coalesce(string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE p.i IS NULL), '')) AS kept_sha256
+              FROM x LEFT JOIN p ON x.doc_id = p.doc_id AND x.i = p.i GROUP BY x.doc_id)
+        SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+        FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
 }
