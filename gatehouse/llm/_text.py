@@ -68,12 +68,13 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) for runs of whole texts of about ``most`` bytes."""
+def chunks(column: pa.Array, most: int = CHUNK_BYTES, most_rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets) for runs of whole texts of about ``most`` bytes, or ``most_rows``."""
     data, offsets = string_buffers(column)
     n, row = len(offsets) - 1, 0
     while row < n:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1)
+        end = min(end, row + most_rows)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 

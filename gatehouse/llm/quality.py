@@ -217,3 +217,16 @@ def judge(df: DataFrame, cascade: Cascade, id_col: str = "doc_id", text_col: str
     kind = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join([f"id {kind}", "kept boolean", "failed_rule string", *[f"{x} long" for x in extra]]))
     return out.withColumnRenamed("id", id_col)
+
+
+def keep(df: DataFrame, cascade: Cascade, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that no rule rejects, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in chunks(batch.column(text_col)):
+                good = cascade.rejected(data, offsets) < 0
+                if good.any():
+                    yield batch.slice(a, b - a).filter(pa.array(good))
+
+    return df.mapInArrow(run, df.schema)

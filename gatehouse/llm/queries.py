@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, packing, quality, sharding, simhash, substring
+from . import bpe, chat, exact, langid, packing, quality, quality_model, sharding, simhash, substring
 
 #: Production parameters.
 SHARDS = 24
+TOOLS = {"search": {"query": ("string", True), "limit": ("integer", False)}, "calculate": {"expression": ("string", True)}}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rest = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3
+    model = langid.fit(docs.where(F.coalesce(rest != 1, F.lit(False))))
+    out = langid.identify(docs, model)
+    return out.select("doc_id", (rest == 1).alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -48,6 +57,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, digest=(token_digest, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rest = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4
+    model = quality_model.fit(docs, labels.where(rest != 2))
+    return quality_model.classify(docs, model).select("doc_id", (rest == 2).alias("held_out"), "score", "predicted")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(documents(spark, sf_dir), [1.0] * SHARDS, grown=[1.0] * (SHARDS + 1))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -65,14 +81,21 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_tool_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"), TOOLS).drop("errors")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE_SQL = {
@@ -114,4 +137,9 @@ ORACLE_SQL = {
               FROM x LEFT JOIN p ON x.doc_id = p.doc_id AND x.i = p.i GROUP BY x.doc_id)
         SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
         FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
+    # conversations whose messages carry no calls or results, as in these tables; the tests have the others
+    "op10_chat_formatting": """
+        SELECT conv_id, turn, turn AS at, 0 AS phase, 0 AS nth, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id,
+               'ok' AS status, '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json
+        FROM conversations""",
 }

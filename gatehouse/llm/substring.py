@@ -210,16 +210,18 @@ def cut(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
         yield record([batch.column("id").slice(a, b - a), text.cast(pa.string()), words.counts, removed, pa.ListArray.from_arrays(bounds, factors)], ["id", "text", "n_words", "n_removed", "factors"])
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``df``: ``id_col``, text (what stays, with the spaces behind kept words), n_words,
-    n_removed, factors (array of start, length in words, ref_id, ref_start: the duplicate spans)."""
+    n_removed, factors (array of start, length in words, ref_id, ref_start: the duplicate spans), and the columns
+    ``carry`` of ``df`` as carry_<name>."""
     if not 1 <= gram <= window:
         raise ValueError("1 <= gram <= window")
     if df.schema[id_col].dataType.typeName() not in ("long", "integer", "short", "byte"):
         raise TypeError("the id is an integer")
     n = partitions(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("int").alias("sub"), text.alias("text"))
+    docs_columns = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("int").alias("sub"), text.alias("text"))
+    docs = df.select(*docs_columns)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +238,10 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from cut(batch, window)
+            done = pa.Table.from_batches(cut(batch, window)) if batch.num_rows else None
+            for name in [f"carry_{c}" for c in carry] if done else []:
+                done = done.append_column(name, pa.chunked_array([batch.column(name)]))
+            yield from done.to_batches() if done else []
 
     key = ["id", "sub"]
     where = [F.shiftright("at", PLACE_BITS).cast("int").alias("sub"), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place")]
@@ -250,5 +255,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = windows.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(F.struct("id", "at") > F.col("first"))
     pieces = found.where("ref_id IS NOT NULL").unionByName(copies.select("id", "at", F.lit(1).alias("n"), F.col("first.id").alias("ref_id"), F.col("first.at").alias("ref_at")))
     pieces = pieces.select("id", *where, "n", "ref_id", "ref_at").groupBy(*key).agg(F.collect_list(F.struct("place", "n", "ref_id", "ref_at")).alias("pieces"))
-    out = docs.join(pieces, key, "left").mapInArrow(finish, "id long, text string, n_words long, n_removed long, factors array<struct<start:long,length:long,ref_id:long,ref_start:long>>")
-    return out.select(F.expr(f"nullif(id, {NO_ID})").cast(df.schema[id_col].dataType).alias(id_col), "text", "n_words", "n_removed", "factors")
+    full = df.select(*docs_columns, *[F.col(c).alias(f"carry_{c}") for c in carry])
+    schema = "id long, text string, n_words long, n_removed long, factors array<struct<start:long,length:long,ref_id:long,ref_start:long>>"
+    more = "".join(f", `carry_{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    out = full.join(pieces, key, "left").mapInArrow(finish, schema + more)
+    return out.select(F.expr(f"nullif(id, {NO_ID})").cast(df.schema[id_col].dataType).alias(id_col), "text", "n_words", "n_removed", "factors", *[f"carry_{c}" for c in carry])
