@@ -141,7 +141,7 @@ RULES = (
     Rule("min_words", lambda s: s.n_words < 50),
     Rule("repeated_words", lambda s: 100 * s.n_repeat_words > 50 * s.n_words),
     Rule("symbols", lambda s: 10 * s.n_symbols > s.n_words),
-    Rule("repeated_lines", lambda s: 10 * s.n_dup_lines > 3 * s.n_lines),
+    Rule("repeated_lines", lambda s: (s.n_dup_lines >= 3) & (10 * s.n_dup_lines > 3 * s.n_lines)),
     Rule("word_length", lambda s: (s.word_chars < 2 * s.n_words) | (s.word_chars > 15 * s.n_words)),
     Rule("shouting", lambda s: 10 * s.n_upper > 6 * s.n_letters),
 )

@@ -123,7 +123,7 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
                CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
                n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines
                     OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_upper > 6 * n_letters) AS kept
         FROM s""",
     "op9_substring_dedup": r"""

@@ -19,7 +19,7 @@ def brute(text):
         for i, g in enumerate(grams):
             seen.setdefault(g, []).append(i)
         twice = {i + j for at in seen.values() if len(at) > 1 for i in at for j in range(3)}
-    bad = len(w) < 50 or 100 * len(twice) > 50 * len(w) or 10 * symbols > len(w) or 10 * dup > 3 * len(lines) or chars < 2 * len(w) or chars > 15 * len(w) or 10 * upper > 6 * letters
+    bad = len(w) < 50 or 100 * len(twice) > 50 * len(w) or 10 * symbols > len(w) or (dup >= 3 and 10 * dup > 3 * len(lines)) or chars < 2 * len(w) or chars > 15 * len(w) or 10 * upper > 6 * letters
     return len(w), chars, symbols, dup, len(twice), not bad
 
 
