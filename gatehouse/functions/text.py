@@ -122,12 +122,17 @@ def readable_label(label: Column | str) -> Column:
     return F.translate(col(label), "_-", "  ")
 
 
-def tool_card(label: Column, domain: Column, examples: Column, boundaries: Column, style: str) -> Column:
-    """A tool's description: ``basic``, ``examples`` or ``boundary`` (with tools of the same domain to tell apart)."""
-    basic = F.concat(F.lit("tool: "), readable_label(label), F.when(F.coalesce(domain, F.lit("")) != "", F.concat(F.lit("; domain: "), domain)).otherwise(""))
-    if style == "basic":
-        return basic
-    shown = F.concat(basic, F.when(F.size(examples) > 0, F.concat(F.lit("; examples: "), F.array_join(examples, " / "))).otherwise(""))
-    if style == "examples":
-        return shown
-    return F.concat(shown, F.when(F.size(boundaries) > 0, F.concat(F.lit("; not: "), F.array_join(F.transform(boundaries, readable_label), ", "))).otherwise(""))
+def tool_card(label: Column, task: Column, domain: Column, examples: Column, boundaries: Column, style: str) -> Column:
+    """A tool's card for routing spoken commands: ``tool_schema_card``, ``example_augmented_tool`` or
+    ``contrastive_boundary_tool``.  The sentences are fixed values."""
+    shown = F.coalesce(F.nullif(F.translate(domain, "_", " "), F.lit("")), F.lit("unknown"))
+    head = F.concat(F.lit("Tool schema card for spoken command routing. Tool name: "), label, F.lit(". Task type: "), task, F.lit(". Domain: "), shown, F.lit(". Use this tool when the user command asks for: "), readable_label(label), F.lit("."))
+    if style == "tool_schema_card":
+        return head
+    example = F.concat(head, F.lit(" "), F.array_join(F.transform(examples, lambda x: F.concat(F.lit("Positive example: "), x, F.lit("."))), " "))
+    if style == "example_augmented_tool":
+        return F.trim(example)
+    if style != "contrastive_boundary_tool":
+        raise ValueError(f"unknown card style: {style}")
+    near = F.when(F.size(boundaries) > 0, F.array_join(boundaries, ", ")).otherwise("none")
+    return F.concat(example, F.lit(" Boundary note: do not choose this tool for nearby tools or intents: "), near, F.lit("."))

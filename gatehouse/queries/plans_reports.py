@@ -1,3 +1,146 @@
+"""Reports over results, plans of steps, resume."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import metrics, selection
+from ..plans import instructions, steps
+from ..streaming import resume
+from ..views import HYBRID_SQL, RUNS_SQL, hybrid, runs, table
 from .registry import registry
 
 QUERIES, ORACLE_SQL, query = registry()
+ARMS = instructions.task_arms("rag")
+
+
+@query("""SELECT * FROM (VALUES """ + ", ".join("('" + a.replace("'", "''") + "', '" + t.replace("'", "''") + "')" for a, t in sorted(instructions.all_arms().items())) + ") AS v(arm, instruction)")
+def instruction_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return instructions.arms_table(spark)
+
+
+@query("SELECT arm, CAST(i AS INT) AS step_index, step FROM (VALUES " + ", ".join(f"('{a}')" for a, _ in ARMS) + ") AS a(arm), (VALUES (1, 'cache_text'), (2, 'cache_omni_audio'), (3, 'evaluate_hybrid_from_cache')) AS s(i, step)")
+def plan_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.flatten(steps.build_plan(spark, "rag", "manifest.jsonl", "Driver docs")).select("arm", "step_index", "step")
+
+
+@query("SELECT 'blocked' AS status, " + str(2 * len(ARMS) - 1) + " AS n UNION ALL SELECT 'skipped_existing', " + str(len(ARMS) + 1))
+def plan_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the manifest is missing, and the shared text cache and the first arm's result exist."""
+    flat = steps.flatten(steps.build_plan(spark, "rag", "manifest.jsonl", "Driver docs"))
+    there = flat.where(f"step = 'cache_text' OR (step = 'evaluate_hybrid_from_cache' AND arm = '{ARMS[0][0]}')").select(F.col("output").alias("path"))
+    return steps.statuses(flat, there, execute=True).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resume.remaining(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, quality FROM labels l WHERE toxic = 0 AND EXISTS (SELECT 1 FROM documents d WHERE l.doc_id = d.doc_id)")
+def resume_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Done rows of the same configuration (here: not toxic) are reused."""
+    return resume.reused(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", "toxic", "0").select("doc_id", "quality")
+
+
+@query(f"""WITH {RUNS_SQL}, m AS (SELECT candidate, round(avg(CAST(hit AS INT)), 6) AS acc_at_1, round(avg(1e0 / rank), 6) AS mrr, round(avg(CAST(rank <= 3 AS INT)), 6) AS recall_at_3 FROM runs GROUP BY candidate),
+a AS (SELECT * FROM (VALUES ('asr'), ('omni'), ('rrf'), ('caption')) AS v(arm)) SELECT arm, CASE WHEN m.candidate IS NULL THEN 'missing' ELSE 'ok' END AS status, acc_at_1, mrr, recall_at_3 FROM a LEFT JOIN m ON a.arm = m.candidate""")
+def taxonomy_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arms left-joined to results; an arm without one is missing."""
+    m = metrics.rank_metrics(runs(spark, sf_dir), "rank", ["candidate"], (3,))
+    arms = spark.createDataFrame([(a,) for a in ("asr", "omni", "rrf", "caption")], "arm string")
+    out = arms.join(m, F.col("arm") == F.col("candidate"), "left")
+    return out.select("arm", F.when(F.col("candidate").isNull(), "missing").otherwise("ok").alias("status"), "acc_at_1", "mrr", "recall_at_3").orderBy(F.desc_nulls_last("acc_at_1"), F.desc("mrr"), F.desc("recall_at_3"), "arm")
+
+
+@query(f"""WITH {RUNS_SQL}, o AS (SELECT * FROM runs WHERE candidate = 'omni'), f AS (SELECT 'fix' AS kind, sample_id, base_margin FROM o WHERE hit AND NOT base_hit ORDER BY base_margin, vec_id LIMIT 5), r AS (SELECT 'regression' AS kind, sample_id, base_margin FROM o WHERE base_hit AND NOT hit ORDER BY base_margin, vec_id LIMIT 5)
+SELECT * FROM f UNION ALL SELECT * FROM r""")
+def badcase_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the five fixes and five regressions of least margin."""
+    o = runs(spark, sf_dir).where("candidate = 'omni'")
+    few = lambda cond, kind: o.where(cond).orderBy(F.asc_nulls_last("base_margin"), "vec_id").limit(5).select(F.lit(kind).alias("kind"), "sample_id", "base_margin")
+    return few("hit AND NOT base_hit", "fix").unionByName(few("base_hit AND NOT hit", "regression"))
+
+
+@query("""WITH req AS (SELECT * FROM (VALUES ('core', 'en'), ('core', 'de'), ('extra', 'fr'), ('extra', 'xx'), ('none', 'yy')) AS v(claim, lang)), have AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
+SELECT claim, count(*) AS required, count(have.lang) AS present, coalesce(string_agg(req.lang, ',' ORDER BY req.lang) FILTER (WHERE have.lang IS NULL), '') AS missing, CASE WHEN count(have.lang) = count(*) THEN 'covered' WHEN count(have.lang) > 0 THEN 'partial' ELSE 'absent' END AS coverage FROM req LEFT JOIN have ON req.lang = have.lang GROUP BY claim""")
+def coverage_except(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required evidence less what there is, and the class of each claim."""
+    required = spark.createDataFrame([("core", "en"), ("core", "de"), ("extra", "fr"), ("extra", "xx"), ("none", "yy")], "claim string, lang string")
+    have = table(spark, sf_dir, "documents").select("lang").distinct().withColumn("has", F.lit(True))
+    r = F.count(F.lit(1))
+    p = F.count("has")
+    missing = F.array_join(F.array_sort(F.collect_list(F.when(F.col("has").isNull(), F.col("lang")))), ",")
+    return required.join(have, "lang", "left").groupBy("claim").agg(r.alias("required"), p.alias("present"), missing.alias("missing"), F.when(p == r, "covered").when(p > 0, "partial").otherwise("absent").alias("coverage"))
+
+
+@query(f"""WITH {RUNS_SQL}, e AS (SELECT * FROM (VALUES ('asr', 'n', 500e0), ('omni', 'n', 1e0), ('none', 'n', 1e0)) AS v(candidate, metric, expected)), o AS (SELECT candidate, CAST(count(*) AS DOUBLE) AS observed FROM runs GROUP BY candidate)
+SELECT e.candidate, expected, observed, CASE WHEN observed IS NULL THEN 'missing_source' WHEN abs(observed - expected) <= 0.0007 THEN 'pass' ELSE 'mismatch' END AS status FROM e LEFT JOIN o ON e.candidate = o.candidate""")
+def evidence_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected numbers held to observed ones within a tolerance."""
+    expected = spark.createDataFrame([("asr", 500.0), ("omni", 1.0), ("none", 1.0)], "candidate string, expected double")
+    observed = runs(spark, sf_dir).groupBy("candidate").agg(F.count(F.lit(1)).cast("double").alias("observed"))
+    status = F.when(F.col("observed").isNull(), "missing_source").when(F.abs(F.col("observed") - F.col("expected")) <= 7e-4, "pass").otherwise("mismatch")
+    return expected.join(observed, "candidate", "left").select("candidate", "expected", "observed", status.alias("status"))
+
+
+@query(f"""WITH {RUNS_SQL}, o AS (SELECT sample_id, vec_id % 4 AS shuffle, hit, base_hit FROM runs WHERE candidate = 'omni'), d AS (SELECT shuffle, avg(CAST(hit AS INT) - CAST(base_hit AS INT)) AS delta, avg(CAST(base_hit AND NOT hit AS INT)) AS reg FROM o GROUP BY shuffle)
+SELECT round(min(delta), 6) AS min_delta, round(avg(delta), 6) AS mean_delta, round(max(abs(delta)), 6) AS max_abs_delta, round(max(reg), 6) AS max_regression_rate,
+ CASE WHEN round(max(abs(delta)), 6) <= 0.01 THEN 'stable' WHEN round(max(abs(delta)), 6) <= 0.03 AND round(max(reg), 6) <= 0.03 THEN 'mostly_stable' WHEN round(max(abs(delta)), 6) <= 0.1 THEN 'order_sensitive' ELSE 'unstable' END AS decision FROM d""")
+def order_stability_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas over four orders (here: id classes), and what they say."""
+    o = runs(spark, sf_dir).where("candidate = 'omni'").groupBy((F.col("vec_id") % 4).alias("shuffle")).agg(F.avg(F.col("hit").cast("double") - F.col("base_hit").cast("double")).alias("delta"), F.avg((F.col("base_hit") & ~F.col("hit")).cast("double")).alias("reg"))
+    s = o.agg(F.round(F.min("delta"), 6).alias("min_delta"), F.round(F.avg("delta"), 6).alias("mean_delta"), F.round(F.max(F.abs("delta")), 6).alias("max_abs_delta"), F.round(F.max("reg"), 6).alias("max_regression_rate"))
+    d, r = F.col("max_abs_delta"), F.col("max_regression_rate")
+    return s.withColumn("decision", F.when(d <= 0.01, "stable").when((d <= 0.03) & (r <= 0.03), "mostly_stable").when(d <= 0.1, "order_sensitive").otherwise("unstable"))
+
+
+@query(f"""WITH {HYBRID_SQL}, t AS (SELECT unnest([0.01e0, 0.05e0]) AS tau), o AS (SELECT tau, round(avg(CAST(CASE WHEN asr_margin <= tau THEN asr_rank <= 3 ELSE asr_rank = 1 END AS INT)), 6) AS oracle FROM h, t GROUP BY tau), r AS (SELECT 0.05e0 AS tau, round(avg(CAST(asr_rank = 1 AS INT)), 6) AS random FROM h)
+SELECT o.tau, oracle, random, round(oracle - random, 6) AS gain FROM o LEFT JOIN r ON o.tau = r.tau""")
+def cost_curve_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oracle rows left-joined with control rows by threshold."""
+    h = hybrid(spark, sf_dir)
+    low = F.col("asr_margin") <= F.col("tau")
+    o = h.withColumn("tau", F.explode(F.array(F.lit(0.01), F.lit(0.05)))).groupBy("tau").agg(metrics.rate(F.when(low, F.col("asr_rank") <= 3).otherwise(F.col("asr_rank") == 1)).alias("oracle"))
+    r = h.agg(metrics.rate(F.col("asr_rank") == 1).alias("random")).withColumn("tau", F.lit(0.05))
+    return o.join(r, "tau", "left").select("tau", "oracle", "random", F.round(F.col("oracle") - F.col("random"), 6).alias("gain"))
+
+
+@query(f"""WITH {RUNS_SQL}, m AS (SELECT candidate, avg(CAST(hit AS INT)) AS acc, CASE candidate WHEN 'asr' THEN 1e0 WHEN 'omni' THEN 4e0 ELSE 5e0 END AS cost FROM runs GROUP BY candidate), b AS (SELECT acc, cost FROM m WHERE candidate = 'asr'), f AS (SELECT acc, cost FROM m WHERE candidate = 'omni')
+SELECT m.candidate, round(m.acc - b.acc, 6) AS delta, round((m.acc - b.acc) / nullif(f.acc - b.acc, 0), 6) AS retained_gain, round(1 - m.cost / f.cost, 6) AS cost_reduction, round((m.acc - b.acc) / nullif(m.cost - b.cost, 0), 6) AS benefit_per_cost FROM m, b, f""")
+def deployability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain kept and cost saved against the full run; a division by nothing is null."""
+    m = runs(spark, sf_dir).groupBy("candidate").agg(F.avg(F.col("hit").cast("double")).alias("acc")).withColumn("cost", F.when(F.col("candidate") == "asr", 1.0).when(F.col("candidate") == "omni", 4.0).otherwise(5.0))
+    one = m.agg(*[F.max(F.when(F.col("candidate") == c, F.col(x))).alias(f"{c}_{x}") for c in ("asr", "omni") for x in ("acc", "cost")])
+    d = F.col("acc") - F.col("asr_acc")
+    return m.join(F.broadcast(one)).select("candidate", F.round(d, 6).alias("delta"), F.round(F.try_divide(d, F.col("omni_acc") - F.col("asr_acc")), 6).alias("retained_gain"), F.round(1 - F.col("cost") / F.col("omni_cost"), 6).alias("cost_reduction"), F.round(F.try_divide(d, F.col("cost") - F.col("asr_cost")), 6).alias("benefit_per_cost"))
+
+
+@query(f"""WITH {RUNS_SQL}, m AS (SELECT 'selector' AS layer, candidate AS name, round(avg(CAST(hit AS INT) - CAST(base_hit AS INT)), 6) AS delta FROM runs GROUP BY candidate), s AS (SELECT 'stability', query_style, round(avg(CAST(hit AS INT) - CAST(base_hit AS INT)), 6) FROM runs WHERE candidate = 'omni' GROUP BY query_style)
+SELECT layer, name, delta, delta > 0 AS accepted FROM (SELECT * FROM m UNION ALL SELECT * FROM s)""")
+def effect_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of two kinds in one schema."""
+    d = metrics.mean(F.col("hit").cast("double") - F.col("base_hit").cast("double")).alias("delta")
+    r = runs(spark, sf_dir)
+    a = r.groupBy(F.col("candidate").alias("name")).agg(d).withColumn("layer", F.lit("selector"))
+    b = r.where("candidate = 'omni'").groupBy(F.col("query_style").alias("name")).agg(d).withColumn("layer", F.lit("stability"))
+    return a.unionByName(b).select("layer", "name", "delta", (F.col("delta") > 0).alias("accepted"))
+
+
+@query(f"""WITH {RUNS_SQL}, m AS (SELECT candidate, avg(CAST(hit AS INT)) AS p, avg(CAST(rank <= 3 AS INT)) AS a, avg(CAST(split_part(prediction, '_', 1) <> split_part(target, '_', 1) AS INT)) AS u FROM runs GROUP BY candidate)
+SELECT candidate, round(p + 0.1 * a - 0.2 * u, 6) AS utility, CASE WHEN candidate = 'asr' THEN 'baseline' WHEN p > (SELECT p FROM m WHERE candidate = 'asr') AND u <= (SELECT u FROM m WHERE candidate = 'asr') THEN 'accepted' ELSE 'raw_fallback' END AS decision FROM m""")
+def unified_policy_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    family = lambda c: F.split_part(F.col(c), F.lit("_"), F.lit(1))
+    a = lambda c: F.avg(c.cast("double"))
+    m = runs(spark, sf_dir).groupBy("candidate").agg(a(F.col("hit")).alias("p"), a(F.col("rank") <= 3).alias("a"), a(family("prediction") != family("target")).alias("u"))
+    base = m.where("candidate = 'asr'").select(F.col("p").alias("bp"), F.col("u").alias("bu"))
+    decision = F.when(F.col("candidate") == "asr", "baseline").when((F.col("p") > F.col("bp")) & (F.col("u") <= F.col("bu")), "accepted").otherwise("raw_fallback")
+    return m.join(F.broadcast(base)).select("candidate", F.round(F.col("p") + 0.1 * F.col("a") - 0.2 * F.col("u"), 6).alias("utility"), decision.alias("decision"))
+
+
+@query(f"""WITH {HYBRID_SQL} SELECT sample_id, CASE WHEN asr_rank = 1 THEN 'correct' WHEN asr_rank <= 3 AND asr_margin < 0.02 THEN 'low_margin_near_miss' WHEN asr_rank <= 3 THEN 'near_miss' WHEN omni_rank = 1 THEN 'rescued_by_audio' ELSE 'retrieval_failure' END AS kind FROM h""")
+def failure_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.col("asr_rank")
+    kind = F.when(r == 1, "correct").when((r <= 3) & (F.col("asr_margin") < 0.02), "low_margin_near_miss").when(r <= 3, "near_miss").when(F.col("omni_rank") == 1, "rescued_by_audio").otherwise("retrieval_failure")
+    return hybrid(spark, sf_dir).select("sample_id", kind.alias("kind"))
