@@ -127,12 +127,13 @@ def memory_from_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH b AS (SELECT item_id, text FROM benchmark) SELECT b.item_id, count(d.doc_id) AS documents, min(d.doc_id) AS first_id FROM b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id""")
 def rag_context_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents hold a benchmark item whole.  Items are keyed by their first eight words: documents send their
-    runs of eight words, and only runs that begin an item are compared in full."""
+    """Which documents hold a benchmark item whole.  Items are keyed by their second to ninth word (the first may be
+    glued to what stands before it): documents send their runs of eight words, and only those that are a key are
+    compared in full."""
     gram = 8
-    split = lambda c: F.split(c, " ")
+    split = lambda c: F.split(c, r"[ \n]")
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    keyed = items.withColumn("key", F.xxhash64(F.array_join(F.slice(split(F.col("item")), 1, gram), " ")))
+    keyed = items.withColumn("key", F.xxhash64(F.array_join(F.slice(split(F.col("item")), 2, gram), " ")))
     heads = keyed.select("key").distinct()
     words = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", r"[ \n]").alias("w"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - gram + 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, gram), " ")))
