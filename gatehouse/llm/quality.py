@@ -180,7 +180,9 @@ class Cascade:
 
 def plan_cascade(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> Cascade:
     """Measure ``rules`` on at most ``sample_rows`` rows and order them by rejections per second."""
-    picked = df.select(F.col(text_col).alias("text"), F.xxhash64(id_col, F.length(F.col(text_col))).alias("h")).orderBy("h").limit(sample_rows)
+    hashed = df.select(F.col(text_col).alias("text"), F.xxhash64(id_col, F.length(F.col(text_col))).alias("h"))
+    most = hashed.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]  # texts wait until the hashes are chosen
+    picked = hashed.where(F.col("h") <= F.lit(most)).limit(sample_rows)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, gone, seen = [0.0] * len(rules), [0] * len(rules), 0
