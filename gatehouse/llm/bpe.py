@@ -32,7 +32,7 @@ from ._text import LEAD, string_buffers
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
-MOST_PIECES, LONG_PIECE = 600_000, 48
+MOST_PIECES, LONG_PIECE = 400_000, 48
 #: Characters of text encoded at once; a single longer text makes a batch of its own.
 BATCH_CHARS = 2_000_000
 _UNSAFE = re.compile(r"\s ")
