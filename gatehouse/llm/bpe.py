@@ -20,6 +20,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import repeat
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -135,16 +136,21 @@ class ByteBPE:
             pieces += parts[1:]
             counts[k] = len(parts)
         self._alone(self.outer, list(set(heads).difference(self.outer)), "")
-        new = set(pieces).difference(self.inner)
-        odd = [x for x in new if not x or len(x) > LONG_PIECE or " " in x or x[-1].isspace()]
-        self._joined(list(new.difference(odd)))
-        self._alone(self.inner, odd, " ")
+        inner = np.fromiter(map(self.inner.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(inner < 0)
+        if len(new):
+            unknown = [pieces[k] for k in new.tolist()]
+            fresh = list(dict.fromkeys(unknown))
+            odd = [x for x in fresh if not x or len(x) > LONG_PIECE or " " in x or x[-1].isspace()]
+            self._joined(list(set(fresh).difference(odd)) if odd else fresh)
+            self._alone(self.inner, odd, " ")
+            inner[new] = np.fromiter(map(self.inner.__getitem__, unknown), np.int64, len(unknown))
         codes = np.empty(len(heads) + len(pieces), np.int64)
         start = np.cumsum(counts) - counts
         first = np.zeros(len(codes), bool)
         first[start] = True
         codes[first] = list(map(self.outer.__getitem__, heads))
-        codes[~first] = list(map(self.inner.__getitem__, pieces))
+        codes[~first] = inner
         low = self.bounds[codes]
         size = self.bounds[codes + 1] - low
         ends = np.cumsum(size)
