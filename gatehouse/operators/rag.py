@@ -9,18 +9,23 @@ from ..functions.text import normalize_match_text
 from . import metrics
 
 
-def contains_term(answer: Column, term: Column) -> Column:
-    """Substring match on normalised text; a blank term never matches."""
-    return F.coalesce((F.coalesce(term, F.lit("")) != "") & F.contains(normalize_match_text(answer), normalize_match_text(term)), F.lit(False))
+def contains_term(normal: Column, term: Column) -> Column:
+    """Substring match of a term in normalised text; a blank term never matches."""
+    return F.coalesce((F.coalesce(term, F.lit("")) != "") & F.contains(normal, normalize_match_text(term)), F.lit(False))
 
 
 def scored(answer: Column, required: Column, forbidden: Column) -> dict[str, Column]:
     """required_terms_recall, forbidden_violation and answer_pass: all of the groups, any term of a group, no
-    forbidden term.  Without groups the recall is 1."""
-    hits = F.transform(required, lambda group: F.exists(group, lambda t: contains_term(answer, t)))
+    forbidden term.  Without groups the recall is 1.  The answer is normalised once, not once a term."""
+
+    def judged(normal: Column) -> Column:
+        hits = F.transform(required, lambda group: F.exists(group, lambda t: contains_term(normal, t)))
+        return F.struct(hits.alias("hits"), F.exists(forbidden, lambda t: contains_term(normal, t)).alias("bad"))
+
+    found = F.get(F.transform(F.array(normalize_match_text(answer)), judged), F.lit(0))
+    hits = found["hits"]
     recall = F.when(F.size(hits) > 0, F.size(F.filter(hits, lambda x: x)) / F.size(hits)).otherwise(1.0)
-    bad = F.exists(forbidden, lambda t: contains_term(answer, t))
-    return {"required_terms_recall": F.round(recall, 6), "forbidden_violation": bad, "answer_pass": (recall == 1.0) & ~bad}
+    return {"required_terms_recall": F.round(recall, 6), "forbidden_violation": found["bad"], "answer_pass": (recall == 1.0) & ~found["bad"]}
 
 
 def error_type(passed: Column, used_gold: Column, base_gold: Column, selected_gold: Column, same_cluster: Column, asr_known: Column, asr_cluster: Column) -> Column:

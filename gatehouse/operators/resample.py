@@ -38,11 +38,13 @@ def paired_counts(df: DataFrame, by: list[str], base: Column, new: Column) -> Da
 def drawn(counts: DataFrame, by: list[str], rounds: int, seed: int | str) -> DataFrame:
     """(by, round, value): the mean difference of each round; a place below ``fixes`` is +1, below fixes and
     regressions -1, else 0."""
-    places = counts.select(*by, "n", "fixes", "regressions", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    places = places.where("n > 0").select("*", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("spot"))
+    # a draw depends on n alone: it is hashed once for all comparisons of that size
+    sizes = counts.where("n > 0").select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    places = sizes.select("n", "round", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("spot"))
     at = F.pmod(portable_hash(seed, F.concat(F.col("round").cast("string"), F.lit(":"), F.col("spot").cast("string"))), F.col("n"))
-    value = F.when(at < F.col("fixes"), 1).when(at < F.col("fixes") + F.col("regressions"), -1).otherwise(0)
-    return places.groupBy(*by, "round", "n").agg(F.sum(value).alias("s")).select(*by, "round", (F.col("s") / F.col("n")).alias("value"))
+    drawn = places.select("n", "round", at.alias("_at")).join(F.broadcast(counts.select(*by, "n", "fixes", "regressions")), "n")  # a row a comparison
+    value = F.when(F.col("_at") < F.col("fixes"), 1).when(F.col("_at") < F.col("fixes") + F.col("regressions"), -1).otherwise(0)
+    return drawn.groupBy(*by, "round", "n").agg(F.sum(value).alias("s")).select(*by, "round", (F.col("s") / F.col("n")).alias("value"))
 
 
 def paired_bootstrap(counts: DataFrame, by: list[str], rounds: int, seed: int | str, convention: str) -> DataFrame:
