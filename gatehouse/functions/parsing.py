@@ -63,6 +63,20 @@ def card_answer(text: Column | str) -> Column:
     return F.coalesce(F.nullif(collapse_ws(found), F.lit("")), collapse_ws(text))
 
 
+def short_answer(text: Column | str) -> Column:
+    """A card's answer ready for comparison: lower case, ASCII punctuation, no quotes around it, then no last
+    semicolon (a quote before that semicolon stays)."""
+    found = collapse_ws(F.translate(F.lower(card_answer(text)), "；，。", ";,."))
+    return F.regexp_replace(F.regexp_replace(found, r"^[\s\"'`]+|[\s\"'`]+$", ""), r"\s*;\s*$", "")
+
+
+def answers_match(candidate: Column | str, gold: Column | str) -> Column:
+    """Equal short answers, or a bare option letter against an answer that opens with it; blank matches nothing."""
+    a, b = short_answer(candidate), short_answer(gold)
+    opens = lambda bare, full: bare.rlike("^[a-d]$") & full.rlike(r"^[a-d](?:[.):;\s]|$)") & F.startswith(full, bare)
+    return (a != "") & (b != "") & ((a == b) | opens(a, b) | opens(b, a))
+
+
 def overlap_coefficient(a: Column | str, b: Column | str) -> Column:
     """Shared tokens over the smaller set; 0 if one is empty."""
     x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))

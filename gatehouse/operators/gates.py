@@ -12,6 +12,8 @@ PAIR_GATES = ("always_baseline", "always_alternate", "raw_low_margin", "alt_high
 FAMILY_MODES = ("same_family", "changed_same_family", "same_family_low_margin", "low_margin")
 AUDIO_GATES = ("text_only", "audio_only", "audio_text", "audio_on_invalid", "audio_on_text_audio_disagreement", "audio_on_text_equals_noquery", "audio_on_disagreement_or_text_equals_noquery", "audio_on_text_first_candidate", "audio_on_hint_pred_overlap_ge_0_80", "audio_on_hint_pred_overlap_ge_0_95")
 
+ORDER_POLICIES = ("always_translation", "translation_if_original_top1_else_generic", "translation_if_original_top1_or_generic_not_original_top1_else_generic", "translation_if_original_top1_else_retrieval_top1")
+
 
 def pair_choice(policy: Column, t: Column, base_margin: Column, alt_margin: Column, base_top: Column, alt_top: Column, agree: Column) -> Column:
     """True where a pair gate takes the alternate.  The disagreement gate takes it where both agree."""
@@ -30,6 +32,37 @@ def family_choice(mode: Column, base: Column, alt: Column, base_margin: Column,
     return F.when(mode == "same_family", same).when(mode == "changed_same_family", same & (base != alt)).when(mode == "same_family_low_margin", same & low).otherwise(low)
 
 
+def order_choice(policy: Column, generic: Column, translation: Column, top: Column) -> tuple[Column, Column]:
+    """(prediction, whether the translation is taken) when candidates are shown in another order; ``top`` is the first
+    of the retrieval's own order."""
+    steady = translation.eqNullSafe(top)
+    taken = F.when(policy == ORDER_POLICIES[0], True).when(policy == ORDER_POLICIES[2], steady | ~generic.eqNullSafe(top)).otherwise(steady)
+    return F.when(taken, translation).when(policy == ORDER_POLICIES[3], top).otherwise(generic), taken
+
+
+def order_robustness(rows: DataFrame, most_regressions: float = 0.03) -> DataFrame:
+    """One row a policy and its decision, from rows (policy, shown, delta, ci_low, regression_rate, fixes, regressions,
+    route_rate); ``shown`` is ``base`` or names a shuffle."""
+    shuffled, fair = F.col("shown") != "base", (F.col("delta") > 0) & (F.col("regression_rate") <= most_regressions)
+    strict, weak = fair & (F.col("ci_low") > 0), fair & (F.col("ci_low") >= 0)
+    out = rows.groupBy("policy").agg(
+        F.count(F.lit(1)).alias("order_count"), F.count_if(shuffled).alias("shuffle_count"),
+        F.round(F.avg("delta"), 8).alias("mean_delta"), F.min("delta").alias("min_delta"),
+        F.round(F.avg(F.when(shuffled, F.col("delta"))), 8).alias("shuffle_mean_delta"), F.min(F.when(shuffled, F.col("delta"))).alias("shuffle_min_delta"),
+        F.count_if(strict).alias("strict_accept_count"), F.count_if(weak).alias("weak_accept_count"),
+        F.count_if(strict & shuffled).alias("shuffle_strict_accept_count"), F.count_if(weak & shuffled).alias("shuffle_weak_accept_count"),
+        F.max("regression_rate").alias("max_regression_rate"), F.sum("fixes").alias("total_fixes"), F.sum("regressions").alias("total_regressions"),
+        F.round(F.avg("route_rate"), 8).alias("mean_route_rate"),
+    )
+    said = (
+        F.when(F.col("shuffle_strict_accept_count") == F.col("shuffle_count"), "strict_order_robust_accept")
+        .when(F.col("shuffle_weak_accept_count") == F.col("shuffle_count"), "weak_order_robust_accept")
+        .when((F.col("min_delta") > 0) & (F.col("max_regression_rate") <= most_regressions), "partial_order_repair")
+        .otherwise("diagnostic_only")
+    )
+    return out.withColumn("decision", said)
+
+
 def audio_choice(gate: Column, text: Column, audio: Column, noquery: Column, invalid: Column, first: Column, overlap: Column) -> Column:
     """True where a gate leaves the text row."""
     differ, equal = ~text.eqNullSafe(audio), F.coalesce((noquery != "") & (text == noquery), F.lit(False))

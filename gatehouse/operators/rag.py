@@ -36,6 +36,22 @@ def error_type(passed: Column, used_gold: Column, base_gold: Column, selected_go
     )
 
 
+def use_stage(passed: Column, in_context: Column, grounded: Column) -> Column:
+    """The first cause that fits a task which the selected memory did not solve."""
+    return F.when(passed, "none").when(~in_context, "retrieval_miss").when(~grounded, "wrong_memory_selected").otherwise("answer_parse_or_generation_miss")
+
+
+def final_use(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rates of rows (answer_pass, grounded, in_context, error_type), and how often each error occurs."""
+    passed, grounded, seen = F.col("answer_pass"), F.col("grounded"), F.col("in_context")
+    kinds = ("none", "retrieval_miss", "wrong_memory_selected", "answer_parse_or_generation_miss")
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), metrics.rate(passed).alias("answer_pass"), metrics.rate(grounded).alias("grounded_target_acc"), metrics.rate(seen).alias("context_gold_rate"),
+        metrics.rate(seen & ~passed).alias("generation_miss_rate"), metrics.rate(~seen).alias("retrieval_miss_rate"), metrics.rate(~grounded & ~passed).alias("wrong_memory_answer_rate"),
+        *[F.count_if(F.col("error_type") == k).alias(f"n_{k}") for k in kinds],
+    )
+
+
 def answer_metrics(df: DataFrame, sets: list[list[str]]) -> DataFrame:
     """Answer rates over all rows and by each of the grouping sets, in one pass."""
     columns = sorted({c for s in sets for c in s})

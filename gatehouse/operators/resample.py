@@ -35,14 +35,19 @@ def paired_counts(df: DataFrame, by: list[str], base: Column, new: Column) -> Da
     return out.withColumns({"delta": F.round((F.col("fixes") - F.col("regressions")) / F.col("n"), 6), "regression_rate": F.round(F.col("regressions") / F.col("n"), 6)})
 
 
+def draws(sizes: DataFrame, rounds: int, seed: int | str) -> DataFrame:
+    """(n, round, _at): the places drawn in each round.  They depend on n alone, so they are hashed once for all
+    comparisons of that size."""
+    each = sizes.where("n > 0").select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    places = each.select("n", "round", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("spot"))
+    at = F.pmod(portable_hash(seed, F.concat(F.col("round").cast("string"), F.lit(":"), F.col("spot").cast("string"))), F.col("n"))
+    return places.select("n", "round", at.alias("_at"))
+
+
 def drawn(counts: DataFrame, by: list[str], rounds: int, seed: int | str) -> DataFrame:
     """(by, round, value): the mean difference of each round; a place below ``fixes`` is +1, below fixes and
     regressions -1, else 0."""
-    # a draw depends on n alone: it is hashed once for all comparisons of that size
-    sizes = counts.where("n > 0").select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    places = sizes.select("n", "round", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("spot"))
-    at = F.pmod(portable_hash(seed, F.concat(F.col("round").cast("string"), F.lit(":"), F.col("spot").cast("string"))), F.col("n"))
-    drawn = places.select("n", "round", at.alias("_at")).join(F.broadcast(counts.select(*by, "n", "fixes", "regressions")), "n")  # a row a comparison
+    drawn = draws(counts, rounds, seed).join(F.broadcast(counts.select(*by, "n", "fixes", "regressions")), "n")  # a row a comparison
     value = F.when(F.col("_at") < F.col("fixes"), 1).when(F.col("_at") < F.col("fixes") + F.col("regressions"), -1).otherwise(0)
     return drawn.groupBy(*by, "round", "n").agg(F.sum(value).alias("s")).select(*by, "round", (F.col("s") / F.col("n")).alias("value"))
 
@@ -60,6 +65,23 @@ def paired_bootstrap(counts: DataFrame, by: list[str], rounds: int, seed: int |
     return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("ci_low", "ci_high")})
 
 
+def paired_ranks(df: DataFrame, by: list[str], base: str, new: str, rounds: int, seed: int | str) -> DataFrame:
+    """(by, n, hit_delta, hit_low, hit_high, mrr_delta, mrr_low, mrr_high): hits and reciprocal ranks by the same draws,
+    with the bounds of C.  Rows with the same two ranks are interchangeable, so a draw falls into the stretch of a pair
+    of ranks, and no table of rows is drawn from."""
+    pairs = df.groupBy(*by, F.col(base).alias("a"), F.col(new).alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    hit = ((F.col("b") == 1).cast("int") - (F.col("a") == 1).cast("int")).alias("hit")
+    mrr = (1.0 / F.col("b") - 1.0 / F.col("a")).alias("mrr")
+    upto = F.sum("k").over(Window.partitionBy(*by).orderBy("a", "b")).alias("upto")
+    stretch = pairs.select(*by, "k", upto, hit, mrr)
+    whole = stretch.groupBy(*by).agg(F.sum("k").alias("n"), F.round(F.sum(F.col("k") * F.col("hit")) / F.sum("k"), 6).alias("hit_delta"), F.round(F.sum(F.col("k") * F.col("mrr")) / F.sum("k"), 6).alias("mrr_delta"), F.array_sort(F.collect_list(F.struct("upto", "hit", "mrr"))).alias("s"))
+    got = draws(whole, rounds, seed).join(F.broadcast(whole), "n").select(*by, "n", "round", F.get(F.filter("s", lambda x: x["upto"] > F.col("_at")), F.lit(0)).alias("x"))
+    boots = got.groupBy(*by, "n", "round").agg((F.sum("x.hit") / F.col("n")).alias("h"), F.round(F.sum("x.mrr") / F.col("n"), 9).alias("m"))
+    ends = boots.groupBy(*by).agg(F.collect_list("h").alias("h"), F.collect_list("m").alias("m"))
+    limits = [F.round(v, 6).alias(f"{name}_{side}") for name, c in (("hit", "h"), ("mrr", "m")) for side, v in zip(("low", "high"), bounds(F.col(c), rounds, "C"), strict=True)]
+    return whole.drop("s").join(ends.select(*by, *limits), by)
+
+
 def cluster_bootstrap(df: DataFrame, group: str, delta: str, rounds: int, seed: int | str) -> DataFrame:
     """(n, groups, delta, ci_low, ci_high): whole groups are drawn, with all their members, and pooled; E bounds.
     Groups are summed first, so a draw moves two numbers a group."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics, resample, routing, sampling, selection
+from ..operators import gates, metrics, resample, routing, sampling, selection
 from ..views import HYBRID_SQL, RUNS_SQL, hybrid, runs
 from .registry import hash_sql, registry
 
@@ -91,6 +91,49 @@ for _c in "ABCDE":
     ORACLE_SQL[f"paired_bootstrap_{_c}"] = bootstrap_oracle(_c)
 
 
+_LOW, _HIGH = (f(ROUNDS) + 1 for f in resample.CONVENTIONS["C"])
+
+
+@query(f"""WITH {RUNS_SQL}, r AS (SELECT *, CAST(hit AS INT) - CAST(base_hit AS INT) AS hd, 1e0 / rank - 1e0 / asr_rank AS md, row_number() OVER (PARTITION BY candidate ORDER BY asr_rank, rank, sample_id) - 1 AS place, count(*) OVER (PARTITION BY candidate) AS size FROM runs),
+d AS (SELECT candidate, size, t.round, {hash_sql(f"'{SEED}'", "CAST(t.round AS VARCHAR) || ':' || CAST(place AS VARCHAR)")} % size AS spot FROM r, range({ROUNDS}) AS t(round)),
+b AS (SELECT d.candidate, d.round, sum(hd) / CAST(any_value(d.size) AS DOUBLE) AS h, round(sum(md) / any_value(d.size), 9) AS m FROM d JOIN r ON r.candidate = d.candidate AND r.place = d.spot GROUP BY 1, 2),
+c AS (SELECT candidate, round(list_sort(list(h))[{_LOW}], 6) AS hit_low, round(list_sort(list(h))[{_HIGH}], 6) AS hit_high, round(list_sort(list(m))[{_LOW}], 6) AS mrr_low, round(list_sort(list(m))[{_HIGH}], 6) AS mrr_high FROM b GROUP BY 1)
+SELECT r.candidate, count(*) AS n, round(avg(hd), 6) AS hit_delta, round(avg(md), 6) AS mrr_delta, any_value(hit_low) AS hit_low, any_value(hit_high) AS hit_high, any_value(mrr_low) AS mrr_low, any_value(mrr_high) AS mrr_high FROM r JOIN c ON r.candidate = c.candidate GROUP BY r.candidate""")
+def shared_draw_hit_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and reciprocal ranks against the head view, by the same draws."""
+    return resample.paired_ranks(runs(spark, sf_dir), ["candidate"], "asr_rank", "rank", ROUNDS, SEED)
+
+
+#: Orders in which candidates are shown; the view's prediction changes with the order for some rows.
+SHOWN = ("base", "shuffle_seed7", "shuffle_seed17", "shuffle_seed29")
+ORDER_SQL = HYBRID_SQL + ", so AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{s}')" for k, s in enumerate(SHOWN)) + ") AS v(k, shown)), po AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in gates.ORDER_POLICIES) + f"""]) AS policy),
+oa AS (SELECT label, shown, omni_top AS top, CASE WHEN (vec_id + k) % 5 > 0 THEN asr_top ELSE rrf_top END AS gen, CASE WHEN (vec_id * 3 + k) % 4 > 0 THEN rrf_top ELSE omni_top END AS trans FROM h, so),
+ob AS (SELECT *, CASE policy WHEN '{gates.ORDER_POLICIES[0]}' THEN true WHEN '{gates.ORDER_POLICIES[2]}' THEN trans = top OR gen <> top ELSE trans = top END AS taken FROM oa, po),
+oc AS (SELECT *, gen = label AS base_ok, CASE WHEN taken THEN trans WHEN policy = '{gates.ORDER_POLICIES[3]}' THEN top ELSE gen END = label AS ok FROM ob),
+cn AS (SELECT policy, shown, count(*) AS n, count(*) FILTER (WHERE ok AND NOT base_ok) AS fixes, count(*) FILTER (WHERE base_ok AND NOT ok) AS regressions, round(avg(CAST(taken AS INT)), 6) AS route_rate FROM oc GROUP BY 1, 2),
+{boot_sql("cn", "policy, shown")}, {ci_sql("policy, shown", "D")},
+oj AS (SELECT cn.*, round((fixes - regressions) / CAST(n AS DOUBLE), 6) AS delta, round(regressions / CAST(n AS DOUBLE), 6) AS rr, ci_low FROM cn JOIN ci ON cn.policy = ci.policy AND cn.shown = ci.shown),
+oq AS (SELECT *, delta > 0 AND rr <= 0.03 AND ci_low > 0 AS strict, delta > 0 AND rr <= 0.03 AND ci_low >= 0 AS weak, shown <> 'base' AS shuffled FROM oj),
+os AS (SELECT policy, count(*) AS order_count, count(*) FILTER (WHERE shuffled) AS shuffle_count, round(avg(delta), 8) AS mean_delta, min(delta) AS min_delta, round(avg(delta) FILTER (WHERE shuffled), 8) AS shuffle_mean_delta, min(delta) FILTER (WHERE shuffled) AS shuffle_min_delta,
+  count(*) FILTER (WHERE strict) AS strict_accept_count, count(*) FILTER (WHERE weak) AS weak_accept_count, count(*) FILTER (WHERE strict AND shuffled) AS shuffle_strict_accept_count, count(*) FILTER (WHERE weak AND shuffled) AS shuffle_weak_accept_count,
+  max(rr) AS max_regression_rate, CAST(sum(fixes) AS BIGINT) AS total_fixes, CAST(sum(regressions) AS BIGINT) AS total_regressions, round(avg(route_rate), 8) AS mean_route_rate FROM oq GROUP BY policy)"""
+
+
+@query(f"""WITH {ORDER_SQL} SELECT *, CASE WHEN shuffle_strict_accept_count = shuffle_count THEN 'strict_order_robust_accept' WHEN shuffle_weak_accept_count = shuffle_count THEN 'weak_order_robust_accept' WHEN min_delta > 0 AND max_regression_rate <= 0.03 THEN 'partial_order_repair' ELSE 'diagnostic_only' END AS decision FROM os""")
+def order_gate_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does a policy that distrusts the order of candidates hold in every order?"""
+    orders = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("shown")) for k, s in enumerate(SHOWN)]))
+    h = hybrid(spark, sf_dir).select("vec_id", "label", "asr_top", "omni_top", "rrf_top", orders)
+    v, k = F.col("vec_id"), F.col("k")
+    generic, translation = F.when((v + k) % 5 > 0, F.col("asr_top")).otherwise(F.col("rrf_top")), F.when((v * 3 + k) % 4 > 0, F.col("rrf_top")).otherwise(F.col("omni_top"))
+    rows = h.select("label", "shown", F.col("omni_top").alias("top"), generic.alias("generic"), translation.alias("translation"), F.explode(F.array(*[F.lit(p) for p in gates.ORDER_POLICIES])).alias("policy"))
+    chosen, taken = gates.order_choice(F.col("policy"), F.col("generic"), F.col("translation"), F.col("top"))
+    rows = rows.select("policy", "shown", taken.alias("taken"), (F.col("generic") == F.col("label")).alias("base_ok"), (chosen == F.col("label")).alias("ok"))
+    by = ["policy", "shown"]
+    ci = resample.paired_bootstrap(resample.paired_counts(rows, by, F.col("base_ok"), F.col("ok")), by, ROUNDS, SEED, "D")
+    return gates.order_robustness(ci.join(rows.groupBy(*by).agg(metrics.rate(F.col("taken")).alias("route_rate")), by))
+
+
 @query(f"""WITH {RUNS_SQL}, g AS (SELECT target AS g, count(*) AS n, sum(CAST(hit AS INT) - CAST(base_hit AS INT)) AS s FROM runs WHERE candidate = 'omni' GROUP BY target),
 a AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS groups FROM g),
 d AS (SELECT r.round, {hash_sql("'42'", "CAST(r.round AS VARCHAR) || ':' || CAST(a.i AS VARCHAR)")} % groups AS pick FROM a, range({ROUNDS}) AS r(round)),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parsing import answers_match
 from ..functions.ranking import portable_hash
-from ..functions.text import word_count
+from ..functions.text import collapse_ws, word_count
 from ..operators import metrics, rag, sampling
 from ..views import HYBRID_SQL, hybrid, table
 from .registry import hash_sql, registry
@@ -90,6 +91,27 @@ def rag_compare_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_rows(spark, sf_dir).groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Cards of the labels by their remainder: a letter, the letter and its text, and two spellings of a word.
+CARDS = ("Task\nAnswer: A\n", "Task\nAnswer: a. alpha\nend", 'Answer:  "Beta"', "beta ;")
+SHORT = ("a", "a. alpha", "beta", "beta")
+USE_SQL = HYBRID_SQL + ", " + f"""uc AS (SELECT query_style, (['{"', '".join(SHORT)}'])[label % 4 + 1] AS gold, (['{"', '".join(SHORT)}'])[omni_top % 4 + 1] AS said, omni_top = label OR omni_top % 4 = label % 4 AS grounded, label IN (omni_top, asr_top, rrf_top) AS in_context FROM h),
+ut AS (SELECT *, gold = said OR (gold = 'a' AND said LIKE 'a.%') OR (said = 'a' AND gold LIKE 'a.%') AS passed FROM uc),
+ue AS (SELECT *, CASE WHEN passed THEN 'none' WHEN NOT in_context THEN 'retrieval_miss' WHEN NOT grounded THEN 'wrong_memory_selected' ELSE 'answer_parse_or_generation_miss' END AS e FROM ut)"""
+
+
+@query(f"""WITH {USE_SQL} SELECT query_style, count(*) AS n, round(avg(CAST(passed AS INT)), 6) AS answer_pass, round(avg(CAST(grounded AS INT)), 6) AS grounded_target_acc, round(avg(CAST(in_context AS INT)), 6) AS context_gold_rate,
+  round(avg(CAST(in_context AND NOT passed AS INT)), 6) AS generation_miss_rate, round(avg(CAST(NOT in_context AS INT)), 6) AS retrieval_miss_rate, round(avg(CAST(NOT grounded AND NOT passed AS INT)), 6) AS wrong_memory_answer_rate,
+  count(*) FILTER (WHERE e = 'none') AS n_none, count(*) FILTER (WHERE e = 'retrieval_miss') AS n_retrieval_miss, count(*) FILTER (WHERE e = 'wrong_memory_selected') AS n_wrong_memory_selected, count(*) FILTER (WHERE e = 'answer_parse_or_generation_miss') AS n_answer_parse_or_generation_miss
+FROM ue GROUP BY query_style""")
+def final_task_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full view's first candidate is the memory in use; the context is the first of each view."""
+    card = lambda label: F.element_at(F.array(*[F.lit(c) for c in CARDS]), (F.col(label) % 4 + 1).cast("int"))
+    h = hybrid(spark, sf_dir).select("query_style", "label", "omni_top", "asr_top", "rrf_top", card("label").alias("gold"), card("omni_top").alias("selected"))
+    same = (F.col("omni_top") == F.col("label")) | (collapse_ws("selected") == collapse_ws("gold"))
+    rows = h.select("query_style", answers_match("selected", "gold").alias("answer_pass"), same.alias("grounded"), F.col("label").isin(F.col("omni_top"), F.col("asr_top"), F.col("rrf_top")).alias("in_context"))
+    return rag.final_use(rows.withColumn("error_type", rag.use_stage(F.col("answer_pass"), F.col("in_context"), F.col("grounded"))), ["query_style"])
+
+
 @query("""WITH p AS (SELECT conv_id, len(regexp_split_to_array(trim(text), '\\s+')) AS n FROM conversations WHERE trim(text) <> ''), o AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS c FROM p)
 SELECT any_value(c) AS n, round(avg(n), 6) AS mean, CAST(max(n) AS BIGINT) AS max, CAST(max(n) FILTER (WHERE i = c // 2) AS BIGINT) AS p50, CAST(max(n) FILTER (WHERE i = CAST(floor(c * 0.95) AS BIGINT)) AS BIGINT) AS p95 FROM o""")
 def prompt_budget_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,3 +258,22 @@ def test_resuming_stream(spark, tmp_path):
     assert sorted(r.sample_id for r in got) == ["0", "1", "2", "3", "4", "5", "9"]
     done = spark.createDataFrame([("1", "c1"), ("2", "c2")], "sample_id string, config string")
     assert resume.remaining(rows, done, config="config", value="c1").count() == 5 and resume.reused(rows, done).count() == 2
+
+
+def test_answers_match_by_text_or_by_a_bare_letter(spark):
+    from gatehouse.functions.parsing import answers_match
+
+    rows = [("Answer: B", "b", True), ("b) blue", "B", True), ("b", "B: blue", True), ("blue", "b", False), ("bc", "b", False), ("“x", "x", False),
+            ('Answer: "Paris"', "paris", True), ("Paris ;", "paris", True), ('"Paris" ;', "paris", False), ("", "", False), (None, "a", False), ("甲；", "甲", True), ("e", "e. east", False)]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean").select(answers_match("a", "b").alias("got"), "want")
+    assert [r.got for r in df.collect()] == [r[2] for r in rows]
+
+
+def test_order_policies(spark):
+    from gatehouse.operators.gates import ORDER_POLICIES, order_choice
+
+    df = spark.createDataFrame([(p, g, t) for p in ORDER_POLICIES for g, t in (("x", "x"), ("x", "y"), ("y", "x"), ("y", "z"))], "p string, g string, t string")
+    chosen, taken = order_choice(F.col("p"), F.col("g"), F.col("t"), F.lit("x"))
+    got = [(r.c, r.k) for r in df.select(chosen.alias("c"), taken.alias("k")).collect()]
+    assert [c for c, _ in got] == ["x", "y", "x", "z", "x", "x", "x", "y", "x", "x", "x", "z", "x", "x", "x", "x"]
+    assert [k for _, k in got] == [True] * 4 + [True, False, True, False] + [True, False, True, True] + [True, False, True, False]
