@@ -13,10 +13,13 @@ around one of them says everything: a bucket never makes all its pairs.
 
 *Shuffle.*  A ball of 2,081 variants is not shuffled row by row.  A row is (prefix of the variant, fingerprint): one
 row stands for all variants that share the prefix, which the receiving task writes out, sorts, and compares.  With 16
-bits that is 17 or 137 rows instead of 65 or 2,081.  A task works through its prefixes in order; where one prefix has
-more variants than fit in memory it makes several passes over hash ranges of them.  Colliding pairs are deduplicated
-and verified against the fingerprints, and each task sends on a spanning forest of what it has found, at most one
-edge for a fingerprint and batch.
+bits that is 17 or 137 rows instead of 65 or 2,081.  Rows are counted first, by prefix: the variants of a dense prefix
+(over ``DENSE_ROWS`` rows and over 1/``DENSE_SHARE`` of all, hence at most that many prefixes) are shuffled by their
+first 32 bits, and those of a prefix that is still dense by all 64, where no more than 2,081 fingerprints can meet for
+radius 3.  So each variant is worked off in one place with all who have it, and no task gets a dense group whole.  A
+task works through its prefixes in order; where one has more variants than fit in memory it makes several passes over
+hash ranges of them.  Colliding pairs are deduplicated and verified against the fingerprints, and each task sends on a
+spanning forest of what it has found, at most one edge for a fingerprint and batch.
 
 *Groups.*  Connected components of the links (``_graph``), named by their smallest document id.
 
@@ -26,6 +29,7 @@ rows stay, one result row each.  The empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,10 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import materialize, partitions
+from ._store import materialize, partitions, release
 from ._text import LOWER, SPACE, Words, chunks, mix, signed
 
-SEED, SHINGLE, RADIUS, PREFIX_BITS = 42, 3, 3, 16
+SEED, SHINGLE, RADIUS, PREFIX_BITS = 42, 3, 3, (16, 32, 64)
+#: A prefix is dense if it has more rows than this, and more than this share of all.
+DENSE_ROWS, DENSE_SHARE = 1 << 16, 1 << 14
 #: Variants held at once by a task.
 MOST_VARIANTS = 1 << 21
 
@@ -128,7 +134,7 @@ class Balls:
         base = (prefix << np.uint64(64 - self.prefix_bits)) | (fps & keep)
         for weight, flips in enumerate(self.flips):
             rows = np.flatnonzero(left >= weight)
-            step = max(1, MOST_VARIANTS // 4 // len(flips))
+            step = max(1, MOST_VARIANTS // 4 // max(1, len(flips)))
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
                 yield (base[part][:, None] ^ flips).ravel(), np.repeat(part, len(flips)), np.repeat(used[part] + weight <= self.low, len(flips))
@@ -183,23 +189,58 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, prefix_bits: int = PREFIX_BITS) -> DataFrame:
-    """``distinct`` has the distinct fingerprints in its long column fp.  Returns edges (a, b) whose components are
-    those of all links; long and signed."""
+def under(fps: np.ndarray, radius: int, bits: int, parents: tuple[int, np.ndarray] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(prefix, fingerprint) rows, in parts; with ``parents`` (bits, dense prefixes) only of variants below those."""
+    if parents:
+        prefix, own = emit(fps, radius, parents[0])
+        fps = np.unique(own[np.isin(prefix, parents[1])])
+    step = max(1, (1 << 20) // sum(math.comb(bits, w) for w in range((radius + 1) // 2 + 1)))
+    for k in range(0, len(fps), step):
+        prefix, own = emit(fps[k : k + step], radius, bits)
+        if parents:
+            below = np.isin(prefix >> np.uint64(bits - parents[0]), parents[1])
+            prefix, own = prefix[below], own[below]
+        yield prefix, own
+
+
+def dense_prefixes(distinct: DataFrame, radius: int, bits: int, parents: tuple[int, np.ndarray] | None) -> np.ndarray:
+    """The prefixes with more than ``DENSE_ROWS`` rows and 1 / ``DENSE_SHARE`` of all; at most ``DENSE_SHARE``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column("fp").to_numpy().view(np.uint64)
+            for k in range(0, len(fps), 8192):
+                for prefix, _ in under(fps[k : k + 8192], radius, bits, parents):
+                    which, rows = np.unique(prefix, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([signed(which), pa.array(rows)], ["prefix", "rows"])
+
+    counts = materialize(distinct.select("fp").mapInArrow(count, "prefix long, rows long").groupBy("prefix").agg(F.sum("rows").alias("rows")), "prefixes")
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    found = counts.where(F.col("rows") > max(DENSE_ROWS, total // DENSE_SHARE)).select("prefix").collect()
+    release(counts)
+    return np.array(sorted(r.prefix for r in found), np.int64).view(np.uint64)
+
+
+def level(distinct: DataFrame, radius: int, bits: int, parents: tuple[int, np.ndarray] | None, dense: np.ndarray) -> DataFrame:
+    """Edges (a, b) found under the prefixes of ``bits`` bits, but for the dense ones."""
     n = partitions(distinct.sparkSession)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(np.uint64)
             for k in range(0, len(fps), 8192):
-                prefix, own = emit(fps[k : k + 8192], radius, prefix_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(prefix.astype(np.int32)), signed(own)], ["prefix", "fp"])
+                for prefix, own in under(fps[k : k + 8192], radius, bits, parents):
+                    if len(dense):
+                        light = ~np.isin(prefix, dense)
+                        prefix, own = prefix[light], own[light]
+                    yield pa.RecordBatch.from_arrays([signed(prefix), signed(own)], ["prefix", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        balls = Balls(radius, prefix_bits)
+        balls = Balls(radius, bits)
 
-        def told(prefix: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def told(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             """In runs of whole prefixes of about MOST_VARIANTS variants."""
+            prefix, fps = (np.concatenate(x).view(np.uint64) for x in zip(*parts, strict=True))
             size = np.cumsum(balls.sizes[np.maximum(balls.spent(prefix, fps)[1], 0)])
             ends = np.append(np.flatnonzero(prefix[1:] != prefix[:-1]) + 1, len(prefix))
             row = 0
@@ -213,24 +254,36 @@ def links(distinct: DataFrame, radius: int = RADIUS, prefix_bits: int = PREFIX_B
 
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            prefix, fps = batch.column("prefix").to_numpy().astype(np.uint64), batch.column("fp").to_numpy().view(np.uint64)
+            prefix, fps = batch.column("prefix").to_numpy(), batch.column("fp").to_numpy()  # sorted as signed numbers
             if not len(prefix):
                 continue
             cut = int(np.searchsorted(prefix, prefix[-1]))  # the last prefix may go on in the next batch
             if cut or kept and kept[0][0][0] != prefix[0]:
-                done = [*kept, (prefix[:cut], fps[:cut])]
-                yield from told(np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done]))
+                yield from told([*kept, (prefix[:cut], fps[:cut])])
                 kept = []
             kept.append((prefix[cut:], fps[cut:]))
         if kept:
-            yield from told(np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept]))
+            yield from told(kept)
+
+    rows = distinct.select("fp").repartition(n, "fp").mapInArrow(spread, "prefix long, fp long")
+    return rows.repartition(n, "prefix").sortWithinPartitions("prefix").mapInArrow(meet, "a long, b long")
 
-    rows = distinct.select("fp").repartition(n, "fp").mapInArrow(spread, "prefix int, fp long")
-    met = rows.repartition(n, "prefix").sortWithinPartitions("prefix").mapInArrow(meet, "a long, b long")
-    return met.distinct()
+
+def links(distinct: DataFrame, radius: int = RADIUS, prefix_bits: tuple[int, ...] = PREFIX_BITS) -> DataFrame:
+    """``distinct`` has the distinct fingerprints in its long column fp.  Returns edges (a, b) whose components are
+    those of all links; long and signed.  ``prefix_bits`` grow to 64."""
+    found, parents = None, None
+    for bits in prefix_bits:
+        dense = dense_prefixes(distinct, radius, bits, parents) if bits < prefix_bits[-1] else np.empty(0, np.uint64)
+        edges = level(distinct, radius, bits, parents, dense)
+        found = edges if found is None else found.unionByName(edges)
+        if not len(dense):
+            break
+        parents = (bits, dense)
+    return found.distinct()
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, prefix_bits: int = PREFIX_BITS) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, prefix_bits: tuple[int, ...] = PREFIX_BITS) -> DataFrame:
     """One row for each row of ``df``: ``id_col``, fingerprint (16 hex digits), component_id, kept (whether the id
     names its group)."""
     fps = materialize(fingerprints(df, id_col, text_col, shingle), "fingerprints")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 from common import frame, rows, words
 
@@ -54,9 +55,17 @@ def near_fingerprints(n, radius, seed=1):
     return sorted(out)
 
 
-def test_links_have_the_components_of_brute_force(spark):
-    for radius in (1, 2, 3, 4):
-        fps = near_fingerprints(240, radius)
+def dense_fingerprints(n, radius):
+    """All under one prefix of 16 bits, most of them under one of 32."""
+    return sorted({f & ((1 << (32 if k % 4 else 48)) - 1) for k, f in enumerate(near_fingerprints(n, radius, 3))})
+
+
+@pytest.mark.parametrize("dense", [None, 20])
+def test_links_have_the_components_of_brute_force(spark, monkeypatch, dense):
+    if dense:
+        monkeypatch.setattr(simhash, "DENSE_ROWS", dense)
+    for radius in (1, 2, 3, 4) if not dense else (2, 3):
+        fps = near_fingerprints(240, radius) if not dense else dense_fingerprints(160, radius)
         signed = [f - 2**64 if f >= 2**63 else f for f in fps]
         edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), radius).collect()
         assert all(((e.a ^ e.b) & (2**64 - 1)).bit_count() for e in edges)
@@ -86,3 +95,14 @@ def test_a_dense_prefix_takes_several_passes(monkeypatch):
     parts = simhash.forest(*simhash.Balls(3, 16).links(np.zeros(len(fps), np.uint64), fps))
     assert [x.tolist() for x in whole] == [x.tolist() for x in parts]
     assert len(whole[0])
+
+
+def test_each_level_leaves_its_dense_prefixes_to_the_next(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "DENSE_ROWS", 20)
+    signed = [f - 2**64 if f >= 2**63 else f for f in dense_fingerprints(160, 3)]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    first = simhash.dense_prefixes(df, 3, 16, None)
+    second = simhash.dense_prefixes(df, 3, 32, (16, first))
+    assert 0 in first and 0 in second and set((second >> np.uint64(16)).tolist()) <= set(first.tolist())
+    monkeypatch.setattr(simhash, "DENSE_ROWS", 1 << 16)
+    assert not len(simhash.dense_prefixes(df, 3, 16, None))
