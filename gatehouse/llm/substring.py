@@ -19,7 +19,7 @@ costs a row a batch.  The joins of step 2 and 3 split under AQE.  Texts are shuf
 of these steps.  Comparisons rest on 128 bits of hash (anchor and block, or two window hashes).
 
 Null texts have no words.  A null id counts as smaller than any.  Rows that repeat id and text count as one document,
-each gets its result; rows that repeat only the id are documents of their own, in the order of a hash of the text.
+whose blocks and pieces combine before each shuffle, and each gets its result; rows that repeat only the id are documents of their own, in the order of a hash of the text.
 The id is an integer.  The empty table gives an empty result.
 """
 
@@ -79,6 +79,7 @@ def block_rows(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch:
         parts.append((anchor, block, ids[a:b][doc], subs[a:b][doc] << PLACE_BITS | (first - words.first[doc]), count.astype(np.int32)))
     anchor, block, own, at, count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 2, np.empty(0, np.int32))
     ref_id, ref_at, has = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+    again = np.zeros(len(own), bool)  # the same place of a repeated row
     ordered = np.sort(block)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     if len(twice):
@@ -86,13 +87,16 @@ def block_rows(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch:
         rows = rows[np.lexsort((at[rows], own[rows], anchor[rows], block[rows]))]
         head = np.concatenate([[True], (block[rows[1:]] != block[rows[:-1]]) | (anchor[rows[1:]] != anchor[rows[:-1]])])
         lead = rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))]
+        again[rows[1:]] = ~head[1:] & (own[rows[1:]] == own[rows[:-1]]) & (at[rows[1:]] == at[rows[:-1]])
         later = (own[rows] != own[lead]) | (at[rows] != at[lead])
         rows, lead = rows[later], lead[later]
         has[rows], ref_id[rows], ref_at[rows] = True, own[lead], at[lead]
         with np.errstate(over="ignore"):
             anchor[rows] = mix(own[rows].view(np.uint64) + mix(at[rows].view(np.uint64)))
         block[rows] = 0
-    return record([signed(anchor), signed(block), own, at, count, pa.array(ref_id, mask=~has), pa.array(ref_at, mask=~has)], ["anchor", "block", "id", "at", "n", "ref_id", "ref_at"])
+    once = np.flatnonzero(~again)
+    refs = (pa.array(x[once], mask=~has[once]) for x in (ref_id, ref_at))
+    return record([signed(anchor[once]), signed(block[once]), own[once], at[once], count[once], *refs], ["anchor", "block", "id", "at", "n", "ref_id", "ref_at"])
 
 
 class Settle:
@@ -248,13 +252,13 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = docs.mapInArrow(index, BLOCK).repartition(n, "anchor").sortWithinPartitions("anchor", "block", "id", "at")
     found = materialize(found.mapInArrow(settle, "id long, at long, n int, ref_id long, ref_at long"), "blocks")
 
-    edges = found.where("ref_id IS NULL").select("id", *where, "n").groupBy(*key).agg(F.collect_list(F.struct("place", "n")).alias("edges"))
+    edges = found.where("ref_id IS NULL").select("id", *where, "n").groupBy(*key).agg(F.collect_set(F.struct("place", "n")).alias("edges"))
     windows = docs.join(edges, key).mapInArrow(check, "h1 long, h2 long, id long, at long")
     windows = materialize(windows, "boundaries")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     copies = windows.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(F.struct("id", "at") > F.col("first"))
     pieces = found.where("ref_id IS NOT NULL").unionByName(copies.select("id", "at", F.lit(1).alias("n"), F.col("first.id").alias("ref_id"), F.col("first.at").alias("ref_at")))
-    pieces = pieces.select("id", *where, "n", "ref_id", "ref_at").groupBy(*key).agg(F.collect_list(F.struct("place", "n", "ref_id", "ref_at")).alias("pieces"))
+    pieces = pieces.select("id", *where, "n", "ref_id", "ref_at").groupBy(*key).agg(F.collect_set(F.struct("place", "n", "ref_id", "ref_at")).alias("pieces"))
     full = df.select(*docs_columns, *[F.col(c).alias(f"carry_{c}") for c in carry])
     schema = "id long, text string, n_words long, n_removed long, factors array<struct<start:long,length:long,ref_id:long,ref_start:long>>"
     more = "".join(f", `carry_{c}` {df.schema[c].dataType.simpleString()}" for c in carry)

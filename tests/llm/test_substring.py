@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from common import frame, prose, rows, words
 
@@ -72,3 +73,19 @@ def test_spaces_of_kept_words_stay(spark):
 
 def test_empty(spark):
     assert substring.substring_dedup(frame(spark, [])).collect() == []
+
+
+def test_a_document_that_a_third_of_all_rows_repeat(spark):
+    passage = prose("passage", 45)
+    data = [(k, f"{prose(k, 30)} {passage if k % 3 else ''} {prose(-k, 25)}") for k in range(12)]
+    data += [data[7]] * 300 + [(50, f"{passage} {passage}")] * 40
+    want = brute(data, 20)
+    got = substring.substring_dedup(frame(spark, data).repartition(5)).collect()
+    assert len(got) == len(data)
+    by = dict(data)
+    for row in got:
+        n, kept = want[row.doc_id, by[row.doc_id]]
+        assert (row.n_words, row.n_removed, words(row.text)) == (n, n - len(kept), kept), row.doc_id
+    one = substring.block_rows(pa.RecordBatch.from_pydict({"id": pa.array([1]), "sub": pa.array([0], pa.int32()), "text": pa.array([data[7][1]])}), 20, 6)
+    many = substring.block_rows(pa.RecordBatch.from_pydict({"id": pa.array([1] * 9), "sub": pa.array([0] * 9, pa.int32()), "text": pa.array([data[7][1]] * 9)}), 20, 6)
+    assert one.num_rows == many.num_rows
