@@ -7,7 +7,7 @@ centroid with the largest cosine, which is its score (0 to 1).  It is rejected (
 farther from that centroid than the ``REACH`` quantile of the training texts of the language, times ``SLACK``.
 
 The model is fitted on a bounded sample, chosen by a hash of the id: about ``TRAIN_PER_LANGUAGE`` texts a language,
-at most ``TRAIN_ROWS`` in all.  Its vectors are made on the executors.  Prediction is a map over whole texts; nothing
+at most ``TRAIN_ROWS`` in all (by a hash of the text if the draw takes no row, as where all share an id).  Its vectors are made on the executors.  Prediction is a map over whole texts; nothing
 is shuffled, and the model (languages x CLUSTERS x DIMENSIONS floats) travels with the tasks.
 
 Null texts and texts without any letter are ``und`` with score 0, as is everything if no text was labelled.  Ties go
@@ -105,7 +105,10 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                 found = np.minimum(counts(data, offsets), 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), pa.array([x.tobytes() for x in found], pa.binary())], ["lang", "counts"])
 
-    told = sorted((r.lang, bytes(r.counts)) for r in picked.mapInArrow(vectors, "lang string, counts binary").toLocalIterator())
+    def taken(sample: DataFrame) -> list[tuple[str, bytes]]:
+        return sorted((r.lang, bytes(r.counts)) for r in sample.mapInArrow(vectors, "lang string, counts binary").toLocalIterator())
+
+    told = taken(picked) or taken(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).orderBy(F.xxhash64("text"), "lang").limit(most))
     languages = sorted({x for x, _ in told})
     found = np.stack([np.frombuffer(x, "<u2") for _, x in told])
     number = np.array([languages.index(x) for x, _ in told])

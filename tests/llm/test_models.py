@@ -92,3 +92,11 @@ def test_flat_trees_fit_a_rule():
     y = ((x[:, 1] > 0.6) ^ (x[:, 3] > 0.3)).astype(float)
     model = quality_model.grow(x[:3000], y[:3000])
     assert np.mean((model.score(x[3000:]) > 0.5) == y[3000:]) > 0.98
+
+
+def test_languages_of_rows_that_share_one_id(spark):
+    data = [(7, written(lang, k, 20), lang) for k, lang in enumerate(["aa", "bb"] * 60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(df, per_language=2)
+    assert model and set(model.languages) == {"aa", "bb"}
+    assert langid.identify(df, model).where("nearest NOT IN ('aa', 'bb')").isEmpty()
