@@ -1,4 +1,4 @@
-"""A corpus pipeline of five operators: quality rules, exact dedup, SimHash near-dedup, substring dedup, packing.
+"""A corpus pipeline of five operators: quality rules, exact dedup, near-dedup, substring dedup, packing.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame, reads only ``docs``, and all but the last return its columns.
 Filters keep whole rows; a row stays or goes by its id, so rows that share one have one fate, and the deduplicating
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gatehouse.llm import exact, packing, quality, simhash, substring
+from gatehouse.llm import exact, jaccard, packing, quality, substring
 from gatehouse.llm._store import materialize
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -37,8 +37,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document that names it, which has the smallest id."""
-    return keep(docs, simhash.near_dedup(docs).where("kept"))
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document of the smallest id."""
+    return keep(docs, jaccard.near_dedup(docs).where("kept"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
