@@ -19,7 +19,8 @@ costs a row a batch.  The joins of step 2 and 3 split under AQE.  Texts are shuf
 of these steps.  Comparisons rest on 128 bits of hash (anchor and block, or two window hashes).
 
 Null texts have no words.  A null id counts as smaller than any.  Rows that repeat id and text count as one document,
-whose blocks and pieces combine before each shuffle, and each gets its result; rows that repeat only the id are documents of their own, in the order of a hash of the text.
+whose blocks and pieces combine before each shuffle, and each gets its result; rows that repeat only the id are documents of their own, in the order of a hash of the text:
+a document is (id, sub), sub being all 64 bits of the text's XXH64.
 The id is an integer.  The empty table gives an empty result.
 """
 
@@ -36,10 +37,11 @@ from ._store import materialize, partitions
 from ._text import Words, chunks, mix, ngrams, signed, spans_hash
 
 WINDOW, GRAM = 20, 6
-#: A place is ``sub << PLACE_BITS | number of the word``; sub tells apart documents that share an id.
-PLACE_BITS = 40
 NO_ID = -(1 << 63)
-BLOCK = "anchor long, block long, id long, at long, n int, ref_id long, ref_at long"
+#: ``sub`` tells apart documents that share an id; ``at`` is the number of a word.
+PIECE = "id long, sub long, at long, n int, ref_id long, ref_sub long, ref_at long"
+BLOCK = f"anchor long, block long, {PIECE}"
+PIECE_NAMES = ["id", "sub", "at", "n", "ref_id", "ref_sub", "ref_at"]
 
 
 def blocks(words: Words, hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +70,7 @@ def record(columns: list, names: list[str]) -> pa.RecordBatch:
 
 
 def block_rows(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch:
-    """The blocks of a batch.  Those that repeat within it point to the earliest (ref_id, ref_at), and get an anchor
+    """The blocks of a batch.  Those that repeat within it point to the earliest (ref_id, ref_sub, ref_at), and get an anchor
     of their own that spreads them."""
     parts = []
     ids, subs = batch.column("id").to_numpy(), batch.column("sub").to_numpy().astype(np.int64)
@@ -76,43 +78,43 @@ def block_rows(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch:
         words = Words(data, offsets)
         anchor, block, first, count = blocks(words, words.hashes(), window, gram)
         doc = words.doc[first]
-        parts.append((anchor, block, ids[a:b][doc], subs[a:b][doc] << PLACE_BITS | (first - words.first[doc]), count.astype(np.int32)))
-    anchor, block, own, at, count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 2, np.empty(0, np.int32))
-    ref_id, ref_at, has = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+        parts.append((anchor, block, ids[a:b][doc], subs[a:b][doc], first - words.first[doc], count.astype(np.int32)))
+    anchor, block, own, sub, at, count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3, np.empty(0, np.int32))
+    ref_id, ref_sub, ref_at, has = *(np.zeros(len(own), np.int64) for _ in range(3)), np.zeros(len(own), bool)
     again = np.zeros(len(own), bool)  # the same place of a repeated row
     ordered = np.sort(block)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     if len(twice):
         rows = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, block), len(twice) - 1)] == block)
-        rows = rows[np.lexsort((at[rows], own[rows], anchor[rows], block[rows]))]
+        rows = rows[np.lexsort((at[rows], sub[rows], own[rows], anchor[rows], block[rows]))]
         head = np.concatenate([[True], (block[rows[1:]] != block[rows[:-1]]) | (anchor[rows[1:]] != anchor[rows[:-1]])])
         lead = rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))]
-        again[rows[1:]] = ~head[1:] & (own[rows[1:]] == own[rows[:-1]]) & (at[rows[1:]] == at[rows[:-1]])
-        later = (own[rows] != own[lead]) | (at[rows] != at[lead])
+        again[rows[1:]] = ~head[1:] & (own[rows[1:]] == own[rows[:-1]]) & (sub[rows[1:]] == sub[rows[:-1]]) & (at[rows[1:]] == at[rows[:-1]])
+        later = (own[rows] != own[lead]) | (sub[rows] != sub[lead]) | (at[rows] != at[lead])
         rows, lead = rows[later], lead[later]
-        has[rows], ref_id[rows], ref_at[rows] = True, own[lead], at[lead]
+        has[rows], ref_id[rows], ref_sub[rows], ref_at[rows] = True, own[lead], sub[lead], at[lead]
         with np.errstate(over="ignore"):
-            anchor[rows] = mix(own[rows].view(np.uint64) + mix(at[rows].view(np.uint64)))
+            anchor[rows] = mix(own[rows].view(np.uint64) + mix(sub[rows].view(np.uint64) + mix(at[rows].view(np.uint64))))
         block[rows] = 0
     once = np.flatnonzero(~again)
-    refs = (pa.array(x[once], mask=~has[once]) for x in (ref_id, ref_at))
-    return record([signed(anchor[once]), signed(block[once]), own[once], at[once], count[once], *refs], ["anchor", "block", "id", "at", "n", "ref_id", "ref_at"])
+    refs = (pa.array(x[once], mask=~has[once]) for x in (ref_id, ref_sub, ref_at))
+    return record([signed(anchor[once]), signed(block[once]), own[once], sub[once], at[once], count[once], *refs], ["anchor", "block", *PIECE_NAMES])
 
 
 class Settle:
-    """Goes through blocks sorted by anchor, block, id, at.  Gives copies with the first place of their block, and
+    """Goes through blocks sorted by anchor, block, id, sub, at.  Gives copies with the first place of their block, and
     boundaries (ref null); what a batch leaves open is carried into the next."""
 
     def __init__(self) -> None:
-        self.last: tuple | None = None  # anchor, block, first id and at of the block
+        self.last: tuple | None = None  # anchor, block, first id, sub and at of the block
         self.pending: tuple | None = None  # the first block of the last anchor, while that has no other
 
     def __call__(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         known = batch.column("ref_id").is_valid().to_numpy(zero_copy_only=False)
-        out = ["id", "at", "n", "ref_id", "ref_at"]
+        out = PIECE_NAMES
         if known.any():
             yield pa.RecordBatch.from_arrays([batch.column(x).filter(pa.array(known)) for x in out], out)
-        anchor, block, own, at, n = (batch.column(x).to_numpy()[~known] for x in ("anchor", "block", "id", "at", "n"))
+        anchor, block, own, sub, at, n = (batch.column(x).to_numpy()[~known] for x in ("anchor", "block", "id", "sub", "at", "n"))
         if not len(anchor):
             return
         nth = np.arange(len(anchor))
@@ -123,28 +125,28 @@ class Settle:
             new_anchor[0] = anchor[0] != self.last[0]
             new_block[0] = new_anchor[0] or block[0] != self.last[1]
         head = np.maximum.accumulate(np.where(new_block, nth, -1))
-        first_id, first_at = own[head], at[head]
+        first_id, first_sub, first_at = own[head], sub[head], at[head]
         if self.last:
-            first_id[head < 0], first_at[head < 0] = self.last[2], self.last[3]
-        later = ~new_block & ((own != first_id) | (at != first_at))
+            first_id[head < 0], first_sub[head < 0], first_at[head < 0] = self.last[2:]
+        later = ~new_block & ((own != first_id) | (sub != first_sub) | (at != first_at))
         if later.any():
-            yield record([own[later], at[later], n[later], first_id[later], first_at[later]], out)
+            yield record([x[later] for x in (own, sub, at, n, first_id, first_sub, first_at)], out)
         heads = np.flatnonzero(new_block)
         if len(heads):
             alone = new_anchor[heads]
             followed = np.append(~alone[1:], False)
             edge = heads[~alone | followed]
-            rows = [(own[edge], at[edge], n[edge])]
+            rows = [(own[edge], sub[edge], at[edge], n[edge])]
             if not alone[0] and self.pending:
                 rows.append(tuple(np.array([x]) for x in self.pending))
             if not alone[0] or alone.any():
                 self.pending = None
             if alone[-1]:
-                self.pending = (own[heads[-1]], at[heads[-1]], n[heads[-1]])
-            x, y, z = (np.concatenate(c) for c in zip(*rows, strict=True))
-            if len(x):
-                yield record([x, y, z, pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64())], out)
-        self.last = (anchor[-1], block[-1], first_id[-1], first_at[-1])
+                self.pending = (own[heads[-1]], sub[heads[-1]], at[heads[-1]], n[heads[-1]])
+            found = [np.concatenate(c) for c in zip(*rows, strict=True)]
+            if len(found[0]):
+                yield record([*found, *[pa.nulls(len(found[0]), pa.int64())] * 3], out)
+        self.last = (anchor[-1], block[-1], first_id[-1], first_sub[-1], first_at[-1])
 
 
 def listed(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -160,8 +162,8 @@ def listed(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[n
 
 
 def boundary_windows(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, id, at) of each window of the blocks listed in the column edges."""
-    row, (place, n) = listed(batch.column("edges"), ("place", "n"))
+    """(h1, h2, id, sub, at) of each window of the blocks listed in the column edges."""
+    row, (place, n) = listed(batch.column("edges"), ("at", "n"))
     ids, subs = batch.column("id").to_numpy(), batch.column("sub").to_numpy().astype(np.int64)
     for a, b, data, offsets in chunks(batch.column("text")):
         mine = (row >= a) & (row < b)
@@ -172,7 +174,7 @@ def boundary_windows(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBa
         start = np.repeat(place[mine], count) + within
         at = words.first[doc] + start
         if len(at):
-            yield record([signed(ngrams(hashes, window, 1)[at]), signed(ngrams(hashes, window, 2)[at]), ids[a:b][doc], subs[a:b][doc] << PLACE_BITS | start], ["h1", "h2", "id", "at"])
+            yield record([signed(ngrams(hashes, window, 1)[at]), signed(ngrams(hashes, window, 2)[at]), ids[a:b][doc], subs[a:b][doc], start], ["h1", "h2", "id", "sub", "at"])
 
 
 FACTOR = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref_id", pa.int64()), ("ref_start", pa.int64())])
@@ -180,21 +182,21 @@ FACTOR = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref_id", pa
 
 def cut(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
     """Factors of each text, and what they leave of it."""
-    row, (place, n, ref_id, ref_at) = listed(batch.column("pieces"), ("place", "n", "ref_id", "ref_at"))
+    row, (place, n, ref_id, ref_sub, ref_at) = listed(batch.column("pieces"), ("at", "n", "ref_id", "ref_sub", "ref_at"))
     for a, b, data, offsets in chunks(batch.column("text")):
         words = Words(data, offsets)
         mine = (row >= a) & (row < b)
         doc, start, count = row[mine] - a, place[mine], n[mine].astype(np.int64)
-        source, back = ref_id[mine], (ref_at[mine] & ((1 << PLACE_BITS) - 1)) - start
+        source, sub, back = ref_id[mine], ref_sub[mine], ref_at[mine] - start
         order = np.lexsort((start, doc))
-        doc, start, count, source, back = doc[order], start[order], count[order], source[order], back[order]
+        doc, start, count, source, sub, back = (x[order] for x in (doc, start, count, source, sub, back))
         step = np.zeros(len(words.doc) + 1, np.int64)
         np.add.at(step, words.first[doc] + start, 1)
         np.add.at(step, words.first[doc] + start + count + window - 1, -1)
         gone = np.cumsum(step)[:-1] > 0
         # the greedy parse: a piece goes on with the factor before it if it continues the same copy
         fresh = np.ones(len(doc), bool)
-        fresh[1:] = (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (back[1:] != back[:-1]) | (start[1:] > start[:-1] + count[:-1])
+        fresh[1:] = (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (sub[1:] != sub[:-1]) | (back[1:] != back[:-1]) | (start[1:] > start[:-1] + count[:-1])
         heads = np.flatnonzero(fresh)
         length = np.maximum.reduceat(start + count, heads) + window - 1 - start[heads] if len(heads) else np.empty(0, np.int64)
         factors = pa.StructArray.from_arrays([pa.array(start[heads]), pa.array(length), pa.array(source[heads]), pa.array(start[heads] + back[heads])], fields=list(FACTOR))
@@ -224,7 +226,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise TypeError("the id is an integer")
     n = partitions(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs_columns = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("int").alias("sub"), text.alias("text"))
+    docs_columns = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("sub"), text.alias("text"))
     docs = df.select(*docs_columns)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,17 +250,17 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield from done.to_batches() if done else []
 
     key = ["id", "sub"]
-    where = [F.shiftright("at", PLACE_BITS).cast("int").alias("sub"), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place")]
-    found = docs.mapInArrow(index, BLOCK).repartition(n, "anchor").sortWithinPartitions("anchor", "block", "id", "at")
-    found = materialize(found.mapInArrow(settle, "id long, at long, n int, ref_id long, ref_at long"), "blocks")
+    place = F.struct("id", "sub", "at")
+    found = docs.mapInArrow(index, BLOCK).repartition(n, "anchor").sortWithinPartitions("anchor", "block", "id", "sub", "at")
+    found = materialize(found.mapInArrow(settle, PIECE), "blocks")
 
-    edges = found.where("ref_id IS NULL").select("id", *where, "n").groupBy(*key).agg(F.collect_set(F.struct("place", "n")).alias("edges"))
-    windows = docs.join(edges, key).mapInArrow(check, "h1 long, h2 long, id long, at long")
+    edges = found.where("ref_id IS NULL").groupBy(*key).agg(F.collect_set(F.struct("at", "n")).alias("edges"))
+    windows = docs.join(edges, key).mapInArrow(check, "h1 long, h2 long, id long, sub long, at long")
     windows = materialize(windows, "boundaries")
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    copies = windows.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(F.struct("id", "at") > F.col("first"))
-    pieces = found.where("ref_id IS NOT NULL").unionByName(copies.select("id", "at", F.lit(1).alias("n"), F.col("first.id").alias("ref_id"), F.col("first.at").alias("ref_at")))
-    pieces = pieces.select("id", *where, "n", "ref_id", "ref_at").groupBy(*key).agg(F.collect_set(F.struct("place", "n", "ref_id", "ref_at")).alias("pieces"))
+    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    copies = windows.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(place > F.col("first"))
+    pieces = found.where("ref_id IS NOT NULL").unionByName(copies.select(*key, "at", F.lit(1).alias("n"), *[F.col(f"first.{c}").alias(f"ref_{c}") for c in ("id", "sub", "at")]))
+    pieces = pieces.groupBy(*key).agg(F.collect_set(F.struct("at", "n", "ref_id", "ref_sub", "ref_at")).alias("pieces"))
     full = df.select(*docs_columns, *[F.col(c).alias(f"carry_{c}") for c in carry])
     schema = "id long, text string, n_words long, n_removed long, factors array<struct<start:long,length:long,ref_id:long,ref_start:long>>"
     more = "".join(f", `carry_{c}` {df.schema[c].dataType.simpleString()}" for c in carry)

@@ -89,3 +89,19 @@ def test_a_document_that_a_third_of_all_rows_repeat(spark):
     one = substring.block_rows(pa.RecordBatch.from_pydict({"id": pa.array([1]), "sub": pa.array([0], pa.int32()), "text": pa.array([data[7][1]])}), 20, 6)
     many = substring.block_rows(pa.RecordBatch.from_pydict({"id": pa.array([1] * 9), "sub": pa.array([0] * 9, pa.int32()), "text": pa.array([data[7][1]] * 9)}), 20, 6)
     assert one.num_rows == many.num_rows
+
+
+def test_thousands_of_texts_under_one_null_id(spark):
+    """Each is its own document: what no other has stays, and of each shared passage one copy."""
+    passages = [" ".join(f"p{k}w{j}" for j in range(25)) for k in range(40)]
+    own = [" ".join(f"d{k}w{j}" for j in range(22 + k % 9)) for k in range(4000)]
+    data = [(None, f"{text} {passages[k % 40]}" if k % 2 else text) for k, text in enumerate(own)]
+    got = substring.substring_dedup(frame(spark, data, extra=False).repartition(3)).collect()
+    assert len(got) == len(data)
+    left = {r.text.split()[0]: r for r in got}
+    assert len(left) == len(data)
+    for k, text in enumerate(own):
+        row = left[f"d{k}w0"]
+        assert row.text.strip() in (text, f"{text} {passages[k % 40]}"), k
+        assert row.n_words == len(words(data[k][1]))
+    assert sum(r.n_removed > 0 for r in got) == 2000 - 20
