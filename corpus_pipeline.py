@@ -1,8 +1,8 @@
 """A corpus pipeline of five operators: quality rules, exact dedup, near-dedup, substring dedup, packing.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame, reads only ``docs``, and all but the last return its columns.
-Filters keep whole rows; a row stays or goes by its id, so rows that share one have one fate, and the deduplicating
-stages leave one of those that repeat both id and text.
+Filters keep whole rows, each by its own verdict: a row is its id and a 64-bit hash of its text, and the deduplicating
+stages leave one of those that repeat both.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ VOCABULARY = "byte_bpe_50k.json"
 NO_ID = -(1 << 63)
 
 
-def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``ids`` (a null id too); of rows equal in id and text one stays."""
-    key = lambda c: F.coalesce(F.col(c), F.lit(NO_ID))
-    kept = docs.withColumn("_key", key("doc_id")).join(ids.select(key("doc_id").alias("_key")).distinct(), "_key", "left_semi")
+def keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (a null one too) and text are those of a row (doc_id, text_hash) of ``rows``; of
+    rows equal in both one stays."""
+    key = F.coalesce("doc_id", F.lit(NO_ID)).alias("_key")
+    wanted = rows.select(key, F.col("text_hash").alias("_text")).distinct()
+    kept = docs.withColumns({"_key": key, "_text": F.xxhash64("text")}).join(wanted, ["_key", "_text"], "left_semi")
     same = Window.partitionBy("_key", "_text").orderBy("_key")
-    return kept.withColumn("_text", F.xxhash64("text")).withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_key", "_text", "_nth")
+    return kept.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_key", "_text", "_nth")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal but for white space, the longest, then the one of the smallest id."""
-    return keep(docs, exact.exact_dedup(docs).where("kept"))
+    return keep(docs, exact.exact_dedup(docs, text_hash=True).where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,10 +46,12 @@ def chunked(text: Column, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK
     return F.regexp_extract_all(text, F.lit(rule), F.lit(0))
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK) -> DataFrame:
-    """One row for each row of ``df``: ``id_col``, keep_id, group_size, kept, text_sha256, recipe (identifiers)."""
-    norm = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw")).select("id", F.length(F.coalesce("raw", F.lit(""))).alias("points"), normalised(F.col("raw")).alias("norm"))
-    cut = norm.select("id", "points", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"), chunked(F.col("norm"), min_chunk, max_chunk).alias("chunks"))
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK, text_hash: bool = False) -> DataFrame:
+    """One row for each row of ``df``: ``id_col``, keep_id, group_size, kept, text_sha256, recipe (identifiers);
+    on demand text_hash (XXH64 of the text by Spark)."""
+    own = ["hash"] if text_hash else []
+    norm = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw")).select("id", *[F.xxhash64("raw").alias(c) for c in own], F.length(F.coalesce("raw", F.lit(""))).alias("points"), normalised(F.col("raw")).alias("norm"))
+    cut = norm.select("id", *own, "points", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"), chunked(F.col("norm"), min_chunk, max_chunk).alias("chunks"))
 
     for attempt in range(4):
         # the first identifier is XXH64 of the chunk; had it clashed, the next are taken from the chunk's SHA-256
@@ -60,7 +62,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         dictionary = chunk.select(name(F.col("chunk")).alias("identifier"), "chunk").distinct()
         if dictionary.groupBy("identifier").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").isEmpty():
             break
-    rows = materialize(cut.select("id", "points", "sha", F.transform("chunks", lambda c: name(c)).alias("recipe"), F.monotonically_increasing_id().alias("nth")), "recipes")
+    rows = materialize(cut.select("id", *own, "points", "sha", F.transform("chunks", lambda c: name(c)).alias("recipe"), F.monotonically_increasing_id().alias("nth")), "recipes")
 
     best = F.min(F.struct((-F.col("points")).alias("shorter"), F.col("id").isNull().alias("no_id"), "id", "nth"))
     key = ["sha", "recipe_key"]
@@ -71,10 +73,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     hot = groups.where(F.col("group_size") * HOT_SHARE > total)
     cold = groups.where(F.col("group_size") * HOT_SHARE <= total)
     named = lambda g, x: g.select(*key, *[F.col(c).alias(f"{x}_{c}") for c in ("keep_id", "keep_nth", "group_size")])
-    joined = keyed.select("id", "nth", "recipe", *key).join(F.broadcast(named(hot, "hot")), key, "left")
+    joined = keyed.select("id", *own, "nth", "recipe", *key).join(F.broadcast(named(hot, "hot")), key, "left")
     spread = F.when(F.col("hot_group_size").isNotNull(), F.concat(F.lit("-"), F.col("nth"))).otherwise(F.col("sha"))
     joined = joined.withColumn("at", spread).join(named(cold, "cold").withColumnRenamed("sha", "at"), ["at", "recipe_key"], "left")
     size = F.coalesce("hot_group_size", "cold_group_size", F.lit(1)).cast("long")
     nth = F.coalesce("hot_keep_nth", "cold_keep_nth", "nth")
     keeper = F.when(F.col("hot_group_size").isNotNull(), F.col("hot_keep_id")).when(F.col("cold_group_size").isNotNull(), F.col("cold_keep_id")).otherwise(F.col("id"))
-    return joined.select(F.col("id").alias(id_col), keeper.alias("keep_id"), size.alias("group_size"), (nth == F.col("nth")).alias("kept"), F.col("sha").alias("text_sha256"), "recipe")
+    return joined.select(F.col("id").alias(id_col), keeper.alias("keep_id"), size.alias("group_size"), (nth == F.col("nth")).alias("kept"), F.col("sha").alias("text_sha256"), "recipe", *[F.col(c).alias("text_hash") for c in own])
