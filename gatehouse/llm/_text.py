@@ -11,8 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text worked on at once; a single longer text makes a chunk of its own.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text worked on at once; a single longer text makes a chunk of its own, and takes up to 100 times its bytes
+#: in its task while its words are hashed.
+CHUNK_BYTES = 1 << 19
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -34,7 +35,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BYTE_CODE[SPACE] = 0
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
+#: For a second hash of the same words, independent of the first.
+OTHER_CODE = mix(BYTE_CODE ^ np.uint64(0xA0761D6478BD642F))
+OTHER_CODE[SPACE] = 0
+BYTE_BASE, OTHER_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xE7037ED1A0B428DB | 1, 0xD1342543DE82EF95 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -98,13 +102,23 @@ class Words:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """One 64-bit hash for each word, over its bytes as they are."""
+    def take(self, good: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Words:
+        """The words of some of the texts, which ``data`` and ``offsets`` have."""
+        out, mine = object.__new__(Words), good[self.doc]
+        out.data, out.offsets, out.counts = data, offsets, self.counts[good]
+        out.first = np.concatenate([[0], np.cumsum(out.counts)])
+        out.doc = np.repeat(np.arange(len(out.counts)), out.counts)
+        shift = (offsets[:-1] - self.offsets[:-1][good])[out.doc]
+        out.starts, out.ends = self.starts[mine] + shift, self.ends[mine] + shift
+        return out
+
+    def hashes(self, other: bool = False) -> np.ndarray:
+        """One 64-bit hash for each word, over its bytes as they are; ``other`` gives an independent one."""
         if not len(self.starts):
             return np.empty(0, np.uint64)
-        up, down = powers(BYTE_BASE, len(self.data))
+        up, down = powers(OTHER_BASE if other else BYTE_BASE, len(self.data))
         with np.errstate(over="ignore"):
-            sums = np.add.reduceat(BYTE_CODE[self.data] * up, self.starts)
+            sums = np.add.reduceat((OTHER_CODE if other else BYTE_CODE)[self.data] * up, self.starts)
             return mix(sums * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
 

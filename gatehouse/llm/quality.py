@@ -1,13 +1,17 @@
 """Quality rules as a short-circuit cascade.
 
 Every rule has a verdict on the whole text.  On a bounded sample (``SAMPLE_ROWS`` rows, chosen by a hash of the id
-and the text) the time and the rejections of each rule are measured, and the rules run in the order of rejections per
-second: most documents that go are rejected by a cheap rule, and only the rest pay for the dear ones.  A document is
-kept if no rule rejects it, so the order, and with it the sample, changes the time and never the result.
-
-Rules see a batch of texts through ``Stats``, which computes each statistic once, on first use, and only for the
-texts still in play.  Nothing is shuffled.  Null texts have no words and are rejected by ``min_words``; the empty
-table gives an empty result; repeated rows are judged alike; extra columns pass through unread.
+and the text) the time of each rule, of each statistic that rules share, and the rejections of each rule are measured.
+The order is greedy: next comes the rule with the most rejections, among the sample's texts that are still in play, a
+second of what it adds, so a shared statistic is charged to the first rule that needs it.  Most documents that go are
+rejected by a cheap rule, and only the rest pay for the dear ones.  A document is kept if no rule rejects it, so the
+order, and with it the sample, changes the time and never the verdict.  ``failed_rule`` names the first rule in the
+order of this cascade; as the order rests on measured time, another cascade may name another rule that rejects.
+
+Rules see a batch of texts through ``Stats``, which computes each statistic once, on first use.  When rejected texts
+make up ``COMPACT`` of a batch they are taken out of it, and what has been computed for the others is kept.  Nothing is
+shuffled.  Null texts have no words and are rejected by ``min_words``; the empty table gives an empty result; repeated
+rows are judged alike; extra columns pass through unread.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from ._text import LEAD, SPACE, Words, chunks, mix, ngrams
 
 SAMPLE_ROWS = 512
+#: The share of a batch's texts that have to be rejected before the batch is made smaller.
+COMPACT = 0.125
 #: The characters counted as symbols.
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -42,12 +48,32 @@ def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+#: Statistics with one number for each text.
+PER_TEXT = {"n_words", "word_chars", "n_symbols", "n_upper", "n_letters", "n_lines", "n_dup_lines", "n_repeat_words"}
+
+
 class Stats:
     """Statistics of a batch of texts, each computed when first asked for."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
 
+    def take(self, good: np.ndarray) -> Stats:
+        """Those texts alone, with all that is known of them."""
+        size, have = np.diff(self.offsets), self.__dict__
+        out = Stats(self.data[np.repeat(good, size)], np.concatenate([[0], np.cumsum(size[good])]))
+        number = np.cumsum(good) - 1
+        if "words" in have:
+            out.words = self.words.take(good, out.data, out.offsets)
+        if "hashes" in have:
+            out.hashes = self.hashes[good[self.words.doc]]
+        if "_lines" in have:
+            hashes, text = self._lines
+            out._lines = hashes[good[text]], number[text[good[text]]]
+        for name in PER_TEXT & have.keys():
+            setattr(out, name, have[name][good])
+        return out
+
     @cached_property
     def words(self) -> Words:
         return Words(self.data, self.offsets)
@@ -130,19 +156,21 @@ class Stats:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` gives True for each text of a batch that has to go."""
+    """``rejects`` gives True for each text of a batch that has to go; ``needs`` are statistics that rules share, each
+    behind those that it needs itself."""
 
     name: str
     rejects: Callable[[Stats], np.ndarray]
+    needs: tuple[str, ...] = ()
 
 
 #: The base rules, then the others: shares of symbols, of repeated lines, word length and shouted text.
 RULES = (
-    Rule("min_words", lambda s: s.n_words < 50),
-    Rule("repeated_words", lambda s: 100 * s.n_repeat_words > 50 * s.n_words),
-    Rule("symbols", lambda s: 10 * s.n_symbols > s.n_words),
-    Rule("repeated_lines", lambda s: (s.n_dup_lines >= 3) & (10 * s.n_dup_lines > 3 * s.n_lines)),
-    Rule("word_length", lambda s: (s.word_chars < 2 * s.n_words) | (s.word_chars > 15 * s.n_words)),
+    Rule("min_words", lambda s: s.n_words < 50, ("words",)),
+    Rule("repeated_words", lambda s: 100 * s.n_repeat_words > 50 * s.n_words, ("words", "hashes")),
+    Rule("symbols", lambda s: 10 * s.n_symbols > s.n_words, ("words",)),
+    Rule("repeated_lines", lambda s: (s.n_dup_lines >= 3) & (10 * s.n_dup_lines > 3 * s.n_lines), ("words",)),
+    Rule("word_length", lambda s: (s.word_chars < 2 * s.n_words) | (s.word_chars > 15 * s.n_words), ("words",)),
     Rule("shouting", lambda s: 10 * s.n_upper > 6 * s.n_letters),
 )
 
@@ -154,65 +182,81 @@ class Cascade:
     rules: list[Rule]
     report: list[dict] = field(default_factory=list)
 
-    def rejected(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def rejected(self, stats: Stats, compact: float = COMPACT) -> np.ndarray:
         """For each text the number of the rule (in this order) that rejects it, -1 if none does."""
-        out, left = np.full(len(offsets) - 1, -1), np.arange(len(offsets) - 1)
-        stats = Stats(data, offsets)
+        out = np.full(stats.n, -1)
+        left = np.arange(stats.n)  # the texts of the batch as it is now
         for k, rule in enumerate(self.rules):
-            bad = rule.rejects(stats)
+            bad = rule.rejects(stats) & (out[left] < 0)
             out[left[bad]] = k
-            if bad.all():
+            good = out[left] < 0
+            if not good.any():
                 break
-            if 4 * bad.sum() > len(left):  # few enough are left for a smaller batch to pay
-                left, stats = left[~bad], self._kept(stats, ~bad)
-            elif bad.any():
-                stats = self._masked(stats, bad)
-                left = left[~bad]
+            if (~good).sum() > compact * len(left):
+                left, stats = left[good], stats.take(good)
         return out
 
-    @staticmethod
-    def _kept(stats: Stats, good: np.ndarray) -> Stats:
-        size = np.diff(stats.offsets)
-        return Stats(stats.data[np.repeat(good, size)], np.concatenate([[0], np.cumsum(size[good])]))
 
-    _masked = staticmethod(lambda stats, bad: Cascade._kept(stats, ~bad))
+def ordered(rules: tuple[Rule, ...], own: list[float], shared: dict[str, float], verdicts: list[int]) -> list[int]:
+    """The greedy order of ``rules``: ``own`` is each rule's time without shared statistics, ``shared`` the time of those,
+    ``verdicts`` has for each text of the sample the rules that reject it, as bits."""
+    left, paid, out = list(verdicts), set(), []
+
+    def rate(k: int) -> tuple[float, int]:
+        cost = own[k] + sum(shared.get(x, 0.0) for x in rules[k].needs if x not in paid)
+        return sum(v >> k & 1 for v in left) / max(cost, 1e-9), -k
+
+    while len(out) < len(rules):
+        k = max((k for k in range(len(rules)) if k not in out), key=rate)
+        out.append(k)
+        paid.update(rules[k].needs)
+        left = [v for v in left if not v >> k & 1]
+    return out
 
 
 def plan_cascade(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> Cascade:
-    """Measure ``rules`` on at most ``sample_rows`` rows and order them by rejections per second."""
+    """Measure ``rules`` on at most ``sample_rows`` rows and order them by rejections per second of what each adds."""
     hashed = df.select(F.col(text_col).alias("text"), F.xxhash64(id_col, F.length(F.col(text_col))).alias("h"))
     most = hashed.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]  # texts wait until the hashes are chosen
     picked = hashed.where(F.col("h") <= F.lit(most)).limit(sample_rows)
+    names = list(dict.fromkeys(x for rule in rules for x in rule.needs))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, gone, seen = [0.0] * len(rules), [0] * len(rules), 0
+        own, shared, verdicts = [0.0] * len(rules), [0.0] * len(names), []
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column("text")):
-                seen += len(offsets) - 1
+                stats, bits = Stats(data, offsets), np.zeros(len(offsets) - 1, np.int64)
+                for k, name in enumerate(names):
+                    began = time.perf_counter()
+                    getattr(stats, name)
+                    shared[k] += time.perf_counter() - began
                 for k, rule in enumerate(rules):
-                    stats, began = Stats(data, offsets), time.perf_counter()
-                    gone[k] += int(rule.rejects(stats).sum())
-                    spent[k] += time.perf_counter() - began
-        yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(rules)), pa.int32()), "spent": pa.array(spent, pa.float64()), "gone": pa.array(gone, pa.int64()), "seen": pa.array([seen] * len(rules), pa.int64())})
+                    began = time.perf_counter()
+                    bits |= rule.rejects(stats).astype(np.int64) << k
+                    own[k] += time.perf_counter() - began
+                verdicts += bits.tolist()
+        yield pa.RecordBatch.from_pydict({"own": pa.array([own], pa.list_(pa.float64())), "shared": pa.array([shared], pa.list_(pa.float64())), "verdicts": pa.array([verdicts], pa.list_(pa.int64()))})
 
-    told = picked.select("text").mapInArrow(measure, "k int, spent double, gone long, seen long").groupBy("k").agg(*[F.sum(c).alias(c) for c in ("spent", "gone", "seen")]).collect()
-    by = {r["k"]: r for r in told}
-    report = [{"rule": rule.name, "seconds": by[k]["spent"] if k in by else 0.0, "rejected": by[k]["gone"] if k in by else 0} for k, rule in enumerate(rules)]
-    order = sorted(range(len(rules)), key=lambda k: (-report[k]["rejected"] / max(report[k]["seconds"], 1e-9), k))
-    return Cascade([rules[k] for k in order], [report[k] for k in order])
+    told = picked.select("text").mapInArrow(measure, "own array<double>, shared array<double>, verdicts array<long>").collect()
+    own = [sum(r["own"][k] for r in told) for k in range(len(rules))]
+    shared = {x: sum(r["shared"][k] for r in told) for k, x in enumerate(names)}
+    verdicts = [v for r in told for v in r["verdicts"]]
+    order = ordered(rules, own, shared, verdicts)
+    report = [{"rule": rules[k].name, "seconds": own[k], "rejected": sum(v >> k & 1 for v in verdicts), "sampled": len(verdicts)} for k in order]
+    return Cascade([rules[k] for k in order], report)
 
 
 def judge(df: DataFrame, cascade: Cascade, id_col: str = "doc_id", text_col: str = "text", statistics: bool = False) -> DataFrame:
     """``id_col``, kept, failed_rule (the first of the cascade's order; null if kept); ``statistics`` adds all of
-    ``STATISTICS``, which every document then pays for."""
+    ``STATISTICS``, which every document then pays for: what the cascade has computed for them serves both."""
     names = [r.name for r in cascade.rules]
     extra = STATISTICS if statistics else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column("text")):
-                rule = cascade.rejected(data, offsets)
                 stats = Stats(data, offsets)
+                rule = cascade.rejected(stats, 1.0 if extra else COMPACT)
                 columns = [batch.column("id").slice(a, b - a), pa.array(rule < 0), pa.array([names[k] if k >= 0 else None for k in rule], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(getattr(stats, x).astype(np.int64)) for x in extra], ["id", "kept", "failed_rule", *extra])
 
@@ -227,7 +271,7 @@ def keep(df: DataFrame, cascade: Cascade, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(text_col)):
-                good = cascade.rejected(data, offsets) < 0
+                good = cascade.rejected(Stats(data, offsets)) < 0
                 if good.any():
                     yield batch.slice(a, b - a).filter(pa.array(good))
 

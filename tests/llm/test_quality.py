@@ -1,8 +1,11 @@
 import re
 
+import numpy as np
+import pyarrow as pa
 from common import frame, rows, words
 
 from gatehouse.llm import quality
+from gatehouse.llm._text import chunks
 
 
 def brute(text):
@@ -40,9 +43,31 @@ def test_order_of_rules_changes_no_verdict(spark):
 
 
 def test_cascade_puts_cheap_and_rejecting_rules_first(spark):
+    """A shared statistic is charged once, and only texts still in play count as rejections."""
+    rule = lambda name, *needs: quality.Rule(name, None, needs)
+    rules = (rule("a", "words"), rule("b"), rule("c", "words"), rule("d", "words", "hashes"))
+    verdicts = [0b0001] * 10 + [0b0101] * 10 + [0b0010] * 4 + [0b1000] * 3 + [0] * 20
+    # b: 4 in 1 s; a: 20 in 1 + 5 s; then c rejects nothing that a has left, d 3 in 9 s
+    assert quality.ordered(rules, [1, 1, 0.1, 1], {"words": 5, "hashes": 8}, verdicts) == [1, 0, 3, 2]
+    assert quality.ordered(rules, [1, 1, 0.1, 1], {"words": 0.5, "hashes": 8}, verdicts) == [2, 0, 1, 3]
     plan = quality.plan_cascade(frame(spark, CASES))
-    rate = [x["rejected"] / max(x["seconds"], 1e-9) for x in plan.report]
-    assert rate == sorted(rate, reverse=True)
+    assert sorted(x["rule"] for x in plan.report) == sorted(r.name for r in quality.RULES)
+    assert all(x["sampled"] == len(CASES) for x in plan.report)
+
+
+def test_a_smaller_batch_keeps_what_was_computed():
+    data, offsets = next((d, o) for _, _, d, o in chunks(pa.array([t for _, t in CASES])))
+    whole = quality.Stats(data, offsets)
+    good = np.arange(whole.n) % 3 != 1
+    for names in ((), ("hashes", "_lines", "n_words"), (*quality.PER_TEXT,)):
+        some = quality.Stats(data, offsets)
+        for name in names:
+            getattr(some, name)
+        part = some.take(good)
+        assert all((getattr(part, x) == getattr(whole, x)[good]).all() for x in quality.PER_TEXT)
+        assert (part.hashes == whole.hashes[good[whole.words.doc]]).all()
+        again = part.take(np.arange(part.n) % 2 == 0)
+        assert (again.n_repeat_words == whole.n_repeat_words[good][::2]).all()
 
 
 def test_empty(spark):
