@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,11 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_scopes: list[list[str]] = []
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lost executors only repeat the reading."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lost executors only repeat the reading.
+
+    The folder goes when it is released, when the ``scratch`` around it ends, or else with the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    fs, target = _file(spark, path)
+    fs.deleteOnExit(target)
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gatehouse_path = path
     return out
@@ -39,9 +57,32 @@ def release(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``df``, once nothing reads it any more."""
     path = getattr(df, "_gatehouse_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        fs, target = _file(df.sparkSession, path)
+        fs.delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, keep: int = 0) -> Iterator[None]:
+    """What is materialised inside is deleted at the end, but for the last ``keep`` tables."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        paths = _scopes.pop()
+        for path in paths[: len(paths) - keep]:
+            fs, target = _file(spark, path)
+            fs.delete(target, True)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with two more columns that name each row, file_hash (of the path) and file_row: a table read from Parquet
+    has them at hand and is not copied; any other is written first."""
+    names = [c for c in ("file_hash", "file_row") if c in df.columns]
+    if names:
+        raise ValueError(f"the columns {names} are taken")
+    with contextlib.suppress(AnalysisException):
+        return df.select("*", F.xxhash64("_metadata.file_path").alias("file_hash"), F.col("_metadata.row_index").alias("file_row"))
+    return numbered(materialize(df, "numbered"))
 
 
 def partitions(spark: SparkSession) -> int:
