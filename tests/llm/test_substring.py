@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from common import frame, prose, rows, words
@@ -7,6 +8,9 @@ from common import frame, prose, rows, words
 from gatehouse.llm import substring
 
 
+NONE = np.empty(0, np.uint64)
+
+
 def brute(data, window):
     """{(id, text): (n_words, kept words)}; rows repeated in full are one document."""
     out, seen = {}, set()
@@ -86,8 +90,8 @@ def test_a_document_that_a_third_of_all_rows_repeat(spark):
     for row in got:
         n, kept = want[row.doc_id, by[row.doc_id]]
         assert (row.n_words, row.n_removed, words(row.text)) == (n, n - len(kept), kept), row.doc_id
-    one = substring.block_rows(pa.RecordBatch.from_pydict({"id": pa.array([1]), "sub": pa.array([0], pa.int32()), "text": pa.array([data[7][1]])}), 20, 6)
-    many = substring.block_rows(pa.RecordBatch.from_pydict({"id": pa.array([1] * 9), "sub": pa.array([0] * 9, pa.int32()), "text": pa.array([data[7][1]] * 9)}), 20, 6)
+    one = substring.block_rows(pa.RecordBatch.from_pydict({"id": pa.array([1]), "sub": pa.array([0], pa.int32()), "text": pa.array([data[7][1]])}), 20, 6, NONE)
+    many = substring.block_rows(pa.RecordBatch.from_pydict({"id": pa.array([1] * 9), "sub": pa.array([0] * 9, pa.int32()), "text": pa.array([data[7][1]] * 9)}), 20, 6, NONE)
     assert one.num_rows == many.num_rows
 
 
