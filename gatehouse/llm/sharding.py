@@ -4,11 +4,15 @@ A record goes to the shard with the largest score -weight / ln(u), where u in (0
 key and the shard's name.  The winner depends on the key and the set of shards alone: another shard takes records
 only into itself, about its share of the weight, and a shard that goes gives away only its own.
 
-Everything is a map over single rows, in JVM expressions; ties go to the earlier shard.  Slots number a shard's
-records from 0 without gaps, in an order (bucket of the key's hash, key) that no single task has to sort: each shard
-is cut into ``BUCKETS`` pieces by hash, their counts (shards x BUCKETS rows, a fixed bound) give each piece its first
-slot by broadcast, and a window numbers the rows in each piece.  Repeated rows share a shard and take one slot each; a
-null key is hashed as a value of its own.  Null texts count as empty.  An empty table gives an empty result.
+Winners are a map over single rows, in JVM expressions; ties go to the earlier shard.  Slots number a shard's records
+from 0 without gaps, in an order (bucket, key) that no single task has to sort: rows are written once, as numbers; each
+shard is cut into buckets by a hash of the row's place in that table, so a key with a third of all rows spreads like
+any other; the buckets' counts give each its first slot by broadcast, and a window numbers the rows in each bucket.
+There are ``BUCKETS`` of them a shard or more, so that one holds about ``BUCKET_ROWS`` rows; their counts have one row
+for a million rows of the table (1.6 MB for 10**11).  A slot hangs on how the table was read, a shard on the key alone.
+
+Repeated rows share a shard and take one slot each; a null key is hashed as a value of its own.  Null texts count as
+empty.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 512
+from ._store import materialize
+
+BUCKETS, BUCKET_ROWS = 64, 1_000_000
 
 
 def rendezvous(key: Column, weights: list[float]) -> Column:
@@ -41,11 +47,14 @@ def shard(df: DataFrame, weights: list[float], key_col: str = "doc_id", text_col
         F.crc32(F.encode(text, "UTF-8")).alias("crc"),
         rendezvous(key, weights).alias("shard"),
         (rendezvous(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("\x00null")), F.lit("slot")), F.lit(BUCKETS)).cast("int").alias("bucket"),
+        F.monotonically_increasing_id().alias("place"),
     )
+    rows = materialize(rows, "sharded")
+    buckets = max(BUCKETS, rows.count() // (BUCKET_ROWS * len(weights)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)))
     pieces = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("shard", "bucket").orderBy("key", "crc", "size")
-    numbered = rows.withColumn("nth", F.row_number().over(within)).join(F.broadcast(pieces), ["shard", "bucket"])
-    return numbered.select(F.col("key").alias(key_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("before") + F.col("nth") - 1).alias("slot"), "grown_shard")
+    within = Window.partitionBy("shard", "bucket").orderBy("key", "place")
+    counted = rows.withColumn("nth", F.row_number().over(within)).join(F.broadcast(pieces), ["shard", "bucket"])
+    return counted.select(F.col("key").alias(key_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("before") + F.col("nth") - 1).alias("slot"), "grown_shard")
