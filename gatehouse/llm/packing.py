@@ -2,15 +2,18 @@
 
 A document's ids and an end id are cut into full windows, which are sequences as they are, and a remainder.  Each task
 keeps ``open_windows`` windows open and places a remainder best-fit: into the open window with the least space that
-holds it.  If none does, it opens a window, for which the fullest is emitted once the number is reached.  What is
-open at a task's end is left over.  Leftovers are merged in rounds: a round brings those of ``FAN`` tasks together and
+holds it.  If none does and no more may be opened, the fullest goes: the remainder is cut, its first ids fill that
+window to the brim, and the rest is placed in turn.  So windows that go are full, and only those that are open at a
+task's end are left over.  Leftovers are merged in rounds: a round brings those of ``FAN`` tasks together and
 places their pieces anew, the longest first, best-fit into up to FAN x ``open_windows`` windows; it keeps the
 ``open_windows`` emptiest for the next round, until one task has seen what is left.  A round moves a row of three
-numbers for each piece in a leftover window (at most ``open_windows`` windows a task), never ids.
+numbers for each piece in a leftover window (at most ``open_windows`` windows a task), never ids.  The last join gives
+pieces their new windows: while the moved pieces are few it is a broadcast, beyond that it shuffles the pieces, with
+their ids if these are asked for.
 
-Sequences are to be padded to ``length``.  The largest waste a sequence can have is bounded by the remainders that did
-not fit it.  Null texts count as empty and give the end id alone; repeated rows are packed one by one; a null id stays
-null; the empty table gives an empty result.  A lost task is run again on the same rows and gives the same windows.
+Sequences that are not full are to be padded to ``length`` or, if they are a power of two long, not at all.  Null texts
+count as empty and give the end id alone; repeated rows are packed one by one; a null id stays null; the empty table
+gives an empty result.  A lost task is run again on the same rows and gives the same windows.
 """
 
 from __future__ import annotations
@@ -51,6 +54,13 @@ class Space:
         insort(self.free, (self.length - size, number))
         return number, 0, gone
 
+    def fill(self, size: int) -> tuple[int, int, int] | None:
+        """(window, offset, ids that it takes) where a piece of this size fits nowhere and the fullest has to go."""
+        if len(self.free) < self.most or self.free[-1][0] >= size:
+            return None
+        free, window = self.free.pop(0)
+        return window, self.length - free, free
+
 
 def pack(df: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = LENGTH, open_windows: int = OPEN_WINDOWS, digest: tuple[str, str, Callable[[np.ndarray], object]] | None = None) -> DataFrame:
     """One row for each piece: ``id_col``, start and length (in the document's ids), ids (array<int>, the piece's),
@@ -76,10 +86,14 @@ def pack(df: DataFrame, path: str, pattern: str | None = None, id_col: str = "do
                         if len(piece) == length:
                             rows.append((a + k, start, length, value(piece), n, number, 0))
                             number += 1
-                        else:
-                            window, offset, _ = space.place(len(piece), number)
-                            number += window == number
-                            rows.append((a + k, start, len(piece), value(piece), n, window, offset))
+                            continue
+                        while cut := space.fill(len(piece)):
+                            window, offset, size = cut
+                            rows.append((a + k, start, size, value(piece[:size]), n, window, offset))
+                            start, piece = start + size, piece[size:]
+                        window, offset, _ = space.place(len(piece), number)
+                        number += window == number
+                        rows.append((a + k, start, len(piece), value(piece), n, window, offset))
                 at, *columns = zip(*rows, strict=True)
                 kinds = [pa.int64(), pa.int64(), arrow, pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names)
@@ -116,7 +130,7 @@ def pack(df: DataFrame, path: str, pattern: str | None = None, id_col: str = "do
     while not last:
         tasks, turn = -(-tasks // FAN), turn + 1
         last = tasks == 1
-        met = left.coalesce(1) if last else left.repartition(tasks, F.shiftright("window", 34) if turn == 1 else F.xxhash64("window"))
+        met = left.repartition(1) if last else left.repartition(tasks, F.shiftright("window", 34) if turn == 1 else F.xxhash64("window"))
         met = met.sortWithinPartitions(F.desc("length"), "window", "offset").mapInArrow(merge(turn, last), "window long, offset long, length long, host long, base long")
         met = materialize(met, "merged")
         moved = met.where("host IS NOT NULL").select("window", "offset", "host", "base")
