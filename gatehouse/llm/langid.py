@@ -6,9 +6,11 @@ normalised.  Each language has up to ``CLUSTERS`` centroids by spherical k-means
 centroid with the largest cosine, which is its score (0 to 1).  It is rejected (``lang`` is then ``und``) if it lies
 farther from that centroid than the ``REACH`` quantile of the training texts of the language, times ``SLACK``.
 
-The model is fitted on a bounded sample, chosen by a hash of the id: about ``TRAIN_PER_LANGUAGE`` texts a language,
-at most ``TRAIN_ROWS`` in all (by a hash of the text if the draw takes no row, as where all share an id).  Its vectors are made on the executors.  Prediction is a map over whole texts; nothing
-is shuffled, and the model (languages x CLUSTERS x DIMENSIONS floats) travels with the tasks.
+The model is fitted on a bounded sample, drawn by a hash of id and text: about ``TRAIN_PER_LANGUAGE`` texts a language
+and ``TRAIN_ROWS`` in all, of the ``TRAIN_ROWS`` / 2 most frequent languages; rows that repeat id, text and language
+count once.  The same rows give the same model, however they are dealt.  Its vectors are made on the executors.
+Prediction is a map over whole texts; nothing is shuffled, and the model (languages x CLUSTERS x DIMENSIONS floats)
+travels with the tasks.
 
 Null texts and texts without any letter are ``und`` with score 0, as is everything if no text was labelled.  Ties go
 to the language that sorts first.  Repeated rows are predicted alike; the empty table gives an empty result.
@@ -96,8 +98,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         return None
     each = max(2, min(per_language, most // len(sizes)))
     part = F.element_at(F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))]), F.col(lang_col))
-    draw = F.shiftrightunsigned(F.xxhash64(id_col), 11).cast("double") / float(1 << 53)
-    picked = rows.where(draw < part).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).limit(2 * most)
+    marked = rows.select(F.xxhash64(id_col, text_col).alias("mark"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), part.alias("part"))
+    draw = F.shiftrightunsigned("mark", 11).cast("double") / float(1 << 53)
+    picked = marked.where(draw < F.col("part")).select("mark", "text", "lang").dropDuplicates(["mark", "lang"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +111,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     def taken(sample: DataFrame) -> list[tuple[str, bytes]]:
         return sorted((r.lang, bytes(r.counts)) for r in sample.mapInArrow(vectors, "lang string, counts binary").toLocalIterator())
 
-    told = taken(picked) or taken(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).orderBy(F.xxhash64("text"), "lang").limit(most))
+    told = taken(picked) or taken(marked.select("mark", "text", "lang").dropDuplicates(["mark", "lang"]).orderBy("mark", "lang").limit(most))
     languages = sorted({x for x, _ in told})
     found = np.stack([np.frombuffer(x, "<u2") for _, x in told])
     number = np.array([languages.index(x) for x, _ in told])

@@ -9,7 +9,8 @@ the id.  The sample's ids and labels are broadcast (that bound), statistics are
 alone come to the driver.  Scoring is a map; nothing is shuffled.
 
 Null and empty texts have the statistics of an empty text and get a score.  A document whose labels disagree counts
-with their mean; null labels and ids are not learned from.  Without labels every score is 0.5, with one kind of label
+with their mean, one with several texts with the smallest statistics, so a fit can be repeated; null labels and ids
+are not learned from.  Without labels every score is 0.5, with one kind of label
 near it.  Repeated rows are scored alike; the empty table gives an empty result.
 """
 
@@ -130,7 +131,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("marked_id")).agg(F.avg(F.col(label_col).cast("double")).alias("marked_label"))
     picked = marked.orderBy(F.xxhash64("marked_id"), "marked_id").limit(most)
     rows = df.select(id_col, text_col).join(F.broadcast(picked), F.col(id_col) == F.col("marked_id"))
-    told = measured(rows, id_col, text_col, "marked_label").dropDuplicates(["id"]).toPandas().sort_values("id")
+    one = measured(rows, id_col, text_col, "marked_label").groupBy("id").agg(F.min(F.struct(*FEATURES, "label")).alias("x"))
+    told = one.select("id", "x.*").toPandas().sort_values("id")
     return grow(told[list(FEATURES)].to_numpy(), told["label"].to_numpy())
 
 
