@@ -8,14 +8,26 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact, langid, packing, quality, quality_model, sharding, simhash, substring
 
 #: Production parameters.
 SHARDS = 24
-TOOLS = {"search": {"query": ("string", True), "limit": ("integer", False)}, "calculate": {"expression": ("string", True)}}
+TOOLS = {
+    "search": {
+        "type": "object",
+        "required": ["query"],
+        "additionalProperties": False,
+        "properties": {
+            "query": {"type": "string"},
+            "limit": {"type": "integer", "minimum": 1, "maximum": 100},
+            "filters": {"type": "array", "items": {"type": "object", "required": ["field"], "properties": {"field": {"enum": ["lang", "source"]}}}},
+        },
+    },
+    "calculate": {"type": "object", "required": ["expression"], "properties": {"expression": {"type": "string"}}},
+}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +43,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3
     model = langid.fit(docs.where(F.coalesce(rest != 1, F.lit(False))))
     out = langid.identify(docs, model)
-    return out.select("doc_id", (rest == 1).alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
+    return out.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +73,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     rest = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4
     model = quality_model.fit(docs, labels.where(rest != 2))
-    return quality_model.classify(docs, model).select("doc_id", (rest == 2).alias("held_out"), "score", "predicted")
+    return quality_model.classify(docs, model).select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +93,39 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"))
 
 
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with calls and results, which these tables lack: every assistant's message gets one or two calls
+    by the remainder of 7 conv_id + turn modulo 8, and a third of the others a result that answers none.
+
+    0: the result stands a turn before the call; 1: no query, and two results; 2: a limit of a wrong type and a filter of a
+    wrong field; 3: an unknown parameter and a limit out of range; 4: two calls; 5: an unknown tool; 6: the identifier of
+    two turns before; 7: no result."""
+    v, turn = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(8)), F.col("turn").cast("string")
+    own = F.when(v == 6, F.concat(F.lit("c"), (F.col("turn") - 2).cast("string"))).otherwise(F.concat(F.lit("c"), turn))
+    spelt = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    arguments = (
+        F.when(v == 1, spelt('{"limit": 5}'))
+        .when(v == 2, spelt('{"query": "turn ', turn, '", "limit": "many", "filters": [{"field": "lang"}, {"field": "age"}]}'))
+        .when(v == 3, spelt('{"query": "turn ', turn, '", "limit": 500, "more": true}'))
+        .when(v == 4, spelt('{"expression": "', turn, ' + 1"}'))
+        .otherwise(spelt('{"query": "turn ', turn, '", "limit": 3}'))
+    )
+    call = lambda i, name, a: F.struct(i.alias("id"), name.alias("name"), a.alias("arguments"))
+    name = F.when(v == 4, "calculate").when(v == 5, "launch").otherwise("search")
+    second = call(F.concat(F.lit("d"), turn), F.lit("search"), spelt('{"query": "again"}'))
+    calls = F.when(v == 4, F.array(call(own, name, arguments), second)).otherwise(F.array(call(own, name, arguments)))
+    spoken = conversations.withColumn("text", F.when(F.col("role") == "assistant", F.to_json(F.struct(F.col("text").alias("content"), calls.alias("tool_calls")))).otherwise(F.col("text")))
+    result = lambda at, i, content: F.struct(at.alias("turn"), F.lit("tool").alias("role"), F.to_json(F.struct(content.alias("content"), i.alias("tool_call_id"))).alias("text"))
+    first = result(F.when(v == 0, F.col("turn") - 1).otherwise(F.col("turn")), own, spelt("result ", turn))
+    results = F.when(v == 7, F.array()).when(v == 1, F.array(first, result(F.col("turn") + 1, own, spelt("late ", turn)))).when(v == 4, F.array(first, result(F.col("turn"), F.concat(F.lit("d"), turn), spelt("found")))).otherwise(F.array(first))
+    lost = F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)) == 0, F.array(result(F.col("turn"), F.lit("lost"), spelt("nothing")))).otherwise(F.array())
+    more = conversations.select("conv_id", F.inline(F.when(F.col("role") == "assistant", results).otherwise(lost)))
+    return spoken.select("conv_id", "turn", "role", "text").unionByName(more)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link_tool_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"), TOOLS).drop("errors")
+    events = chat.link_tool_calls(tool_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet")), TOOLS)
+    return chat.in_order(events.withColumn("errors", F.array_join("errors", "; ")))
 
 
 QUERIES = {
@@ -137,9 +180,34 @@ ORACLE_SQL = {
               FROM x LEFT JOIN p ON x.doc_id = p.doc_id AND x.i = p.i GROUP BY x.doc_id)
         SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
         FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
-    # conversations whose messages carry no calls or results, as in these tables; the tests have the others
-    "op10_chat_formatting": """
-        SELECT conv_id, turn, turn AS at, 0 AS phase, 0 AS nth, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id,
-               'ok' AS status, '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json
-        FROM conversations""",
+    # the calls and results of tool_messages, made and linked as relations
+    "op10_chat_formatting": r"""
+        WITH m AS (SELECT conv_id, turn, role, text, (conv_id * 7 + turn) % 8 AS v FROM conversations),
+        a AS (SELECT * FROM m WHERE role = 'assistant'),
+        c AS (SELECT conv_id, turn, 0 AS nth, v, CASE WHEN v = 6 THEN 'c' || (turn - 2) ELSE 'c' || turn END AS id,
+                     CASE v WHEN 4 THEN 'calculate' WHEN 5 THEN 'launch' ELSE 'search' END AS name,
+                     CASE v WHEN 1 THEN '{"limit":5}' WHEN 2 THEN '{"filters":[{"field":"lang"},{"field":"age"}],"limit":"many","query":"turn ' || turn || '"}'
+                            WHEN 3 THEN '{"limit":500,"more":true,"query":"turn ' || turn || '"}' WHEN 4 THEN '{"expression":"' || turn || ' + 1"}'
+                            ELSE '{"limit":3,"query":"turn ' || turn || '"}' END AS arguments,
+                     CASE v WHEN 1 THEN 'query: missing' WHEN 2 THEN 'filters[1].field: not one of "lang", "source"; limit: not integer'
+                            WHEN 3 THEN 'limit: above 100; more: unknown' WHEN 5 THEN 'unknown tool: launch' ELSE '' END AS errors FROM a
+              UNION ALL SELECT conv_id, turn, 1, v, 'd' || turn, 'search', '{"query":"again"}', '' FROM a WHERE v = 4),
+        r AS (SELECT conv_id, CASE WHEN v = 0 THEN turn - 1 ELSE turn END AS turn, CASE WHEN v = 6 THEN 'c' || (turn - 2) ELSE 'c' || turn END AS id, 'result ' || turn AS content FROM a WHERE v <> 7
+              UNION ALL SELECT conv_id, turn + 1, 'c' || turn, 'late ' || turn FROM a WHERE v = 1
+              UNION ALL SELECT conv_id, turn, 'd' || turn, 'found' FROM a WHERE v = 4
+              UNION ALL SELECT conv_id, turn, 'lost', 'nothing' FROM m WHERE role <> 'assistant' AND (conv_id + turn) % 3 = 0),
+        fc AS (SELECT conv_id, id, min(turn * 2 + nth) AS place FROM c GROUP BY conv_id, id),
+        fr AS (SELECT conv_id, id, min((turn, content)) AS answer FROM r GROUP BY conv_id, id),
+        e AS (SELECT conv_id, turn, turn AS at, 0 AS phase, 0 AS nth, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, 'ok' AS status, '' AS errors,
+                     '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json
+              FROM m WHERE role IS DISTINCT FROM 'assistant' OR coalesce(text, '') <> ''
+              UNION ALL SELECT c.conv_id, turn, turn, 1, nth, 'assistant', 'call', c.id,
+                     CASE WHEN turn * 2 + nth <> place THEN 'repeated_id' WHEN errors <> '' THEN 'invalid' WHEN answer IS NULL THEN 'unanswered' ELSE 'ok' END, errors,
+                     '{"arguments":' || arguments || ',"id":"' || c.id || '","name":"' || name || '","role":"assistant"}'
+              FROM c JOIN fc ON c.conv_id = fc.conv_id AND c.id = fc.id LEFT JOIN fr ON c.conv_id = fr.conv_id AND c.id = fr.id
+              UNION ALL SELECT r.conv_id, turn, greatest(turn, place // 2), 2, coalesce(place % 2, 0), 'tool', 'result', r.id,
+                     CASE WHEN place IS NULL THEN 'orphan' WHEN (turn, content) <> answer THEN 'repeated_result' ELSE 'ok' END, '',
+                     '{"content":"' || content || '","id":"' || r.id || '","role":"tool"}'
+              FROM r LEFT JOIN fc ON r.conv_id = fc.conv_id AND r.id = fc.id JOIN fr ON r.conv_id = fr.conv_id AND r.id = fr.id)
+        SELECT conv_id, turn, at, CAST(phase AS INT) AS phase, CAST(nth AS INT) AS nth, role, kind, call_id, status, errors, json FROM e""",
 }

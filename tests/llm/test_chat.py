@@ -2,7 +2,18 @@ import json
 
 from gatehouse.llm import chat
 
-TOOLS = {"search": {"query": ("string", True), "limit": ("integer", False)}, "sum": {"values": ("array", True), "exact": ("boolean", False), "scale": ("number", False), "o'p": ("object", False)}}
+TOOLS = {
+    "search": {"type": "object", "required": ["query"], "additionalProperties": False, "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}},
+    "sum": {"type": "object", "required": ["values"], "properties": {"values": {"type": "array"}, "exact": {"type": "boolean"}, "scale": {"type": "number"}, "o'p": {"type": "object"}}},
+    "deep": {
+        "type": "object",
+        "properties": {
+            "mode": {"enum": ["fast", "slow", 3]},
+            "share": {"type": "number", "minimum": 0, "maximum": 1},
+            "list": {"type": "array", "minItems": 1, "maxItems": 3, "items": {"type": "object", "required": ["x"], "additionalProperties": False, "properties": {"x": {"type": "integer"}, "y": {"type": "array", "items": {"type": "string"}}}}},
+        },
+    },
+}
 
 
 def call(*calls, content=None):
@@ -45,7 +56,7 @@ def test_linking(spark):
     errors = {r.call_id: (r.status, r.errors) for r in got if r.conv_id == 3}
     assert errors["c"] == ("invalid", ["limit: not integer", "query: missing", "more: unknown"])
     assert errors["d"] == ("invalid", ["unknown tool: nothing"])
-    assert errors["e"] == ("invalid", ["arguments: not an object"])
+    assert errors["e"] == ("invalid", ["arguments: not object"])
     assert errors["f"] == ("invalid", ["values: not array"])
     assert errors["g"] == ("unanswered", [])
     assert by[4, 0, "message", None].json == '{"content":null,"role":"user"}'
@@ -58,5 +69,29 @@ def test_linking(spark):
     assert (5, 1) not in [(r.conv_id, r.turn) for r in got]
 
 
+def test_nested_schemas(spark):
+    good = {"mode": 3, "share": 0.5, "list": [{"x": 1}, {"x": 2, "y": []}]}
+    bad = {"mode": "quick", "share": 1.5, "list": [{"x": "1"}, {"y": ["a", 2], "z": None}, 5, {"x": 1}]}
+    rows = [(1, k, "assistant", call((f"i{k}", "deep", a))) for k, a in enumerate([good, bad, {"list": []}, {"share": None, "list": {}}])]
+    got = {r.call_id: r.errors for r in chat.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), TOOLS).collect()}
+    assert got["i0"] == []
+    assert got["i1"] == ["list: over 3 items", "list[0].x: not integer", "list[1].x: missing", "list[1].y[1]: not string", "list[1].z: unknown", "list[2]: not object", 'mode: not one of "fast", "slow", 3', "share: above 1"]
+    assert got["i2"] == ["list: under 1 items"]
+    assert got["i3"] == ["list: not array", "share: not number"]
+
+
+def test_a_second_result_is_told(spark):
+    rows = [(1, 0, "assistant", call(("a", "search", {"query": "q"})))] + [(1, t, "tool", json.dumps({"tool_call_id": "a", "content": c})) for t, c in ((3, "late"), (1, "b"), (1, "a"), (1, "a"))]
+    got = chat.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), TOOLS).collect()
+    assert sorted((r.turn, json.loads(r.json)["content"], r.status) for r in got if r.kind == "result") == [(1, "a", "ok"), (1, "a", "ok"), (1, "b", "repeated_result"), (3, "late", "repeated_result")]
+
+
+def test_conversations_in_order(spark):
+    df = spark.createDataFrame(ROWS * 3, "conv_id long, turn long, role string, text string").repartition(5)
+    got = [(r.conv_id, r.at, r.phase, r.nth) for r in chat.in_order(chat.link_tool_calls(df, TOOLS), tasks=4).collect()]
+    first = lambda x: [(y is not None, y or 0) for y in x]
+    assert got == sorted(got, key=first) and len({r[0] for r in got}) == 6
+
+
 def test_empty(spark):
     assert chat.link_tool_calls(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), TOOLS).collect() == []
