@@ -14,18 +14,19 @@ def contains_term(normal: Column, term: Column) -> Column:
     return F.coalesce((F.coalesce(term, F.lit("")) != "") & F.contains(normal, normalize_match_text(term)), F.lit(False))
 
 
-def scored(answer: Column, required: Column, forbidden: Column) -> dict[str, Column]:
-    """required_terms_recall, forbidden_violation and answer_pass: all of the groups, any term of a group, no
-    forbidden term.  Without groups the recall is 1.  The answer is normalised once, not once a term."""
+def with_score(df: DataFrame, answer: str, required: str, forbidden: str) -> DataFrame:
+    """Adds required_terms_recall, forbidden_violation and answer_pass: all of the groups, any term of a group, no
+    forbidden term.  Without groups the recall is 1.  What is found is a column of its own, which the three columns
+    read, so an answer is normalised and searched once."""
 
     def judged(normal: Column) -> Column:
-        hits = F.transform(required, lambda group: F.exists(group, lambda t: contains_term(normal, t)))
-        return F.struct(hits.alias("hits"), F.exists(forbidden, lambda t: contains_term(normal, t)).alias("bad"))
+        hits = F.transform(F.col(required), lambda group: F.exists(group, lambda t: contains_term(normal, t)))
+        return F.struct(hits.alias("hits"), F.exists(F.col(forbidden), lambda t: contains_term(normal, t)).alias("bad"))
 
-    found = F.get(F.transform(F.array(normalize_match_text(answer)), judged), F.lit(0))
-    hits = found["hits"]
+    found = df.withColumn("_found", F.get(F.transform(F.array(normalize_match_text(F.col(answer))), judged), F.lit(0)))
+    hits, bad = F.col("_found.hits"), F.col("_found.bad")
     recall = F.when(F.size(hits) > 0, F.size(F.filter(hits, lambda x: x)) / F.size(hits)).otherwise(1.0)
-    return {"required_terms_recall": F.round(recall, 6), "forbidden_violation": found["bad"], "answer_pass": (recall == 1.0) & ~found["bad"]}
+    return found.withColumns({"required_terms_recall": F.round(recall, 6), "forbidden_violation": bad, "answer_pass": (recall == 1.0) & ~bad}).drop("_found")
 
 
 def error_type(passed: Column, used_gold: Column, base_gold: Column, selected_gold: Column, same_cluster: Column, asr_known: Column, asr_cluster: Column) -> Column:

@@ -1,16 +1,25 @@
 """Paired bootstrap and multiplicity.
 
-A paired difference of hits takes three values, so its counts say all: a draw of n rows is a draw from the counts, and
-no table of rounds x rows is joined with the rows.  Draws come from a portable hash of (seed, round, place).
+A paired difference of hits takes three values, so its counts say all: a draw of n rows is a draw of counts.  Up to
+``PLACES`` rows the n places of a round are drawn one by one, from a portable hash of (seed, round, place / 4), the same
+in any engine.  Beyond that a round's counts are drawn at once, from their multinomial distribution with a generator
+seeded by (seed, n, block of rounds): as many numbers as there are rounds, whatever n is.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import order_statistic, portable_hash
 
+#: Rows up to which places are drawn one by one, and rounds drawn by a task at once.
+PLACES, BLOCK = 1024, 500
 #: The places of the 2.5 % and 97.5 % bounds among R sorted rounds; E interpolates.
 CONVENTIONS = {
     "A": (lambda r: max(0, int(0.025 * r) - 1), lambda r: min(r - 1, int(0.975 * r))),
@@ -36,20 +45,48 @@ def paired_counts(df: DataFrame, by: list[str], base: Column, new: Column) -> Da
 
 
 def draws(sizes: DataFrame, rounds: int, seed: int | str) -> DataFrame:
-    """(n, round, _at): the places drawn in each round.  They depend on n alone, so they are hashed once for all
-    comparisons of that size."""
-    each = sizes.where("n > 0").select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    places = each.select("n", "round", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("spot"))
-    at = F.pmod(portable_hash(seed, F.concat(F.col("round").cast("string"), F.lit(":"), F.col("spot").cast("string"))), F.col("n"))
-    return places.select("n", "round", at.alias("_at"))
+    """(n, round, _at): the places drawn in each round, for sizes up to ``PLACES``.  They depend on n alone, so they are
+    hashed once for all comparisons of that size."""
+    each = sizes.where(F.col("n").between(1, PLACES)).select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    # one MD5 of (seed, round, place / 4) has four places of 32 bits
+    groups = each.select("n", "round", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 4).cast("int"))).alias("group"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("round").cast("string"), F.lit(":"), F.col("group").cast("string")).cast("binary"))
+    spots = F.array(*[F.struct((F.col("group") * 4 + j).alias("spot"), F.conv(F.substring("digest", 1 + 8 * j, 8), 16, 10).cast("long").alias("drawn")) for j in range(4)])
+    places = groups.withColumn("digest", digest).select("n", "round", F.inline(spots)).where(F.col("spot") < F.col("n"))
+    return places.select("n", "round", F.pmod("drawn", F.col("n")).alias("_at"))
+
+
+def multinomial(kinds: DataFrame, by: list[str], rounds: int, seed: int | str) -> DataFrame:
+    """(by, n, round, sums): the sums of a round's values, for sizes beyond ``PLACES``.  ``kinds`` has (by, n, k: how many rows
+    are of each kind, v: each kind's values); rows of one kind are interchangeable, so a round is a draw of counts."""
+    start = int.from_bytes(hashlib.md5(str(seed).encode()).digest()[:4], "big")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                k, v = np.asarray(row["k"], float), np.stack([np.asarray(x, float) for x in row["v"]])
+                first = BLOCK * row["block"]
+                many = np.random.default_rng([start, row["n"], row["block"]]).multinomial(row["n"], k / k.sum(), size=min(BLOCK, rounds - first))
+                sums = many @ v
+                out = pd.DataFrame({c: [row[c]] * len(sums) for c in by})
+                out["n"], out["round"], out["sums"] = row["n"], np.arange(first, first + len(sums), dtype=np.int32), list(sums)
+                yield out
+
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // BLOCK) - 1))).alias("block")
+    rows = kinds.where(F.col("n") > PLACES).select(*by, F.col("n").cast("long").alias("n"), "k", F.col("v").cast("array<array<double>>").alias("v"), blocks)
+    schema = "".join(f"`{c}` {kinds.schema[c].dataType.simpleString()}, " for c in by) + "n long, round int, sums array<double>"
+    return rows.mapInPandas(run, schema)
 
 
 def drawn(counts: DataFrame, by: list[str], rounds: int, seed: int | str) -> DataFrame:
     """(by, round, value): the mean difference of each round; a place below ``fixes`` is +1, below fixes and
     regressions -1, else 0."""
-    drawn = draws(counts, rounds, seed).join(F.broadcast(counts.select(*by, "n", "fixes", "regressions")), "n")  # a row a comparison
+    small = draws(counts, rounds, seed).join(F.broadcast(counts.select(*by, "n", "fixes", "regressions")), "n")  # a row a comparison
     value = F.when(F.col("_at") < F.col("fixes"), 1).when(F.col("_at") < F.col("fixes") + F.col("regressions"), -1).otherwise(0)
-    return drawn.groupBy(*by, "round", "n").agg(F.sum(value).alias("s")).select(*by, "round", (F.col("s") / F.col("n")).alias("value"))
+    small = small.groupBy(*by, "round", "n").agg(F.sum(value).alias("s")).select(*by, "round", (F.col("s") / F.col("n")).alias("value"))
+    kinds = counts.select(*by, "n", F.array("fixes", "regressions", F.col("n") - F.col("fixes") - F.col("regressions")).alias("k"), F.expr("array(array(1.0), array(-1.0), array(0.0))").alias("v"))
+    large = multinomial(kinds, by, rounds, seed).select(*by, "round", (F.get("sums", F.lit(0)) / F.col("n")).alias("value"))
+    return small.unionByName(large)
 
 
 def paired_bootstrap(counts: DataFrame, by: list[str], rounds: int, seed: int | str, convention: str) -> DataFrame:
@@ -74,9 +111,14 @@ def paired_ranks(df: DataFrame, by: list[str], base: str, new: str, rounds: int,
     mrr = (1.0 / F.col("b") - 1.0 / F.col("a")).alias("mrr")
     upto = F.sum("k").over(Window.partitionBy(*by).orderBy("a", "b")).alias("upto")
     stretch = pairs.select(*by, "k", upto, hit, mrr)
-    whole = stretch.groupBy(*by).agg(F.sum("k").alias("n"), F.round(F.sum(F.col("k") * F.col("hit")) / F.sum("k"), 6).alias("hit_delta"), F.round(F.sum(F.col("k") * F.col("mrr")) / F.sum("k"), 6).alias("mrr_delta"), F.array_sort(F.collect_list(F.struct("upto", "hit", "mrr"))).alias("s"))
-    got = draws(whole, rounds, seed).join(F.broadcast(whole), "n").select(*by, "n", "round", F.get(F.filter("s", lambda x: x["upto"] > F.col("_at")), F.lit(0)).alias("x"))
-    boots = got.groupBy(*by, "n", "round").agg((F.sum("x.hit") / F.col("n")).alias("h"), F.round(F.sum("x.mrr") / F.col("n"), 9).alias("m"))
+    kinds = F.array_sort(F.collect_list(F.struct("upto", "hit", "mrr", "k"))).alias("s")
+    whole = stretch.groupBy(*by).agg(F.sum("k").alias("n"), F.round(F.sum(F.col("k") * F.col("hit")) / F.sum("k"), 6).alias("hit_delta"), F.round(F.sum(F.col("k") * F.col("mrr")) / F.sum("k"), 6).alias("mrr_delta"), kinds)
+    kind = whole.where(F.col("n") <= PLACES).select(*by, "n", F.inline("s"))
+    spots = kind.select(*by, "n", "hit", "mrr", F.explode(F.sequence(F.col("upto") - F.col("k"), F.col("upto") - 1)).alias("_at"))  # up to PLACES rows a comparison
+    got = draws(whole, rounds, seed).join(F.broadcast(spots), ["n", "_at"])
+    boots = got.groupBy(*by, "n", "round").agg((F.sum("hit") / F.col("n")).alias("h"), F.round(F.sum("mrr") / F.col("n"), 9).alias("m"))
+    many = multinomial(whole.select(*by, "n", F.transform("s", lambda x: x["k"]).alias("k"), F.transform("s", lambda x: F.array(x["hit"].cast("double"), x["mrr"])).alias("v")), by, rounds, seed)
+    boots = boots.unionByName(many.select(*by, "n", "round", (F.get("sums", F.lit(0)) / F.col("n")).alias("h"), F.round(F.get("sums", F.lit(1)) / F.col("n"), 9).alias("m")))
     ends = boots.groupBy(*by).agg(F.collect_list("h").alias("h"), F.collect_list("m").alias("m"))
     limits = [F.round(v, 6).alias(f"{name}_{side}") for name, c in (("hit", "h"), ("mrr", "m")) for side, v in zip(("low", "high"), bounds(F.col(c), rounds, "C"), strict=True)]
     return whole.drop("s").join(ends.select(*by, *limits), by)
@@ -86,13 +128,20 @@ def cluster_bootstrap(df: DataFrame, group: str, delta: str, rounds: int, seed:
     """(n, groups, delta, ci_low, ci_high): whole groups are drawn, with all their members, and pooled; E bounds.
     Groups are summed first, so a draw moves two numbers a group."""
     sums = df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.sum(delta).alias("s"))
-    listed = sums.agg(F.array_sort(F.collect_list(F.struct("g", "n", "s"))).alias("a"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    total = sums.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    few = sums.join(F.broadcast(total.select("groups"))).where(F.col("groups") <= PLACES)
+    listed = few.groupBy("groups").agg(F.array_sort(F.collect_list(F.struct("g", "n", "s"))).alias("a"))
     size = F.size("a")
-    rows = listed.select("a", "n", "s", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    rows = listed.select("groups", "a", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
     picked = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get(F.col("a"), F.pmod(portable_hash(seed, F.concat(F.col("round").cast("string"), F.lit(":"), i.cast("string"))), size).cast("int")))
-    total = F.aggregate(picked, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s")), lambda acc, x: F.struct((acc["n"] + x["n"]).alias("n"), (acc["s"] + x["s"]).alias("s")))
-    boots = rows.select(size.alias("groups"), "n", "s", total.alias("t"))
-    out = boots.groupBy("groups", "n", "s").agg(F.percentile(F.col("t.s") / F.col("t.n"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    pooled = F.aggregate(picked, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s")), lambda acc, x: F.struct((acc["n"] + x["n"]).alias("n"), (acc["s"] + x["s"]).alias("s")))
+    boots = rows.select(pooled.alias("t")).select((F.col("t.s") / F.col("t.n")).alias("value"))
+    # many groups: those of one size and sum are of one kind
+    kinds = sums.groupBy("n", "s").agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k").alias("n"), F.collect_list(F.struct("k", F.array("s", F.col("n").cast("double")).alias("v"))).alias("x"))
+    kinds = kinds.select("n", F.transform("x", lambda x: x["k"]).alias("k"), F.transform("x", lambda x: x["v"]).alias("v"))
+    boots = boots.unionByName(multinomial(kinds, [], rounds, seed).select((F.get("sums", F.lit(0)) / F.get("sums", F.lit(1))).alias("value")))
+    q = boots.agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    out = total.join(q)  # one row each
     return out.select("n", F.col("groups").cast("long").alias("groups"), F.round(F.col("s") / F.col("n"), 6).alias("delta"), F.round(F.col("q")[0], 6).alias("ci_low"), F.round(F.col("q")[1], 6).alias("ci_high"))
 
 

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of the stated side that travel with a task at once (at 2,048 doubles each, 64 MB).
-BLOCK = 4096
+#: Vectors of the stated side that travel with a task at once (at 2,048 doubles each, 64 MB), and of the other side in a
+#: cell of the grid.
+BLOCK, CELL = 4096, 32768
 ROUND = 6
 
 
@@ -48,60 +49,106 @@ def bank(df: DataFrame, label_col: str = "label", vector_col: str = "embedding")
     return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("vector"))
 
 
-def score_bank(df: DataFrame, labels: DataFrame, keep: list[str], vector_col: str = "embedding", dims: slice = slice(None), most_labels: int = BLOCK) -> DataFrame:
-    """(``keep``, cand, score): the cosine of every row with every label of a bank of at most ``most_labels``."""
+def bank_vectors(labels: DataFrame, most_labels: int = BLOCK) -> tuple[list, np.ndarray]:
+    """The labels in order and their vectors; a bank is bounded."""
     found = list(blocks(labels, "label", "vector", most_labels + 1))
     if found and len(found[0][0]) > most_labels:
         raise ValueError(f"the bank has more than {most_labels} labels")
-    names, vectors = found[0] if found else ([], np.zeros((0, 1)))
-    vectors = normalised(vectors[:, dims])
-    kind = labels.schema["label"].dataType
+    return found[0] if found else ([], np.zeros((0, 1)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not names:
-                continue
-            score = np.round(normalised(matrix(batch.column("__v"), dims)) @ vectors.T, ROUND)
-            at = pa.array(np.repeat(np.arange(batch.num_rows), len(names)))
-            cands = pa.array(names * batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in keep], cands.cast(batch.schema.field(keep[0]).type) if False else cands, pa.array(score.ravel())], [*keep, "cand", "score"])
 
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"cand {'long' if kind.simpleString() in ('int', 'bigint') else kind.simpleString()}", "score double"])
-    return df.where(F.col(vector_col).isNotNull()).select(*keep, F.col(vector_col).alias("__v")).mapInArrow(run, schema)
+def rank_views(df: DataFrame, labels: DataFrame, keep: list[str], views: dict[str, slice], constant: int = 60, vector_col: str = "embedding", most_labels: int = BLOCK) -> DataFrame:
+    """(``keep``, cand, s_<view>, r_<view> for each of ``views``, r_rrf): every row against every label of a bank, by the
+    dimensions of each view, with its ranks (ties by label) and the fused rank (ties by the first view's).  All of a row's
+    labels are ranked where the row is, so nothing is shuffled."""
+    names, vectors = bank_vectors(labels, most_labels)
+    sides = {v: normalised(vectors[:, dims]) for v, dims in views.items()}
+    kind = labels.schema["label"].dataType.simpleString()
+
+    def places(order: np.ndarray) -> np.ndarray:
+        out = np.empty_like(order)
+        np.put_along_axis(out, order, np.broadcast_to(np.arange(1, order.shape[1] + 1), order.shape), axis=1)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 20) // max(1, len(names)))
+        for whole in batches:
+            for first in range(0, whole.num_rows if names else 0, step):
+                batch = whole.slice(first, step)
+                x = matrix(batch.column("__v"))
+                scores = {v: np.round(normalised(x[:, dims]) @ sides[v].T, ROUND) for v, dims in views.items()}
+                ranks = {v: places(np.argsort(-s, axis=1, kind="stable")) for v, s in scores.items()}
+                fused = np.round(sum(1.0 / (constant + r) for r in ranks.values()), 12)
+                rrf = places(np.lexsort((next(iter(ranks.values())), -fused), axis=1))
+                at = pa.array(np.repeat(np.arange(batch.num_rows), len(names)))
+                columns = [*[batch.column(c).take(at) for c in keep], pa.array(names * batch.num_rows)]
+                columns += [pa.array(m[v].ravel()) for v in views for m in (scores, ranks)] + [pa.array(rrf.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, "cand", *[f"{x}_{v}" for v in views for x in "sr"], "r_rrf"])
+
+    schema = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"cand {'long' if kind in ('int', 'bigint') else kind}"]
+    schema += [f"s_{v} double, r_{v} long" for v in views] + ["r_rrf long"]
+    return df.where(F.col(vector_col).isNotNull()).select(*keep, F.col(vector_col).alias("__v")).mapInArrow(run, ", ".join(schema))
+
+
+class Best:
+    """The ``k`` best candidates of some queries, from candidates in any order; ties by id."""
+
+    def __init__(self, own: np.ndarray, unit: np.ndarray, k: int, skip_self: bool) -> None:
+        self.own, self.unit, self.k, self.skip_self = own, unit, k, skip_self
+        self.score, self.names = np.empty((len(own), 0)), np.empty((len(own), 0), np.int64)
+
+    def add(self, cand: np.ndarray, unit: np.ndarray) -> None:
+        score = np.round(self.unit @ unit.T, ROUND)
+        if self.skip_self:
+            score[self.own[:, None] == cand[None, :]] = -np.inf
+        score, names = np.hstack([self.score, score]), np.hstack([self.names, np.broadcast_to(cand, (len(self.own), len(cand)))])
+        order = np.lexsort((names, -score), axis=1)[:, : self.k]
+        self.score, self.names = np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        good = np.isfinite(self.score.ravel())
+        query = np.repeat(self.own, self.score.shape[1])
+        return pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (query, self.names.ravel(), self.score.ravel())], ["query", "cand", "score"])
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", skip_self: bool = True, dims: slice = slice(None)) -> DataFrame:
     """(query, cand, score, rank): the k most similar candidates of each query, by cosine, ties by id.
 
-    Queries go in blocks; each block is one pass over the candidates, whose tasks send on k rows a query.
-    """
-    out = None
-    for ids, vectors in blocks(queries, id_col, vector_col, BLOCK):
-        unit, own = normalised(vectors[:, dims]), np.array(ids)
-
-        def run(batches: Iterator[pa.RecordBatch], unit: np.ndarray = unit, own: np.ndarray = own) -> Iterator[pa.RecordBatch]:
-            best: tuple | None = None
+    Up to ``BLOCK`` queries travel with the tasks of one pass over the candidates.  More are cut into blocks, as are the
+    candidates, and every pair of blocks meets in a cell on an executor.  Either way k rows a query and task go on."""
+    side = lambda df: df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v"))
+    asked, others, schema, step = side(queries), side(candidates), "query long, cand long, score double", 2048
+    count = asked.count()
+    if count <= BLOCK:
+        found = list(blocks(asked, "i", "v", BLOCK))
+        own, vectors = (np.array(found[0][0]), found[0][1]) if found else (np.empty(0, np.int64), np.zeros((0, 1)))
+        unit = normalised(vectors[:, dims])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(own, unit, k, skip_self)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                cand = batch.column("c").to_numpy()
-                score = np.round(unit @ normalised(matrix(batch.column("v"), dims)).T, ROUND)
-                if skip_self:
-                    score[own[:, None] == cand[None, :]] = -np.inf
-                names = np.broadcast_to(cand, score.shape)
-                if best is not None:
-                    score, names = np.hstack([best[0], score]), np.hstack([best[1], names])
-                order = np.lexsort((names, -score), axis=1)[:, :k]
-                best = (np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1))
-            if best is not None:
-                q = np.repeat(own, best[0].shape[1])
-                good = np.isfinite(best[0].ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(q[good]), pa.array(best[1].ravel()[good]), pa.array(best[0].ravel()[good])], ["query", "cand", "score"])
-
-        part = candidates.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("c"), F.col(vector_col).alias("v")).mapInArrow(run, "query long, cand long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = candidates.sparkSession.createDataFrame([], "query long, cand long, score double")
+                for first in range(0, batch.num_rows if len(own) else 0, step):
+                    part = batch.slice(first, step)
+                    best.add(part.column("i").to_numpy(), normalised(matrix(part.column("v"), dims)))
+            yield best.rows()
+
+        out = others.mapInArrow(run, schema)
+    else:
+        rows, columns = -(-count // BLOCK), -(-others.count() // CELL)
+        block = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
+        a = asked.withColumns({"row": block(rows), "column": every(columns)})
+        b = others.withColumns({"column": block(max(1, columns)), "row": every(rows)})
+
+        def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+            data = lambda t: (t.column("i").to_numpy(), normalised(matrix(t.column("v").combine_chunks(), dims)))
+            best = Best(*data(left), k, skip_self)
+            cand, unit = data(right)
+            for first in range(0, len(cand) if len(best.own) else 0, step):
+                best.add(cand[first : first + step], unit[first : first + step])
+            return pa.Table.from_batches([best.rows()])
+
+        out = a.groupBy("row", "column").cogroup(b.groupBy("row", "column")).applyInArrow(cell, schema)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "cand")
     return out.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 

@@ -1,6 +1,7 @@
 """The catalogue: named queries over the driver's tables, each with its DuckDB twin where SQL can express it."""
 
-from . import evaluation, plans_reports, ranking, rag_memory, text
+from . import evaluation, fitting, manifests, memory, plans_reports, probing, rag_memory, ranking, records, summaries, text
 
-QUERIES = evaluation.QUERIES | ranking.QUERIES | text.QUERIES | rag_memory.QUERIES | plans_reports.QUERIES
-ORACLE_SQL = evaluation.ORACLE_SQL | ranking.ORACLE_SQL | text.ORACLE_SQL | rag_memory.ORACLE_SQL | plans_reports.ORACLE_SQL
+MODULES = (evaluation, ranking, text, rag_memory, plans_reports, records, manifests, memory, fitting, summaries, probing)
+QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}

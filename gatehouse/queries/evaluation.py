@@ -10,14 +10,19 @@ from ..views import HYBRID_SQL, RUNS_SQL, hybrid, runs
 from .registry import hash_sql, registry
 
 QUERIES, ORACLE_SQL, query = registry()
-ROUNDS, SEED = 200, 42
+ROUNDS, SEED = 1000, 42
+
+
+def spot_sql(seed: str, place: str) -> str:
+    """What is drawn for a place: 32 of the 128 bits of the MD5 of 'seed:round:place / 4'."""
+    return f"CAST('0x' || substr(md5({seed} || ':' || CAST(round AS VARCHAR) || ':' || CAST({place} // 4 AS VARCHAR)), CAST(1 + 8 * ({place} % 4) AS INT), 8) AS BIGINT)"
 
 
 def boot_sql(counts: str, by: str, rounds: int = ROUNDS, seed: str = f"'{SEED}'") -> str:
     """CTEs pl and boots: the draws of ``counts`` (by, n, fixes, regressions)."""
     return f"""
 pl AS (SELECT {by}, n, fixes, regressions, r.round, unnest(range(n)) AS pos FROM {counts}, range({rounds}) AS r(round) WHERE n > 0),
-dw AS (SELECT *, {hash_sql(seed, "CAST(round AS VARCHAR) || ':' || CAST(pos AS VARCHAR)")} % n AS spot FROM pl),
+dw AS (SELECT *, {spot_sql(seed, "pos")} % n AS spot FROM pl),
 boots AS (SELECT {by}, round, sum(CASE WHEN spot < fixes THEN 1 WHEN spot < fixes + regressions THEN -1 ELSE 0 END) / CAST(any_value(n) AS DOUBLE) AS value FROM dw GROUP BY {by}, round)"""
 
 
@@ -95,7 +100,7 @@ _LOW, _HIGH = (f(ROUNDS) + 1 for f in resample.CONVENTIONS["C"])
 
 
 @query(f"""WITH {RUNS_SQL}, r AS (SELECT *, CAST(hit AS INT) - CAST(base_hit AS INT) AS hd, 1e0 / rank - 1e0 / asr_rank AS md, row_number() OVER (PARTITION BY candidate ORDER BY asr_rank, rank, sample_id) - 1 AS place, count(*) OVER (PARTITION BY candidate) AS size FROM runs),
-d AS (SELECT candidate, size, t.round, {hash_sql(f"'{SEED}'", "CAST(t.round AS VARCHAR) || ':' || CAST(place AS VARCHAR)")} % size AS spot FROM r, range({ROUNDS}) AS t(round)),
+d AS (SELECT candidate, size, t.round, {spot_sql(f"'{SEED}'", "place")} % size AS spot FROM r, range({ROUNDS}) AS t(round)),
 b AS (SELECT d.candidate, d.round, sum(hd) / CAST(any_value(d.size) AS DOUBLE) AS h, round(sum(md) / any_value(d.size), 9) AS m FROM d JOIN r ON r.candidate = d.candidate AND r.place = d.spot GROUP BY 1, 2),
 c AS (SELECT candidate, round(list_sort(list(h))[{_LOW}], 6) AS hit_low, round(list_sort(list(h))[{_HIGH}], 6) AS hit_high, round(list_sort(list(m))[{_LOW}], 6) AS mrr_low, round(list_sort(list(m))[{_HIGH}], 6) AS mrr_high FROM b GROUP BY 1)
 SELECT r.candidate, count(*) AS n, round(avg(hd), 6) AS hit_delta, round(avg(md), 6) AS mrr_delta, any_value(hit_low) AS hit_low, any_value(hit_high) AS hit_high, any_value(mrr_low) AS mrr_low, any_value(mrr_high) AS mrr_high FROM r JOIN c ON r.candidate = c.candidate GROUP BY r.candidate""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics, selection
-from ..plans import instructions, steps
+from ..plans import commands, instructions, steps
 from ..streaming import resume
 from ..views import HYBRID_SQL, RUNS_SQL, hybrid, runs, table
 from .registry import registry
@@ -15,22 +15,85 @@ QUERIES, ORACLE_SQL, query = registry()
 ARMS = instructions.task_arms("rag")
 
 
-@query("""SELECT * FROM (VALUES """ + ", ".join("('" + a.replace("'", "''") + "', '" + t.replace("'", "''") + "')" for a, t in sorted(instructions.all_arms().items())) + ") AS v(arm, instruction)")
+@query("""SELECT * FROM (VALUES ('arms', 18, 17), ('rag', 7, 6), ('tool', 7, 6), ('asr_like', 7, 6), ('dialect', 4, 3), ('translation', 6, 5)) AS v(task, arms, told)""")
 def instruction_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return instructions.arms_table(spark)
+    """How many arms there are, and each task has; one of them says nothing."""
+    tasks = {"arms": list(instructions.all_arms().items())} | {t: instructions.task_arms(t) for t in instructions.TASK_ARMS}
+    rows = spark.createDataFrame([(t, a, said) for t, arms in tasks.items() for a, said in arms], "task string, arm string, said string")
+    return rows.groupBy("task").agg(F.count_distinct("arm").cast("int").alias("arms"), F.count_if(F.col("said") != "").cast("int").alias("told"))
 
 
-@query("SELECT arm, CAST(i AS INT) AS step_index, step FROM (VALUES " + ", ".join(f"('{a}')" for a, _ in ARMS) + ") AS a(arm), (VALUES (1, 'cache_text'), (2, 'cache_omni_audio'), (3, 'evaluate_hybrid_from_cache')) AS s(i, step)")
+@query("""SELECT * FROM (VALUES ('constructed_asr_transcript', 'Represent the spoken audio for transcript-level ASR semantic matching. Match it to the literal transcript candidate. Treat candidates as equivalent only when they express same spoken content, not merely same topic.'),
+('constructed_rag_grounding', 'Represent the spoken audio for spoken question evidence retrieval. Match it to the passage or rule that directly supports the answer. Treat candidates as equivalent only when they express grounded answer support rather than surface lexical overlap.'),
+('constructed_tool_intent', 'Represent the spoken audio for spoken command tool selection. Match it to the most specific executable tool or intent schema. Treat candidates as equivalent only when they express same user action and operational intent.'),
+('constructed_translation', 'Represent the spoken audio for cross-lingual speech translation matching. Match it to the equivalent target-language translation candidate. Treat candidates as equivalent only when they express same cross-lingual meaning.')) AS v(arm, opening)""")
+def constructed_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the texts begin that are built from cards."""
+    end = F.instr("instruction", " Pay special attention")
+    rows = instructions.arms_table(spark).where("startswith(arm, 'constructed_')")
+    return rows.select("arm", F.left("instruction", end - 1).alias("opening"))
+
+
+PLANS_SQL = """a AS (SELECT 'rag' AS task, unnest(['raw', 'exact_condition_matching', 'policy_grounding', 'v2_qa_answer_boundary', 'constructed_rag_grounding', 'negation_exception_sensitive', 'dialect_robust_semantic']) AS arm
+  UNION ALL SELECT 'tool', unnest(['raw', 'tool_specific_intent', 'v2_tool_action_boundary', 'constructed_tool_intent', 'exact_condition_matching', 'negation_exception_sensitive', 'dialect_robust_semantic'])
+  UNION ALL SELECT 'asr_like', unnest(['raw', 'transcript_like', 'v2_asr_literal_boundary', 'constructed_asr_transcript', 'semantic_qa', 'dialect_robust_semantic', 'exact_condition_matching'])
+  UNION ALL SELECT 'translation', unnest(['raw', 'translation_semantic', 'v2_translation_argument_boundary', 'constructed_translation', 'semantic_qa', 'transcript_like'])),
+s AS (SELECT 'rag' AS task, unnest([1, 2, 3]) AS i, unnest(['cache_text', 'cache_omni_audio', 'evaluate_hybrid_from_cache']) AS step UNION ALL SELECT 'tool', 1, 'evaluate_tool_omni_audio' UNION ALL SELECT 'asr_like', 1, 'evaluate_asr_like_omni_selection' UNION ALL SELECT 'translation', 1, 'evaluate_translation_omni_selection'),
+p AS (SELECT a.task, arm, i, step FROM a JOIN s ON a.task = s.task)"""
+
+
+def plans(spark: SparkSession) -> DataFrame:
+    parts = [steps.flatten(steps.build_plan(spark, t, "manifest.jsonl", "Driver docs")).withColumn("task", F.lit(t)) for t in ("rag", "tool", "asr_like", "translation")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(f"WITH {PLANS_SQL} SELECT task, arm, CAST(i AS INT) AS step_index, step FROM p")
 def plan_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return steps.flatten(steps.build_plan(spark, "rag", "manifest.jsonl", "Driver docs")).select("arm", "step_index", "step")
+    return plans(spark).select("task", "arm", "step_index", "step")
 
 
-@query("SELECT 'blocked' AS status, " + str(2 * len(ARMS) - 1) + " AS n UNION ALL SELECT 'skipped_existing', " + str(len(ARMS) + 1))
+@query(f"""WITH {PLANS_SQL} SELECT task, arm, step, CASE WHEN step = 'cache_text' OR arm = 'raw' AND step <> 'cache_omni_audio' THEN 'skipped_existing' ELSE 'blocked' END AS status,
+  'manifest not found: manifest.jsonl' || CASE WHEN step = 'evaluate_hybrid_from_cache' THEN '; not found before eval: outputs/cache_agentic_taxonomy_rag_driver_docs_' || arm || '_omni.pt' ELSE '' END AS warnings FROM p""")
 def plan_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the manifest is missing, and the shared text cache and the first arm's result exist."""
-    flat = steps.flatten(steps.build_plan(spark, "rag", "manifest.jsonl", "Driver docs"))
-    there = flat.where(f"step = 'cache_text' OR (step = 'evaluate_hybrid_from_cache' AND arm = '{ARMS[0][0]}')").select(F.col("output").alias("path"))
-    return steps.statuses(flat, there, execute=True).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """Where the manifest is missing, and the shared text cache and the results of the first arm exist."""
+    flat = plans(spark)
+    there = flat.where("step = 'cache_text' OR (startswith(step, 'evaluate') AND arm = 'raw')").select(F.col("output").alias("path"))
+    parts = [steps.statuses(flat.where(F.col("task") == t).drop("task"), there, execute=True).withColumn("task", F.lit(t)) for t in ("rag", "tool", "asr_like", "translation")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).select("task", "arm", "step", "status", "warnings")
+
+
+STEP = {"manifest": "data/m.jsonl", "output": "out/x.json", "max_samples": 0, "seed": 0, "score_count": 0, "test_size": 20}
+
+
+@query("""SELECT * FROM (VALUES (0, 'cache_text', 'python mainline/cache_audio_memory_embeddings.py --cache-kind text --manifest data/m.jsonl --output out/x.json --text-model q3 --max-samples 0 --test-size 20 --seed 0'),
+(1, 'evaluate_asr_like_omni_selection', 'python mainline/omni_embed_selection.py --manifest data/m.jsonl --output out/x.json --omni-model o --audio-query-instruction say it --candidate-count 8 --max-samples 0 --seed 0 --include-rows'),
+(2, 'evaluate_translation_omni_selection', 'python ../../scripts/transcript_candidate_retrieval.py --manifest ../../data/m.jsonl --output ../../out/x.json --model /models/o --route direct_omni --query-field source_text --max-samples 0 --seed 0'),
+(3, 'evaluate_tool_omni_audio', 'python mainline/audio_nlp_label_classification.py --manifest data/m.jsonl --output out/x.json --task intent --routes omni_audio --max-samples 0 --seed 0')) AS v(place, step, command)""")
+def plan_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps as command lines: zero is left out but for two flags, null and false are, true is its flag alone."""
+    given = [
+        STEP | {"step": "cache_text", "text_model": "q3", "query_text_source": ""}, STEP | {"step": "evaluate_asr_like_omni_selection", "omni_model": "o", "audio_instruction": "say it", "candidate_count": 8, "same_intent_negatives": 0},
+        STEP | {"step": "evaluate_translation_omni_selection", "omni_model": "/models/o", "candidate_count": None}, STEP | {"step": "evaluate_tool_omni_audio", "task": "intent", "label_example_count": False},
+    ]
+    return commands.commands(spark, given)
+
+
+CASE_SQL = """c AS (SELECT p.policy, m.prompt_mode, 'run/x_' || p.name || '_' || m.prompt_mode || '.json' AS output, 'run/x_' || p.name || '_' || m.prompt_mode || '.backend.log' AS backend_log FROM (VALUES ('raw', 'raw'), ('v2 card', 'v2_card')) AS p(policy, name), (VALUES ('letter'), ('json')) AS m(prompt_mode))"""
+
+
+@query(f"""WITH {CASE_SQL}, r AS (SELECT CASE WHEN turn % 2 = 0 THEN 'run/x_raw_letter.json' ELSE 'run/x_v2_card_json.json' END AS output, count(*) AS n, round(avg(CAST(conv_id % 3 = 0 AS INT)), 6) AS accuracy, count(*) FILTER (WHERE conv_id % 3 = 0) AS correct FROM conversations GROUP BY 1)
+SELECT c.*, n, accuracy, correct FROM c LEFT JOIN r ON c.output = r.output""")
+def case_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two policies under two prompts; two of the four cases have results."""
+    plan = commands.cases(spark, ["raw", "v2 card"], ["letter", "json"], "run/x")
+    results = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.when(F.col("turn") % 2 == 0, "run/x_raw_letter.json").otherwise("run/x_v2_card_json.json").alias("output"), (F.col("conv_id") % 3 == 0).alias("correct"))
+    return commands.case_results(plan, results)
+
+
+@query("""SELECT * FROM (VALUES (0, '#!/usr/bin/env bash'), (1, 'set -euo pipefail'), (2, 'run --policy raw --mode json > run/x_raw_json.json'), (3, 'run --policy raw --mode letter > run/x_raw_letter.json')) AS v(place, line)""")
+def case_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = commands.cases(spark, ["raw"], ["letter", "json"], "run/x")
+    return commands.script(plan, lambda _: F.concat(F.lit("run --policy "), "policy", F.lit(" --mode "), "prompt_mode", F.lit(" > "), "output"))
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")

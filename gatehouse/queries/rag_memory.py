@@ -23,8 +23,8 @@ def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.split(F.regexp_replace("text", r"\s+", " "), " ")
     other = F.element_at(F.array(F.lit("the"), F.lit("zzz"), F.lit(""), F.lit("qqq")), (F.col("doc_id") % 4 + 1).cast("int"))
     required = F.when(F.col("doc_id") % 9 == 0, F.array().cast("array<array<string>>")).otherwise(F.array(F.array(F.get(w, F.lit(0)), F.lit("absent")), F.array(F.coalesce(F.get(w, F.lit(2)), F.lit("nothing")))))
-    s = rag.scored(F.col("text"), required, F.array(other))
-    d = d.select("doc_id", "lang", "source", *[c.alias(k) for k, c in s.items()])
+    d = rag.with_score(d.select("doc_id", "lang", "source", "text", required.alias("required"), F.array(other).alias("forbidden")), "text", "required", "forbidden")
+    d = d.select("doc_id", "lang", "source", "required_terms_recall", "forbidden_violation", "answer_pass")
     v = F.col("doc_id")
     kind = rag.error_type(F.col("answer_pass"), v % 2 == 0, v % 3 == 0, v % 3 == 0, v % 5 == 0, v % 7 != 0, v % 4 == 0)
     return d.withColumn("error_type", kind)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranking as R
-from ..operators import fusion, gates, metrics, similarity
+from ..operators import fusion, gates, metrics, order, similarity
 from ..views import HYBRID_SQL, RUNS_SQL, hybrid, label_name, label_ranks, runs, table
 from .registry import hash_sql, registry
 
@@ -126,9 +126,8 @@ def score_margins_three_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(bucket AS INT) AS bucket, count(*) AS n, round(avg(CAST(base_hit AS INT)), 6) AS base_acc, round(avg(CAST(hit AS INT)), 6) AS acc, count(*) FILTER (WHERE hit AND NOT base_hit) AS fixes, count(*) FILTER (WHERE base_hit AND NOT hit) AS regressions FROM b GROUP BY bucket""")
 def margin_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal-frequency buckets by margin; their edges are order statistics of the counted (margin, id) pairs."""
-    r = runs(spark, sf_dir).where("candidate = 'omni'")
-    w = Window.orderBy("base_margin", "vec_id")
-    b = r.withColumn("bucket", R.bucket(F.row_number().over(w) - 1, F.count(F.lit(1)).over(Window.partitionBy()), 4))
+    r = order.ranked(runs(spark, sf_dir).where("candidate = 'omni'"), "base_margin", "vec_id", "nth", "total")
+    b = r.withColumn("bucket", R.bucket(F.col("nth"), F.col("total"), 4))
     return b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), metrics.rate(F.col("base_hit")).alias("base_acc"), metrics.rate(F.col("hit")).alias("acc"), F.count_if(F.col("hit") & ~F.col("base_hit")).alias("fixes"), F.count_if(F.col("base_hit") & ~F.col("hit")).alias("regressions"))
 
 
@@ -136,7 +135,8 @@ def margin_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT t AS threshold, round(avg(CAST(base_margin <= t AS INT)), 6) AS route_rate, round(avg(CAST(CASE WHEN base_margin <= t THEN hit ELSE base_hit END AS INT)), 6) AS accuracy FROM o, t GROUP BY t""")
 def margin_gate_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = runs(spark, sf_dir).where("candidate = 'omni'")
-    t = o.agg(F.get(F.sort_array(F.collect_list("base_margin")), F.greatest(F.lit(0), F.floor(F.count(F.lit(1)) * 0.3) - 1).cast("int")).alias("threshold"))
+    place = F.greatest(F.lit(0), F.floor(F.col("total") * 0.3) - 1)
+    t = order.at_place(o, "base_margin", "vec_id", place).select(F.col("base_margin").alias("threshold"))
     low = F.col("base_margin") <= F.col("threshold")
     return o.join(F.broadcast(t)).groupBy("threshold").agg(metrics.rate(low).alias("route_rate"), metrics.rate(F.when(low, F.col("hit")).otherwise(F.col("base_hit"))).alias("accuracy"))
 

@@ -55,9 +55,9 @@ def normalize_question_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.join(index, "key", "left").select("doc_id", "first_id")
 
 
-@query(rf"""SELECT doc_id, coalesce(nullif({WS_SQL.format(r"regexp_extract(card, '(?is)answer\s*:\s*(.*?)(?:\n|$)', 1)")}, ''), {WS_SQL.format('card')}) AS answer FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN left(text, 80) ELSE 'Card' || chr(10) || 'Answer: ' || replace(left(text, 40), chr(10), ' ') || chr(10) || 'end' END AS card FROM documents)""")
+@query(rf"""SELECT doc_id, coalesce(nullif({WS_SQL.format(r"regexp_extract(card, '(?is)answer\s*:\s*(.*?)(?:\n|$)', 1)")}, ''), {WS_SQL.format('card')}) AS answer FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Card' || chr(10) || 'Answer: ' || replace(text, chr(10), ' ') || chr(10) || 'end' END AS card FROM documents)""")
 def extract_card_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    card = F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(80))).otherwise(F.concat(F.lit("Card\nAnswer: "), F.translate(F.left("text", F.lit(40)), "\n", " "), F.lit("\nend")))
+    card = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("Card\nAnswer: "), F.translate("text", "\n", " "), F.lit("\nend")))
     return docs(spark, sf_dir).select("doc_id", card.alias("card")).select("doc_id", P.card_answer("card").alias("answer"))
 
 

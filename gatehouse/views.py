@@ -6,7 +6,7 @@ label, once with all dimensions (the ``omni`` view) and once with the first 16 (
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import similarity
@@ -19,16 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def label_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, label, cand, s_asr, s_omni, r_asr, r_omni, r_rrf): every embedding against every label."""
+    """(vec_id, label, cand, s_asr, r_asr, s_omni, r_omni, r_rrf): every embedding against every label."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
-    bank = similarity.bank(e)
-    omni = similarity.score_bank(e, bank, ["vec_id", "label"]).withColumnRenamed("score", "s_omni")
-    asr = similarity.score_bank(e, bank, ["vec_id", "label"], dims=HEAD).withColumnRenamed("score", "s_asr")
-    both = omni.join(asr, ["vec_id", "label", "cand"])
-    by = Window.partitionBy("vec_id")
-    ranks = both.withColumns({x: F.row_number().over(by.orderBy(F.desc(s), "cand")).cast("long") for x, s in (("r_asr", "s_asr"), ("r_omni", "s_omni"))})
-    fused = F.round(1.0 / (60 + F.col("r_asr")) + 1.0 / (60 + F.col("r_omni")), 12)
-    return ranks.withColumn("r_rrf", F.row_number().over(by.orderBy(fused.desc(), "r_asr")).cast("long"))
+    return similarity.rank_views(e, similarity.bank(e), ["vec_id", "label"], {"asr": HEAD, "omni": slice(None)})
+
+
+def candidate_lists(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """(vec_id, label, target, scores): each embedding's ``k`` best labels by the full view, as (rank, sample_id, text,
+    score) in order."""
+    r = label_ranks(spark, sf_dir).where(F.col("r_omni") <= k)
+    one = F.struct(F.col("r_omni").alias("rank"), F.col("cand").cast("string").alias("sample_id"), label_name(F.col("cand")).alias("text"), F.col("s_omni").alias("score"))
+    lists = r.groupBy("vec_id", "label").agg(F.array_sort(F.collect_list(one)).alias("scores"))
+    return lists.select("vec_id", "label", label_name(F.col("label")).alias("target"), "scores")
 
 
 def label_name(label: F.Column) -> F.Column:
