@@ -1,19 +1,28 @@
-"""Near-dedup by an exact set-similarity join: documents link at a Jaccard similarity of 0.8 of their word shingles.
+"""Near copies of operator 1 at a stated similarity: documents link at a Jaccard similarity of 0.8 of their word shingles.
 
 *Sets.*  ASCII letters are lower-cased; a document's set has the 64-bit hashes of its runs of ``shingle`` words (with
 fewer words, of the whole sequence).  Only distinct sets take part, so copies cost one.
 
-*Candidates.*  Let the shingles have any one order.  Two sets of similarity t or more share a shingle among the first
-n - ceil(t n) + 1 of each (the prefix filter), so all links are met by those that share a shingle of their prefixes.
-The order is a matter of cost only: shingles that are common in a sample of documents come last, so that a passage of
-many documents stays out of their prefixes.
+*Ball hashing.*  Each set has a SimHash fingerprint, and fingerprints within ``radius`` bits meet as in ``simhash``.
+The pairs that collide are verified over their whole sets, and what passes makes the first components.
 
-*Links.*  1. In each bucket (the sets with one shingle in their prefixes) each set is compared with the middle one and
-with its neighbour by size, which makes most of a large group of near copies one component.  2. All pairs of a bucket
-that are still in different components, and whose sizes allow the similarity, are compared.  Pairs within a component
-say nothing new, so the components are those of all pairs at 0.8, with none left out.  Sets are compared in full, but
-for pairs that a sketch rules out: it has the parities of the shingles in 1,024 cells, and two sets differ in at least
-as many shingles as their sketches in cells.
+*Beyond the ball.*  A pair of similarity 0.8 differs in 10 of 64 bits on the average, so a ball of radius 3 meets one in
+a hundred of such pairs, and one of radius 14, which would meet most, has 10**14 variants.  What it misses is
+searched for by prefixes: let the shingles have any one order; two sets of similarity t or more share a shingle among
+the first n - ceil(t n) + 1 of each, and at the first that they share, as many must follow in both as the similarity
+asks for.  So all links are met by those that share a shingle of their prefixes.  The order is a matter of cost only:
+shingles that are common in a sample of documents come last, so that a passage of many documents stays out of prefixes.
+
+*Links.*  1. In each bucket (the sets of about one size with one shingle in their prefixes) each set is compared with
+the most central one: that whose own prefix lies in the largest buckets.  Of a group of near copies this is the text
+that the others were made from, or the nearest to it, and the same in all buckets of the group, so a group costs a pair
+or two a member and becomes one component, or nearly so.  The leaders are found by aggregates, so no bucket meets in one
+task; those of common shingles are dealt in ``PARTS``.  2. In buckets that still have several components, those outside the
+largest are compared with all whose sizes and places allow the similarity.  Pairs within a component say nothing new, so
+the components are those of all pairs at 0.8, with none left out.
+
+*Comparisons* are over whole sets, but for pairs that a sketch rules out: it has the parities of the shingles in
+2 to 4 cells a shingle, and two sets differ in at least as many shingles as their sketches in cells.
 
 *Cost.*  Buckets whose sets are many and all near, but short of, the similarity make all their pairs.
 
@@ -30,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from ._graph import components
 from ._store import materialize, partitions, release
 from ._text import LOWER, Words, chunks, mix, ngrams, signed, spans_hash
@@ -39,9 +49,10 @@ SHINGLE = 5
 ABOVE, BELOW = 4, 5
 #: Documents that tell which shingles are common, and at most so many common ones.
 SAMPLE_ROWS, MOST_COMMON = 1 << 14, 1 << 19
-#: Pairs written out at once, and bits of the filter of the sets that are compared (a power of two).
-MOST_PAIRS, FILTER_BITS = 1 << 20, 1 << 24
-CELLS = 1024
+#: Parts of the buckets of common shingles, and bits of the filter of the sets that are compared (a power of two).
+PARTS, FILTER_BITS = 64, 1 << 24
+#: Cells of the smallest sketch; it has twice as many cells as shingles, at least, and a power of two.
+CELLS = 512
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -72,26 +83,37 @@ def keys(text: np.ndarray, found: np.ndarray, rows: int) -> tuple[np.ndarray, np
         return mix(total[ends] - total[ends - size] + size.astype(np.uint64)), size
 
 
-def sketches(text: np.ndarray, found: np.ndarray, rows: int) -> pa.Array:
+def sketches(text: np.ndarray, found: np.ndarray, size: np.ndarray) -> pa.Array:
     """For each text whether the number of its shingles in each cell is odd, as lists of longs."""
-    cell = (mix(found ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(CELLS)).astype(np.int64)
-    odd = (np.bincount(text * CELLS + cell, minlength=rows * CELLS) & 1).astype(np.uint8)
-    return pa.ListArray.from_arrays(np.arange(0, rows * CELLS // 64 + 1, CELLS // 64, dtype=np.int32), pa.array(np.packbits(odd).view(np.int64)))
+    cells = np.maximum(CELLS, 2 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    first = np.cumsum(cells) - cells
+    cell = (mix(found ^ np.uint64(0x2545F4914F6CDD1D)) & (cells[text] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(first[text] + cell, minlength=int(cells.sum())) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(np.append(first, cells.sum()).astype(np.int32) // 64, pa.array(np.packbits(odd).view(np.int64)))
+
+
+def fingerprints(text: np.ndarray, found: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The SimHash of each set; zero for the empty one."""
+    out = np.zeros(len(size), np.uint64)
+    if len(found):
+        out[size > 0] = simhash.majority(mix(found ^ np.uint64(0x9FB21C651E98DF25)), size[size > 0])
+    return out
 
 
 def prefix_length(size: np.ndarray) -> np.ndarray:
     return np.where(size > 0, size - -(-ABOVE * size // BELOW) + 1, 0)
 
 
-def prefixes(text: np.ndarray, found: np.ndarray, size: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The shingles of the texts' prefixes, text by text; ``common`` is sorted."""
+def prefixes(text: np.ndarray, found: np.ndarray, size: np.ndarray, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, whether it is common) of the texts' prefixes in their order, text by text; ``common`` is sorted."""
     rank = np.zeros(len(found), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         rank = np.where(common[at] == found, times[at], 0)
     order = np.lexsort((found, rank, text))
     nth = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
-    return found[order][nth < np.repeat(prefix_length(size), size)]
+    inside = nth < np.repeat(prefix_length(size), size)
+    return found[order][inside], rank[order][inside] > 0
 
 
 def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,68 +133,65 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     return common[order], times[order]
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The columns of rows sorted by their first column, in runs that hold all rows of their values of it."""
-    kept: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        columns = tuple(x.to_numpy() for x in batch.columns)
-        if not len(columns[0]):
-            continue
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        if cut or kept and kept[0][0][0] != columns[0][0]:
-            parts = [*kept, tuple(x[:cut] for x in columns)]
-            yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-            kept = []
-        kept.append(tuple(x[cut:] for x in columns))
-    if kept:
-        yield tuple(np.concatenate(x) for x in zip(*kept, strict=True))
-
-
-def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shingle, key, n, middle, near) of the buckets with several sets, from rows sorted by shingle, n, key: the
-    sets in the middle of the bucket and before this one."""
-    for shingle, key, n in grouped(batches):
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])
-        shingle, key, n = shingle[fresh], key[fresh], n[fresh]
-        heads = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-        count = np.diff(np.append(heads, len(key)))
-        first, size = np.repeat(heads, count), np.repeat(count, count)
-        shared = np.flatnonzero(size > 1)
-        near = np.maximum(np.arange(len(key)) - 1, first)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shingle[shared], key[shared], n[shared], key[(first + size // 2)[shared]], key[near[shared]])], ["shingle", "key", "n", "middle", "near"])
-
-
-def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of each bucket in different components whose sizes allow the similarity, from rows (shingle, root,
-    key, n) sorted by shingle, root."""
-    for shingle, root, key, n in grouped(batches):
-        nth = np.arange(len(key))
-        bucket = np.maximum.accumulate(np.where(np.concatenate([[True], shingle[1:] != shingle[:-1]]), nth, 0))
-        run = np.maximum.accumulate(np.where(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (root[1:] != root[:-1])]), nth, 0))
-        count = run - bucket
-        ends = np.cumsum(count)
-        row = 0
-        while row < len(key):
-            end = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + MOST_PAIRS, side="right")))
-            part = count[row:end]
-            mine = np.repeat(nth[row:end], part)
-            theirs = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part) + bucket[mine]
-            small, large = np.minimum(n[mine], n[theirs]), np.maximum(n[mine], n[theirs])
-            ok = BELOW * small >= ABOVE * large
-            a, b = key[mine[ok]], key[theirs[ok]]
-            if len(a):
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-            row = end
+class Shared:
+    """Goes through rows (part, shingle, key, n, place) sorted by part, shingle, key, and leaves out those whose part and
+    shingle no other set has, but for common parts (from 0), which are parts of larger buckets.  Sets that several tasks
+    told count once; what a batch leaves open is carried into the next."""
+
+    def __init__(self) -> None:
+        self.last: tuple | None = None  # part, shingle and key of the last row
+        self.pending: tuple | None = None  # the only row of the last bucket so far
+
+    def __call__(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = [x.to_numpy() for x in batch.columns]
+        if not len(rows[0]):
+            return
+        part, shingle, key = rows[:3]
+        new, again = np.ones(len(key), bool), np.zeros(len(key), bool)
+        new[1:] = (part[1:] != part[:-1]) | (shingle[1:] != shingle[:-1])
+        again[1:] = ~new[1:] & (key[1:] == key[:-1])
+        if self.last:
+            new[0] = (part[0], shingle[0]) != self.last[:2]
+            again[0] = not new[0] and key[0] == self.last[2]
+        rows, new = [x[~again] for x in rows], new[~again]
+        if not len(new):
+            return
+        keep = ~(new & np.append(new[1:], False) & (rows[0] < 0))
+        waits = bool(new[-1] and rows[0][-1] < 0)  # whether it is alone is for the next batch to say
+        keep[-1] &= not waits
+        told = [x[keep] for x in rows]
+        if self.pending and not new[0]:
+            told = [np.append(x, y) for x, y in zip(told, self.pending, strict=True)]
+        self.last = tuple(x[-1] for x in rows[:3])
+        self.pending = tuple(x[-1] for x in rows) if waits else None
+        if len(told[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in told], ["part", "shingle", "key", "n", "place"])
+
+
+def crossing(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of one shingle in different components whose sizes and places in the prefixes allow the
+    similarity; ``rows`` has (shingle, root, key, n, place).  One of each pair is outside the bucket's largest component."""
+    per = rows.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("sets"))
+    most = per.groupBy("shingle").agg(F.max(F.struct("sets", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    here = materialize(rows.join(most.select("shingle", F.col("most.root").alias("major")), "shingle"), "mixed")
+    side = lambda df, x: df.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("root", "key", "n", "place", "major")])
+    both = side(here.where("root != major"), "a").join(side(here, "b"), "shingle")
+    follow = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    able = (BELOW * F.least("a_n", "b_n") >= ABOVE * F.greatest("a_n", "b_n")) & ((ABOVE + BELOW) * follow >= ABOVE * (F.col("a_n") + F.col("b_n")))
+    once = (F.col("b_root") == F.col("b_major")) | (F.col("a_key") < F.col("b_key"))
+    met = both.where((F.col("a_root") != F.col("b_root")) & once & able)
+    return met.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
 
 
 def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the sketches of ``known`` (key, n, sketch) do not rule out."""
+    """The pairs (a, b) that the sizes and sketches of ``known`` (key, n, sketch) do not rule out."""
     side = lambda x: known.select(F.col("key").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
-    cells = F.expr("aggregate(zip_with(a_sketch, b_sketch, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("cells", cells)
-    return both.where(F.expr(f"{ABOVE + BELOW} * cells <= {BELOW - ABOVE} * (a_n + b_n)")).select("a", "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(BELOW * F.least("a_n", "b_n") >= ABOVE * F.greatest("a_n", "b_n"))
+    # sizes within a quarter have as many cells, or the one twice those of the other: folded, its halves together
+    fold = lambda x, y: F.expr(f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})")
+    both = both.select("a", "b", "a_n", "b_n", fold("a_sketch", "b_sketch").alias("x"), fold("b_sketch", "a_sketch").alias("y"))
+    cells = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, p) -> s + p)")
+    return both.where((ABOVE + BELOW) * cells <= (BELOW - ABOVE) * (F.col("a_n") + F.col("b_n"))).select("a", "b")
 
 
 def compared(docs: DataFrame, pairs: DataFrame, known: DataFrame, shingle: int) -> DataFrame:
@@ -209,46 +228,87 @@ def compared(docs: DataFrame, pairs: DataFrame, known: DataFrame, shingle: int)
     return found
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row for each row of ``df``: ``id_col``, text_hash (XXH64 of the text by Spark), set_key, component_id, kept
-    (whether the row's id and text are those that its group keeps)."""
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def ball_pairs(known: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of sets that meet in ball hashing: stars of fingerprints, each named by its smallest key, and the other
+    sets of one fingerprint."""
+    named = materialize(known.groupBy("fp").agg(F.min("key").alias("head")), "fingerprints")
+    stars = simhash.links(named.select("fp"), radius)
+    across = stars.join(named.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    same = known.join(named, "fp").where("key != head").select(F.col("key").alias("x"), F.col("head").alias("y"))
+    return across.unionByName(same)
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = simhash.RADIUS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``df``: ``id_col``, text_hash (XXH64 of the text by Spark), set_key, component_id, kept, and
+    the columns ``carry`` as carry_<name>.  Kept are the rows whose id, text and carried columns are the smallest of their
+    group: with a row's number among those, one row of each group."""
+    own = [f"carry_{c}" for c in carry]
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), *[F.col(c).alias(f"carry_{c}") for c in carry], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = partitions(df.sparkSession)
     common, times = common_shingles(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column("text"), most_rows=1024):
+            for a, b, data, offsets in chunks(batch.column("text"), most_rows=4096):
                 text, found = sets(data, offsets, shingle)
                 key, size = keys(text, found, b - a)
-                first = np.ones(b - a, bool)  # a task gives each set's prefix once
+                first = np.ones(b - a, bool)  # a task gives each set's prefix and sketch once
                 for k, x in enumerate(key.tolist()):
                     first[k] = x not in told
                     told.add(x)
-                length = prefix_length(size)
-                bounds = np.concatenate([[0], np.cumsum(np.where(first, length, 0))]).astype(np.int32)
-                prefix = prefixes(text, found, size, common, times)[np.repeat(first, length)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("hash").slice(a, b - a), signed(key), pa.array(size), pa.ListArray.from_arrays(bounds, signed(prefix)), pa.array(first), sketches(text, found, b - a)], ["id", "hash", "key", "n", "prefix", "first", "sketch"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    made = materialize(docs.mapInArrow(run, f"id {kind}, hash long, key long, n long, prefix array<long>, first boolean, sketch array<long>"), "prefixes")
-    known = materialize(made.where("first AND n > 0").select("key", "n", "sketch").dropDuplicates(["key"]), "sketches")
-    rows = made.select(F.explode("prefix").alias("shingle"), "key", "n").repartition(n, "shingle").sortWithinPartitions("shingle", "n", "key")
-    shared = materialize(rows.mapInArrow(buckets, "shingle long, key long, n long, middle long, near long"), "buckets")
-
-    pairs = shared.select("key", F.explode(F.array("middle", "near")).alias("other")).where("key != other")
-    pairs = materialize(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "pairs")
+                first &= size > 0
+                mine = np.repeat(first, size)
+                number = np.cumsum(first) - 1
+                text, found, once = number[text[mine]], found[mine], size[first]
+                length = np.where(first, prefix_length(size), 0)
+                bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                prefix, often = prefixes(text, found, once, common, times)
+                drawn, rows = sketches(text, found, once), np.cumsum(first) - first
+                sketch = drawn.take(pa.array(rows, mask=~first)) if len(drawn) else pa.nulls(b - a, pa.list_(pa.int64()))
+                fp = np.zeros(b - a, np.uint64)
+                fp[first] = fingerprints(text, found, once)
+                kept = [batch.column(c).slice(a, b - a) for c in ("id", "hash", *own)]
+                lists = [pa.ListArray.from_arrays(bounds, x) for x in (signed(prefix), pa.array(often))]
+                yield pa.RecordBatch.from_arrays([*kept, signed(key), pa.array(size), signed(fp), *lists, pa.array(first), sketch], ["id", "hash", *own, "key", "n", "fp", "prefix", "often", "first", "sketch"])
+
+    schema = ", ".join([f"id {df.schema[id_col].dataType.simpleString()}, hash long", *[f"`carry_{c}` {df.schema[c].dataType.simpleString()}" for c in carry]])
+    made = materialize(docs.mapInArrow(run, schema + ", key long, n long, fp long, prefix array<long>, often array<boolean>, first boolean, sketch array<long>"), "prefixes")
+    known = materialize(made.where("first").select("key", "n", "fp", "sketch").dropDuplicates(["key"]), "sketches")
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Shared()
+        for batch in batches:
+            yield from buckets(batch)
+
+    listed = made.where("first").select("key", "n", F.posexplode(F.arrays_zip("prefix", "often")).alias("place", "p"))
+    part = F.when(F.col("p.often"), F.pmod("key", F.lit(PARTS))).otherwise(-1).cast("int")
+    rows = listed.select(part.alias("part"), F.col("p.prefix").alias("shingle"), "key", "n", F.col("place").cast("long").alias("place"))
+    rows = rows.repartition(n, "shingle", "part").sortWithinPartitions("part", "shingle", "key")
+    shared = materialize(rows.mapInArrow(several, "part int, shingle long, key long, n long, place long"), "buckets")
+
+    rank = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BELOW / ABOVE))).cast("int")
+    ranked = shared.withColumn("rank", rank)
+    bucket = ["shingle", "rank"]
+    sizes = ranked.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size"))
+    weight = F.round(F.sum(F.log("size")) / F.max("n"), 6)
+    middle = materialize(ranked.join(sizes, bucket).groupBy("key").agg(weight.alias("weight")), "middles")
+    led = ranked.join(middle, "key").groupBy(*bucket).agg(F.max(F.struct("weight", "key")).alias("most")).select(*bucket, F.col("most.key").alias("y"))
+    met = ranked.select(*bucket, F.col("key").alias("x")).join(led, bucket).select("x", "y").unionByName(ball_pairs(known, radius))
+    pairs = materialize(met.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     links = compared(docs, pairs, known, shingle)
-    roots = components(links).withColumnRenamed("node", "key")
-    rows = shared.select("shingle", "key", "n").join(roots, "key", "left").select("shingle", F.coalesce("root", "key").alias("root"), "key", "n")
-    rows = rows.repartition(n, "shingle").sortWithinPartitions("shingle", "root")
-    rest = materialize(rows.mapInArrow(crossing, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(compared(docs, rest, known, shingle))
-
-    roots = components(links).withColumnRenamed("node", "key")
-    classes = made.select("id", "hash", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("best"))
+
+    roots = components(links)
+    rows = shared.select("shingle", "key", "n", "place").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    rows = materialize(rows.withColumn("root", F.coalesce("root", "key")), "rooted")
+    more = compared(docs, materialize(crossing(rows), "pairs"), known, shingle)
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+    roots = components(stars.unionByName(more)).withColumnRenamed("node", "key")
+    classes = made.select("id", "hash", *own, "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", *own)).alias("best"))
     out = classes.join(named, "root")
-    kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("hash") == F.col("best.hash"))
-    return out.select(F.col("id").alias(id_col), F.col("hash").alias("text_hash"), F.col("key").alias("set_key"), F.col("best.id").alias("component_id"), kept.alias("kept"))
+    kept = F.lit(True)
+    for c in ("id", "hash", *own):
+        kept = kept & F.col(c).eqNullSafe(F.col(f"best.{c}"))
+    return out.select(F.col("id").alias(id_col), F.col("hash").alias("text_hash"), F.col("key").alias("set_key"), F.col("best.id").alias("component_id"), kept.alias("kept"), *own)

@@ -13,16 +13,22 @@ around one of them says everything: a bucket never makes all its pairs.
 
 *Shuffle.*  A ball of 2,081 variants is not shuffled row by row.  A row is (prefix of the variant, fingerprint): one
 row stands for all variants that share the prefix, which the receiving task writes out, sorts, and compares.  With 16
-bits that is 17 or 137 rows instead of 65 or 2,081.  Rows are counted first, by prefix: the variants of a dense prefix
-(over ``DENSE_ROWS`` rows and over 1/``DENSE_SHARE`` of all, hence at most that many prefixes) are shuffled by their
-first 32 bits, and those of a prefix that is still dense by all 64, where no more than 2,081 fingerprints can meet for
-radius 3.  So each variant is worked off in one place with all who have it, and no task gets a dense group whole.  A
-task works through its prefixes in order; where one has more variants than fit in memory it makes several passes over
-hash ranges of them.  Colliding pairs are deduplicated and verified against the fingerprints, and each task sends on a
-spanning forest of what it has found, at most one edge for a fingerprint and batch.
+bits that is 17 or 137 rows instead of 65 or 2,081.  The number of bits grows with the number of fingerprints: it is the
+least of ``PREFIX_BITS`` that gives a prefix ``MEAN_ROWS`` rows on the average (16 bits up to 400 million distinct
+fingerprints, 24 up to 50 billion).  Rows are then counted by prefix, and the variants of a dense prefix (over
+``DENSE_ROWS`` rows) are shuffled by the next longer prefix, and so on up to all 64 bits, where no more than 2,081
+fingerprints can meet for radius 3.  So each variant is worked off in one place with all who have it, and no task gets
+more than ``DENSE_ROWS`` rows (16 MB) of a prefix.  The list of dense prefixes goes to the driver and to the tasks; by
+the two bounds it has less than one in two prefixes: 32,768 of 16 bits, 8 million (64 MB) of 24.  A task works through
+its prefixes in order; where those at hand have more variants than ``MOST_VARIANTS`` they are split by their next
+``STEP`` bits, again and again, so that each variant is written out once however many rows a prefix has.
+Colliding pairs are deduplicated and verified against the fingerprints, and each task sends on a spanning forest of
+what it has found, at most one edge for a fingerprint and batch.
 
 *Groups.*  Connected components of the links (``_graph``), named by their smallest document id.
 
+``near_copies`` is the same operator at a stated similarity of the texts, for pipelines.
+
 Null and empty texts have the fingerprint zero.  A null id never names a group unless all its ids are null.  Repeated
 rows stay, one result row each.  The empty table gives an empty result.
 """
@@ -31,6 +37,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -40,14 +47,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import materialize, partitions, release
-from ._text import LOWER, SPACE, Words, chunks, mix, signed
+from ._store import materialize, partitions
+from ._text import LOWER, SPACE, Words, chunks, signed
 
-SEED, SHINGLE, RADIUS, PREFIX_BITS = 42, 3, 3, (16, 32, 64)
-#: A prefix is dense if it has more rows than this, and more than this share of all.
-DENSE_ROWS, DENSE_SHARE = 1 << 16, 1 << 14
-#: Variants held at once by a task.
-MOST_VARIANTS = 1 << 21
+SEED, SHINGLE, RADIUS, PREFIX_BITS = 42, 3, 3, (16, 24, 32, 64)
+#: Rows of a prefix on the average, at most, and rows above which a prefix is dense.
+MEAN_ROWS, DENSE_ROWS = 1 << 19, 1 << 20
+#: Variants held at once by a task, and bits by which prefixes with more are split.
+MOST_VARIANTS, STEP = 1 << 21, 4
 
 
 def fingerprint_batch(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -73,13 +80,22 @@ def fingerprint_batch(data: np.ndarray, offsets: np.ndarray, shingle: int = SHIN
     last = np.minimum(nth + shingle - 1, first[text] + counts[text] - 1)
     raw, digest = clean.tobytes(), xxhash.xxh64_intdigest
     found = [digest(raw[a:b], SEED) for a, b in zip(starts[nth].tolist(), (starts[last] + size[last]).tolist(), strict=True)]
-    bits = np.unpackbits(np.array(found, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    for k in np.flatnonzero(has).tolist():
-        mine = bits[begin[k] : begin[k] + per[k]]
-        out[k] = int.from_bytes(np.packbits(2 * mine.sum(axis=0, dtype=np.uint32) > per[k]).tobytes(), "big")
+    out[has] = majority(np.array(found, np.uint64), per[has])
     return out
 
 
+def majority(hashes: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of each run of ``per`` (none empty) of the hashes."""
+    # eight counters of a byte each in a number: sums over at most 255 hashes of one run
+    lanes = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+    pieces = -(-per // 255)
+    owner = np.repeat(np.arange(len(per)), pieces)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    sums = np.add.reduceat(lanes, (np.cumsum(per) - per)[owner] + 255 * within, axis=0).view(np.uint8)
+    total = np.add.reduceat(sums, np.flatnonzero(within == 0), axis=0, dtype=np.uint32)
+    return np.packbits(2 * total > per[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp): the fingerprint as a signed long."""
 
@@ -140,36 +156,48 @@ class Balls:
                 yield (base[part][:, None] ^ flips).ravel(), np.repeat(part, len(flips)), np.repeat(used[part] + weight <= self.low, len(flips))
 
     def links(self, prefix: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Verified links (fingerprint, fingerprint) among rows that hold all rows of their prefixes: stars."""
+        """Verified links (fingerprint, fingerprint) among rows that hold all rows of their prefixes: stars.  Rows with
+        too many variants are split by the next bits of these, so that none is written out twice."""
         total = int(self.sizes[np.maximum(self.spent(prefix, fps)[1], 0)].sum())
-        passes = -(-total // MOST_VARIANTS)
-        a, b = [], []
-        for turn in range(passes):
-            found = []
-            for variant, row, low in self.variants(prefix, fps):
-                if passes > 1:
-                    mine = mix(variant) % np.uint64(passes) == turn
-                    variant, row, low = variant[mine], row[mine], low[mine]
-                found.append((variant, row, low))
-            variant, row, low = (np.concatenate(x) for x in zip(*found, strict=True))
-            ordered = np.sort(variant)
-            twice = ordered[1:][ordered[1:] == ordered[:-1]]
-            if not len(twice):
-                continue
-            at = np.minimum(np.searchsorted(twice, variant), len(twice) - 1)
-            met = twice[at] == variant
-            variant, row, low = variant[met], row[met], low[met]
-            order = np.lexsort((fps[row], ~low, variant))
-            variant, row, low = variant[order], row[order], low[order]
-            head = np.concatenate([[True], variant[1:] != variant[:-1]])
-            lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-            good = ~head & low[lead]
-            x, y = fps[row[good]], fps[row[lead[good]]]
-            ok = (x != y) & (np.bitwise_count(x ^ y) <= self.radius)
-            a.append(x[ok])
-            b.append(y[ok])
+        if total <= MOST_VARIANTS or self.prefix_bits == 64:
+            return self.stars(prefix, fps)
+        step = min(STEP, 64 - self.prefix_bits)
+        deeper, a, b = balls_of(self.radius, self.prefix_bits + step), [], []
+        for tail in range(1 << step):
+            longer = (prefix << np.uint64(step)) | np.uint64(tail)
+            mine = deeper.spent(longer, fps)[1] >= 0
+            if mine.sum() > 1:
+                x, y = deeper.links(longer[mine], fps[mine])
+                a.append(x)
+                b.append(y)
         return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.uint64),) * 2
 
+    def stars(self, prefix: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of rows whose variants fit in memory."""
+        none = (np.empty(0, np.uint64),) * 2
+        found = list(self.variants(prefix, fps))
+        if not found:
+            return none
+        variant, row, low = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(variant)
+        variant = variant[order]
+        same = variant[1:] == variant[:-1]
+        met = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        if not met.any():
+            return none
+        variant, row, low = variant[met], row[order[met]], low[order[met]]
+        order = np.lexsort((fps[row], ~low, variant))
+        variant, row, low = variant[order], row[order], low[order]
+        head = np.concatenate([[True], variant[1:] != variant[:-1]])
+        lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+        good = ~head & low[lead]
+        x, y = fps[row[good]], fps[row[lead[good]]]
+        ok = (x != y) & (np.bitwise_count(x ^ y) <= self.radius)
+        return x[ok], y[ok]
+
+
+balls_of = cache(Balls)
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) for each node but the roots: as few edges with the same components."""
@@ -193,18 +221,25 @@ def under(fps: np.ndarray, radius: int, bits: int, parents: tuple[int, np.ndarra
     """(prefix, fingerprint) rows, in parts; with ``parents`` (bits, dense prefixes) only of variants below those."""
     if parents:
         prefix, own = emit(fps, radius, parents[0])
-        fps = np.unique(own[np.isin(prefix, parents[1])])
+        fps = np.unique(own[among(prefix, parents[1])])
     step = max(1, (1 << 20) // sum(math.comb(bits, w) for w in range((radius + 1) // 2 + 1)))
     for k in range(0, len(fps), step):
         prefix, own = emit(fps[k : k + step], radius, bits)
         if parents:
-            below = np.isin(prefix >> np.uint64(bits - parents[0]), parents[1])
+            below = among(prefix >> np.uint64(bits - parents[0]), parents[1])
             prefix, own = prefix[below], own[below]
         yield prefix, own
 
 
+def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which entries of ``x`` are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
 def dense_prefixes(distinct: DataFrame, radius: int, bits: int, parents: tuple[int, np.ndarray] | None) -> np.ndarray:
-    """The prefixes with more than ``DENSE_ROWS`` rows and 1 / ``DENSE_SHARE`` of all; at most ``DENSE_SHARE``."""
+    """The prefixes with more than ``DENSE_ROWS`` rows, sorted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,11 +249,22 @@ def dense_prefixes(distinct: DataFrame, radius: int, bits: int, parents: tuple[i
                     which, rows = np.unique(prefix, return_counts=True)
                     yield pa.RecordBatch.from_arrays([signed(which), pa.array(rows)], ["prefix", "rows"])
 
-    counts = materialize(distinct.select("fp").mapInArrow(count, "prefix long, rows long").groupBy("prefix").agg(F.sum("rows").alias("rows")), "prefixes")
-    total = counts.agg(F.sum("rows")).first()[0] or 0
-    found = counts.where(F.col("rows") > max(DENSE_ROWS, total // DENSE_SHARE)).select("prefix").collect()
-    release(counts)
-    return np.array(sorted(r.prefix for r in found), np.int64).view(np.uint64)
+    counts = distinct.select("fp").mapInArrow(count, "prefix long, rows long").groupBy("prefix").agg(F.sum("rows").alias("rows"))
+    found = counts.where(F.col("rows") > DENSE_ROWS).select("prefix").collect()
+    return np.sort(np.array([r.prefix for r in found], np.int64).view(np.uint64))
+
+
+def rows_of(radius: int, bits: int) -> float:
+    """Rows (prefix, fingerprint) of a fingerprint on the average."""
+    return sum(sum(math.comb(bits, w) for w in range(reach + 1)) for reach in (radius // 2, (radius + 1) // 2)) / 2
+
+
+def first_bits(count: int, radius: int, prefix_bits: tuple[int, ...]) -> int:
+    """Where in ``prefix_bits`` to begin with so many fingerprints."""
+    for k, bits in enumerate(prefix_bits):
+        if count * rows_of(radius, bits) <= MEAN_ROWS << bits:
+            return k
+    return len(prefix_bits) - 1
 
 
 def level(distinct: DataFrame, radius: int, bits: int, parents: tuple[int, np.ndarray] | None, dense: np.ndarray) -> DataFrame:
@@ -231,7 +277,7 @@ def level(distinct: DataFrame, radius: int, bits: int, parents: tuple[int, np.nd
             for k in range(0, len(fps), 8192):
                 for prefix, own in under(fps[k : k + 8192], radius, bits, parents):
                     if len(dense):
-                        light = ~np.isin(prefix, dense)
+                        light = ~among(prefix, dense)
                         prefix, own = prefix[light], own[light]
                     yield pa.RecordBatch.from_arrays([signed(prefix), signed(own)], ["prefix", "fp"])
 
@@ -273,7 +319,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, prefix_bits: tuple[int, ...
     """``distinct`` has the distinct fingerprints in its long column fp.  Returns edges (a, b) whose components are
     those of all links; long and signed.  ``prefix_bits`` grow to 64."""
     found, parents = None, None
-    for bits in prefix_bits:
+    for bits in prefix_bits[first_bits(distinct.count(), radius, prefix_bits) :]:
         dense = dense_prefixes(distinct, radius, bits, parents) if bits < prefix_bits[-1] else np.empty(0, np.uint64)
         edges = level(distinct, radius, bits, parents, dense)
         found = edges if found is None else found.unionByName(edges)
@@ -283,9 +329,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, prefix_bits: tuple[int, ...
     return found.distinct()
 
 
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = RADIUS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Groups of documents at a Jaccard similarity of 0.8 of their word shingles, verified: see ``jaccard``."""
+    from . import jaccard  # it rests on this module
+
+    return jaccard.near_dedup(df, id_col, text_col, shingle, radius, carry)
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, prefix_bits: tuple[int, ...] = PREFIX_BITS) -> DataFrame:
     """One row for each row of ``df``: ``id_col``, fingerprint (16 hex digits), component_id, kept (whether the id
-    names its group)."""
+    names its group).  Links are by fingerprint alone; ``near_copies`` verifies them over the texts."""
     fps = materialize(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
     roots = components(links(distinct, radius, prefix_bits))

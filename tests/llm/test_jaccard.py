@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from common import frame, rows, words
 
@@ -50,7 +52,7 @@ def near_copies(bases=12, copies=14, size=140, seed=3):
 def test_all_links_of_brute_force_are_found(spark, monkeypatch, sample):
     if sample:
         monkeypatch.setattr(jaccard, "SAMPLE_ROWS", sample)
-        monkeypatch.setattr(jaccard, "MOST_PAIRS", 50)
+        monkeypatch.setattr(jaccard, "PARTS", 3)
     data = near_copies()
     want = brute([t for _, t in data])
     assert len(set(want)) not in (12, len(data))
@@ -58,6 +60,36 @@ def test_all_links_of_brute_force_are_found(spark, monkeypatch, sample):
     assert got == dict(enumerate(want))
 
 
+def test_links_between_texts_of_different_size_classes(spark):
+    """Pairs whose sizes lie on both sides of a class, and that share shingles with each other alone."""
+    r = random.Random(5)
+    data = []
+    for pair in range(24):
+        base = [f"p{pair}w{k}" for k in range(90)]
+        other = [*base, "longer"]
+        for k in r.sample(range(5, 80), 1 + pair % 2):
+            other[k] = f"p{pair}x{k}"
+        data += [" ".join(base), " ".join(other)]
+    want = brute(data)
+    assert len(set(want)) < len(data)
+    got = {x.doc_id: x.component_id for x in jaccard.near_dedup(frame(spark, list(enumerate(data))).repartition(3)).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_rows_of_shared_shingles_whatever_the_batches():
+    r = random.Random(0)
+    for _ in range(200):
+        full = sorted((r.choice([-1, -1, 0, 1]), r.randrange(6), r.randrange(5), 9, 8) for _ in range(r.randint(0, 25)))
+        buckets, got, row = jaccard.Shared(), [], 0
+        while row < len(full):
+            part = full[row : row + r.randint(1, 4)]
+            row += len(part)
+            for out in buckets(pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], ["part", "shingle", "key", "n", "place"])):
+                got += zip(*[c.to_pylist() for c in out.columns], strict=True)
+        sets = Counter(x[:2] for x in set(full))
+        assert sorted(got) == sorted(x for x in set(full) if x[0] >= 0 or sets[x[:2]] > 1)
+
+
 def test_odd_rows_match_brute_force(spark):
     data = [r for r in rows() if r[0] is not None]
     ids = [k for k, _ in data]

@@ -1,8 +1,8 @@
 """The pipeline against its stages' brute-force versions, one after the other."""
 
 import test_exact
+import test_jaccard
 import test_quality
-import test_simhash
 import test_substring
 from common import prose, rows, words
 from tokenizers import Tokenizer
@@ -26,8 +26,7 @@ def brute(data):
     data = [(k, t) for k, t, *_ in data if test_quality.brute(t)[5]]
     data = [r for r, b in zip(data, test_exact.brute(data), strict=True) if b[0] == b[1]]
     data = list(dict.fromkeys(data))
-    ids = [k for k, _ in data]
-    data = [r for r, c in zip(data, test_simhash.brute(ids, [test_simhash.fingerprint(t) for _, t in data], 3), strict=True) if r[0] == c]
+    data = [r for r, low in zip(data, test_jaccard.brute([t for _, t in data]), strict=True) if r == data[low]]  # by id, and ids are in order
     kept = test_substring.brute(data, 20)
     return {k: w for (k, _), (_, w) in kept.items() if w}
 

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 import xxhash
@@ -97,6 +99,24 @@ def test_a_dense_prefix_takes_several_passes(monkeypatch):
     assert len(whole[0])
 
 
+def test_time_stays_in_proportion_in_one_prefix():
+    """Variants are written out once, however many rows share a prefix: 16 times as many take about 16 times as long."""
+    r = np.random.default_rng(0)
+
+    def seconds(n):
+        fps = np.unique(r.integers(0, 1 << 48, n, dtype=np.uint64))
+        began = time.process_time()
+        simhash.Balls(3, 16).links(np.zeros(len(fps), np.uint64), fps)
+        return (time.process_time() - began) / n
+
+    seconds(20_000)
+    assert seconds(160_000) < 4 * seconds(20_000)
+
+
+def test_the_first_prefix_grows_with_the_number_of_fingerprints():
+    assert [simhash.first_bits(n, 3, simhash.PREFIX_BITS) for n in (10**6, 4 * 10**8, 5 * 10**8, 5 * 10**10, 6 * 10**10)] == [0, 0, 1, 1, 2]
+
+
 def test_each_level_leaves_its_dense_prefixes_to_the_next(spark, monkeypatch):
     monkeypatch.setattr(simhash, "DENSE_ROWS", 20)
     signed = [f - 2**64 if f >= 2**63 else f for f in dense_fingerprints(160, 3)]

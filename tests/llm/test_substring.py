@@ -69,6 +69,37 @@ def test_repeated_and_null_ids(spark):
     assert len(twice) == 2 and twice[0] == twice[1]
 
 
+def test_the_parse_is_greedy_and_covers_what_matches_cover():
+    r = random.Random(3)
+    for _ in range(300):
+        spans = sorted((a := r.randrange(60), a + r.randint(5, 20)) for _ in range(r.randint(0, 12)))
+        start, end = (np.array([s[i] for s in spans], np.int64) for i in (0, 1))
+        chosen = [spans[k] for k in substring.parse(start, end)]
+        covered = lambda xs: {p for a, b in xs for p in range(a, b)}
+        assert covered(chosen) == covered(spans)
+        place = -1
+        for a, b in chosen:  # from the place reached, none that begins there or before goes on farther
+            here = place if any(x <= place < y for x, y in spans) or any(x == place for x, _ in spans) else min(x for x, _ in spans if x > place)
+            assert b == max(y for x, y in spans if x <= here) > place and a <= here
+            place = b
+
+
+def test_common_runs_set_the_anchors_and_not_the_result(spark, monkeypatch):
+    """A phrase of eight words in every document, in other words each time, and passages that two share."""
+    phrase = " ".join(f"every{k}" for k in range(8))
+    data = [(k, f"{prose(k, 40)} {phrase} {prose(k // 2, 60)} {phrase}") for k in range(60)]
+    want = brute(data, 20)
+    for share in (substring.COMMON_SHARE, 1):
+        monkeypatch.setattr(substring, "COMMON_SHARE", share)
+        for row in substring.substring_dedup(frame(spark, data).repartition(3)).collect():
+            n, kept = want[row.doc_id, dict(data)[row.doc_id]]
+            assert (row.n_words, row.n_removed, words(row.text)) == (n, n - len(kept), kept), row.doc_id
+    docs = spark.createDataFrame(data, "id long, text string")
+    monkeypatch.setattr(substring, "COMMON_SHARE", 256)
+    common = substring.common_runs(docs, 6)
+    assert len(common) >= 3 and (np.sort(common) == common).all()
+
+
 def test_spaces_of_kept_words_stay(spark):
     shared = " ".join(f"w{k}" for k in range(30))
     got = substring.substring_dedup(frame(spark, [(1, shared), (2, f"a\tb\n{shared}  \nc  d ")])).collect()
