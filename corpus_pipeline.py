@@ -1,31 +1,26 @@
 """A corpus pipeline of five operators: quality rules, exact dedup, near-dedup, substring dedup, packing.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame, reads only ``docs``, and all but the last return its columns.
-Filters keep whole rows, each by its own verdict: a row is its id and a 64-bit hash of its text, and the deduplicating
-stages leave one of those that repeat both.
+Filters keep whole rows, each by its own verdict: rows are named by their places in the table read.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatehouse.llm import exact, jaccard, packing, quality, substring
-from gatehouse.llm._store import materialize
+from gatehouse.llm import exact, packing, quality, simhash, substring
+from gatehouse.llm._store import materialize, numbered, scratch
 
 VOCABULARY = "byte_bpe_50k.json"
-NO_ID = -(1 << 63)
+ROW = ("file_hash", "file_row")
 
 
-def keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id (a null one too) and text are those of a row (doc_id, text_hash) of ``rows``; of
-    rows equal in both one stays."""
-    key = F.coalesce("doc_id", F.lit(NO_ID)).alias("_key")
-    wanted = rows.select(key, F.col("text_hash").alias("_text")).distinct()
-    kept = docs.withColumns({"_key": key, "_text": F.xxhash64("text")}).join(wanted, ["_key", "_text"], "left_semi")
-    same = Window.partitionBy("_key", "_text").orderBy("_key")
-    return kept.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_key", "_text", "_nth")
+def keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (``numbered``) that ``verdicts`` keeps."""
+    kept = verdicts.where("kept").select(*[F.col(f"carry_{c}").alias(c) for c in ROW])
+    return docs.join(kept, list(ROW), "left_semi").drop(*ROW)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +30,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal but for white space, the longest, then the one of the smallest id."""
-    return keep(docs, exact.exact_dedup(docs, text_hash=True).where("kept"))
+    docs = numbered(docs)
+    return keep(docs, exact.exact_dedup(docs, carry=ROW))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document of the smallest id."""
-    return keep(docs, jaccard.near_dedup(docs).where("kept"))
+    docs = numbered(docs)
+    return keep(docs, simhash.near_copies(docs, shingle=5, carry=ROW))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written and read again."""
+    """All stages over ``documents``; each stage's result is written and read again, and what it has written itself goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark, keep=1):
+            docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
