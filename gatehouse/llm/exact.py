@@ -75,10 +75,14 @@ def exact_dedup(
     norm = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     norm = norm.select("id", *own, F.length(F.coalesce("raw", F.lit(""))).alias("points"), normalised(F.col("raw")).alias("norm"))
     cut = norm.select("id", *own, "points", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"), chunked(F.col("norm"), min_chunk, max_chunk).alias("chunks"))
-    cut = materialize(cut.withColumns({"recipe": F.transform("chunks", lambda c: name(c, 0)), "nth": F.monotonically_increasing_id()}), "chunks")
+
+    def identifiers(attempt: int) -> Column:
+        return F.transform("chunks", lambda c: name(c, attempt))
+
+    cut = materialize(cut.withColumns({"recipe": identifiers(0), "nth": F.monotonically_increasing_id()}), "chunks")
 
     for attempt in range(ATTEMPTS):
-        recipe = F.transform("chunks", lambda c, attempt=attempt: name(c, attempt)) if attempt else F.col("recipe")
+        recipe = identifiers(attempt) if attempt else F.col("recipe")
         pairs = cut.select(F.explode(F.arrays_zip(recipe.alias("identifier"), F.col("chunks"))).alias("p")).select("p.identifier", "p.chunks")
         contents = pairs.distinct().groupBy("identifier").agg(F.count(F.lit(1)).alias("contents"))
         if contents.where("contents > 1").isEmpty():
