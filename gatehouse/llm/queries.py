@@ -198,7 +198,7 @@ ORACLE_SQL = {
               UNION ALL SELECT conv_id, turn, 'lost', 'nothing' FROM m WHERE role <> 'assistant' AND (conv_id + turn) % 3 = 0),
         fc AS (SELECT conv_id, id, min(turn * 2 + nth) AS place FROM c GROUP BY conv_id, id),
         fr AS (SELECT conv_id, id, min((turn, content)) AS answer FROM r GROUP BY conv_id, id),
-        e AS (SELECT conv_id, turn, turn AS at, 0 AS phase, 0 AS nth, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, 'ok' AS status, '' AS errors,
+        e AS (SELECT conv_id, turn, turn AS "at", 0 AS phase, 0 AS nth, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, 'ok' AS status, '' AS errors,
                      '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json
               FROM m WHERE role IS DISTINCT FROM 'assistant' OR coalesce(text, '') <> ''
               UNION ALL SELECT c.conv_id, turn, turn, 1, nth, 'assistant', 'call', c.id,
@@ -209,5 +209,5 @@ ORACLE_SQL = {
                      CASE WHEN place IS NULL THEN 'orphan' WHEN (turn, content) <> answer THEN 'repeated_result' ELSE 'ok' END, '',
                      '{"content":"' || content || '","id":"' || r.id || '","role":"tool"}'
               FROM r LEFT JOIN fc ON r.conv_id = fc.conv_id AND r.id = fc.id JOIN fr ON r.conv_id = fr.conv_id AND r.id = fr.id)
-        SELECT conv_id, turn, at, CAST(phase AS INT) AS phase, CAST(nth AS INT) AS nth, role, kind, call_id, status, errors, json FROM e""",
+        SELECT conv_id, turn, e."at", CAST(phase AS INT) AS phase, CAST(nth AS INT) AS nth, role, kind, call_id, status, errors, json FROM e""",
 }
