@@ -6,7 +6,9 @@ retried task gives the same values.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +74,23 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+@cache
+def _trim() -> object | None:
+    """The allocator's call that gives free memory back to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and would hold the largest batch of every stage."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim:
+        trim(0)
+
+
 def chunks(column: pa.Array, most: int = CHUNK_BYTES, most_rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) for runs of whole texts of about ``most`` bytes, or ``most_rows``."""
     data, offsets = string_buffers(column)
@@ -81,6 +100,7 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES, most_rows: int = 1 << 30)
         end = min(end, row + most_rows)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    give_back()
 
 
 class Words:

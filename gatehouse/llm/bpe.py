@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LEAD, string_buffers
+from ._text import LEAD, give_back, string_buffers
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -189,6 +189,7 @@ def text_batches(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BATCH_CHARS, side="right")) - 1)
         yield row, end, column.slice(row, end - row).fill_null("").to_pylist()
         row = end
+    give_back()
 
 
 Digest = Callable[[ByteBPE, np.ndarray, np.ndarray], dict[str, pa.Array]]
