@@ -36,14 +36,17 @@ TASK_ARMS = {
 }
 
 
+# The sentences of a card, in their order; the last three are left out where the card says nothing.
+OPENING = "Represent the spoken audio for {role}. Match it to {target}. Treat candidates as equivalent only when they express {equal}."
+BOUNDARY, PRESERVE, WARNING = "Pay special attention to {}.", "Preserve {}.", "{}."
+
+
 def instruction(role: str, target: str, equal: str, boundary: str = "", preserve: str = "", warning: str = "") -> str:
     """A card as one text; the first three parts are required."""
     if not (role.strip() and target.strip() and equal.strip()):
         raise ValueError("a card needs its role, its target and what counts as equal")
-    said = f"Represent the spoken audio for {role}. Match it to {target}. Treat candidates as equivalent only when they express {equal}."
-    for text in (f"Pay special attention to {boundary}." if boundary else "", f"Preserve {preserve}." if preserve else "", f"{warning[:1].upper()}{warning[1:]}." if warning else ""):
-        said += f" {text}" if text else ""
-    return said
+    rest = ((BOUNDARY, boundary), (PRESERVE, preserve), (WARNING, warning[:1].upper() + warning[1:]))
+    return " ".join([OPENING.format(role=role, target=target, equal=equal), *[sentence.format(text) for sentence, text in rest if text]])
 
 
 def all_arms() -> dict[str, str]:
