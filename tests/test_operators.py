@@ -173,7 +173,8 @@ def test_answers(spark):
     def score(answer, required, forbidden):
         groups = F.array(*[F.array(*[F.lit(t) for t in g]) for g in required]) if required else F.array().cast("array<array<string>>")
         bad = F.array(*[F.lit(t) for t in forbidden]).cast("array<string>")
-        return tuple(one(spark, **rag.scored(F.lit(answer), groups, bad)))
+        df = spark.range(1).select(F.lit(answer).alias("answer"), groups.alias("required"), bad.alias("forbidden"))
+        return tuple(rag.with_score(df, "answer", "required", "forbidden").select("required_terms_recall", "forbidden_violation", "answer_pass").first())
 
     assert score("The Deposit is due.", [["deposit", "fee"], ["due"]], ["refund"]) == (1.0, False, True)
     assert score("anything", [], []) == (1.0, False, True)
