@@ -97,7 +97,7 @@ OPTIONS = ("A. red apple pie", "B. green tea", "plain option", "D. blue sky over
 @query("""WITH o AS (SELECT doc_id, doc_id % 8 AS k FROM documents) SELECT doc_id, CASE k WHEN 0 THEN 'B' WHEN 1 THEN 'B' WHEN 2 THEN 'D' WHEN 3 THEN 'A' WHEN 6 THEN 'C' ELSE '' END AS letter,
   CASE k WHEN 0 THEN 'letter' WHEN 1 THEN 'content_exact' WHEN 2 THEN 'content_overlap' WHEN 3 THEN 'letter' WHEN 4 THEN 'no_final_channel' WHEN 6 THEN 'content_exact' ELSE 'none' END AS method,
   CASE k WHEN 2 THEN 0.75 WHEN 4 THEN 0.0 WHEN 5 THEN 0.0 WHEN 7 THEN round(2 / 3e0, 6) ELSE 1.0 END::DOUBLE AS score, 'green tea' AS second FROM o""")
-def option_content_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+def content_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs that name an option's letter, repeat its content, overlap with it, or stop in their thoughts."""
     outputs = ("thinking A <|channel>final (B)", "I say: Green tea!", "the sky is blue, it lies over", "<|channel>thought x <channel|> A.", "<|channel>thought it may be", "", "one <channel|> the plain option", "red and apple")
     options = F.array(*[F.lit(x) for x in OPTIONS])
