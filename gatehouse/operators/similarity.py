@@ -153,6 +153,16 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_
     return out.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
+def cache_key(sample_id: F.Column, instruction: F.Column) -> F.Column:
+    """What a query's vector is kept under: the query and what the encoder was told."""
+    return F.sha2(F.concat_ws("||", sample_id, instruction), 256)
+
+
+def with_cache(rows: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with their cached vector, rows to be encoded and appended); both have a key, the cache (key, vector)."""
+    return rows.join(cache, "key"), rows.join(cache.select("key"), "key", "left_anti")
+
+
 def knn_vote(neighbours: DataFrame, labels: DataFrame, id_col: str = "vec_id", label_col: str = "label") -> DataFrame:
     """(query, prediction): the label of most neighbours; ties by the sum of scores, then by label."""
     votes = neighbours.join(labels.select(F.col(id_col).alias("cand"), F.col(label_col).alias("vote")), "cand").groupBy("query", "vote").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), ROUND).alias("s"))

@@ -60,10 +60,11 @@ def spec(text: str, separator: str = "=") -> tuple[str, str]:
 def manifest(df: DataFrame, fields: dict[str, list[str]], prefix: str = "") -> DataFrame:
     """A foreign table as a manifest: each column is the first non-blank of its fields; the id gets a prefix, and where
     it is blank the hash of the row stands in."""
-    own = first_non_blank(*fields["sample_id"])
+    first = lambda names: first_non_blank(*[F.col(c).cast("string") for c in names])
+    own = first(fields["sample_id"])
     row = F.sha2(F.to_json(F.struct(*df.columns)), 256)
     out: list[Column] = [F.concat(F.lit(prefix), F.coalesce(non_blank(own), row)).alias("sample_id")]
-    return df.select(*out, *[first_non_blank(*f).alias(c) for c, f in fields.items() if c != "sample_id"])
+    return df.select(*out, *[first(f).alias(c) for c, f in fields.items() if c != "sample_id"])
 
 
 def clips(df: DataFrame, path: str = "path", codes: dict[str, str] | None = None) -> DataFrame:

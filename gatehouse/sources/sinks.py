@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the session's ``spark.checkpoint.dir``, which a cluster shares; where it is unset, as in tests on one
+    machine, under a temporary one.  It goes with the application."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.gettempdir()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def write_rows(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Row-level results: Parquet, JSON lines or ORC, as many files as there are tasks."""
     getattr(df.write.mode("overwrite"), kind)(path)
