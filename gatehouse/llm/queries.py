@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, langid, packing, quality, quality_model, sharding, simhash, substring
+from . import bpe, chat, exact, langid, packing, quality, quality_model, sharding, simhash, substring, suffixes
 
 #: Production parameters.
 SHARDS = 24
@@ -128,6 +128,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.in_order(events.withColumn("errors", F.array_join("errors", "; ")))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.suffix_dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
@@ -139,6 +144,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op12_suffix_array_dedup": op12_suffix_array_dedup,
 }
 
 ORACLE_SQL = {
