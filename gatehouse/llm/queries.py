@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, langid, packing, quality, quality_model, sharding, simhash, substring, suffixes
+from . import bpe, chat, exact, langid, packing, quality, quality_model, repair, sharding, simhash, substring, suffixes
 
 #: Production parameters.
 SHARDS = 24
@@ -133,6 +133,20 @@ def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with faults by the CRC-32 of ``conv_id:turn`` modulo 20; alive is false for rows that are dropped."""
+    spelt = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.encode(F.concat(spelt("conv_id"), F.lit(":"), spelt("turn")), "UTF-8")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(spelt("text"), "[.!?]", "")).otherwise(spelt("text"))
+    role = F.when(fault == 4, "user").otherwise(spelt("role"))
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (fault != 0).alias("alive"), F.explode(F.sequence(F.lit(0), (fault == 3).cast("int"))).alias("copy"))
+    return rows.drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), alive="alive")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
@@ -145,6 +159,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_formatting": op10_chat_formatting,
     "op12_suffix_array_dedup": op12_suffix_array_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -216,4 +231,45 @@ ORACLE_SQL = {
                      '{"content":"' || content || '","id":"' || r.id || '","role":"tool"}'
               FROM r LEFT JOIN fc ON r.conv_id = fc.conv_id AND r.id = fc.id JOIN fr ON r.conv_id = fr.conv_id AND r.id = fr.id)
         SELECT conv_id, turn, e."at", CAST(phase AS INT) AS phase, CAST(nth AS INT) AS nth, role, kind, call_id, status, errors, json FROM e""",
+    # the CRC-32 by its table; then a layer of states for each message, with whole audits and texts
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE tab AS (SELECT list(e ORDER BY i) AS tab FROM (
+            SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS e FROM range(256) AS r(i))),
+        k AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+        v AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     xor(list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                     lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS v FROM k, tab),
+        d AS (SELECT conv_id, turn, CASE WHEN v = 4 THEN 'user' ELSE role END AS role,
+                     CASE v WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+              FROM v, range(2) AS r(copy) WHERE v <> 0 AND (copy = 0 OR v = 3)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+                     regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS said FROM d),
+        f AS (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                             WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                     left(role, 1) AS a, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS b FROM o),
+        c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                     count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                     count(*) FILTER (b IS NOT NULL AND a || b NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+        -- from a state (0 nothing, 1 system, 2 user, 3 assistant last): insertions, the state that they lead to and the next role
+        m(state, ins, here, lines, next, name) AS (VALUES
+            (0, '', 0, '', 2, 'user'), (0, 'I', 2, chr(10) || 'user:', 3, 'assistant'), (0, 'II', 3, chr(10) || 'user:' || chr(10) || 'assistant:', 2, 'user'),
+            (1, '', 1, '', 2, 'user'), (1, 'I', 2, chr(10) || 'user:', 3, 'assistant'), (1, 'II', 3, chr(10) || 'user:' || chr(10) || 'assistant:', 2, 'user'),
+            (2, '', 2, '', 3, 'assistant'), (2, 'I', 3, chr(10) || 'assistant:', 2, 'user'), (2, 'II', 2, chr(10) || 'assistant:' || chr(10) || 'user:', 3, 'assistant'),
+            (3, '', 3, '', 2, 'user'), (3, 'I', 2, chr(10) || 'user:', 3, 'assistant'), (3, 'II', 3, chr(10) || 'user:' || chr(10) || 'assistant:', 2, 'user')),
+        e(letter) AS (VALUES ('D'), ('K'), ('R')),
+        dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS lines FROM c
+               UNION ALL
+               SELECT conv_id, i, state, best.cost, best.audit, best.lines FROM (
+                   SELECT dp.conv_id, f.i, CASE letter WHEN 'D' THEN here WHEN 'R' THEN next ELSE CASE a WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS state,
+                          min({'cost': dp.cost + 2 * length(ins) + CASE letter WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END,
+                               'audit': dp.audit || ins || letter,
+                               'lines': dp.lines || m.lines || CASE letter WHEN 'D' THEN '' WHEN 'R' THEN chr(10) || name || ':' || text ELSE chr(10) || role || ':' || text END}) AS best
+                   FROM dp JOIN f ON dp.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = dp.i + 1 JOIN m ON dp.state = m.state JOIN e ON true
+                   WHERE letter = 'D' OR fault NOT IN ('blank', 'duplicate') AND (letter = 'R' OR here = 0 AND a = 's' OR here <> 2 AND a = 'u' OR here = 2 AND a = 'a')
+                   GROUP BY 1, 2, 3)),
+        z AS (SELECT dp.conv_id, min({'cost': dp.cost + 2 * length(ins), 'audit': dp.audit || ins, 'lines': dp.lines || m.lines}) AS best
+              FROM dp JOIN c ON dp.conv_id IS NOT DISTINCT FROM c.conv_id AND dp.i = c.n JOIN m ON dp.state = m.state WHERE here = 3 OR here = 0 GROUP BY dp.conv_id)
+        SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(substr(best.lines, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS k LEFT JOIN c ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON k.conv_id IS NOT DISTINCT FROM z.conv_id""",
 }
