@@ -30,6 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _scopes: list[list[str]] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is executed inside are deleted once it has ended, not when the driver next collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def _file(spark: SparkSession, path: str) -> tuple:
@@ -40,12 +55,14 @@ def _file(spark: SparkSession, path: str) -> tuple:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lost executors only repeat the reading.
 
-    The folder goes when it is released, when the ``scratch`` around it ends, or else with the application."""
+    The folder goes when it is released, when the ``scratch`` around it ends, or else with the application; the shuffles
+    that led to it go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     fs, target = _file(spark, path)
     fs.deleteOnExit(target)
-    df.write.parquet(path)
+    with shuffles_cleaned(spark):
+        df.write.parquet(path)
     if _scopes:
         _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
