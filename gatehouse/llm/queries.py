@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, langid, packing, quality, quality_model, repair, sharding, simhash, substring, suffixes
+from . import bpe, chat, exact, langid, negatives, packing, quality, quality_model, repair, sharding, simhash, substring, suffixes
 
 #: Production parameters.
 SHARDS = 24
@@ -128,6 +128,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.in_order(events.withColumn("errors", F.array_join("errors", "; ")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", own)
+    return negatives.hard_negatives(rows, anchor=F.col("id") % 100 == 0)
+
+
 def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.suffix_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
@@ -158,6 +164,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_suffix_array_dedup": op12_suffix_array_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -231,6 +238,16 @@ ORACLE_SQL = {
                      '{"content":"' || content || '","id":"' || r.id || '","role":"tool"}'
               FROM r LEFT JOIN fc ON r.conv_id = fc.conv_id AND r.id = fc.id JOIN fr ON r.conv_id = fr.conv_id AND r.id = fr.id)
         SELECT conv_id, turn, e."at", CAST(phase AS INT) AS phase, CAST(nth AS INT) AS nth, role, kind, call_id, status, errors, json FROM e""",
+    "op11_hard_negatives": r"""
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label = b.label AS same, b.r AS other, b.vec_id AS other_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+              FROM v AS a JOIN v AS b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id, other) <= 5)
+        SELECT p.anchor_id, p.other_id AS positive_id, CAST(row_number() OVER w AS INT) AS rank, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 100 * s.score BETWEEN 80 * p.score AND 100 * p.score
+        WINDOW w AS (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.other_id, s.other) QUALIFY rank <= 5""",
     # the CRC-32 by its table; then a layer of states for each message, with whole audits and texts
     "op13_conversation_repair": r"""
         WITH RECURSIVE tab AS (SELECT list(e ORDER BY i) AS tab FROM (
