@@ -248,7 +248,8 @@ def plan_cascade(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def judge(df: DataFrame, cascade: Cascade, id_col: str = "doc_id", text_col: str = "text", statistics: bool = False) -> DataFrame:
     """``id_col``, kept, failed_rule (the first of the cascade's order; null if kept); ``statistics`` adds all of
-    ``STATISTICS``, which every document then pays for: what the cascade has computed for them serves both."""
+    ``STATISTICS``, which every document then pays for; the cascade takes them over, and computes what else its rules
+    need for the texts that are still in play."""
     names = [r.name for r in cascade.rules]
     extra = STATISTICS if statistics else ()
 
@@ -256,7 +257,9 @@ def judge(df: DataFrame, cascade: Cascade, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column("text")):
                 stats = Stats(data, offsets)
-                rule = cascade.rejected(stats, 1.0 if extra else COMPACT)
+                for x in extra:  # of all texts, so the rules that look at nothing else cost next to nothing
+                    getattr(stats, x)
+                rule = cascade.rejected(stats)
                 columns = [batch.column("id").slice(a, b - a), pa.array(rule < 0), pa.array([names[k] if k >= 0 else None for k in rule], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(getattr(stats, x).astype(np.int64)) for x in extra], ["id", "kept", "failed_rule", *extra])
 

@@ -55,6 +55,27 @@ def test_cascade_puts_cheap_and_rejecting_rules_first(spark):
     assert all(x["sampled"] == len(CASES) for x in plan.report)
 
 
+def test_statistics_leave_the_short_circuit(spark):
+    """Rules see only texts that are still in play, and what is no output is computed for these alone."""
+    seen = []
+
+    def late(stats):
+        seen.append((stats.n, "n_upper" in stats.__dict__))
+        return 10 * stats.n_upper > 6 * stats.n_letters
+
+    data, offsets = next((d, o) for _, _, d, o in chunks(pa.array([t for _, t in CASES])))
+    stats = quality.Stats(data, offsets)
+    for x in quality.STATISTICS:
+        getattr(stats, x)
+    cascade = quality.Cascade([*quality.RULES[:5], quality.Rule("late", late)])
+    rule = cascade.rejected(stats)
+    left = int((rule < 0).sum() + (rule == 5).sum())
+    assert 0 < left < len(CASES) and len(seen) == 1 and left <= seen[0][0] < len(CASES) and not seen[0][1]
+    assert "n_upper" not in stats.__dict__
+    whole = quality.Cascade(list(quality.RULES)).rejected(quality.Stats(data, offsets), 1.0)
+    assert ((rule < 0) == (whole < 0)).all()
+
+
 def test_a_smaller_batch_keeps_what_was_computed():
     data, offsets = next((d, o) for _, _, d, o in chunks(pa.array([t for _, t in CASES])))
     whole = quality.Stats(data, offsets)
