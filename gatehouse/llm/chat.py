@@ -20,7 +20,8 @@ all rows is cut like any other, and sorts within a range spill.
 ``status`` says ``ok``, ``unanswered`` (a call without result), ``repeated_id`` (a call whose identifier an earlier one
 has), ``invalid`` (a call with ``errors``), ``orphan`` (a result without call), ``repeated_result`` (a result for a call
 that one of an earlier turn, or of smaller content in the same, answers).  Null texts are null content, text that is no
-such JSON object is content, arguments that are no JSON object are invalid.  Null conversations, turns and roles stay
+such JSON object is content, an empty list of calls is none (the message has the object's content), arguments that are
+no JSON object are invalid.  Null conversations, turns and roles stay
 null; they link nothing.  Repeated rows repeat their events.  The empty table gives an empty result.
 """
 
@@ -31,8 +32,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: JSON types of parameters and how ``schema_of_variant`` begins for them.
-TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DECIMAL|DOUBLE)", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
+#: JSON types of parameters and how ``schema_of_variant`` begins for them; a whole number in any spelling is an integer.
+TYPES = {"string": "STRING", "number": "(BIGINT|DECIMAL|DOUBLE)", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
 KEYWORDS = ("type", "enum", "minimum", "maximum", "items", "minItems", "maxItems", "properties", "required", "additionalProperties", "description")
 Tools = dict[str, dict]
 
@@ -48,6 +49,15 @@ def said(where: Column | None, text: str, whole: str) -> Column:
     return F.concat(F.lit(whole) if where is None else where, F.lit(f": {text}"))
 
 
+def of_type(value: Column, kind: str) -> Column:
+    """Whether a variant is of a JSON type."""
+    is_a = lambda kind: F.coalesce(F.schema_of_variant(value).rlike(f"^{kind}"), F.lit(False))
+    if kind != "integer":
+        return is_a(TYPES[kind])
+    whole = F.to_json(value).rlike(r"^-?[0-9]+(\.0*)?$")  # a decimal's digits are all there
+    return is_a("BIGINT") | (is_a("DECIMAL") & whole) | (is_a("DOUBLE") & F.coalesce(F.try_variant_get(value, "$", "double") % 1 == 0, F.lit(False)))
+
+
 def problems(value: Column, schema: dict, where: Column | None = None, whole: str = "arguments") -> Column:
     """What of ``schema`` a variant violates, as an array of strings: first its own type and bounds, then its items or
     properties by name, then unknown properties."""
@@ -55,7 +65,7 @@ def problems(value: Column, schema: dict, where: Column | None = None, whole: st
         raise ValueError(f"a schema has the keywords {KEYWORDS}, not {sorted(unknown)}")
     none = F.array().cast("array<string>")
     holds = lambda c: F.coalesce(c, F.lit(False))
-    of = lambda kind: holds(F.schema_of_variant(value).rlike(f"^{TYPES[kind]}"))
+    of = lambda kind: of_type(value, kind)
     own, parts = [], []
     if "type" in schema:
         own.append(F.when(~of(schema["type"]), said(where, f"not {schema['type']}", whole)))
@@ -126,15 +136,15 @@ def link_tool_calls(df: DataFrame, tools: Tools | None = None, conv_col: str = "
     result = F.array(event("result", F.lit(0), F.col("answers"), null, no_json, F.col("content")))
     given = lambda c: F.coalesce(F.try_parse_json(F.try_variant_get(c, "$.arguments", "string")), F.try_variant_get(c, "$.arguments", "variant"))  # noqa: E731  objects, or objects spelt as strings
     made = F.transform("calls", lambda c, i: event("call", i, F.try_variant_get(c, "$.id", "string"), F.try_variant_get(c, "$.name", "string"), given(c), null))
-    events = F.when(F.col("answers").isNotNull(), result).when(F.col("calls").isNotNull(), F.when(F.coalesce(F.col("content"), F.lit("")) != "", F.concat(message, made)).otherwise(made)).otherwise(message)
+    events = F.when(F.col("answers").isNotNull(), result).when(F.size("calls") > 0, F.when(F.coalesce(F.col("content"), F.lit("")) != "", F.concat(message, made)).otherwise(made)).otherwise(message)
     events = messages.select("conv", "turn", "role", F.inline(events))
 
     own = F.struct("turn", "nth").alias("own")
     first = events.where("kind = 'call' AND conv IS NOT NULL AND call_id IS NOT NULL").groupBy("conv", "call_id").agg(F.min(own).alias("first")).select("conv", "call_id", F.col("first.turn").alias("call_turn"), F.col("first.nth").alias("call_nth"))
     answered = events.where("kind = 'result' AND conv IS NOT NULL").groupBy("conv", "call_id").agg(F.min(F.struct("turn", "content")).alias("answer"))
-    linked = first.join(answered.hint("shuffle_hash"), ["conv", "call_id"], "left")
+    linked = first.join(answered, ["conv", "call_id"], "left")
     plain = events.where("kind = 'message'").withColumns({"call_turn": null.cast(events.schema["turn"].dataType), "call_nth": null.cast("int"), "answer": null.cast(linked.schema["answer"].dataType)})
-    joined = events.where("kind != 'message'").join(linked.hint("shuffle_hash"), ["conv", "call_id"], "left").select(plain.columns).unionByName(plain)
+    joined = events.where("kind != 'message'").join(linked, ["conv", "call_id"], "left").select(plain.columns).unionByName(plain)
 
     errors = F.when(F.col("kind") == "call", argument_errors(F.col("name"), F.col("arguments"), tools or {})).otherwise(F.array().cast("array<string>"))
     joined = joined.withColumn("errors", errors)

@@ -37,6 +37,7 @@ ROWS = [
     (5, 0, "assistant", call(("a", "search", {"query": "other conversation"}))),
     (5, None, "assistant", ""),
     (5, 1, "assistant", '{"tool_calls": []}'),
+    (5, 2, "assistant", '{"tool_calls": [], "content": "no call"}'),
 ]
 
 
@@ -66,7 +67,16 @@ def test_linking(spark):
     assert by[1, 0, "message", None].json == json.dumps({"content": ROWS[0][3], "role": "user"}, ensure_ascii=False, separators=(",", ":"))
     for r in got:
         assert r.json == json.dumps(json.loads(r.json), ensure_ascii=False, separators=(",", ":"), sort_keys=True)
-    assert (5, 1) not in [(r.conv_id, r.turn) for r in got]
+    assert by[5, 1, "message", None].json == '{"content":null,"role":"assistant"}'
+    assert by[5, 2, "message", None].json == '{"content":"no call","role":"assistant"}'
+    assert {(r[0], r[1]) for r in ROWS} == {(r.conv_id, r.turn) for r in got}
+
+
+def test_integers_in_any_spelling(spark):
+    spelt = ["1", "1.0", "1e0", "-0.0", "100000000000000000000", "1e25", "12345678901234567890.0", "1.5", "1e-1", "100000000000000000000.5", '"1"', "true", "null"]
+    rows = [(1, k, "assistant", '{"tool_calls": [{"id": "%d", "name": "search", "arguments": {"query": "q", "limit": %s}}]}' % (k, x)) for k, x in enumerate(spelt)]
+    got = {r.turn: r.errors for r in chat.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), TOOLS).collect()}
+    assert [got[k] for k in range(len(spelt))] == [[]] * 7 + [["limit: not integer"]] * 6
 
 
 def test_nested_schemas(spark):
