@@ -64,14 +64,19 @@ def from_ranks(path: str, pattern: str) -> Tokenizer:
 
 
 class ByteBPE:
-    """One vocabulary in one process.  ``path``: a tokenizer file (.json), or ranks for which ``pattern`` is needed."""
+    """One vocabulary in one process.  ``path``: a tokenizer file (.json), or ranks for which ``pattern`` is needed.
 
-    def __init__(self, path: str, pattern: str | None = None) -> None:
+    Where a text spells a special token, that is text like any other, or with ``special`` the token, as the library takes
+    it by default; such a text is encoded as a whole."""
+
+    def __init__(self, path: str, pattern: str | None = None, special: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path) if pattern is None else from_ranks(path, pattern)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added)) if special and added else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         byte_of = {c: b for b, c in enumerate(byte_characters())}
         tokens = [b""] * (max(vocabulary.values()) + 1)
@@ -131,7 +136,10 @@ class ByteBPE:
         heads: list[str] = []
         counts = np.empty(len(texts), np.int64)
         for k, text in enumerate(texts):
-            parts = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
+            if self.special and self.special.search(text):
+                parts = [text]
+            else:
+                parts = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
             heads.append(parts[0])
             pieces += parts[1:]
             counts[k] = len(parts)
@@ -176,9 +184,9 @@ class ByteBPE:
 
 
 @cache
-def vocabulary(path: str, pattern: str | None = None) -> ByteBPE:
+def vocabulary(path: str, pattern: str | None = None, special: bool = False) -> ByteBPE:
     """The process's own copy."""
-    return ByteBPE(path, pattern)
+    return ByteBPE(path, pattern, special)
 
 
 def text_batches(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:

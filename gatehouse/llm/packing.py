@@ -62,9 +62,10 @@ class Space:
         return window, self.length - free, free
 
 
-def pack(df: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = LENGTH, open_windows: int = OPEN_WINDOWS, digest: tuple[str, str, Callable[[np.ndarray], object]] | None = None) -> DataFrame:
+def pack(df: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = LENGTH, open_windows: int = OPEN_WINDOWS, special: bool = False, digest: tuple[str, str, Callable[[np.ndarray], object]] | None = None) -> DataFrame:
     """One row for each piece: ``id_col``, start and length (in the document's ids), ids (array<int>, the piece's),
-    doc_tokens, sequence_id, offset.  A ``digest`` (name, type, function of a piece's ids) stands in place of ids."""
+    doc_tokens, sequence_id, offset.  A ``digest`` (name, type, function of a piece's ids) stands in place of ids.  With
+    ``special``, special tokens that a text spells are these tokens."""
     name, kind, value = digest or ("ids", "array<int>", lambda ids: ids.astype(np.int32))
     own = df.schema[id_col].dataType.simpleString()
     schema = f"id {own}, start long, length long, {name} {kind}, doc_tokens long, window long, offset long"
@@ -72,7 +73,7 @@ def pack(df: DataFrame, path: str, pattern: str | None = None, id_col: str = "do
     names = ["id", "start", "length", name, "doc_tokens", "window", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, space = vocabulary(path, pattern), Space(length, open_windows)
+        bpe, space = vocabulary(path, pattern, special), Space(length, open_windows)
         number = TaskContext.get().partitionId() << 34
         for batch in batches:
             for a, b, texts in text_batches(batch.column("text")):

@@ -83,7 +83,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     crc = ("ids_crc32", "long", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
-    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), digest=crc)
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), special=True, digest=crc)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,9 @@ from gatehouse.llm import packing
 JSON = P.path("byte_bpe_50k.json")
 
 
-def check(pieces, data, length):
+def check(pieces, data, length, special=False):
     whole = Tokenizer.from_file(JSON)
-    whole.encode_special_tokens = True
+    whole.encode_special_tokens = not special
     want = sorted(str([*whole.encode(t or "", add_special_tokens=False).ids, 0]) for _, t in data)
     sequences, documents = {}, {}
     for r in pieces:
@@ -57,3 +57,13 @@ def test_repeated_and_null_ids(spark):
 
 def test_empty(spark):
     assert packing.pack(frame(spark, []), JSON).collect() == []
+
+
+def test_special_tokens_as_the_library_takes_them(spark):
+    data = [(1, "hello <|endoftext|> world"), (2, "<|endoftext|>"), (3, "a<|endoftext|><|endoftext|>  b <|endoftext|"), (4, prose(1, 50))]
+    ids = {}
+    for special in (False, True):
+        got = packing.pack(frame(spark, data), JSON, length=16, special=special).collect()
+        check(got, data, 16, special)
+        ids[special] = {r.doc_id: r.ids for r in got if r.doc_id == 2}
+    assert ids[True] == {2: [50256, 0]} and ids[False] != ids[True]
