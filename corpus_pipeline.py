@@ -52,7 +52,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1,024 tokens."""
-    return packing.pack(docs, public_tokenizers.path(VOCABULARY))
+    return packing.pack(docs, public_tokenizers.path(VOCABULARY), special=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", pack)]
