@@ -16,10 +16,11 @@ by the digit; a task orders the suffixes of each group by eight bytes at a time,
 group lies in one document alone.  A group of over ``GROUP_BYTES`` is too large for one task: its suffixes are dealt
 out again, by all their bytes, to as many tasks as there are.
 
-Blocks and suffixes that repeat within an Arrow batch meet there already, so a passage in a third of all documents costs
-a row a batch.  Texts go through tasks in parts of ``PART_BYTES``, which overlap by a window, so a very long one needs no
-more memory for its digits; for the final cut a text takes about ten times its bytes.  Two blocks are taken for equal by mistake only if
-two 64-bit hashes agree; later passes compare the bytes themselves.
+Blocks and suffixes that repeat within ``BATCH_BYTES`` of texts meet there already, so a passage in a third of all
+documents costs a row for each eight megabytes.  Texts go through tasks in parts of ``PART_BYTES``, which overlap by a
+window, so a very long one needs no more memory for its digits; for the final cut a text takes about ten times its
+bytes.  Two blocks are taken for equal by mistake only if two 64-bit hashes agree; later passes compare the bytes
+themselves.
 
 Null texts are empty.  A null id counts as smaller than any.  Rows of one id are not held against each other, whatever
 their texts; rows that repeat id and text each get the same result.  The id is an integer.  The empty table gives an
@@ -41,6 +42,8 @@ from ._text import chunks, give_back, mix, powers, signed, string_buffers
 
 WINDOW, GRAM = 50, 20
 PART_BYTES = 1 << 19
+#: Bytes of texts whose blocks are made, and combined, at once.
+BATCH_BYTES = 1 << 23
 #: Bytes of blocks that a task sorts at once, and the most that a group may have there.
 CHUNK_BYTES, GROUP_BYTES = 1 << 21, 1 << 23
 #: Documents that tell which runs of bytes are common: those that one in ``COMMON_SHARE`` has, at most so many.
@@ -469,7 +472,10 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield block_rows(batch, window, gram, common)
+            size = pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)
+            for a, b in slices(size, BATCH_BYTES):
+                yield block_rows(batch.slice(a, b - a), window, gram, common)
+            give_back()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = Settle()
