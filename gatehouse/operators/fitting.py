@@ -15,55 +15,98 @@ FAMILY_POINTS = (0.0, 0.005, 0.01, 0.015, 0.02, 0.03, 0.04, 0.05, 0.075, 0.1, 0.
 MOST_POINTS, ROUND = 100, 4
 MATRIX_MODES = ("global_candidate", "same_family", "changed_same_family", "same_family_low_margin", "margin_low")
 FITTED_MODES = ("same_family_low_margin", "margin_low")
-THRESHOLD_GATES = ("raw_low_margin", "alt_high_margin", "alt_margin_advantage", "top_score_advantage", "disagreement_raw_low_margin")
+#: Pair gates that take the alternate from their threshold on; the others do up to theirs.
+FROM_ABOVE = ("alt_high_margin", "alt_margin_advantage", "top_score_advantage")
+
+
+def spread_points(df: DataFrame, values: dict[str, Column], most: int = MOST_POINTS) -> dict[str, list[float]]:
+    """For each name the distinct values, in order, if there are up to ``most``, else as many of them at even places, rounded
+    half to even; without values, zero.  All names are ordered in one pass, and ``most`` numbers of each are collected."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("value")) for k, v in values.items()])))
+    rows = order.ordered(long.where("value IS NOT NULL").distinct(), ["name", "value"])
+    ends = {r["name"]: (r["first"], r["n"]) for r in rows.groupBy("name").agg(F.min("nth").alias("first"), F.count(F.lit(1)).alias("n")).collect()}
+    places = {first + (i if n <= most else round(i * (n - 1) / (most - 1))) for first, n in ends.values() for i in range(min(n, most))}
+    found: dict[str, list[float]] = {k: [] for k in values}
+    for r in rows.where(F.col("nth").isin(sorted(places))).select("name", "value").collect() if places else []:
+        found[r["name"]].append(r["value"])
+    return {k: sorted(v) or [0.0] for k, v in found.items()}
 
 
 def spread(df: DataFrame, value: str, most: int = MOST_POINTS) -> DataFrame:
-    """(value): the distinct values if there are up to ``most``, else as many of them at even places of their order, rounded
-    half to even.  Without values, zero."""
-    distinct = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias(value)).distinct()
-    rows = order.ranked(distinct.withColumn("_t", F.lit(0)), value, "_t", "nth", "total")
-    n = rows.agg(F.max("total").alias("n")).first()["n"]
-    if not n:
-        return df.sparkSession.createDataFrame([(0.0,)], f"`{value}` double")
-    if n <= most:
-        return rows.select(value)
-    places = sorted({round(i * (n - 1) / (most - 1)) for i in range(most)})  # at most ``most`` numbers
-    return rows.where(F.col("nth").isin(places)).select(value)
+    """(value): ``spread_points`` of one column."""
+    points = spread_points(df, {value: F.col(value)}, most)[value]
+    return df.sparkSession.createDataFrame([(x,) for x in points], f"`{value}` double")
 
 
-def family_points(margins: DataFrame, margin: str) -> DataFrame:
-    """(threshold): the fixed points and the observed margins, rounded, each once."""
-    fixed = margins.sparkSession.createDataFrame([(x,) for x in FAMILY_POINTS], "threshold double")
-    return fixed.unionByName(margins.where(F.col(margin).isNotNull()).select(F.round(margin, ROUND).alias("threshold"))).distinct()
+def place_in(value: str, points: list[float], strict: bool) -> str:
+    """SQL for how many of the ordered ``points`` lie below the column ``value`` (or, not ``strict``, at it): a binary search
+    in compiled code."""
 
+    def search(a: int, b: int) -> str:
+        if a == b:
+            return str(a)
+        m = (a + b) // 2
+        return f"CASE WHEN {points[m]!r}D {'<' if strict else '<='} {value} THEN {search(m + 1, b)} ELSE {search(a, m)} END"
 
-def pair_grid(margins: DataFrame, points: dict[str, DataFrame]) -> DataFrame:
-    """(policy, t): the two fixed policies, and each gate of ``points`` at each of its thresholds (column t)."""
-    grid = margins.sparkSession.createDataFrame([("always_baseline", 0.0), ("always_alternate", 0.0)], "policy string, t double")
-    for policy, table in points.items():
-        grid = grid.unionByName(table.select(F.lit(policy).alias("policy"), F.col(table.columns[0]).alias("t")))
-    return grid
+    return f"CASE WHEN {value} IS NOT NULL THEN {search(0, len(points))} END"
 
 
-def pair_points(rows: DataFrame) -> dict[str, DataFrame]:
-    """The thresholds that each gate tries, from rows (base_margin, alt_margin, base_top, alt_top)."""
-    base = spread(rows, "base_margin")
-    gap = spread(rows.select(F.round(F.col("alt_margin") - F.col("base_margin"), 6).alias("g")), "g")
-    top = spread(rows.select(F.round(F.col("alt_top") - F.col("base_top"), 6).alias("g")), "g")
-    return {"raw_low_margin": base, "alt_high_margin": spread(rows, "alt_margin"), "alt_margin_advantage": gap, "top_score_advantage": top, "disagreement_raw_low_margin": base}
+def pair_values() -> dict[str, Column]:
+    """What each pair gate compares with its threshold, from columns base_margin, alt_margin, base_top, alt_top."""
+    base, alt = F.col("base_margin"), F.col("alt_margin")
+    gap, top = F.round(alt - base, 6), F.round(F.col("alt_top") - F.col("base_top"), 6)
+    return {"raw_low_margin": base, "alt_high_margin": alt, "alt_margin_advantage": gap, "top_score_advantage": top, "disagreement_raw_low_margin": base}
 
 
-def gated(rows: DataFrame, grid: DataFrame) -> DataFrame:
-    """Rows under each (policy, t) of a bounded grid, with use_alt, the chosen rank and base_hit."""
-    many = rows.join(F.broadcast(grid))  # the grid has at most 2 + 5 x MOST_POINTS rows
-    use = gates.pair_choice(F.col("policy"), F.col("t"), F.col("base_margin"), F.col("alt_margin"), F.col("base_top"), F.col("alt_top"), F.col("agree"))
-    return many.withColumn("use_alt", use).withColumns({"rank": F.when(F.col("use_alt"), F.col("alt_rank")).otherwise(F.col("base_rank")), "base_hit": F.col("base_rank") == 1})
+def pair_points(rows: DataFrame) -> dict[str, list[float]]:
+    """The thresholds that each gate tries."""
+    values = pair_values()
+    found = spread_points(rows, {k: v for k, v in values.items() if k != "disagreement_raw_low_margin"})
+    return found | {"disagreement_raw_low_margin": found["raw_low_margin"]}
 
 
-def pair_leaderboard(rows: DataFrame, grid: DataFrame) -> DataFrame:
-    """Metrics of each (policy, t), with place from 1: by accuracy, recall at 3, mrr, then the fewer alternates, policy and t."""
-    board = gates.chosen_metrics(gated(rows, grid), ["policy", "t"])
+def gated(rows: DataFrame, grid: DataFrame) -> DataFrame:
+    """Rows under the one (policy, t) of ``grid``, with use_alt, the chosen rank and base_hit."""
+    use = gates.pair_choice(F.col("policy"), F.col("t"), F.col("base_margin"), F.col("alt_margin"), F.col("base_top"), F.col("alt_top"), F.col("agree"))
+    return rows.join(F.broadcast(grid.limit(1))).withColumn("use_alt", use).withColumns({"rank": F.when(F.col("use_alt"), F.col("alt_rank")).otherwise(F.col("base_rank")), "base_hit": F.col("base_rank") == 1})
+
+
+def pair_leaderboard(rows: DataFrame, points: dict[str, list[float]]) -> DataFrame:
+    """Metrics of each (policy, t), with place from 1: by accuracy, recall at 3, mrr, then the fewer alternates, policy and t.
+
+    A sweep: a row falls once into a gate's cell between two thresholds, cells are counted, and running sums over the
+    cells tell each threshold what changes where its rows take the alternate.  The cost is the rows and the grid."""
+    spark, values = rows.sparkSession, pair_values()
+    base, alt = F.col("base_rank"), F.col("alt_rank")
+    true = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    told = lambda r: {"hits": true(r == 1), "top3": true(r <= 3), "top5": true(r <= 5), "known": true(r.isNotNull()), "mrr": F.coalesce(1.0 / r, F.lit(0.0))}
+    counts = {k: a - told(base)[k] for k, a in told(alt).items()}
+    counts |= {"used": F.lit(1), "fixes": true(alt == 1) * (1 - true(base == 1)), "regressions": true(base == 1) * (1 - true(alt == 1))}
+    cells = ["struct('always_alternate' AS policy, 0 AS cell)"]
+    for policy, points_ in points.items():
+        if policy in FROM_ABOVE:  # numbered from the highest threshold
+            cell = f"{len(points_)} - {place_in(policy, points_, strict=False)}"
+        else:
+            cell = place_in(policy, points_, strict=True)
+        if policy == "disagreement_raw_low_margin":
+            cell = f"CASE WHEN agree THEN 0 ELSE {cell} END"
+        cells.append(f"struct('{policy}' AS policy, {cell} AS cell)")
+    told_of = rows.select("agree", *[v.alias(k) for k, v in counts.items()], *[v.cast("double").alias(k) for k, v in values.items()])
+    moved = told_of.select(*counts, F.expr(f"inline(array({', '.join(cells)}))")).where("cell IS NOT NULL")
+    moved = moved.groupBy("policy", "cell").agg(*[F.sum(k).alias(k) for k in counts])
+    grid = [("always_baseline", 0, 0.0), ("always_alternate", 0, 0.0)]
+    for policy, points_ in points.items():
+        places = points_[::-1] if policy in FROM_ABOVE else points_
+        grid += [(policy, k, t) for k, t in enumerate(places)]
+    tried = spark.createDataFrame(grid, "policy string, cell int, t double")  # MOST_POINTS rows a gate
+    upto = Window.partitionBy("policy").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    run = tried.join(moved, ["policy", "cell"], "left").select("policy", "t", *[F.coalesce(F.sum(k).over(upto), F.lit(0)).alias(k) for k in counts])
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"_{k}") for k, v in told(base).items()])
+    share = lambda c, of="n": F.round(F.coalesce(F.try_divide(c.cast("double"), F.col(of)), F.lit(0.0)), 6)
+    board = run.join(F.broadcast(whole)).withColumn("ranked", F.col("known") + F.col("_known")).select(
+        "policy", "t", "n", share(F.col("hits") + F.col("_hits")).alias("accuracy"), share(F.col("top3") + F.col("_top3")).alias("recall_at_3"), share(F.col("top5") + F.col("_top5")).alias("recall_at_5"),
+        share(F.col("mrr") + F.col("_mrr"), "ranked").alias("mrr"), share(F.col("used")).alias("alternate_rate"), F.col("fixes").cast("long").alias("fixes"), F.col("regressions").cast("long").alias("regressions"),
+    ).where("n > 0")
     best = Window.orderBy(F.desc("accuracy"), F.desc("recall_at_3"), F.desc("mrr"), "alternate_rate", "policy", "t")  # over the grid
     return board.withColumn("place", F.row_number().over(best).cast("long"))
 
@@ -71,7 +114,7 @@ def pair_leaderboard(rows: DataFrame, grid: DataFrame) -> DataFrame:
 def fitted_gate(validation: DataFrame, test: DataFrame, rounds: int, seed: int | str) -> DataFrame:
     """The pair gate that leads on ``validation``, held to ``test``: (policy, t, validation_accuracy, test metrics, paired
     difference from the test's baseline and its bounds by convention C)."""
-    board = pair_leaderboard(validation, pair_grid(validation, pair_points(validation)))
+    board = pair_leaderboard(validation, pair_points(validation))
     lead = board.where("place = 1").select("policy", "t", F.col("accuracy").alias("validation_accuracy"))
     chosen = gated(test, lead.select("policy", "t"))
     counts = resample.paired_counts(chosen, ["policy", "t"], F.col("base_hit"), F.col("rank") == 1)
@@ -103,16 +146,35 @@ def family_gate(rows: DataFrame, mode: Column, threshold: Column) -> DataFrame:
     return rows.withColumn("use_alt", matrix_choice(mode, F.col("base"), F.col("alt"), F.col("base_margin"), threshold))
 
 
-def select_threshold(rows: DataFrame, by: list[str], points: DataFrame) -> DataFrame:
+def select_threshold(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, mode, threshold): of the fitted modes the threshold with the best accuracy, then the fewest regressions, the
-    lowest route rate and the smallest threshold; the other modes have zero.  ``points`` has (by, threshold)."""
-    tried = rows.join(points, by) if by else rows.join(F.broadcast(points))
-    many = tried.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in FITTED_MODES])))
-    board = tool_rates(family_gate(many, F.col("mode"), F.col("threshold")), [*by, "mode", "threshold"])
-    best = board.groupBy(*by, "mode").agg(F.min(F.struct((-F.col("accuracy_at_1")).alias("a"), "regressions", "route_rate", "threshold")).alias("b"))
-    other = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
-    rest = other.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in MATRIX_MODES if m not in FITTED_MODES]))).withColumn("threshold", F.lit(0.0))
-    return best.select(*by, "mode", F.col("b.threshold").alias("threshold")).unionByName(rest.select(*by, "mode", "threshold"))
+    lowest route rate and the smallest threshold; the other modes have zero.  Thresholds are the fixed points and the
+    observed margins, rounded.
+
+    A sweep: rows are counted by their rounded margin and whether they lie below it, and running sums over these tell
+    each threshold what routing all margins below it changes."""
+    base, alt, target = F.col("base"), F.col("alt"), F.col("target")
+    gain = ((alt == target).cast("int") - (base == target).cast("int")).alias("gain")
+    loss = ((base == target) & (alt != target)).cast("int").alias("loss")
+    same = label_family(base) == label_family(alt)
+    margin = F.round("base_margin", ROUND)
+    kept = rows.select(*by, gain, loss, same.alias("same"), (base == target).cast("int").alias("was"), margin.alias("t"), (F.col("base_margin") < margin).alias("below"))
+    whole = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("was").alias("was"))
+    counted = kept.where("t IS NOT NULL").groupBy(*by, "t", "below", "same").agg(F.count(F.lit(1)).alias("used"), F.sum("gain").alias("gain"), F.sum("loss").alias("loss"))
+    fixed = whole.select(*by, F.explode(F.array(*[F.lit(x) for x in FAMILY_POINTS])).alias("t"))
+    tried = counted.select(*by, "t").unionByName(fixed).distinct().withColumn("mode", F.explode(F.array(*[F.lit(m) for m in FITTED_MODES])))
+    moved = counted.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in FITTED_MODES]))).where("same OR mode = 'margin_low'")
+    zero = F.lit(0).cast("long")
+    events = moved.select(*by, "mode", "t", F.when(F.col("below"), 0).otherwise(2).alias("step"), "used", "gain", "loss")
+    events = events.unionByName(tried.select(*by, "mode", "t", F.lit(1).alias("step"), zero.alias("used"), zero.alias("gain"), zero.alias("loss")))
+    upto = Window.partitionBy(*by, "mode").orderBy("t", "step").rangeBetween(Window.unboundedPreceding, 0)  # a few rows a threshold
+    run = events.select(*by, "mode", "t", "step", *[F.sum(c).over(upto).alias(c) for c in ("used", "gain", "loss")]).where("step = 1")
+    board = run.join(whole, by) if by else run.join(F.broadcast(whole))
+    share = lambda c: F.round(c / F.col("n"), 6)
+    order_ = F.struct((-share(F.col("was") + F.col("gain"))).alias("a"), F.col("loss").alias("r"), share(F.col("used")).alias("u"), F.col("t").alias("threshold"))
+    best = board.groupBy(*by, "mode").agg(F.min(order_).alias("b"))
+    rest = whole.select(*by, F.explode(F.array(*[F.lit(m) for m in MATRIX_MODES if m not in FITTED_MODES])).alias("mode"), F.lit(0.0).alias("threshold"))
+    return best.select(*by, "mode", F.col("b.threshold").alias("threshold")).unionByName(rest)
 
 
 def seeded(rows: DataFrame, seeds: list[int], selection: float, key: str = "sample_id") -> DataFrame:
@@ -128,9 +190,7 @@ def policy_matrix(rows: DataFrame, seeds: list[int], selection: float, rounds: i
     of every seed and held to its locked part.  ``rows`` has (sample_id, base, alt, target, base_margin)."""
     parts = seeded(rows, seeds, selection)
     fit, locked = parts.where("part = 'selection'"), parts.where("part = 'locked'")
-    observed = fit.where(F.col("base_margin").isNotNull()).select("split_seed", F.round("base_margin", ROUND).alias("threshold"))
-    fixed = fit.select("split_seed").distinct().withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in FAMILY_POINTS])))
-    chosen = select_threshold(fit, ["split_seed"], observed.unionByName(fixed).distinct())
+    chosen = select_threshold(fit, ["split_seed"])
     held = family_gate(locked.join(F.broadcast(chosen), "split_seed"), F.col("mode"), F.col("threshold"))
     by = ["split_seed", "mode"]
     said = F.when(F.col("use_alt"), F.col("alt")).otherwise(F.col("base"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
+
 
 def rate(condition: Column) -> Column:
     return F.round(F.coalesce(F.avg(F.coalesce(condition, F.lit(False)).cast("double")), F.lit(0.0)), 6)
@@ -47,11 +49,6 @@ def value_counts(df: DataFrame, columns: list[str], k: int) -> DataFrame:
 def order_quantiles(df: DataFrame, value: str) -> DataFrame:
     """n, mean, max, p50 = sorted[n // 2], p95 = sorted[int(0.95 n)]: order statistics, found from value counts."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    one = counts.agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("a"), F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("s"), F.max("v").alias("max"))
-
-    def at(index: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(df.schema[value].dataType).alias("v"))
-        return F.aggregate("a", start, lambda acc, x: F.struct((acc["seen"] + x["c"]).alias("seen"), F.when((acc["seen"] <= index) & (index < acc["seen"] + x["c"]), x["v"]).otherwise(acc["v"]).alias("v")), lambda acc: acc["v"])
-
-    n = F.col("n")
-    return one.select(n, F.round(F.col("s") / n, 6).alias("mean"), "max", at(F.floor(n / 2)).alias("p50"), at(F.floor(n * 0.95)).alias("p95"))
+    whole = counts.agg(F.sum("c").alias("n"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("mean"), F.max("v").alias("max"))
+    total = F.col("total")
+    return whole.join(order.at_weights(counts, "v", "c", {"p50": F.floor(total / 2), "p95": F.floor(total * 0.95)}))  # one row each

@@ -10,20 +10,38 @@ from ..views import HYBRID_SQL, RUNS_SQL, hybrid, runs
 from .registry import hash_sql, registry
 
 QUERIES, ORACLE_SQL, query = registry()
-ROUNDS, SEED = 1000, 42
-
-
-def spot_sql(seed: str, place: str) -> str:
-    """What is drawn for a place: 32 of the 128 bits of the MD5 of 'seed:round:place / 4'."""
-    return f"CAST('0x' || substr(md5({seed} || ':' || CAST(round AS VARCHAR) || ':' || CAST({place} // 4 AS VARCHAR)), CAST(1 + 8 * ({place} % 4) AS INT), 8) AS BIGINT)"
+#: Rounds of most bootstraps, of routing boards and splits, and of gates and policies that are fitted.
+ROUNDS, BOARD_ROUNDS, FIT_ROUNDS, SEED = 5000, 10_000, 2000, 42
+
+
+def tree_sql(name: str, kinds: str, by: str, depth: int, rounds: int, seed: str) -> str:
+    """CTE ``name`` (by, round, j, x): how often each kind is drawn, from ``kinds`` (by, j from 0, w), up to 2 ** depth of them.
+
+    Level by level a node's draws are split between its halves: the least count whose binomial distribution function,
+    tabled here by logarithms of the gamma function, exceeds a word of the MD5 of seed:round:node / 4."""
+    out = [
+        f"{name}_k AS (SELECT {by}, j, w, CASE WHEN max(j) OVER (PARTITION BY {by}) = 0 THEN 0 ELSE length(bin(max(j) OVER (PARTITION BY {by}))) END AS d FROM {kinds})",
+        f"{name}_s0 AS (SELECT {by}, d, r.round, CAST(1 AS BIGINT) AS node, CAST(sum(w) AS BIGINT) AS m FROM {name}_k, range({rounds}) AS r(round) GROUP BY {by}, d, r.round)",
+    ]
+    for level in range(depth):
+        n = f"{name}_{level}"
+        out += [
+            f"{n}w AS (SELECT {by}, {1 << level} + (j >> (d - {level})) AS node, CAST(sum(w) AS BIGINT) AS b, CAST(sum(CASE WHEN (j >> (d - {level + 1})) & 1 = 0 THEN w ELSE 0 END) AS BIGINT) AS a FROM {name}_k WHERE d > {level} GROUP BY ALL)",
+            f"{n}q AS (SELECT *, (CAST('0x' || substr(md5({seed} || ':' || CAST(round AS VARCHAR) || ':' || CAST(node // 4 AS VARCHAR)), CAST(1 + 8 * (node % 4) AS INT), 8) AS BIGINT) + 0.5e0) / 4294967296e0 AS u FROM {name}_s{level} JOIN {n}w USING ({by}, node) WHERE b > 0)",
+            f"{n}p AS (SELECT m, a, b, i, exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + i * ln(CAST(a AS DOUBLE) / b) + (m - i) * ln(1 - CAST(a AS DOUBLE) / b)) AS mass FROM (SELECT *, unnest(range(m + 1)) AS i FROM (SELECT DISTINCT m, a, b FROM {n}q WHERE a > 0 AND a < b)))",
+            f"{n}c AS (SELECT m, a, b, i, sum(mass) OVER (PARTITION BY m, a, b ORDER BY i) AS c FROM {n}p)",
+            f"{n}x AS (SELECT q.*, CASE WHEN q.a = 0 THEN 0 WHEN q.a = q.b THEN q.m ELSE least(q.m, coalesce(t.i + 1, 0)) END AS x FROM {n}q AS q ASOF LEFT JOIN {n}c AS t ON q.m = t.m AND q.a = t.a AND q.b = t.b AND q.u >= t.c)",
+            f"{name}_s{level + 1} AS (SELECT {by}, d, round, 2 * node AS node, x AS m FROM {n}x WHERE x > 0 UNION ALL SELECT {by}, d, round, 2 * node + 1, m - x FROM {n}x WHERE m > x UNION ALL SELECT {by}, d, round, node, m FROM {name}_s{level} WHERE d <= {level})",
+        ]
+    return ",\n".join([*out, f"{name} AS (SELECT {by}, round, node - (1 << d) AS j, m AS x FROM {name}_s{depth})"])
 
 
 def boot_sql(counts: str, by: str, rounds: int = ROUNDS, seed: str = f"'{SEED}'") -> str:
-    """CTEs pl and boots: the draws of ``counts`` (by, n, fixes, regressions)."""
+    """CTE boots (by, round, value): the draws of ``counts`` (by, n, fixes, regressions)."""
     return f"""
-pl AS (SELECT {by}, n, fixes, regressions, r.round, unnest(range(n)) AS pos FROM {counts}, range({rounds}) AS r(round) WHERE n > 0),
-dw AS (SELECT *, {spot_sql(seed, "pos")} % n AS spot FROM pl),
-boots AS (SELECT {by}, round, sum(CASE WHEN spot < fixes THEN 1 WHEN spot < fixes + regressions THEN -1 ELSE 0 END) / CAST(any_value(n) AS DOUBLE) AS value FROM dw GROUP BY {by}, round)"""
+bk AS (SELECT {by}, unnest([0, 1, 2]) AS j, unnest([fixes, regressions, n - fixes - regressions]) AS w FROM {counts} WHERE n > 0),
+{tree_sql("bt", "bk", by, 2, rounds, seed)},
+boots AS (SELECT {by}, round, sum(CASE j WHEN 0 THEN x WHEN 1 THEN -x ELSE 0 END) / CAST(any_value(n) AS DOUBLE) AS value FROM bt JOIN {counts} USING ({by}) GROUP BY {by}, round)"""
 
 
 def ci_sql(by: str, convention: str, rounds: int = ROUNDS) -> str:
@@ -59,7 +77,7 @@ def route_policy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ROUTED_SQL},
 cn AS (SELECT policy, count(*) AS n, count(*) FILTER (WHERE rank = 1 AND NOT asr_hit) AS fixes, count(*) FILTER (WHERE asr_hit AND rank <> 1) AS regressions FROM pr GROUP BY policy),
-{boot_sql("cn", "policy")}, {ci_sql("policy", "A")},
+{boot_sql("cn", "policy", BOARD_ROUNDS)}, {ci_sql("policy", "A", BOARD_ROUNDS)},
 mt AS (SELECT policy, {METRICS_SQL}, round(avg(CAST(routed AS INT)), 6) AS route_rate,
          CASE WHEN policy = 'disagreement_rerank' THEN round(avg(CAST(routed AS INT)), 6) ELSE 0e0 END AS api_call_rate,
          count(*) FILTER (WHERE rank = 1 AND NOT asr_hit) AS rescue_count,
@@ -67,7 +85,7 @@ mt AS (SELECT policy, {METRICS_SQL}, round(avg(CAST(routed AS INT)), 6) AS route
          count(*) FILTER (WHERE asr_hit AND rank <> 1) AS regression_count, round(avg(CAST(asr_hit AND rank <> 1 AS INT)), 6) AS regression_rate FROM pr GROUP BY policy)
 SELECT mt.*, round((fixes - regressions) / CAST(cn.n AS DOUBLE), 6) AS delta_vs_asr, ci_low AS lcb_vs_asr, ci_high AS ucb_vs_asr FROM mt JOIN cn ON mt.policy = cn.policy JOIN ci ON mt.policy = ci.policy""")
 def route_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.leaderboard(routing.routed(hybrid(spark, sf_dir)), ROUNDS, SEED)
+    return routing.leaderboard(routing.routed(hybrid(spark, sf_dir)), BOARD_ROUNDS, SEED)
 
 
 @query(f"WITH {RUNS_SQL} SELECT candidate, {METRICS_SQL} FROM runs GROUP BY candidate")
@@ -99,11 +117,13 @@ for _c in "ABCDE":
 _LOW, _HIGH = (f(ROUNDS) + 1 for f in resample.CONVENTIONS["C"])
 
 
-@query(f"""WITH {RUNS_SQL}, r AS (SELECT *, CAST(hit AS INT) - CAST(base_hit AS INT) AS hd, 1e0 / rank - 1e0 / asr_rank AS md, row_number() OVER (PARTITION BY candidate ORDER BY asr_rank, rank, sample_id) - 1 AS place, count(*) OVER (PARTITION BY candidate) AS size FROM runs),
-d AS (SELECT candidate, size, t.round, {spot_sql(f"'{SEED}'", "place")} % size AS spot FROM r, range({ROUNDS}) AS t(round)),
-b AS (SELECT d.candidate, d.round, sum(hd) / CAST(any_value(d.size) AS DOUBLE) AS h, round(sum(md) / any_value(d.size), 9) AS m FROM d JOIN r ON r.candidate = d.candidate AND r.place = d.spot GROUP BY 1, 2),
-c AS (SELECT candidate, round(list_sort(list(h))[{_LOW}], 6) AS hit_low, round(list_sort(list(h))[{_HIGH}], 6) AS hit_high, round(list_sort(list(m))[{_LOW}], 6) AS mrr_low, round(list_sort(list(m))[{_HIGH}], 6) AS mrr_high FROM b GROUP BY 1)
-SELECT r.candidate, count(*) AS n, round(avg(hd), 6) AS hit_delta, round(avg(md), 6) AS mrr_delta, any_value(hit_low) AS hit_low, any_value(hit_high) AS hit_high, any_value(mrr_low) AS mrr_low, any_value(mrr_high) AS mrr_high FROM r JOIN c ON r.candidate = c.candidate GROUP BY r.candidate""")
+@query(f"""WITH {RUNS_SQL}, r AS (SELECT candidate, asr_rank, rank, count(*) AS w, any_value(CAST(hit AS INT) - CAST(base_hit AS INT)) AS hd, any_value(1e0 / rank - 1e0 / asr_rank) AS md FROM runs GROUP BY 1, 2, 3),
+kd AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY asr_rank, rank) - 1 AS j FROM r), kk AS (SELECT candidate, j, w FROM kd),
+{tree_sql("kt", "kk", "candidate", 7, ROUNDS, f"'{SEED}'")},
+b AS (SELECT candidate, round, sum(x * hd) / CAST(sum(x) AS DOUBLE) AS h, round(sum(x * md) / sum(x), 9) AS m FROM kt JOIN kd USING (candidate, j) GROUP BY 1, 2),
+c AS (SELECT candidate, round(list_sort(list(h))[{_LOW}], 6) AS hit_low, round(list_sort(list(h))[{_HIGH}], 6) AS hit_high, round(list_sort(list(m))[{_LOW}], 6) AS mrr_low, round(list_sort(list(m))[{_HIGH}], 6) AS mrr_high FROM b GROUP BY 1),
+o AS (SELECT candidate, CAST(sum(w) AS BIGINT) AS n, round(sum(w * hd) / CAST(sum(w) AS DOUBLE), 6) AS hit_delta, round(sum(w * md) / sum(w), 6) AS mrr_delta FROM kd GROUP BY candidate)
+SELECT * FROM o JOIN c USING (candidate)""")
 def shared_draw_hit_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits and reciprocal ranks against the head view, by the same draws."""
     return resample.paired_ranks(runs(spark, sf_dir), ["candidate"], "asr_rank", "rank", ROUNDS, SEED)
@@ -140,9 +160,9 @@ def order_gate_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RUNS_SQL}, g AS (SELECT target AS g, count(*) AS n, sum(CAST(hit AS INT) - CAST(base_hit AS INT)) AS s FROM runs WHERE candidate = 'omni' GROUP BY target),
-a AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS groups FROM g),
-d AS (SELECT r.round, {hash_sql("'42'", "CAST(r.round AS VARCHAR) || ':' || CAST(a.i AS VARCHAR)")} % groups AS pick FROM a, range({ROUNDS}) AS r(round)),
-b AS (SELECT round, sum(a.s) / CAST(sum(a.n) AS DOUBLE) AS value FROM d JOIN a ON d.pick = a.i GROUP BY round)
+a AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS j FROM g), ka AS (SELECT 'all' AS one, j, 1 AS w FROM a),
+{tree_sql("kt", "ka", "one", 4, ROUNDS, f"'{SEED}'")},
+b AS (SELECT round, sum(x * s) / CAST(sum(x * n) AS DOUBLE) AS value FROM kt JOIN a USING (j) GROUP BY round)
 SELECT CAST((SELECT sum(n) FROM g) AS BIGINT) AS n, (SELECT count(*) FROM g) AS groups, round((SELECT sum(s) / CAST(sum(n) AS DOUBLE) FROM g), 6) AS delta,
        round(quantile_cont(value, 0.025), 6) AS ci_low, round(quantile_cont(value, 0.975), 6) AS ci_high FROM b""")
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +210,7 @@ def tost_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {RUNS_SQL}, f AS (SELECT candidate, {hash_sql("'7'", "target")} % 5 AS fold, avg(CAST(hit AS INT)) AS acc FROM runs GROUP BY candidate, fold),
 s AS (SELECT candidate, count(acc) AS n, avg(acc) AS m, stddev_samp(acc) AS sd FROM f GROUP BY candidate)
 SELECT candidate, n, round(m, 6) AS mean, round(m - t * sd / sqrt(n), 6) AS ci_low, round(m + t * sd / sqrt(n), 6) AS ci_high
-FROM (SELECT *, CASE n - 1 WHEN 1 THEN 12.706205 WHEN 2 THEN 4.302653 WHEN 3 THEN 3.182446 WHEN 4 THEN 2.776445 END AS t FROM s)""")
+FROM (SELECT *, CASE n - 1 WHEN 1 THEN 12.706204736432095e0 WHEN 2 THEN 4.302652729911275e0 WHEN 3 THEN 3.182446305284263e0 WHEN 4 THEN 2.776445105197799e0 END AS t FROM s)""")
 def across_seed_t_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = runs(spark, sf_dir).withColumn("fold", sampling.group_fold(F.col("target"), 5, 7)).groupBy("candidate", "fold").agg(F.avg(F.col("hit").cast("double")).alias("acc"))
     return resample.t_interval(folds, ["candidate"], "acc")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import similarity
+from ..shared import folder
 from ..sources import readers, sinks
 from ..views import table
 from .registry import registry
@@ -17,7 +18,7 @@ QUERIES, ORACLE_SQL, query = registry()
 @query("""WITH l AS (SELECT doc_id % 97 AS k, max(doc_id) AS doc_id, min(doc_id) AS first FROM documents GROUP BY 1) SELECT CAST(k AS VARCHAR) AS sample_id, lang AS dataset, text, first FROM l JOIN documents d ON d.doc_id = l.doc_id""")
 def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a manifest of JSON lines; of rows with one id the last is read, and the first is told."""
-    path = sinks.own_folder(spark, "manifest")
+    path = folder(spark, "manifest")
     d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 97).cast("string").alias("sample_id"), F.col("lang").alias("dataset"), "text", F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("unknown"))
     sinks.write_rows(d, path, "json")
     rows = readers.read_jsonl(spark, path).select("sample_id", "dataset", "text", F.col("document_id").cast("long").alias("at"))
@@ -33,7 +34,7 @@ def candidate_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         row = F.struct(F.col("item_id").cast("string").alias(key), (F.col("item_id") % size + 1).alias("rank"))
         rows = table(spark, sf_dir, "benchmark").agg(F.collect_list(row).alias("rows"))  # a benchmark's report is one document
         whole = F.struct("rows") if name == "base" else F.struct(F.struct(F.struct("rows").alias("test")).alias("metrics"))
-        path = sinks.own_folder(spark, f"report-{name}")
+        path = folder(spark, f"report-{name}")
         rows.select(F.to_json(whole).alias("value")).write.text(path)
         named.append(f"{name}={path}")
     reports = readers.candidates(spark, dict(readers.spec(x) for x in named), "base")
@@ -50,7 +51,7 @@ def board(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BOARD_SQL} SELECT lang, n, mean_chars, note FROM b")
 def board_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = sinks.own_folder(spark, "board")
+    path = folder(spark, "board")
     sinks.write_csv(board(spark, sf_dir), path, ["lang"])
     return spark.read.schema("lang string, n long, mean_chars double, note string").option("header", True).csv(path)
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fitting as T
+from ..shared import materialize
 from ..views import HYBRID_SQL, candidate_lists, hybrid, label_name
-from .evaluation import ROUNDS, boot_sql, ci_sql
+from .evaluation import FIT_ROUNDS, ROUNDS, boot_sql, ci_sql
 from .registry import hash_sql, registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -45,18 +46,18 @@ bp AS (SELECT *, row_number() OVER (ORDER BY accuracy DESC, recall_at_3 DESC, mr
 @query(f"WITH {BOARD_SQL} SELECT * FROM bp")
 def fitted_policy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two fixed policies and five gates at up to 100 thresholds each, on the even rows."""
-    rows = pair_rows(spark, sf_dir).where("vec_id % 2 = 0")
-    return T.pair_leaderboard(rows, T.pair_grid(rows, T.pair_points(rows)))
+    rows = materialize(pair_rows(spark, sf_dir).where("vec_id % 2 = 0"), "pairs")
+    return T.pair_leaderboard(rows, T.pair_points(rows))
 
 
 @query(f"""WITH {BOARD_SQL}, te AS (SELECT gc.*, bp.accuracy AS validation_accuracy FROM gc JOIN bp ON gc.policy = bp.policy AND gc.t = bp.t WHERE place = 1 AND vec_id % 2 = 1),
-cn AS (SELECT policy, count(*) AS n, count(*) FILTER (WHERE rank = 1 AND NOT base_hit) AS fixes, count(*) FILTER (WHERE base_hit AND rank <> 1) AS regressions FROM te GROUP BY policy), {boot_sql("cn", "policy")}, {ci_sql("policy", "C")},
+cn AS (SELECT policy, count(*) AS n, count(*) FILTER (WHERE rank = 1 AND NOT base_hit) AS fixes, count(*) FILTER (WHERE base_hit AND rank <> 1) AS regressions FROM te GROUP BY policy), {boot_sql("cn", "policy", FIT_ROUNDS)}, {ci_sql("policy", "C", FIT_ROUNDS)},
 tm AS (SELECT policy, t, any_value(validation_accuracy) AS validation_accuracy, {CHOSEN} FROM te GROUP BY policy, t)
 SELECT tm.*, round((fixes - regressions) / CAST(n AS DOUBLE), 6) AS delta, ci_low, ci_high FROM tm JOIN ci ON tm.policy = ci.policy""")
 def fitted_policy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leading gate of the even rows, held to the odd ones."""
-    rows = pair_rows(spark, sf_dir)
-    return T.fitted_gate(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), ROUNDS, 42)
+    rows = materialize(pair_rows(spark, sf_dir), "pairs")
+    return T.fitted_gate(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), FIT_ROUNDS, 42)
 
 
 SEEDS = (3, 11, 29)
@@ -86,7 +87,7 @@ mx AS (SELECT lm.*, round((fixes - regressions) / CAST(n AS DOUBLE), 6) AS delta
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.policy_matrix(tool_rows(spark, sf_dir), list(SEEDS), 0.4, ROUNDS, 42)
+    return T.policy_matrix(materialize(tool_rows(spark, sf_dir), "tools"), list(SEEDS), 0.4, ROUNDS, 42)
 
 
 @query(f"WITH {TOOL_SQL} SELECT split_seed, mode, threshold, n, accuracy_at_1, route_rate, unsafe_wrong_tool_rate, boundary_error_rate, fixes, regressions, delta, regression_rate, ci_low, ci_high FROM mx")
