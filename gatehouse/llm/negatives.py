@@ -102,7 +102,7 @@ def kmeans(x: np.ndarray, k: int) -> np.ndarray:
 class Shard:
     """Members of a shard, list by list, and the searches that visit them."""
 
-    def __init__(self, members: pa.Table, centroids: np.ndarray, k: int, same: bool) -> None:
+    def __init__(self, members: pa.Table, centroids: np.ndarray, k: int, same: bool, together: int, candidates: int) -> None:
         at = members.column("list").to_numpy()
         order = np.argsort(at, kind="stable")
         self.x = matrix(members.column("q"))[order]
@@ -111,11 +111,11 @@ class Shard:
         self.ends = np.append(self.first[1:], len(at))
         self.centroids = centroids[lists]
         self.radius = np.maximum.reduceat(members.column("distance").to_numpy()[order], self.first)
-        self.k, self.same = k, same
+        self.k, self.same, self.together, self.candidates = k, same, together, candidates
 
     def search(self, batch: pa.Table) -> Iterator[pa.RecordBatch]:
-        for a in range(0, batch.num_rows, TOGETHER):
-            yield self.visits(batch.slice(a, TOGETHER))
+        for a in range(0, batch.num_rows, self.together):
+            yield self.visits(batch.slice(a, self.together))
 
     def visits(self, asked: pa.Table) -> pa.RecordBatch:
         q = matrix(asked.column("q"))
@@ -140,7 +140,7 @@ class Shard:
                 good &= (own_hash[rows, None] != self.hash[own]) | (own_row[rows, None] != self.row[own])
                 i, j = np.nonzero(good)
                 held = [np.concatenate(x) for x in zip(held, (rows[i], score[i, j].astype(np.int64), self.first[of] + j), strict=True)]
-                if len(held[0]) > CANDIDATES:
+                if len(held[0]) > self.candidates:
                     held, floor = self.cut(held, floor)
             held, floor = self.cut(held, floor)
             begin, wave = begin + wave, 2 * wave
@@ -254,7 +254,7 @@ class Index:
                     if units[a][2] == 0:
                         held.append(rows)
                     elif held:
-                        shard = shard or Shard(pa.Table.from_batches(held), centroids, k, same)
+                        shard = shard or Shard(pa.Table.from_batches(held), centroids, k, same, TOGETHER, CANDIDATES)
                         yield from shard.search(pa.Table.from_batches([rows]))
 
         pick = F.pmod(F.xxhash64("file_hash", "file_row"), F.lit(1 << 40)).alias("pick")

@@ -238,6 +238,20 @@ ORACLE_SQL = {
                      '{"content":"' || content || '","id":"' || r.id || '","role":"tool"}'
               FROM r LEFT JOIN fc ON r.conv_id = fc.conv_id AND r.id = fc.id JOIN fr ON r.conv_id = fr.conv_id AND r.id = fr.id)
         SELECT conv_id, turn, e."at", CAST(phase AS INT) AS phase, CAST(nth AS INT) AS nth, role, kind, call_id, status, errors, json FROM e""",
+    # bytes as pairs of hexadecimal digits; removed windows that touch are one span
+    "op12_suffix_array_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        c AS (SELECT r, doc_id, at, substr(x, 2 * at + 1, 498) AS x FROM (SELECT *, unnest(range(0, length(x) // 2 - 49, 200)) AS at FROM d WHERE length(x) >= 100)),
+        w AS (SELECT r, doc_id, at + i AS i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(length(x) // 2 - 49)) AS i FROM c)),
+        f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+        e AS (SELECT r, i, CAST(coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 50, true) AS INT) AS fresh FROM w JOIN f ON w.s = f.s WHERE doc_id > first),
+        s AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS span FROM e),
+        p AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM s GROUP BY r, span),
+        k AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS behind FROM p),
+        t AS (SELECT k.r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(x, 2 * behind + 1, 2 * (a - behind)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+              FROM k JOIN d ON k.r = d.r GROUP BY k.r)
+        SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+        FROM d LEFT JOIN t ON d.r = t.r""",
     "op11_hard_negatives": r"""
         WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings

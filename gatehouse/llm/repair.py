@@ -198,8 +198,8 @@ def columns(rows: list[tuple]) -> pa.RecordBatch:
 class Solver:
     """Messages in order to closed conversations, and to the rows and transfers of open segments."""
 
-    def __init__(self, part: int, turns: bool) -> None:
-        self.part, self.turns = part, turns
+    def __init__(self, part: int, turns: bool, most_rows: int, most_bytes: int, together: int) -> None:
+        self.part, self.turns, self.most_rows, self.most_bytes, self.together = part, turns, most_rows, most_bytes, together
         self.now: Segment | None = None
         self.done: list[Segment] = []
         self.number = self.rows = 0
@@ -212,7 +212,7 @@ class Solver:
             elif now.conv != conv:
                 self.done.append(now)
                 now = self.begin(conv, False)
-            elif len(now.roles) >= SEGMENT_ROWS or now.bytes >= SEGMENT_BYTES:
+            elif len(now.roles) >= self.most_rows or now.bytes >= self.most_bytes:
                 now.opened = True
                 self.done.append(now)
                 now = self.begin(conv, True)
@@ -223,7 +223,7 @@ class Solver:
                 now.faults.append(fault)
                 now.bytes += len(text)
                 self.rows += 1
-            if len(self.done) > 1 and self.rows >= TOGETHER_ROWS:
+            if len(self.done) > 1 and self.rows >= self.together:
                 yield from self.solve()
 
     def begin(self, conv: int | None, opened: bool) -> Segment:
@@ -402,7 +402,7 @@ def repair(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = Solver(TaskContext.get().partitionId(), turns)
+        state = Solver(TaskContext.get().partitionId(), turns, SEGMENT_ROWS, SEGMENT_BYTES, TOGETHER_ROWS)
         for batch in batches:
             yield from state(batch)
         yield from state.end()

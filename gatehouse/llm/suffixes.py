@@ -58,10 +58,9 @@ CODES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0x9E37
 BASES = [0x9E3779B97F4A7C15 | 1, 0xE7037ED1A0B428DB | 1]
 
 
-def parts(column: pa.Array, window: int, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def parts(column: pa.Array, window: int, most: int = PART_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, first byte, bytes, offsets) of runs of texts; a text of over ``most`` bytes comes alone, in parts that
     overlap so that each window lies in exactly one."""
-    most = most or PART_BYTES
     data, offsets = string_buffers(column)
     row, n = 0, len(offsets) - 1
     while row < n:
@@ -142,12 +141,12 @@ def record(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
 
 
-def block_rows(batch: pa.RecordBatch, window: int, gram: int, common: np.ndarray) -> pa.RecordBatch:
+def block_rows(batch: pa.RecordBatch, window: int, gram: int, common: np.ndarray, most: int = PART_BYTES) -> pa.RecordBatch:
     """The blocks of a batch.  One that repeats a document of smaller id within it is known to be a copy: it has content 0,
     a negative n, and a digit of its own that spreads such rows."""
     found = []
     ids, subs = batch.column("id").to_numpy(), batch.column("sub").to_numpy().astype(np.int64)
-    for row, base, data, offsets in parts(batch.column("text"), window):
+    for row, base, data, offsets in parts(batch.column("text"), window, most):
         digit, content, text, at, count = blocks(data, offsets, window, gram, common)
         found.append((digit, content, ids[row + text], subs[row + text], (at + base).astype(np.int32), count.astype(np.int32)))
     empty = [np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32)]
@@ -290,11 +289,11 @@ def copies(data: np.ndarray, start: np.ndarray, group: np.ndarray, ids: np.ndarr
 
 
 class Sorter:
-    """Takes fragments sorted by digit; sorts whole groups, about ``CHUNK_BYTES`` at a time, and passes on the suffixes of
-    groups of over ``GROUP_BYTES``."""
+    """Takes fragments sorted by digit; sorts whole groups, about ``chunk`` bytes at a time, and passes on the suffixes of
+    groups of over ``most`` bytes."""
 
-    def __init__(self, window: int) -> None:
-        self.window, self.held, self.size = window, [], 0
+    def __init__(self, window: int, chunk: int, most: int) -> None:
+        self.window, self.chunk, self.most, self.held, self.size = window, chunk, most, [], 0
         self.digit, self.own, self.large = None, 0, False  # of the group that is being read
 
     def __call__(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -307,14 +306,14 @@ class Sorter:
         begin = 0  # the first row that is not held yet
         for a, b, bytes_, value in groups:
             if value != self.digit:
-                if self.size >= CHUNK_BYTES:
+                if self.size >= self.chunk:
                     self.held.append(batch.slice(begin, a - begin))
                     begin = a
                     yield from self.flush()
                 self.digit, self.own, self.large = value, 0, False
             self.own += bytes_
             self.size += bytes_
-            if self.own > GROUP_BYTES and not self.large:
+            if self.own > self.most and not self.large:
                 self.large = True
                 self.held.append(batch.slice(begin, a - begin))
                 begin = a
@@ -365,7 +364,7 @@ class Sorter:
     def suffixes(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """The suffixes of fragments for the next pass; those that repeat a smaller id here are copies already."""
         size = pc.binary_length(batch.column("bytes")).to_numpy().astype(np.int64)
-        for a, b in slices(size, CHUNK_BYTES):
+        for a, b in slices(size, self.chunk):
             some = pa.Table.from_batches([batch.slice(a, b - a)])
             data, offsets, start, owner = self.windows(some)
             ids = some.column("id").to_numpy()
@@ -474,7 +473,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             size = pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)
             for a, b in slices(size, BATCH_BYTES):
-                yield block_rows(batch.slice(a, b - a), window, gram, common)
+                yield block_rows(batch.slice(a, b - a), window, gram, common, PART_BYTES)
             give_back()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,7 +486,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield from fragments(batch, window)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = Sorter(window)
+        state = Sorter(window, CHUNK_BYTES, GROUP_BYTES)
         for batch in batches:
             yield from state(batch)
         yield from state.flush()

@@ -93,7 +93,7 @@ def test_lists_outside_the_bounds_are_not_visited(monkeypatch):
     far = np.sqrt(((x - middles[at]) ** 2).sum(1))
     named = {"id": range(200), "label": [0] * 200, "q": q, "file_hash": [0] * 200, "file_row": range(200), "list": at, "distance": far}
     members = pa.table({k: v if isinstance(v, (pa.Array, np.ndarray)) else pa.array(v, pa.int64()) for k, v in named.items()})
-    shard, seen = negatives.Shard(members, middles.astype(float), 5, True), []
+    shard, seen = negatives.Shard(members, middles.astype(float), 5, True, 1024, 1 << 20), []
     monkeypatch.setattr(negatives, "products", lambda a, b, f=negatives.products: seen.append(len(a) * len(b)) or f(a, b))
     asked = members.select(["id", "label", "q", "file_hash", "file_row"]).slice(0, 10)
     zero = pa.array([0] * 10, pa.int64())

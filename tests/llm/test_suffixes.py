@@ -60,7 +60,11 @@ def test_large_groups_go_on_to_the_next_pass(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "GROUP_BYTES", 150)
     monkeypatch.setattr(suffixes, "CHUNK_BYTES", 400)
     monkeypatch.setattr(suffixes, "PART_BYTES", 97)
+    monkeypatch.setattr(suffixes, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "materialize", lambda df, tag, f=suffixes.materialize: written.setdefault(tag, f(df, tag)))
+    written = {}
     check(spark, made(7, 80), slices=2)
+    assert written["suffixes"].where("suffix IS NOT NULL").count() > 1000
 
 
 def test_common_runs_set_the_digits_and_not_the_result(spark, monkeypatch):
