@@ -127,19 +127,19 @@ def local_answer(mode: str, documents: Column, gold: Column, decision: Column) -
     return first_non_blank(gold, decision) if mode == "gold" else F.coalesce(F.get(documents, F.lit(0)), F.lit(""))
 
 
-def evaluate(rows: DataFrame, samples: DataFrame, keys: DataFrame, *, generator: str = "first_document", context: int = 3, shuffle_seed: int | None = None, grounding_target: str = "document_id", order: str = "asr") -> DataFrame:
+def evaluate(rows: DataFrame, samples: DataFrame, keys: DataFrame, *, generator: str = "first_document", candidates: int = 5, context: int = 3, shuffle_seed: int | None = None, grounding_target: str = "document_id", order: str = "asr") -> DataFrame:
     """One row for each row of ``rows``: the answer of a local generator over the first ``context`` candidates, its score by
     the key's terms, what it is grounded in, and the first cause of a failure.
 
     ``rows`` has (sample_id, asr_text, asr_top_k, omni_top_k: lists of (sample_id, document)), ``samples`` sample_id and
-    manifest fields, ``keys`` (sample_id, gold_answer, key_decision, required_terms, forbidden_terms).  Candidates are those
-    of the first list, then unseen ones of the other; ``order`` names the list that comes first, or ``both`` alternates by
+    manifest fields, ``keys`` (sample_id, gold_answer, key_decision, required_terms, forbidden_terms).  Candidates are the first
+    ``candidates`` of one list, then unseen ones of the other; ``order`` names the list that comes first, or ``both`` alternates by
     rank.  Only candidates are looked up: they are exploded, joined to the samples and nested again."""
     fields = [c for c in samples.columns if c != "sample_id"]
     lookup = samples.select(F.col("sample_id").alias("_id"), F.struct(*fields).alias("_sample"))
     first, second = ("omni_top_k", "asr_top_k") if order == "omni" else ("asr_top_k", "omni_top_k")
     ids = lambda c: F.transform(F.col(c), lambda x: x["sample_id"])
-    listed = fusion.merged(ids(first), ids(second), MOST_CANDIDATES)
+    listed = fusion.merged(ids(first), ids(second), candidates)
     given = F.map_from_entries(F.transform(listed, lambda i: F.struct(i, F.coalesce(F.get(F.filter(F.concat(first, second), lambda x: x["sample_id"] == i), F.lit(0))["document"], F.lit("")))))
     asr_top = F.coalesce(F.get(ids("asr_top_k"), F.lit(0)), F.lit(""))
     made = rows.select("sample_id", "asr_text", listed.alias("_listed"), given.alias("_given"), asr_top.alias("_asr_top"))
@@ -154,7 +154,10 @@ def evaluate(rows: DataFrame, samples: DataFrame, keys: DataFrame, *, generator:
     told = long.join(lookup, "_id", "left").groupBy("sample_id").agg(F.array_sort(F.collect_list(one)).alias("used"))
     told = told.select("sample_id", F.transform("used", lambda x: x["d"]).alias("documents"), F.transform("used", lambda x: x["g"]).alias("_grounds"))
     side = lambda c, name: lookup.select(F.col("_id").alias(c), F.col("_sample").alias(name))
-    out = made.join(told, "sample_id", "left").join(keys, "sample_id").join(side("sample_id", "_own"), "sample_id", "left")
+    out = made.join(told, "sample_id", "left").join(keys.withColumn("_key", F.lit(True)), "sample_id", "left")
+    # a row without a key is an error, as a lookup that fails
+    keyed = F.coalesce(F.col("_key"), F.raise_error(F.concat(F.lit("no answer key for "), F.col("sample_id").cast("string"))).cast("boolean"))
+    out = out.where(keyed).join(side("sample_id", "_own"), "sample_id", "left")
     out = out.join(side("baseline_choice_id", "_chosen"), "baseline_choice_id", "left").join(side("_asr_top", "_heard"), "_asr_top", "left")
     texts = F.coalesce("documents", F.array().cast("array<string>"))
     out = out.withColumn("answer_text", local_answer(generator, texts, F.col("gold_answer"), F.col("key_decision")))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import portable_hash
-from . import metrics, sampling
+from . import metrics, sampling, similarity
 
 #: Pooling methods, and the conditionings of a probe.
 POOL_METHODS = ("mean", "std", "stats", "attn")
@@ -148,3 +152,72 @@ def demo_document(demos: Column, query: Column, header: str = "") -> Column:
     part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
     shown = F.flatten(F.transform(demos, lambda d: F.array(part("audio", d["clip"]), part("text", F.concat(F.lit(" "), d["label"], F.lit(". "))))))
     return F.concat(F.array(part("text", F.lit(f"passage: {header}"))), shown, F.array(part("audio", query)))
+
+
+def nested_choice(rows: DataFrame, option: str, place: str, baseline: object, by: str = "fold") -> DataFrame:
+    """(``by``, ``option``, dev_accuracy, n, accuracy, baseline_accuracy, delta): for each fold the option that is best on all
+    other folds (the first by ``place``), and what it does on the fold itself.  ``rows`` has (by, option, place, correct)."""
+    table = rows.groupBy(by, option, place).agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("hits"))
+    whole = table.groupBy(option, place).agg(F.sum("n").alias("all_n"), F.sum("hits").alias("all_hits"))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0)), 6)
+    table = table.join(whole, [option, place]).withColumns({"dev_accuracy": share(F.col("all_hits") - F.col("hits"), F.col("all_n") - F.col("n")), "accuracy": share(F.col("hits"), F.col("n"))})
+    picked = choose(table, [by], option, "dev_accuracy", place)
+    base = table.where(F.col(option) == baseline).select(by, F.col("accuracy").alias("baseline_accuracy"))
+    out = picked.join(table.select(by, option, "n", "accuracy"), [by, option]).join(base, by)
+    return out.withColumn("delta", F.round(F.col("accuracy") - F.col("baseline_accuracy"), 6))
+
+
+def linear_probe(df: DataFrame, key: str, vector: str, label: str, fold: str, ridge: float = 1.0) -> DataFrame:
+    """(``key``, ``label``, ``fold``, prediction): each fold predicted by a ridge classifier fitted on all others.
+
+    Tasks sum up the Gram matrix of the vectors (with a constant) and their sums by label, one row a fold; an aggregate adds
+    these, number by number, so the driver gets d x (d + labels) numbers a fold, whatever the rows.  A fold's own sums are
+    taken from the whole, and the weights follow in closed form.  The constant is not shrunk; ties go to the first label.
+    Rows without a vector or label take no part."""
+    rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("__v"), F.col(label).alias("__y"), F.col(fold).alias("__f"))
+    names = [r[0] for r in rows.select("__y").distinct().orderBy("__y").limit(4097).collect()]
+    if len(names) > 4096:
+        raise ValueError("a probe has up to 4,096 labels")
+    place = {y: k for k, y in enumerate(names)}
+
+    def widened(batch: pa.RecordBatch) -> np.ndarray:
+        x = similarity.matrix(batch.column("__v"))
+        return np.hstack([x, np.ones((len(x), 1))])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        for batch in batches:
+            if batch.num_rows:
+                x, folds = widened(batch), np.array(batch.column("__f").to_pylist())
+                y = np.zeros((len(x), len(names)))
+                y[np.arange(len(x)), [place[v] for v in batch.column("__y").to_pylist()]] = 1
+                for f in np.unique(folds):
+                    own = folds == f
+                    found[int(f)] = found.get(int(f), 0) + np.hstack([x[own].T @ x[own], x[own].T @ y[own]])
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([m.ravel() for m in found.values()], pa.list_(pa.float64()))], ["f", "m"])
+
+    added = rows.mapInArrow(sums, "f int, m array<double>").select("f", F.posexplode("m").alias("at", "x")).groupBy("f", "at").agg(F.sum("x").alias("x"))
+    folds: dict[int, np.ndarray] = {}
+    for r in added.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("m")).select("f", F.transform("m", lambda e: e["x"]).alias("m")).collect():
+        flat = np.array(r["m"])
+        d = int((-len(names) + np.sqrt(len(names) ** 2 + 4 * len(flat))) / 2 + 0.5)
+        folds[r["f"]] = flat.reshape(d, d + len(names))
+    whole, weights = sum(folds.values()), {}
+    for f, own in folds.items():
+        rest = whole - own
+        d = len(rest)
+        shrink = ridge * np.eye(d)
+        shrink[-1, -1] = 1e-9
+        weights[f] = np.linalg.solve(rest[:, :d] + shrink, rest[:, d:])
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, f = widened(batch), np.array(batch.column("__f").to_pylist())
+                said = np.zeros(len(x), np.int64)
+                for k in np.unique(f):
+                    said[f == k] = np.round(x[f == k] @ weights[int(k)], 9).argmax(1)
+                yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("__y"), batch.column("__f"), pa.array([names[k] for k in said], batch.schema.field("__y").type)], [key, label, fold, "prediction"])
+
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    return rows.mapInArrow(predict, f"`{key}` {kind(key)}, `{label}` {kind(label)}, `{fold}` int, prediction {kind(label)}")

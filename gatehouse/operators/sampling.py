@@ -6,18 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import portable_hash
+from . import order
 
 
 def placed(df: DataFrame, key: str, seed: int | str, by: list[str] | None = None) -> DataFrame:
     """Adds nth (from 0) in the shuffled order and n, over all rows or each group of ``by``.
 
-    With groups this is a window over each.  Over all rows the order is found without one task: rows are counted by
-    the hash's upper bits, and numbered within each of these buckets.
+    Groups are numbered in one order over all of them, from which each group's first number is taken, so a group with
+    a third of all rows is in no one task.  Over all rows, these are counted by the hash's upper bits, and numbered within
+    each of these buckets.
     """
     h = portable_hash(seed, F.col(key))
     if by:
-        w = Window.partitionBy(*by)
-        return df.withColumn("_h", h).withColumns({"nth": F.row_number().over(w.orderBy("_h", key)).cast("long") - 1, "n": F.count(F.lit(1)).over(w)}).drop("_h")
+        rows = order.ordered(df.withColumn("_h", h), [*by, "_h", key], "_g")
+        groups = rows.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("n"))
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+        return rows.join(groups, same).select(*df.columns, (F.col("_g") - F.col("_first")).alias("nth"), "n")
     rows = df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 22).cast("int"))
     counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("c"))  # 1,024 buckets at most
     total = counts.agg(F.array_sort(F.collect_list(F.struct("_b", "c"))).alias("a"))
@@ -56,3 +60,13 @@ def negatives(df: DataFrame, pool: DataFrame, key: str, label: str, count: int,
     pick = lambda i: F.get(others, F.pmod(portable_hash(seed, F.col(key)) + i, F.size(others)).cast("int"))
     asked = rows.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(i.alias("place"), pick(i)["l"].alias("other"), F.pmod(portable_hash(f"{seed}:at", F.concat(F.col(key).cast("string"), F.lit(":"), i.cast("string"))), pick(i)["size"]).alias("at")))).alias("a")).select(key, "a.*")
     return asked.join(ring, ["other", "at"]).select(key, "cand", "place")
+
+
+def balanced_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
+    """Adds fold: whole groups, dealt out from the largest on, back and forth.  Two folds differ by the largest group at
+    most: they gain on each other by no more than a round's range, and the rounds' ranges add up to no more than that."""
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = order.ordered(sizes, [F.desc("_n"), "_g"], "_place")
+    there = F.col("_place") % folds
+    fold = F.when(F.floor(F.col("_place") / folds) % 2 == 0, there).otherwise(folds - 1 - there).cast("int")
+    return df.join(dealt.select("_g", fold.alias("fold")), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")

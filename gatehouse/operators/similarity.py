@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialize
+
+#: Added to a variance before its root is taken.
+EPSILON = 1e-6
 #: Vectors of the stated side that travel with a task at once (at 2,048 doubles each, 64 MB), and of the other side in a
 #: cell of the grid.
 BLOCK, CELL = 4096, 32768
@@ -49,21 +53,28 @@ def bank(df: DataFrame, label_col: str = "label", vector_col: str = "embedding")
     return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("vector"))
 
 
-def bank_vectors(labels: DataFrame, most_labels: int = BLOCK) -> tuple[list, np.ndarray]:
-    """The labels in order and their vectors; a bank is bounded."""
-    found = list(blocks(labels, "label", "vector", most_labels + 1))
+def bank_vectors(labels: DataFrame, most_labels: int = BLOCK) -> tuple[list, np.ndarray] | None:
+    """The labels in order and their vectors, or nothing if there are more than ``most_labels``."""
+    found = list(blocks(labels.limit(most_labels + 1), "label", "vector", most_labels + 1))
     if found and len(found[0][0]) > most_labels:
-        raise ValueError(f"the bank has more than {most_labels} labels")
+        return None
     return found[0] if found else ([], np.zeros((0, 1)))
 
 
 def rank_views(df: DataFrame, labels: DataFrame, keep: list[str], views: dict[str, slice], constant: int = 60, vector_col: str = "embedding", most_labels: int = BLOCK) -> DataFrame:
     """(``keep``, cand, s_<view>, r_<view> for each of ``views``, r_rrf): every row against every label of a bank, by the
-    dimensions of each view, with its ranks (ties by label) and the fused rank (ties by the first view's).  All of a row's
-    labels are ranked where the row is, so nothing is shuffled."""
-    names, vectors = bank_vectors(labels, most_labels)
-    sides = {v: normalised(vectors[:, dims]) for v, dims in views.items()}
+    dimensions of each view, with its ranks (ties by label) and the fused rank (ties by the first view's).
+
+    A bank of up to ``most_labels`` travels with the tasks, and a row's labels are ranked where the row is.  A larger one is
+    cut into blocks that meet blocks of rows on executors, and a row's labels are ranked by a window."""
     kind = labels.schema["label"].dataType.simpleString()
+    kind = "long" if kind in ("int", "bigint") else kind
+    rows = df.where(F.col(vector_col).isNotNull()).select(*keep, F.col(vector_col).alias("__v"))
+    found = bank_vectors(labels, most_labels)
+    if found is None:
+        return rank_in_blocks(rows, labels.select(F.col("label").cast(kind).alias("label"), "vector"), keep, views, constant, most_labels)
+    names, vectors = found
+    sides = {v: normalised(vectors[:, dims]) for v, dims in views.items()}
 
     def places(order: np.ndarray) -> np.ndarray:
         out = np.empty_like(order)
@@ -85,9 +96,71 @@ def rank_views(df: DataFrame, labels: DataFrame, keep: list[str], views: dict[st
                 columns += [pa.array(m[v].ravel()) for v in views for m in (scores, ranks)] + [pa.array(rrf.ravel())]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "cand", *[f"{x}_{v}" for v in views for x in "sr"], "r_rrf"])
 
-    schema = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"cand {'long' if kind in ('int', 'bigint') else kind}"]
+    schema = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"cand {kind}"]
     schema += [f"s_{v} double, r_{v} long" for v in views] + ["r_rrf long"]
-    return df.where(F.col(vector_col).isNotNull()).select(*keep, F.col(vector_col).alias("__v")).mapInArrow(run, ", ".join(schema))
+    return rows.mapInArrow(run, ", ".join(schema))
+
+
+def rank_in_blocks(rows: DataFrame, labels: DataFrame, keep: list[str], views: dict[str, slice], constant: int, most_labels: int) -> DataFrame:
+    """``rank_views`` for a bank of any size: a cell has up to ``most_labels`` labels and 2 ** 20 scores."""
+    rows = materialize(rows.withColumn("__i", F.monotonically_increasing_id()), "rows")
+    high, wide = -(-rows.count() // max(1, (1 << 20) // most_labels)) or 1, -(-labels.count() // most_labels) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = rows.select("__i", "__v", F.pmod(F.xxhash64("__i"), F.lit(high)).alias("row")).withColumn("column", every(wide))
+    b = labels.where(F.col("vector").isNotNull()).select("label", "vector", F.pmod(F.xxhash64("label"), F.lit(wide)).alias("column")).withColumn("row", every(high))
+    names = [f"s_{v}" for v in views]
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = (matrix(t.column(c).combine_chunks()) for t, c in ((left, "__v"), (right, "vector")))
+        scores = [np.round(normalised(x[:, dims]) @ normalised(y[:, dims]).T, ROUND).ravel() if len(x) and len(y) else np.empty(0) for dims in views.values()]
+        many = len(scores[0])
+        at, of = (np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))) if many else (np.empty(0, np.int64),) * 2
+        columns = [left.column("__i").combine_chunks().take(pa.array(at)), right.column("label").combine_chunks().take(pa.array(of)), *map(pa.array, scores)]
+        return pa.Table.from_arrays(columns, ["__i", "cand", *names])
+
+    schema = f"__i long, cand {labels.schema['label'].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in names)
+    met = a.groupBy("row", "column").cogroup(b.groupBy("row", "column")).applyInArrow(cell, schema)
+    own = Window.partitionBy("__i")
+    met = met.withColumns({f"r_{v}": F.row_number().over(own.orderBy(F.desc(f"s_{v}"), "cand")).cast("long") for v in views})
+    fused = F.round(sum((1.0 / (constant + F.col(f"r_{v}")) for v in views), F.lit(0.0)), 12)
+    met = met.withColumn("__f", fused).withColumn("r_rrf", F.row_number().over(own.orderBy(F.desc("__f"), f"r_{next(iter(views))}")).cast("long"))
+    return met.join(rows.select("__i", *keep), "__i").select(*keep, "cand", *[f"{x}_{v}" for v in views for x in "sr"], "r_rrf")
+
+
+def group_ranks(df: DataFrame, labels: DataFrame, keep: list[str], group: str, target: str, arms: dict[str, slice], vector_col: str = "embedding", most_labels: int = BLOCK) -> DataFrame:
+    """(``keep``, ``group``, arm, rank, top, top_score): the place of each row's ``target`` among the labels of its own group, by
+    each arm's dimensions, in one pass over the vectors.  ``labels`` has (group, label, vector), ``most_labels`` of them at
+    most; a target that its group lacks has a null rank, a row whose group has no labels no result."""
+    banks: dict = {}
+    listed = labels.select(group, "label", "vector").where(F.col("vector").isNotNull()).orderBy(group, "label").limit(most_labels + 1).collect()
+    if len(listed) > most_labels:
+        raise ValueError(f"the banks have more than {most_labels} labels; rank each family by rank_views")
+    for r in listed:
+        banks.setdefault(r[group], []).append((r["label"], r["vector"]))
+    sides = {g: ([n for n, _ in rows], {a: normalised(np.array([v for _, v in rows], float)[:, dims]) for a, dims in arms.items()}) for g, rows in banks.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, groups, wanted = matrix(batch.column("__v")), batch.column(group).to_pylist(), batch.column("__t").to_pylist()
+            found: list[tuple] = []
+            for g in dict.fromkeys(groups):
+                if g not in sides:
+                    continue
+                at, (names, vectors) = [k for k, y in enumerate(groups) if y == g], sides[g]
+                own = np.array([names.index(wanted[k]) if wanted[k] in names else -1 for k in at])
+                for arm, dims in arms.items():
+                    score = np.round(normalised(x[at][:, dims]) @ vectors[arm].T, ROUND)
+                    order = np.argsort(-score, axis=1, kind="stable")
+                    rank = np.argmax(order == own[:, None], axis=1) + 1
+                    found += [(k, arm, int(rank[j]) if own[j] >= 0 else None, names[order[j, 0]], float(score[j, order[j, 0]])) for j, k in enumerate(at)]
+            if found:
+                rows, *columns = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(rows)) for c in (*keep, group)], *[pa.array(c) for c in columns]], [*keep, group, "arm", "rank", "top", "top_score"])
+
+    kind = labels.schema["label"].dataType.simpleString()
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (*keep, group)) + f", arm string, rank long, top {'long' if kind == 'int' else kind}, top_score double"
+    rows = df.where(F.col(vector_col).isNotNull()).select(*keep, group, F.col(target).alias("__t"), F.col(vector_col).alias("__v"))
+    return rows.mapInArrow(run, schema)
 
 
 class Best:
@@ -112,25 +185,38 @@ class Best:
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", skip_self: bool = True, dims: slice = slice(None)) -> DataFrame:
-    """(query, cand, score, rank): the k most similar candidates of each query, by cosine, ties by id.
+    """(query, cand, score, rank): the k most similar candidates of each query, by cosine, ties by id."""
+    return top_k_views(queries, candidates, k, {"all": dims}, id_col, vector_col, skip_self).drop("view")
+
+
+def top_k_views(queries: DataFrame, candidates: DataFrame, k: int, views: dict[str, slice], id_col: str = "vec_id", vector_col: str = "embedding", skip_self: bool = True) -> DataFrame:
+    """(view, query, cand, score, rank): the same by the dimensions of each view, in one pass over the candidates.
 
     Up to ``BLOCK`` queries travel with the tasks of one pass over the candidates.  More are cut into blocks, as are the
     candidates, and every pair of blocks meets in a cell on an executor.  Either way k rows a query and task go on."""
     side = lambda df: df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v"))
-    asked, others, schema, step = side(queries), side(candidates), "query long, cand long, score double", 2048
+    asked, others, schema, step = side(queries), side(candidates), "view string, query long, cand long, score double", 2048
+
+    def told(best: dict[str, Best]) -> Iterator[pa.RecordBatch]:
+        for name, found in best.items():
+            rows = found.rows()
+            yield pa.RecordBatch.from_arrays([pa.array([name] * rows.num_rows, pa.string()), *rows.columns], ["view", *rows.schema.names])
+
     count = asked.count()
     if count <= BLOCK:
         found = list(blocks(asked, "i", "v", BLOCK))
         own, vectors = (np.array(found[0][0]), found[0][1]) if found else (np.empty(0, np.int64), np.zeros((0, 1)))
-        unit = normalised(vectors[:, dims])
+        units = {name: normalised(vectors[:, dims]) for name, dims in views.items()}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = Best(own, unit, k, skip_self)
+            best = {name: Best(own, unit, k, skip_self) for name, unit in units.items()}
             for batch in batches:
                 for first in range(0, batch.num_rows if len(own) else 0, step):
                     part = batch.slice(first, step)
-                    best.add(part.column("i").to_numpy(), normalised(matrix(part.column("v"), dims)))
-            yield best.rows()
+                    cand, x = part.column("i").to_numpy(), matrix(part.column("v"))
+                    for name, dims in views.items():
+                        best[name].add(cand, normalised(x[:, dims]))
+            yield from told(best)
 
         out = others.mapInArrow(run, schema)
     else:
@@ -141,15 +227,17 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_
         b = others.withColumns({"column": block(max(1, columns)), "row": every(rows)})
 
         def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-            data = lambda t: (t.column("i").to_numpy(), normalised(matrix(t.column("v").combine_chunks(), dims)))
-            best = Best(*data(left), k, skip_self)
-            cand, unit = data(right)
-            for first in range(0, len(cand) if len(best.own) else 0, step):
-                best.add(cand[first : first + step], unit[first : first + step])
-            return pa.Table.from_batches([best.rows()])
+            data = lambda t: (t.column("i").to_numpy(), matrix(t.column("v").combine_chunks()))
+            own, x = data(left)
+            cand, y = data(right)
+            best = {name: Best(own, normalised(x[:, dims]), k, skip_self) for name, dims in views.items()}
+            for first in range(0, len(cand) if len(own) else 0, step):
+                for name, dims in views.items():
+                    best[name].add(cand[first : first + step], normalised(y[first : first + step][:, dims]))
+            return pa.Table.from_batches(told(best))
 
         out = a.groupBy("row", "column").cogroup(b.groupBy("row", "column")).applyInArrow(cell, schema)
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "cand")
+    best = Window.partitionBy("view", "query").orderBy(F.desc("score"), "cand")
     return out.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
@@ -163,11 +251,14 @@ def with_cache(rows: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]
     return rows.join(cache, "key"), rows.join(cache.select("key"), "key", "left_anti")
 
 
-def knn_vote(neighbours: DataFrame, labels: DataFrame, id_col: str = "vec_id", label_col: str = "label") -> DataFrame:
-    """(query, prediction): the label of most neighbours; ties by the sum of scores, then by label."""
-    votes = neighbours.join(labels.select(F.col(id_col).alias("cand"), F.col(label_col).alias("vote")), "cand").groupBy("query", "vote").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), ROUND).alias("s"))
-    best = votes.groupBy("query").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("s")).alias("s"), "vote")).alias("best"))
-    return best.select("query", F.col("best.vote").alias("prediction"))
+def knn_vote(neighbours: DataFrame, labels: DataFrame, id_col: str = "vec_id", label_col: str = "label", extra: list[str] | None = None, factor: str | None = None) -> DataFrame:
+    """(query, ``extra``, ``factor``, prediction): the label of most neighbours; ties by the sum of scores, then by label.
+    ``extra`` are columns of the neighbours that keep votes apart, ``factor`` one of the labels."""
+    by = ["query", *(extra or []), *([factor] if factor else [])]
+    cast = labels.select(F.col(id_col).alias("cand"), F.col(label_col).alias("vote"), *([factor] if factor else []))
+    votes = neighbours.join(cast, "cand").groupBy(*by, "vote").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), ROUND).alias("s"))
+    best = votes.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("s")).alias("s"), "vote")).alias("best"))
+    return best.select(*by, F.col("best.vote").alias("prediction"))
 
 
 def masked_mean(frames: F.Column | str, mask: F.Column | str) -> F.Column:
@@ -177,3 +268,58 @@ def masked_mean(frames: F.Column | str, mask: F.Column | str) -> F.Column:
     used = F.when(F.size(kept) > 0, kept).otherwise(pairs)
     total = F.aggregate(F.slice(used, 2, F.size(used)), F.transform(F.get(used, F.lit(0))["f"], lambda v: v.cast("double")), lambda acc, p: F.zip_with(acc, p["f"], lambda a, b: a + b))
     return F.transform(total, lambda v: v / F.size(used))
+
+
+def pooled(df: DataFrame, keep: list[str], frames: str, mask: str, specs: dict[str, tuple[str, str]]) -> DataFrame:
+    """(``keep``, an array for each of ``specs``): the frames of each row (array of arrays) pooled to one vector of length one.
+
+    A spec is (subset, method): ``all`` frames, or the ``audio`` ones that the mask keeps (all, if it keeps none), by their
+    ``mean``, ``std``, ``stats`` (both, one behind the other) or ``attn``: mean and deviation weighted by the softmax of each
+    frame's product with the mean over the root of the dimension.  Without frames means are zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("__f")
+            flat = lists.flatten()
+            h = matrix(flat)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            chosen = batch.column("__m").flatten().to_numpy(zero_copy_only=False).astype(bool)
+            kept = np.bincount(row[chosen], minlength=batch.num_rows) > 0
+            masks = {"all": np.ones(len(row), bool), "audio": chosen | ~kept[row]}
+            arrays = []
+            for subset, method in specs.values():
+                arrays.append(pool(h, row, masks[subset], batch.num_rows, method))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(list(x), pa.list_(pa.float64())) for x in arrays]], [*keep, *specs])
+
+    for _, method in specs.values():
+        if method not in ("mean", "std", "stats", "attn"):
+            raise ValueError(f"unknown method: {method}")
+    schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep], *[f"`{c}` array<double>" for c in specs]])
+    empty = F.array().cast("array<array<double>>")
+    rows = df.select(*keep, F.coalesce(F.col(frames).cast("array<array<double>>"), empty).alias("__f"), F.transform(F.coalesce(frames, empty.cast(df.schema[frames].dataType)), lambda _, i: F.coalesce(F.get(mask, i), F.lit(False))).alias("__m"))
+    return rows.mapInArrow(run, schema)
+
+
+def pool(h: np.ndarray, row: np.ndarray, mask: np.ndarray, n: int, method: str) -> np.ndarray:
+    """[row, dimension]: the frames h that the mask keeps, pooled by their row."""
+    h, row = h[mask], row[mask]
+    width = h.shape[1]
+
+    def total(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, x.shape[1]))
+        np.add.at(out, row, x)
+        return out
+
+    weight = 1 / np.maximum(np.bincount(row, minlength=n), 1)[row][:, None]
+    mean = total(h * weight)
+    if method == "attn":
+        score = (h * mean[row]).sum(1) / np.sqrt(max(width, 1))
+        top = np.full(n, -np.inf)
+        np.maximum.at(top, row, score)
+        e = np.exp(score - top[row])[:, None]
+        weight = e / total(e)[row]
+        mean = total(h * weight)
+    std = np.sqrt(total((h - mean[row]) ** 2 * weight) + EPSILON)
+    return normalised({"mean": mean, "std": std}.get(method, np.hstack([mean, std])))

@@ -28,18 +28,15 @@ pt AS (SELECT layer, factor, count(*) AS n, round(avg(CAST(correct AS INT)), 6)
 
 
 def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query, layer, factor, correct): the five nearest neighbours' vote, by each layer's dimensions."""
+    """(query, layer, factor, correct): the five nearest neighbours' vote, by each layer's dimensions, all layers and factors in
+    one pass over the vectors."""
     e = table(spark, sf_dir, "embeddings")
-    own = {"label": F.col("label"), "half": F.floor(F.col("label") / 5).cast("int")}
-    out = None
-    for layer in LAYERS:
-        near = similarity.top_k(e.where("vec_id % 50 = 0"), e, K, dims=slice(16 * layer, 16 * layer + 16))
-        for factor, value in own.items():
-            labels = e.select("vec_id", value.alias("label"))
-            said = similarity.knn_vote(near, labels).join(labels.withColumnRenamed("vec_id", "query"), "query")
-            part = said.select("query", F.lit(layer).alias("layer"), F.lit(factor).alias("factor"), (F.col("prediction") == F.col("label")).alias("correct"))
-            out = part if out is None else out.unionByName(part)
-    return out
+    near = similarity.top_k_views(e.where("vec_id % 50 = 0"), e, K, {str(layer): slice(16 * layer, 16 * layer + 16) for layer in LAYERS})
+    factors = F.inline(F.array(F.struct(F.lit("label").alias("factor"), F.col("label")), F.struct(F.lit("half").alias("factor"), F.floor(F.col("label") / 5).cast("int").alias("label"))))
+    labels = e.select("vec_id", factors)
+    said = similarity.knn_vote(near, labels, extra=["view"], factor="factor")
+    own = labels.withColumnRenamed("vec_id", "query")
+    return said.join(own, ["query", "factor"]).select("query", F.col("view").cast("int").alias("layer"), "factor", (F.col("prediction") == F.col("label")).alias("correct"))
 
 
 @query(f"WITH {PROBE_SQL} SELECT CAST(layer AS INT) AS layer, max(accuracy) FILTER (WHERE factor = 'label') AS label, max(accuracy) FILTER (WHERE factor = 'half') AS half FROM pt GROUP BY layer")

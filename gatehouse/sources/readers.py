@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_non_blank, non_blank
@@ -80,3 +80,15 @@ def audio_kind(data: Column | str, path: Column | str) -> Column:
     head = F.hex(F.substring(data, 1, 4))
     suffix = F.regexp_extract(F.lower(path), r"(\.[a-z0-9]+)$", 1)
     return F.when(head == "52494646", ".wav").when(F.startswith(head, F.lit("494433")), ".mp3").when(head == "664C6143", ".flac").otherwise(suffix)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value): text lines with their number in their file, from 0, however many tasks read a file.
+
+    Spark cuts files into blocks; a line belongs to the block where it begins.  Lines are counted by block, one row a
+    block, and what stands before a block in its file returns by broadcast."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    blocks = rows.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(blocks), ["file", "_start"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "value")
