@@ -170,17 +170,55 @@ def content_choice(text: Column | str, options: Column | str) -> Column:
     )
 
 
-def channel_choice(text: Column | str, options: Column | str) -> Column:
-    """(letter, method, score) of a model's output: what follows its last final channel, by letter, else by content; an
-    output that stops in its thoughts has none."""
+#: How answers are labelled; the second form is that of memory runs.
+LABELLED = (r'(?i)"answer"\s*:\s*"([A-H])"', r"(?i)\b(?:answer|option|choice)\s*[:：]\s*([A-H])\b")
+LABELLED_MEMORY = (LABELLED[0], r"(?i)\b(?:answer|option|choice)\s*[:?]\s*([A-H])\b")
+CHANNELS = ("<|channel>final", "<channel|>", "<|channel>thought")
+
+
+def answered(text: Column | str) -> tuple[Column, Column]:
+    """(what follows the last final channel, whether the output stops in its thoughts)."""
     raw = F.coalesce(col(text), F.lit(""))
-    final, plain, thought = "<|channel>final", "<channel|>", "<|channel>thought"
+    final, plain, thought = CHANNELS
     last = lambda mark: F.element_at(F.split(raw, mark.replace("|", r"\|")), -1)
     said = F.when(F.contains(raw, F.lit(final)), last(final)).when(F.contains(raw, F.lit(plain)), last(plain)).otherwise(raw)
-    letter = first_letter(said)
-    silent = F.contains(raw, F.lit(thought)) & ~F.contains(raw, F.lit(final)) & ~F.contains(raw, F.lit(plain))
-    made = lambda a, b, c: F.struct(a.alias("letter"), F.lit(b).alias("method"), F.lit(c).alias("score"))
-    return F.when(silent, made(F.lit(""), "no_final_channel", 0.0)).when(letter != "", made(letter, "letter", 1.0)).otherwise(content_choice(said, options))
+    return said, F.contains(raw, F.lit(thought)) & ~F.contains(raw, F.lit(final)) & ~F.contains(raw, F.lit(plain))
+
+
+def labelled_letter(text: Column, patterns: tuple[str, ...] = LABELLED) -> Column:
+    """The letter that an answer names as such, by the first pattern that is met; null without one."""
+    return F.coalesce(*[F.nullif(F.upper(F.regexp_extract(text, p, 1)), F.lit("")) for p in patterns])
+
+
+def found(letter: Column, method: str, score: float = 1.0) -> Column:
+    return F.struct(letter.alias("letter"), F.lit(method).alias("method"), F.lit(score).alias("score"))
+
+
+def channel_choice(text: Column | str, options: Column | str) -> Column:
+    """(letter, method, score) of a model's output: what follows its last final channel, by the letter that it names as its
+    answer, else by the first letter that stands alone, else by content; an output that stops in its thoughts has none."""
+    said, silent = answered(text)
+    letter = F.coalesce(labelled_letter(said), first_letter(said))
+    return F.when(silent, found(F.lit(""), "no_final_channel", 0.0)).when(letter != "", found(letter, "letter")).otherwise(content_choice(said, options))
+
+
+def memory_choice(text: Column | str, options: Column | str) -> Column:
+    """The same among a row's own options: only their letters count, and of those that stand alone the last.  (Letters that
+    are found by other forms stand alone, too.)"""
+    said, silent = answered(text)
+    there = F.substring(F.lit(LETTERS), F.lit(1), F.size(options).cast("int"))
+    named = labelled_letter(said, LABELLED_MEMORY)
+    alone = F.filter(F.regexp_extract_all(F.upper(said), F.lit(rf"\b([{LETTERS}])\b"), F.lit(1)), lambda x: F.contains(there, x))
+    letter = F.coalesce(F.when(F.contains(there, named), named), F.try_element_at(alone, F.lit(-1)))
+    return F.when(silent, found(F.lit(""), "no_final_channel", 0.0)).when(letter.isNotNull(), found(letter, "letter")).otherwise(content_choice(said, options))
+
+
+def chat_choice(text: Column | str, options: Column | str) -> Column:
+    """The same for a chat's transcript, which repeats its prompt: the last letter beside which no letter or digit stands,
+    else as ``channel_choice``."""
+    alone = F.regexp_extract_all(F.upper(F.coalesce(col(text), F.lit(""))), F.lit(rf"(?<![A-Z0-9])([{LETTERS}])(?![A-Z0-9])"), F.lit(1))
+    last = F.try_element_at(alone, F.lit(-1))
+    return F.when(last.isNotNull(), found(last, "chat_last_letter")).otherwise(channel_choice(text, options))
 
 
 def run_mask(array: Column, value: Column, which: str = "last") -> Column:

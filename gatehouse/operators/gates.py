@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import metrics, resample
 
 #: The gates of a pair of rows, and those between text and audio.
 PAIR_GATES = ("always_baseline", "always_alternate", "raw_low_margin", "alt_high_margin", "alt_margin_advantage", "top_score_advantage", "disagreement_raw_low_margin")
@@ -116,3 +116,47 @@ def vote(df: DataFrame, key: str, run: str, prediction: str, rank: str, base_run
     out = counts.groupBy(key).agg(ordered.alias("o"), F.sum("votes").alias("runs"), F.max(F.when(F.col("base") == 1, F.col("votes"))).alias("base_votes"))
     top, second = -F.col("o")[0]["v"], F.coalesce(-F.get(F.col("o"), F.lit(1))["v"], F.lit(0))
     return out.select(key, F.col("o")[0]["p"].alias("prediction"), top.alias("votes"), "runs", F.round(top / F.col("runs"), 6).alias("agreement"), F.round((top - second) / F.col("runs"), 6).alias("vote_margin"), (top == second).alias("tie"), F.coalesce("base_votes", F.lit(0)).cast("long").alias("base_votes"))
+
+
+#: What a vote's gates try.
+AGREEMENTS, VOTE_MARGINS, BASE_VOTES = (0.5, 0.75, 1.0), (0, 1, 2, 3, 4), (0, 1, 2)
+
+
+def consistency_gates() -> list[tuple[str, str]]:
+    """(policy, condition in SQL) of all gates between a base run and the vote of many: columns said, base, votes, second,
+    runs, base_votes."""
+    grid = [(f"self_if_agreement_ge_{a}_margin_ge_{m}", f"votes >= {a} * runs AND votes - second >= {m}") for a in AGREEMENTS for m in VOTE_MARGINS]
+    few = [(f"self_if_base_vote_le_{k}", f"base_votes <= {k}") for k in BASE_VOTES]
+    return [("base", "false"), ("majority", "true"), *grid, ("self_when_base_loses_vote", "base_votes < votes"), *few]
+
+
+def consistency_sweep(votes: DataFrame, rounds: int, seed: int | str) -> DataFrame:
+    """(policy, n, success, delta, ci_low, ci_high, fixes, regressions, regression_rate, route_rate, decision, place): every
+    gate over rows (said, base, target, votes, second, runs, base_votes), the best first.
+
+    Rows are counted once by their two verdicts and vote, and gates are tried on the counts."""
+    base_ok, said_ok, moved = F.col("base") == F.col("target"), F.col("said") == F.col("target"), F.col("said") != F.col("base")
+    counts = votes.groupBy(base_ok.alias("base_ok"), said_ok.alias("said_ok"), moved.alias("moved"), "votes", "second", "runs", "base_votes").agg(F.count(F.lit(1)).alias("c"))
+    policies = F.array(*[F.struct(F.lit(name).alias("policy"), F.expr(rule).alias("taken")) for name, rule in consistency_gates()])
+    tried = counts.select("*", F.inline(policies))
+    ok = F.when(F.col("taken"), F.col("said_ok")).otherwise(F.col("base_ok"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("c"))), F.lit(0))
+    told = tried.groupBy("policy").agg(F.sum("c").alias("n"), total(ok).alias("right"), total(ok & ~F.col("base_ok")).alias("fixes"), total(F.col("base_ok") & ~ok).alias("regressions"), total(F.col("taken") & F.col("moved")).alias("routed"))
+    share = lambda c: F.round(F.col(c) / F.col("n"), 6)
+    told = told.withColumns({"success": share("right"), "delta": F.round((F.col("fixes") - F.col("regressions")) / F.col("n"), 6), "regression_rate": share("regressions"), "route_rate": share("routed")})
+    out = resample.paired_bootstrap(told, ["policy"], rounds, seed, "D")
+    good = (F.col("delta") > 0) & (F.col("ci_low") > 0) & (F.col("regression_rate") <= 0.03)
+    decision = F.when(F.col("policy") == "base", "fallback").when(good, "accepted").when(F.col("delta") > 0, "weak_trend_rejected").otherwise("rejected")
+    best = Window.orderBy(F.desc("delta"), "regressions", "route_rate", "policy")  # a row a gate
+    return out.select("policy", "n", "success", "delta", "ci_low", "ci_high", "fixes", "regressions", "regression_rate", "route_rate", decision.alias("decision"), F.row_number().over(best).alias("place"))
+
+
+def aligned(rows: DataFrame, key: str, run: str, names: list[str], value: str, strict: bool = True) -> DataFrame:
+    """(``key``, a column for each run, missing): the runs of each key side by side; ``missing`` counts those without a row,
+    which ``strict`` makes an error.  A run with two rows of a key is an error, too."""
+    many = rows.groupBy(key).pivot(run, names).agg(F.count(F.lit(1)).alias("n"), F.first(value).alias("v"))
+    gone = sum((F.coalesce(F.col(f"{n}_n"), F.lit(0)) == 0).cast("int") for n in names)
+    twice = F.greatest(*[F.coalesce(F.col(f"{n}_n"), F.lit(0)) for n in names], F.lit(0)) > 1
+    said = lambda what: F.raise_error(F.concat(F.lit(f"{what} for "), F.col(key).cast("string"))).cast("int")
+    told = F.when(twice, said("a run has two rows")).when((gone > 0) & F.lit(strict), said("a run has no row")).otherwise(gone)
+    return many.select(key, *[F.col(f"{n}_v").alias(n) for n in names], told.alias("missing"))

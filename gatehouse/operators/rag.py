@@ -67,3 +67,34 @@ def chain(df: DataFrame, by: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), metrics.rate(hit).alias("hit_rate"), metrics.rate(used).alias("use_success"), metrics.share(used, hit).alias("use_given_hit"),
         metrics.rate(hit & ~used).alias("hit_but_use_fail"), metrics.rate(~hit & used).alias("miss_but_success"),
     )
+
+
+def context_audit(rows: DataFrame, documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """Whether the key's answer was in the first document, in the selected one, and anywhere in the context, each scored anew.
+
+    ``rows`` has (sample_id, answer_pass, used_candidate_ids, selected_candidate_id, error_type), ``documents`` (sample_id,
+    document), ``keys`` (sample_id, required_terms, forbidden_terms).  Candidates are looked up by id; an unknown one has no
+    text.  A row without a key is an error."""
+    texts = documents.select(F.col("sample_id").alias("_id"), F.coalesce("document", F.lit("")).alias("_text"))
+    listed = rows.select("sample_id", F.posexplode_outer("used_candidate_ids").alias("at", "_id")).join(texts, "_id", "left")
+    one = F.struct("at", F.coalesce("_text", F.lit("")).alias("text"))
+    nested = listed.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), one))).alias("_used"))
+    selected = rows.select("sample_id", F.col("selected_candidate_id").alias("_id")).join(texts, "_id", "left").select("sample_id", F.coalesce("_text", F.lit("")).alias("selected"))
+    out = rows.join(nested, "sample_id").join(selected, "sample_id").join(keys.withColumn("_key", F.lit(True)), "sample_id", "left")
+    out = out.where(F.coalesce(F.col("_key"), F.raise_error(F.concat(F.lit("no answer key for "), F.col("sample_id").cast("string"))).cast("boolean")))
+    used = F.transform("_used", lambda x: x["text"])
+    out = out.withColumns({"first": F.coalesce(F.get(used, F.lit(0)), F.lit("")), "context": F.array_join(used, "\n\n"), "passed": F.col("answer_pass")})
+    found = {"first_doc_has_answer": "first", "selected_doc_has_answer": "selected", "context_has_answer": "context"}
+    for name, text in found.items():
+        out = with_score(out, text, "required_terms", "forbidden_terms").withColumn(name, F.col("answer_pass"))
+    had, first = F.col("context_has_answer"), F.col("first_doc_has_answer")
+    return out.select(
+        "sample_id", F.col("passed").alias("answer_pass"), *found, (F.col("passed") & had & ~first).alias("context_recovery"), (~F.col("passed") & had).alias("context_pollution_or_generation_miss"), (~had).alias("retrieval_miss_by_answer_key"), "error_type",
+    )
+
+
+def audit_report(audit: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, n, the rate of each of the audit's verdicts, and three counts)."""
+    flags = [c for c, t in audit.dtypes if t == "boolean"]
+    counted = flags[-3:]
+    return audit.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), *[metrics.rate(F.col(c)).alias(c) for c in flags], *[F.count_if(c).alias(f"{c}_count") for c in counted])

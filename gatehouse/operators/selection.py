@@ -98,3 +98,14 @@ def accept_tool(board: DataFrame, baseline: str, mrr_weight: float = 0.5, max_pr
     out = out.withColumns({"primary_delta": F.round(F.col("acc_at_1") - F.col("b1"), 6), "quality_delta": F.round(F.col("recall_at_3") - F.col("b3") + mrr_weight * (F.col("mrr") - F.col("bm")), 6), "unsafe_delta": F.round(F.col("unsafe_rate") - F.col("bu"), 6)})
     reasons = reject_reasons([(F.col("primary_delta") < -max_primary_regression, "primary_metric_regression"), (F.col("quality_delta") <= 0, "candidate_quality_not_improved"), (F.col("unsafe_delta") > max_unsafe_increase, "unsafe_wrong_tool_increased"), (F.col("regression_rate") > max_regression, "paired_regression_rate_too_high")])
     return out.withColumn("reject_reasons", reasons).withColumn("accepted", F.col("reject_reasons") == "").drop("b1", "b3", "bm", "bu")
+
+
+ACCEPT_FAMILIES = {"asr_like": accept_asr_like, "tool": accept_tool}
+
+
+def accept(family: str, board: DataFrame, baseline: str, **limits: float) -> DataFrame:
+    """The accept gate of a family: (family, candidate, primary_delta, regression_rate, reject_reasons, accepted)."""
+    if family not in ACCEPT_FAMILIES:
+        raise ValueError(f"unsupported family: {family}")
+    out = ACCEPT_FAMILIES[family](board, baseline, **limits)
+    return out.select(F.lit(family).alias("family"), "candidate", "primary_delta", "regression_rate", "reject_reasons", "accepted")

@@ -382,3 +382,14 @@ def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_split_no_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.groupBy(sampling.group_fold(F.col("source"), 4, 9).cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("groups"))
+
+
+@query(f"""WITH {ACCEPT_SQL}, d AS (SELECT b.*, round(b.acc_at_1 - a.acc_at_1, 6) AS primary_delta, round(b.recall_at_3 - a.recall_at_3, 6) AS recall_delta, round(b.acc_at_1 + 0.1 * b.recall_at_3 + 0.1 * b.mrr - (a.acc_at_1 + 0.1 * a.recall_at_3 + 0.1 * a.mrr), 6) AS utility_delta,
+   round(b.recall_at_3 - a.recall_at_3 + 0.5 * (b.mrr - a.mrr), 6) AS quality_delta, round(b.unsafe_rate - a.unsafe_rate, 6) AS unsafe_delta FROM b, a WHERE b.candidate <> 'asr'),
+r AS (SELECT 'asr_like' AS family, candidate, primary_delta, regression_rate, concat_ws(',', CASE WHEN primary_delta <= 0 THEN 'primary_metric_not_improved' END, CASE WHEN utility_delta <= 0 THEN 'utility_not_improved' END, CASE WHEN recall_delta < 0 THEN 'recall_regression' END, CASE WHEN ci_low <= 0 THEN 'paired_ci_lower_bound_not_positive' END, CASE WHEN regression_rate > 0.03 THEN 'paired_regression_rate_too_high' END) AS reject_reasons FROM d
+   UNION ALL SELECT 'tool', candidate, primary_delta, regression_rate, concat_ws(',', CASE WHEN primary_delta < 0 THEN 'primary_metric_regression' END, CASE WHEN quality_delta <= 0 THEN 'candidate_quality_not_improved' END, CASE WHEN unsafe_delta > 0 THEN 'unsafe_wrong_tool_increased' END, CASE WHEN regression_rate > 0.03 THEN 'paired_regression_rate_too_high' END) FROM d)
+SELECT *, reject_reasons = '' AS accepted FROM r""")
+def accept_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each family's gate over the same board."""
+    board = accept_board(spark, sf_dir)
+    return selection.accept("asr_like", board, "asr").unionByName(selection.accept("tool", board, "asr"))

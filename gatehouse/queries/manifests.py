@@ -84,10 +84,10 @@ def benchmark_task_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parallel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 23).alias("key"), "doc_id", "lang", F.col("text"), F.lit(None).cast("string").alias("transcript"))
-    return M.parallel(d.where("lang = 'en'"), d.where("lang = 'de'"), "key", "doc_id", "en", "de", 100)
+    return M.parallel(d.where("lang = 'en'"), d.where("lang = 'de' AND key < 20"), "key", "doc_id", "en", "de", 100)
 
 
-PARALLEL_SQL = """tg AS (SELECT doc_id % 23 AS key, arg_max(text, doc_id) AS target FROM documents WHERE lang = 'de' GROUP BY 1),
+PARALLEL_SQL = """tg AS (SELECT doc_id % 23 AS key, arg_max(text, doc_id) AS target FROM documents WHERE lang = 'de' AND doc_id % 23 < 20 GROUP BY 1),
 pr AS (SELECT doc_id, doc_id % 23 AS key, text, target, row_number() OVER (ORDER BY doc_id) - 1 AS nth FROM documents JOIN tg ON doc_id % 23 = tg.key WHERE lang = 'en')"""
 
 

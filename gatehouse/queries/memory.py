@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import answering as A
 from ..operators import memory as M
+from ..operators import rag as R
 from ..views import HYBRID_SQL, candidate_lists, hybrid, label_name, label_ranks
 from .registry import hash_sql, registry
 
@@ -140,8 +141,8 @@ def chat_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.chat_summary(rows, ["role"]).join(rows.groupBy("role").agg(F.count_if("over").alias("overflows")), "role")
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each embedding asks for its label among the three best of either view; labels of one remainder modulo 5 share a
+def answer_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, samples, keys): each embedding asks for its label among the three best of either view; labels of one remainder modulo 5 share a
     document, and the odd ones carry no document of their own."""
     r, c = label_ranks(spark, sf_dir), F.col("cand")
     item = F.struct(own(c).alias("sample_id"), F.when(c % 2 == 0, label_name(c)).otherwise("").alias("document"))
@@ -153,7 +154,11 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     gold = label_name(F.col("label"))
     keys = r.where("cand = label").select(own(F.col("label")).alias("sample_id"), gold.alias("gold_answer"), gold.alias("key_decision"), F.array(F.array(gold, F.lit(""))).alias("required_terms"), F.array(F.lit("play_3")).alias("forbidden_terms"))
-    return A.evaluate(rows, samples, keys)
+    return rows, samples, keys
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.evaluate(*answer_inputs(spark, sf_dir))
 
 
 ANSWERS_SQL = HYBRID_SQL + f""", al AS (SELECT vec_id, label, list(cand ORDER BY r_asr) FILTER (WHERE r_asr <= 3) AS a, list(cand ORDER BY r_omni) FILTER (WHERE r_omni <= 3) AS o FROM lr GROUP BY vec_id, label),
@@ -191,3 +196,26 @@ def rag_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     required = F.array(F.array(text("a"), text('b "c"')), F.array(text("d")))
     judge = A.judge_prompt(F.col("q"), F.lit(None).cast("string"), text("g"), text("k"), required, F.array().cast("array<string>"), F.col("text"), text("s"))
     return b.select("item_id", A.answer_prompt("q", F.array("text", text("other")), "extractive_short").alias("short"), judge.alias("judge"))
+
+
+AUDIT_SQL = ANSWERS_SQL + f""", au2 AS (SELECT vec_id || ':' || label AS sample_id, label, a, list_transform(a, lambda x: 'doc ' || (['alarm', 'email', 'music', 'play'])[x % 4 + 1] || ' ' || x) AS docs, (['alarm', 'email', 'music', 'play'])[label % 4 + 1] || ' ' || label AS want FROM al),
+av AS (SELECT sample_id, contains(docs[1], want) AND NOT contains(docs[1], 'play 3') AS first, contains(array_to_string(docs, ' '), want) AND NOT contains(array_to_string(docs, ' '), 'play 3') AS context FROM au2),
+ad AS (SELECT sample_id, answer_pass, first AS first_doc_has_answer, first AS selected_doc_has_answer, context AS context_has_answer, answer_pass AND context AND NOT first AS context_recovery, NOT answer_pass AND context AS context_pollution_or_generation_miss, NOT context AS retrieval_miss_by_answer_key, error_type FROM ar JOIN av USING (sample_id))"""
+
+
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, samples, keys = answer_inputs(spark, sf_dir)
+    return R.context_audit(answers(spark, sf_dir), samples.select("sample_id", F.col("document_text").alias("document")), keys.select("sample_id", "required_terms", "forbidden_terms"))
+
+
+@query(f"WITH {AUDIT_SQL} SELECT * FROM ad")
+def answer_context_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the answer was: in the first document, in the selected one, in the context."""
+    return audited(spark, sf_dir)
+
+
+@query(f"""WITH {AUDIT_SQL} SELECT error_type, count(*) AS n, round(avg(CAST(answer_pass AS INT)), 6) AS answer_pass, round(avg(CAST(first_doc_has_answer AS INT)), 6) AS first_doc_has_answer, round(avg(CAST(selected_doc_has_answer AS INT)), 6) AS selected_doc_has_answer, round(avg(CAST(context_has_answer AS INT)), 6) AS context_has_answer,
+  round(avg(CAST(context_recovery AS INT)), 6) AS context_recovery, round(avg(CAST(context_pollution_or_generation_miss AS INT)), 6) AS context_pollution_or_generation_miss, round(avg(CAST(retrieval_miss_by_answer_key AS INT)), 6) AS retrieval_miss_by_answer_key,
+  count(*) FILTER (context_recovery) AS context_recovery_count, count(*) FILTER (context_pollution_or_generation_miss) AS context_pollution_or_generation_miss_count, count(*) FILTER (retrieval_miss_by_answer_key) AS retrieval_miss_by_answer_key_count FROM ad GROUP BY error_type""")
+def answer_audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.audit_report(audited(spark, sf_dir), ["error_type"])

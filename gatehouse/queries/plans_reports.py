@@ -15,23 +15,41 @@ QUERIES, ORACLE_SQL, query = registry()
 ARMS = instructions.task_arms("rag")
 
 
-@query("""SELECT * FROM (VALUES ('arms', 18, 17), ('rag', 7, 6), ('tool', 7, 6), ('asr_like', 7, 6), ('dialect', 4, 3), ('translation', 6, 5)) AS v(task, arms, told)""")
+LANGS_SQL = "lg AS (SELECT lang, count(*) AS docs FROM documents WHERE lang IS NOT NULL GROUP BY lang)"
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, docs): each language is a data set of its own to the plans."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+
+
+def for_each_language(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """``rows``, which are as few as a plan's steps, once for each language."""
+    return languages(spark, sf_dir).join(F.broadcast(rows))
+
+
+@query(f"""WITH {LANGS_SQL} SELECT lang, task, arms, told, docs * arms AS texts FROM lg, (VALUES ('arms', 18, 17), ('rag', 7, 6), ('tool', 7, 6), ('asr_like', 7, 6), ('dialect', 4, 3), ('translation', 6, 5)) AS v(task, arms, told)""")
 def instruction_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many arms there are, and each task has; one of them says nothing."""
+    """How many arms each task has, one of which says nothing, and how many texts they make of each language's documents."""
     tasks = {"arms": list(instructions.all_arms().items())} | {t: instructions.task_arms(t) for t in instructions.TASK_ARMS}
     rows = spark.createDataFrame([(t, a, said) for t, arms in tasks.items() for a, said in arms], "task string, arm string, said string")
-    return rows.groupBy("task").agg(F.count_distinct("arm").cast("int").alias("arms"), F.count_if(F.col("said") != "").cast("int").alias("told"))
+    counted = rows.groupBy("task").agg(F.count_distinct("arm").cast("int").alias("arms"), F.count_if(F.col("said") != "").cast("int").alias("told"))
+    return for_each_language(spark, sf_dir, counted).select("lang", "task", "arms", "told", (F.col("docs") * F.col("arms")).alias("texts"))
 
 
-@query("""SELECT * FROM (VALUES ('constructed_asr_transcript', 'Represent the spoken audio for transcript-level ASR semantic matching. Match it to the literal transcript candidate. Treat candidates as equivalent only when they express same spoken content, not merely same topic.'),
+@query("""SELECT conv_id, turn, arm, opening FROM conversations JOIN (VALUES ('constructed_asr_transcript', 'Represent the spoken audio for transcript-level ASR semantic matching. Match it to the literal transcript candidate. Treat candidates as equivalent only when they express same spoken content, not merely same topic.'),
 ('constructed_rag_grounding', 'Represent the spoken audio for spoken question evidence retrieval. Match it to the passage or rule that directly supports the answer. Treat candidates as equivalent only when they express grounded answer support rather than surface lexical overlap.'),
 ('constructed_tool_intent', 'Represent the spoken audio for spoken command tool selection. Match it to the most specific executable tool or intent schema. Treat candidates as equivalent only when they express same user action and operational intent.'),
-('constructed_translation', 'Represent the spoken audio for cross-lingual speech translation matching. Match it to the equivalent target-language translation candidate. Treat candidates as equivalent only when they express same cross-lingual meaning.')) AS v(arm, opening)""")
+('constructed_translation', 'Represent the spoken audio for cross-lingual speech translation matching. Match it to the equivalent target-language translation candidate. Treat candidates as equivalent only when they express same cross-lingual meaning.')) AS v(arm, opening)
+ON arm = (['constructed_asr_transcript', 'constructed_rag_grounding', 'constructed_tool_intent', 'constructed_translation'])[conv_id % 4 + 1] WHERE role = 'user'""")
 def constructed_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the texts begin that are built from cards."""
+    """What each user's message is encoded with: the beginnings of the texts that are built from cards, dealt out by conversation."""
     end = F.instr("instruction", " Pay special attention")
     rows = instructions.arms_table(spark).where("startswith(arm, 'constructed_')")
-    return rows.select("arm", F.left("instruction", end - 1).alias("opening"))
+    openings = rows.select("arm", F.left("instruction", end - 1).alias("opening"))
+    names = F.array(*[F.lit(f"constructed_{x}") for x in ("asr_transcript", "rag_grounding", "tool_intent", "translation")])
+    spoken = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    return spoken.select("conv_id", "turn", F.get(names, (F.col("conv_id") % 4).cast("int")).alias("arm")).join(F.broadcast(openings), "arm")  # four arms
 
 
 PLANS_SQL = """a AS (SELECT 'rag' AS task, unnest(['raw', 'exact_condition_matching', 'policy_grounding', 'v2_qa_answer_boundary', 'constructed_rag_grounding', 'negation_exception_sensitive', 'dialect_robust_semantic']) AS arm
@@ -47,35 +65,39 @@ def plans(spark: SparkSession) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query(f"WITH {PLANS_SQL} SELECT task, arm, CAST(i AS INT) AS step_index, step FROM p")
+@query(f"WITH {LANGS_SQL}, {PLANS_SQL} SELECT lang, task, arm, CAST(i AS INT) AS step_index, step FROM p, lg")
 def plan_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans(spark).select("task", "arm", "step_index", "step")
+    """The steps of all plans for each language."""
+    return for_each_language(spark, sf_dir, plans(spark)).select("lang", "task", "arm", "step_index", "step")
 
 
-@query(f"""WITH {PLANS_SQL} SELECT task, arm, step, CASE WHEN step = 'cache_text' OR arm = 'raw' AND step <> 'cache_omni_audio' THEN 'skipped_existing' ELSE 'blocked' END AS status,
-  'manifest not found: manifest.jsonl' || CASE WHEN step = 'evaluate_hybrid_from_cache' THEN '; not found before eval: outputs/cache_agentic_taxonomy_rag_driver_docs_' || arm || '_omni.pt' ELSE '' END AS warnings FROM p""")
+@query(f"""WITH {LANGS_SQL}, {PLANS_SQL} SELECT lang, task, arm, step, CASE WHEN step = 'cache_text' OR arm = 'raw' AND step <> 'cache_omni_audio' THEN 'skipped_existing' ELSE 'blocked' END AS status,
+  'manifest not found: manifest.jsonl' || CASE WHEN step = 'evaluate_hybrid_from_cache' THEN '; not found before eval: outputs/cache_agentic_taxonomy_rag_driver_docs_' || arm || '_omni.pt' ELSE '' END AS warnings FROM p, lg""")
 def plan_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the manifest is missing, and the shared text cache and the results of the first arm exist."""
     flat = plans(spark)
     there = flat.where("step = 'cache_text' OR (startswith(step, 'evaluate') AND arm = 'raw')").select(F.col("output").alias("path"))
     parts = [steps.statuses(flat.where(F.col("task") == t).drop("task"), there, execute=True).withColumn("task", F.lit(t)) for t in ("rag", "tool", "asr_like", "translation")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).select("task", "arm", "step", "status", "warnings")
+    told = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return for_each_language(spark, sf_dir, told).select("lang", "task", "arm", "step", "status", "warnings")
 
 
 STEP = {"manifest": "data/m.jsonl", "output": "out/x.json", "max_samples": 0, "seed": 0, "score_count": 0, "test_size": 20}
 
 
-@query("""SELECT * FROM (VALUES (0, 'cache_text', 'python mainline/cache_audio_memory_embeddings.py --cache-kind text --manifest data/m.jsonl --output out/x.json --text-model q3 --max-samples 0 --test-size 20 --seed 0'),
+@query(f"""WITH {LANGS_SQL} SELECT lang, place, step, replace(command, 'data/m.jsonl', 'data/' || lang || '.jsonl') AS command FROM lg, (VALUES (0, 'cache_text', 'python mainline/cache_audio_memory_embeddings.py --cache-kind text --manifest data/m.jsonl --output out/x.json --text-model q3 --max-samples 0 --test-size 20 --seed 0'),
 (1, 'evaluate_asr_like_omni_selection', 'python mainline/omni_embed_selection.py --manifest data/m.jsonl --output out/x.json --omni-model o --audio-query-instruction say it --candidate-count 8 --max-samples 0 --seed 0 --include-rows'),
 (2, 'evaluate_translation_omni_selection', 'python ../../scripts/transcript_candidate_retrieval.py --manifest ../../data/m.jsonl --output ../../out/x.json --model /models/o --route direct_omni --query-field source_text --max-samples 0 --seed 0'),
 (3, 'evaluate_tool_omni_audio', 'python mainline/audio_nlp_label_classification.py --manifest data/m.jsonl --output out/x.json --task intent --routes omni_audio --max-samples 0 --seed 0')) AS v(place, step, command)""")
 def plan_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps as command lines: zero is left out but for two flags, null and false are, true is its flag alone."""
+    """Steps as command lines for each language's manifest: zero is left out but for two flags, null and false are, true is
+    its flag alone."""
     given = [
         STEP | {"step": "cache_text", "text_model": "q3", "query_text_source": ""}, STEP | {"step": "evaluate_asr_like_omni_selection", "omni_model": "o", "audio_instruction": "say it", "candidate_count": 8, "same_intent_negatives": 0},
         STEP | {"step": "evaluate_translation_omni_selection", "omni_model": "/models/o", "candidate_count": None}, STEP | {"step": "evaluate_tool_omni_audio", "task": "intent", "label_example_count": False},
     ]
-    return commands.commands(spark, given)
+    lines = for_each_language(spark, sf_dir, commands.commands(spark, given))
+    return lines.select("lang", "place", "step", F.replace("command", F.lit("data/m.jsonl"), F.concat(F.lit("data/"), "lang", F.lit(".jsonl"))).alias("command"))
 
 
 CASE_SQL = """c AS (SELECT p.policy, m.prompt_mode, 'run/x_' || p.name || '_' || m.prompt_mode || '.json' AS output, 'run/x_' || p.name || '_' || m.prompt_mode || '.backend.log' AS backend_log FROM (VALUES ('raw', 'raw'), ('v2 card', 'v2_card')) AS p(policy, name), (VALUES ('letter'), ('json')) AS m(prompt_mode))"""
@@ -90,10 +112,11 @@ def case_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.case_results(plan, results)
 
 
-@query("""SELECT * FROM (VALUES (0, '#!/usr/bin/env bash'), (1, 'set -euo pipefail'), (2, 'run --policy raw --mode json > run/x_raw_json.json'), (3, 'run --policy raw --mode letter > run/x_raw_letter.json')) AS v(place, line)""")
+@query(f"""WITH {LANGS_SQL} SELECT lang, place, replace(line, 'run/x', 'run/' || lang) AS line FROM lg, (VALUES (0, '#!/usr/bin/env bash'), (1, 'set -euo pipefail'), (2, 'run --policy raw --mode json > run/x_raw_json.json'), (3, 'run --policy raw --mode letter > run/x_raw_letter.json')) AS v(place, line)""")
 def case_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = commands.cases(spark, ["raw"], ["letter", "json"], "run/x")
-    return commands.script(plan, lambda _: F.concat(F.lit("run --policy "), "policy", F.lit(" --mode "), "prompt_mode", F.lit(" > "), "output"))
+    lines = commands.script(plan, lambda _: F.concat(F.lit("run --policy "), "policy", F.lit(" --mode "), "prompt_mode", F.lit(" > "), "output"))
+    return for_each_language(spark, sf_dir, lines).select("lang", "place", F.replace("line", F.lit("run/x"), F.concat(F.lit("run/"), "lang")).alias("line"))
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")

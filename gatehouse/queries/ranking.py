@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ranking as R
 from ..operators import fusion, gates, metrics, order, similarity
 from ..views import HYBRID_SQL, RUNS_SQL, hybrid, label_name, label_ranks, runs, table
+from .evaluation import ROUNDS, SEED, boot_sql, ci_sql
 from .registry import hash_sql, registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -237,6 +238,34 @@ def self_consistency_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("gate", "a", "m").agg(metrics.rate(taken).alias("route_rate"), metrics.rate(chosen == F.col("target")).alias("accuracy"), F.count_if((F.col("base") == F.col("target")) & (chosen != F.col("target"))).alias("regressions"))
 
 
+SWEEP_SQL = VOTE_SQL + ", gt AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k})" for k, (n, _) in enumerate(gates.consistency_gates())) + """) AS v(policy, k)),
+ge AS (SELECT 0 AS k, 0e0 AS a, 0 AS m UNION ALL SELECT 2 + 5 * i + m, ([0.5e0, 0.75e0, 1e0])[i + 1], m FROM range(3) AS r(i), range(5) AS q(m)),
+gj AS (SELECT policy, vt.prediction AS said, r.prediction AS base, r.target, CASE WHEN policy = 'base' THEN false WHEN policy = 'majority' THEN true WHEN policy = 'self_when_base_loses_vote' THEN base_votes < votes WHEN policy LIKE 'self_if_base%' THEN base_votes <= CAST(right(policy, 1) AS INT)
+   ELSE votes / CAST(runs AS DOUBLE) >= a AND votes - second >= m END AS taken FROM vt JOIN runs r ON r.sample_id = vt.sample_id AND r.candidate = 'asr', gt LEFT JOIN ge ON ge.k = gt.k AND gt.k > 1),
+gk AS (SELECT *, base = target AS was, CASE WHEN taken THEN said ELSE base END = target AS ok FROM gj),
+cn AS (SELECT policy, count(*) AS n, round(avg(CAST(ok AS INT)), 6) AS success, count(*) FILTER (ok AND NOT was) AS fixes, count(*) FILTER (was AND NOT ok) AS regressions, round(avg(CAST(taken AND said <> base AS INT)), 6) AS route_rate FROM gk GROUP BY policy)"""
+
+
+@query(f"""WITH {SWEEP_SQL}, {boot_sql("cn", "policy")}, {ci_sql("policy", "D")},
+sw AS (SELECT cn.*, round((fixes - regressions) / CAST(n AS DOUBLE), 6) AS delta, round(regressions / CAST(n AS DOUBLE), 6) AS regression_rate, ci_low, ci_high FROM cn JOIN ci USING (policy))
+SELECT policy, n, success, delta, ci_low, ci_high, fixes, regressions, regression_rate, route_rate, CASE WHEN policy = 'base' THEN 'fallback' WHEN delta > 0 AND ci_low > 0 AND regression_rate <= 0.03 THEN 'accepted' WHEN delta > 0 THEN 'weak_trend_rejected' ELSE 'rejected' END AS decision,
+  CAST(row_number() OVER (ORDER BY delta DESC, regressions, route_rate, policy) AS INT) AS place FROM sw""")
+def consistency_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 21 gates between the base run and the vote of three."""
+    r = runs(spark, sf_dir)
+    v = gates.vote(r, "sample_id", "candidate", "prediction", "rank", "asr").withColumnRenamed("prediction", "said")
+    second = F.round(F.col("votes") - F.col("vote_margin") * F.col("runs")).cast("long")
+    rows = v.withColumn("second", second).join(r.where("candidate = 'asr'").select("sample_id", F.col("prediction").alias("base"), "target"), "sample_id")
+    return gates.consistency_sweep(rows, ROUNDS, SEED)
+
+
+@query(f"""WITH {RUNS_SQL}, k AS (SELECT * FROM runs WHERE candidate <> 'rrf' OR vec_id % 13 > 0) SELECT sample_id, max(prediction) FILTER (candidate = 'asr') AS asr, max(prediction) FILTER (candidate = 'omni') AS omni, max(prediction) FILTER (candidate = 'rrf') AS rrf, CAST(3 - count(*) AS INT) AS missing FROM k GROUP BY sample_id""")
+def aligned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs side by side; a thirteenth of the rows lacks one."""
+    rows = runs(spark, sf_dir).where("candidate != 'rrf' OR vec_id % 13 > 0")
+    return gates.aligned(rows, "sample_id", "candidate", ["asr", "omni", "rrf"], "prediction", strict=False)
+
+
 AUDIO_SQL = HYBRID_SQL + ", ag AS (SELECT unnest([" + ", ".join(f"'{g}'" for g in gates.AUDIO_GATES) + """]) AS gate),
 ar AS (SELECT vec_id, label, CAST(asr_top AS VARCHAR) AS text_pred, CAST(omni_top AS VARCHAR) AS audio_pred, CASE WHEN vec_id % 6 > 0 THEN CAST(rrf_top AS VARCHAR) ELSE '' END AS noquery_pred, vec_id % 13 = 0 AS invalid, asr_top = 0 AS first, coalesce(confidence, 0) AS overlap,
    10e0 + vec_id % 5 AS text_cost, 30e0 + vec_id % 7 AS audio_cost, 5e0 AS noquery_cost FROM h),

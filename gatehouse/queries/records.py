@@ -107,6 +107,23 @@ def content_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "c.letter", "c.method", F.round("c.score", 6).alias("score"), "second")
 
 
+TAILS = ("", " answer: c", ' "answer": "D" or A', " Option：b then A", " <channel|> H and E")
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') || (['', ' answer: c', ' "answer": "D" or A', ' Option：b then A', ' <channel|> H and E'])[conv_id % 5 + 1] AS s FROM conversations),
+g AS (SELECT *, string_split(s, '<channel|>')[-1] AS g FROM t),
+l AS (SELECT *, nullif(upper(regexp_extract(g, '(?i)"answer"\s*:\s*"([A-H])"', 1)), '') AS j, nullif(upper(regexp_extract(g, '(?i)\b(?:answer|option|choice)\s*[:：]\s*([A-H])\b', 1)), '') AS n, nullif(upper(regexp_extract(g, '(?i)\b(?:answer|option|choice)\s*[:?]\s*([A-H])\b', 1)), '') AS m,
+   regexp_extract_all(regexp_replace(upper(g), '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])([A-H])(?:$|[^\p{L}\p{N}_])', 1) AS alone, regexp_extract_all(regexp_replace(upper(s), '([^A-Z0-9])', '\1\1', 'g'), '(?:^|[^A-Z0-9])([A-H])(?:$|[^A-Z0-9])', 1) AS every FROM g)
+SELECT conv_id, turn, coalesce(j, n, alone[1], '') AS policy, coalesce(CASE WHEN coalesce(j, m) <= 'D' THEN coalesce(j, m) END, list_filter(alone, lambda x: x <= 'D')[-1], '') AS memory, coalesce(every[-1], '') AS chat FROM l""")
+def letter_cascades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters that three parsers find in whole messages, some of which name an answer at their end."""
+    c = table(spark, sf_dir, "conversations")
+    said = F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*[F.lit(x) for x in TAILS]), (F.col("conv_id") % 5 + 1).cast("int")))
+    letter = lambda parser: F.when(parser["method"].isin("letter", "chat_last_letter"), parser["letter"]).otherwise("")
+    rows = c.select("conv_id", "turn", said.alias("said"), R.option_bodies(F.array(*[F.lit(x) for x in OPTIONS])).alias("options"))
+    return rows.select("conv_id", "turn", letter(R.channel_choice("said", "options")).alias("policy"), letter(R.memory_choice("said", "options")).alias("memory"), letter(R.chat_choice("said", "options")).alias("chat"))
+
+
 @query("""WITH t AS (SELECT doc_id, doc_id % 3 AS a, doc_id % 4 AS b FROM documents)
 SELECT doc_id, repeat('0', CAST(a + 2 AS INT)) || repeat('1', CAST(b + 1 AS INT)) || '00' AS last, '0' || repeat('1', CAST(a AS INT)) || CASE WHEN a = 0 THEN '0' || repeat('1', CAST(b + 1 AS INT)) ELSE '0' || repeat('0', CAST(b + 1 AS INT)) END || '00' AS first FROM t""")
 def audio_run_masks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatehouse.operators import answering, nested, probes, sampling, similarity
+from gatehouse.functions import records
+from gatehouse.operators import answering, gates, nested, probes, rag, sampling, selection, similarity
 from gatehouse.sources import readers
 from gatehouse.streaming import resume
 
@@ -169,3 +170,37 @@ def test_an_answer_without_a_key_is_an_error(spark):
     assert answering.evaluate(rows, samples, keys("s1", "s2", "s3")).count() == 2
     with pytest.raises(Exception, match="no answer key for s2"):
         answering.evaluate(rows, samples, keys("s1")).collect()
+
+
+def test_parser_cascades(spark):
+    options = ["red apple pie", "green tea"]
+    said = {
+        "between A and B. Answer: B": ("B", "B", "B"), "B, no, A": ("B", "A", "A"), "option: C or A": ("C", "A", "A"), "x_H green tea": ("B", "B", "H"), "Green  TEA": ("B", "B", "B"),
+        "<|channel>thought A": ("", "", "A"), "<|channel>thought A <|channel>final it is B": ("B", "B", "B"), '{"answer": "a"} b': ("A", "A", "B"), "D": ("D", "", "D"), "": ("", "", ""), "the pie of red": ("", "", ""),
+    }
+    df = spark.createDataFrame([(x, options) for x in [*said, None]], "said string, options array<string>")
+    got = {r.said: (r.p["letter"], r.m["letter"], r.c["letter"]) for r in df.select("said", records.channel_choice("said", "options").alias("p"), records.memory_choice("said", "options").alias("m"), records.chat_choice("said", "options").alias("c")).collect()}
+    assert got == said | {None: ("", "", "")}
+
+
+def test_runs_side_by_side(spark):
+    rows = spark.createDataFrame([("s1", "a", "x"), ("s1", "b", "y"), ("s2", "a", "z")], "id string, run string, said string")
+    got = {r.id: (r.a, r.b, r.missing) for r in gates.aligned(rows, "id", "run", ["a", "b"], "said", strict=False).collect()}
+    assert got == {"s1": ("x", "y", 0), "s2": ("z", None, 1)}
+    with pytest.raises(Exception, match="a run has no row for s2"):
+        gates.aligned(rows, "id", "run", ["a", "b"], "said").collect()
+    with pytest.raises(Exception, match="two rows for s1"):
+        gates.aligned(rows.unionByName(rows), "id", "run", ["a", "b"], "said", strict=False).collect()
+    assert len(gates.consistency_gates()) == 21
+    with pytest.raises(ValueError):
+        selection.accept("other", rows, "a")
+
+
+def test_context_audit(spark):
+    rows = spark.createDataFrame([("q1", True, ["d1", "d2"], "d2", "none"), ("q2", False, [], None, "miss"), ("q3", False, ["d2", "no"], "no", "miss")], "sample_id string, answer_pass boolean, used_candidate_ids array<string>, selected_candidate_id string, error_type string")
+    documents = spark.createDataFrame([("d1", "nothing here"), ("d2", "the Key is 7")], "sample_id string, document string")
+    keys = spark.createDataFrame([(f"q{k}", [["key is 7"]], []) for k in (1, 2, 3)], "sample_id string, required_terms array<array<string>>, forbidden_terms array<string>")
+    got = {r.sample_id: tuple(r)[1:-1] for r in rag.context_audit(rows, documents, keys).collect()}
+    assert got == {"q1": (True, False, True, True, True, False, False), "q2": (False, False, False, False, False, False, True), "q3": (False, True, False, True, False, True, False)}
+    with pytest.raises(Exception, match="no answer key for q3"):
+        rag.context_audit(rows, documents, keys.where("sample_id != 'q3'")).collect()
