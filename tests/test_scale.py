@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gatehouse import shared
 from gatehouse.operators import fitting, gates, metrics, order, probes, resample, similarity
 from gatehouse.plans import commands
 
@@ -190,3 +191,21 @@ def test_errors_of_probes_and_plans(spark):
     with pytest.raises(ValueError):
         commands.argv({"step": "other"})
     assert commands.argument("--seed", 0) == ["--seed", "0"] and commands.argument("--n", 0) == [] and commands.argument("--on", True) == ["--on"]
+
+
+def test_written_tables_leave_no_shuffles_and_no_settings(spark):
+    before = spark.conf.get(shared.CLEANUP, None)
+    rows = spark.range(1000).withColumn("g", F.col("id") % 7)
+    sums = rows.groupBy("g").agg(F.sum("id").alias("s"))
+    out = shared.materialize(sums, "sums")
+    assert spark.conf.get(shared.CLEANUP, None) == before
+    want = sorted(map(tuple, sums.collect()))  # what led to it can be run again
+    assert sorted(map(tuple, out.collect())) == want and out.schema == sums.schema
+    with shared.scratch(spark, keep=1):
+        first, last = shared.materialize(sums, "first"), shared.materialize(sums, "last")
+    assert sorted(map(tuple, last.collect())) == want
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(first._gatehouse_path)
+    shared.release(last)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(last._gatehouse_path)
