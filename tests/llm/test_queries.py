@@ -48,6 +48,10 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{path}/labels.parquet")
     talk = [(c, t, ("user", "assistant")[t % 2], None if (c + t) % 17 == 0 else "" if (c + t) % 13 == 0 else f'text "{c}" {t}\n') for c in range(40) for t in range(c % 9)]
     spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"file://{path}/conversations.parquet")
+    r = random.Random(11)
+    vectors = [(k, [round(r.gauss(k % 5, 0.7), 3) for _ in range(6)], k % 4) for k in range(320)]
+    vectors += [(400, None, 1), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (402, [math.nan] * 6, 2), (403, [math.inf] * 6, 2), (500, [1.0] * 6, None), (600, [0.5] * 6, 3), (601, [0.5] * 6, 3), (607, [0.5] * 6, 2)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"file://{path}/embeddings.parquet")
     return f"file://{path}"
 
 
@@ -58,7 +62,7 @@ def result(spark, folder, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_its_sql(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations"):
+    for t in ("documents", "labels", "conversations", "embeddings"):
         keep = "WHERE doc_id IS NOT NULL" if t == "documents" else ""
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder[7:]}/{t}.parquet/*.parquet' {keep}")
     want = con.sql(queries.ORACLE_SQL[name])
@@ -67,7 +71,8 @@ def test_query_matches_its_sql(spark, folder, name):
         path = f"{folder}-ids"
         if not os.path.exists(path[7:]):
             spark.read.parquet(f"{folder}/documents.parquet").where("doc_id IS NOT NULL").write.parquet(f"{path}/documents.parquet")
-            spark.read.parquet(f"{folder}/conversations.parquet").write.parquet(f"{path}/conversations.parquet")
+            for t in ("conversations", "embeddings"):
+                spark.read.parquet(f"{folder}/{t}.parquet").write.parquet(f"{path}/{t}.parquet")
     df = queries.QUERIES[name](spark, path)
     assert sorted(df.columns) == sorted(want.columns)
     columns = sorted(df.columns)
