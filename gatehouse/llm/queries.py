@@ -241,8 +241,8 @@ ORACLE_SQL = {
     # bytes as pairs of hexadecimal digits; removed windows that touch are one span
     "op12_suffix_array_dedup": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-        c AS (SELECT r, doc_id, at, substr(x, 2 * at + 1, 498) AS x FROM (SELECT *, unnest(range(0, length(x) // 2 - 49, 200)) AS at FROM d WHERE length(x) >= 100)),
-        w AS (SELECT r, doc_id, at + i AS i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(length(x) // 2 - 49)) AS i FROM c)),
+        c AS (SELECT r, doc_id, head, substr(x, 2 * head + 1, 498) AS x FROM (SELECT *, unnest(range(0, length(x) // 2 - 49, 200)) AS head FROM d WHERE length(x) >= 100)),
+        w AS (SELECT r, doc_id, head + i AS i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(length(x) // 2 - 49)) AS i FROM c)),
         f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
         e AS (SELECT r, i, CAST(coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 50, true) AS INT) AS fresh FROM w JOIN f ON w.s = f.s WHERE doc_id > first),
         s AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS span FROM e),
