@@ -53,8 +53,12 @@ def test_query_matches_its_oracle(spark, duck, name):
     assert got == canonical(want.columns, want.fetchall())
 
 
+#: A ridge classifier solves for matrices, which SQL cannot: test_learning holds the query against numpy.
+WITHOUT_SQL = {"probe_linear"}
+
+
 def test_every_query_has_an_oracle():
-    assert sorted(queries.QUERIES) == sorted(queries.ORACLE_SQL)
+    assert sorted(queries.QUERIES) == sorted({*queries.ORACLE_SQL, *WITHOUT_SQL})
 
 
 def test_entry(spark):

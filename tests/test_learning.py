@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gatehouse import queries
 from gatehouse.functions import records
 from gatehouse.operators import answering, gates, nested, probes, rag, sampling, selection, similarity
 from gatehouse.sources import readers
@@ -73,6 +74,24 @@ def test_linear_probe_matches_numpy(spark):
     assert got == want and np.mean([want[k] == f"l{y[k]}" for k in range(300)]) > 0.8
 
 
+def test_linear_probe_query_matches_numpy(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = sorted((r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect())
+    x, y = np.array([[*v, 1.0] for _, v, _ in rows]), np.array([c for *_, c in rows])
+    speaker = np.floor(np.sqrt([k for k, *_ in rows])).astype(int)
+    groups, sizes = np.unique(speaker, return_counts=True)
+    dealt = {int(g): (i % 4 if i // 4 % 2 == 0 else 3 - i % 4) for i, g in enumerate(groups[np.lexsort((groups, -sizes))])}
+    fold = np.array([dealt[int(s)] for s in speaker])
+    labels, want = np.unique(y), {}
+    hot = (y[:, None] == labels).astype(float)
+    shrink = np.diag([1.0] * (x.shape[1] - 1) + [1e-9])
+    for f in range(4):
+        fit = fold != f
+        w = np.linalg.solve(x[fit].T @ x[fit] + shrink, x[fit].T @ hot[fit])
+        want |= {rows[k][0]: int(labels[c]) for k, c in zip(np.flatnonzero(~fit), np.round(x[~fit] @ w, 9).argmax(1), strict=True)}
+    assert {r.vec_id: r.prediction for r in queries.QUERIES["probe_linear"](spark, folder).collect()} == want
+
+
 def test_nested_choice_does_not_look_at_its_own_fold(spark):
     # on fold 0 option b is best, on all others a
     rows = [(f, o, p, (o == "b") == (f == 0)) for f in range(3) for o, p in (("a", 0), ("b", 1)) for _ in range(4)]
