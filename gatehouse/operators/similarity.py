@@ -105,9 +105,11 @@ def rank_in_blocks(rows: DataFrame, labels: DataFrame, keep: list[str], views: d
     """``rank_views`` for a bank of any size: a cell has up to ``most_labels`` labels and 2 ** 20 scores."""
     rows = materialize(rows.withColumn("__i", F.monotonically_increasing_id()), "rows")
     high, wide = -(-rows.count() // max(1, (1 << 20) // most_labels)) or 1, -(-labels.count() // most_labels) or 1
+    # both sides number their cells by one type: a cogroup deals each side out by its own, and a long hashes unlike an int
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = rows.select("__i", "__v", F.pmod(F.xxhash64("__i"), F.lit(high)).alias("row")).withColumn("column", every(wide))
-    b = labels.where(F.col("vector").isNotNull()).select("label", "vector", F.pmod(F.xxhash64("label"), F.lit(wide)).alias("column")).withColumn("row", every(high))
+    a = rows.select("__i", "__v", block("__i", high).alias("row")).withColumn("column", every(wide))
+    b = labels.where(F.col("vector").isNotNull()).select("label", "vector", block("label", wide).alias("column")).withColumn("row", every(high))
     names = [f"s_{v}" for v in views]
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -209,3 +209,22 @@ def test_written_tables_leave_no_shuffles_and_no_settings(spark):
     shared.release(last)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(last._gatehouse_path)
+
+
+def test_no_cell_of_a_cut_bank_is_lost(spark):
+    """Both sides of a cell meet, into however many partitions they are dealt out."""
+    g = np.random.default_rng(8)
+    rows = spark.createDataFrame([(k, [float(x) for x in g.normal(size=4)]) for k in range(30)], "id long, embedding array<double>")
+    labels = spark.createDataFrame([(k, [float(x) for x in g.normal(size=4)]) for k in range(11)], "label long, vector array<double>")
+    views = {"asr": slice(0, 2), "omni": slice(None)}
+    want = sorted(map(tuple, similarity.rank_views(rows, labels, ["id"], views).collect()))
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = sorted(map(tuple, similarity.rank_views(rows, labels, ["id"], views, most_labels=4).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(want) == 330 and got == want
