@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from gatehouse import shared
 from gatehouse.operators import fitting, gates, metrics, order, probes, resample, similarity
 from gatehouse.plans import commands
+from gatehouse.queries import evaluation
 
 
 def test_draws_of_many_rows_are_multinomial(spark):
@@ -66,6 +68,16 @@ def test_cluster_bootstrap_of_many_groups(spark, monkeypatch):
     assert (got.n, got.groups) == (400_000, 200_000) and -0.01 < got.ci_low <= got.delta <= got.ci_high < 0.01
 
 
+def test_cluster_bootstrap_of_more_groups_than_a_block_matches_sql(spark):
+    """300 groups take nine levels, one more than a block has (and than the SQL of grouped_cv_interval)."""
+    rows = [(k % 300, float((k * k) % 5 - 1)) for k in range(1000)]
+    got = resample.cluster_bootstrap(spark.createDataFrame(rows, "g long, d double").repartition(3), "g", "d", 200, 5).first()
+    tree = evaluation.tree_sql("kt", "ka", "one", 9, 200, "'5'")
+    want = duckdb.sql(f"""WITH r AS (SELECT unnest(range(1000)) AS k), gs AS (SELECT k % 300 AS j, count(*) AS n, sum((k * k) % 5 - 1) AS s FROM r GROUP BY 1), ka AS (SELECT 'all' AS one, j, 1 AS w FROM gs), {tree},
+    b AS (SELECT round, sum(x * s) / CAST(sum(x * n) AS DOUBLE) AS value FROM kt JOIN gs USING (j) GROUP BY round) SELECT round(quantile_cont(value, 0.025), 6), round(quantile_cont(value, 0.975), 6) FROM b""").fetchall()[0]
+    assert got.groups == 300 and (got.ci_low, got.ci_high) == want
+
+
 def test_student_t_of_any_number_of_seeds(spark):
     known = {1: 12.706204736, 2: 4.302652730, 3: 3.182446305, 4: 2.776445105, 10: 2.228138852, 11: 2.200985160, 30: 2.042272456, 101: 1.983731003, 1000: 1.962339081}
     df = spark.createDataFrame([(k,) for k in known], "df long")
