@@ -81,9 +81,15 @@ def sentences(c: Column | str) -> Column:
 
 def choose_evidence(text: Column | str, answer: Column | str, limit: int) -> Column:
     """The first sentence with the answer, else the first sentence, else the text; cut to ``limit``."""
-    s, wanted = sentences(text), F.lower(F.coalesce(col(answer), F.lit("")))
-    hit = F.filter(s, lambda x: (wanted != "") & F.contains(F.lower(x), wanted))
-    return F.left(F.coalesce(F.get(hit, F.lit(0)), F.get(s, F.lit(0)), col(text), F.lit("")), F.lit(limit))
+    cut = F.struct(sentences(text).alias("s"), F.lower(F.coalesce(col(answer), F.lit(""))).alias("wanted"))
+
+    def first(v: Column) -> Column:
+        hit = F.filter(v["s"], lambda x: (v["wanted"] != "") & F.contains(F.lower(x), v["wanted"]))
+        return F.coalesce(F.get(hit, F.lit(0)), F.get(v["s"], F.lit(0)))
+
+    # bound to a variable: sentences and answer are made once a text, not once for each of its sentences
+    found = F.get(F.transform(F.array(cut), first), F.lit(0))
+    return F.left(F.coalesce(found, col(text), F.lit("")), F.lit(limit))
 
 
 def drop_words(c: Column | str) -> Column:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatehouse import shared
+from gatehouse.functions import text
 from gatehouse.operators import fitting, gates, metrics, order, probes, resample, similarity
 from gatehouse.plans import commands
 from gatehouse.queries import evaluation
@@ -240,3 +241,14 @@ def test_no_cell_of_a_cut_bank_is_lost(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(want) == 330 and got == want
+
+
+def test_evidence_makes_its_answer_once_a_text(spark):
+    """Not in the lambda that goes over the sentences, where a text would cost its sentences times its length."""
+    long = " ".join(f"Line {k} is here." for k in range(3000))
+    texts = [(0, long + " The end is near. Or not."), (1, long), (2, "no stop"), (3, ""), (4, None), (5, "One. TWO here. two")]
+    answers = {0: "END", 1: "line 2999", 2: "x", 3: "", 4: None, 5: "two"}
+    df = spark.createDataFrame([(k, t, answers[k]) for k, t in texts], "id long, t string, a string")
+    out = df.select("id", text.choose_evidence("t", F.concat(F.lit(""), F.replace("a", F.lit("marker"))), 80).alias("e"))
+    assert {r.id: r.e for r in out.collect()} == {0: "The end is near.", 1: "Line 2999 is here.", 2: "no stop", 3: "", 4: "", 5: "TWO here."}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("marker") == 1
