@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import portable_hash
@@ -133,16 +133,23 @@ def nested_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.compare(report(spark, sf_dir, True), report(spark, sf_dir, False), ["source"], "doc").select("source", "path", "status")
 
 
+#: Files that lines are written to at least, and bytes of text in one, which one task sorts.
+LEAST_FILES, FILE_BYTES = 3, 1 << 27
+
+
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM documents")
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON lines, in order, to several files, and read again with the numbers of their lines; those of
     earlier files come before."""
     path = folder(spark, "lines")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\r", " ").alias("text"))
-    d.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.json(path)
-    lines = materialize(readers.numbered_lines(spark, path).withColumn("doc_id", F.get_json_object("value", "$.doc_id").cast("long")), "numbered")
-    files = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    before = files.alias("a").join(files.alias("b"), F.col("b.file") < F.col("a.file"), "left").groupBy("a.file").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))  # a row a file
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = d.repartitionByRange(max(LEAST_FILES, -(-size // FILE_BYTES)), "doc_id").sortWithinPartitions("doc_id")
+    rows.withColumn("text", F.translate("text", "\r", " ")).write.json(path)
+    number = readers.numbered_lines(spark, path).select("file", "line_no", F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"))
+    lines = materialize(number, "numbered")
+    files = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))  # a row a file
+    before = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return lines.join(F.broadcast(before), "file").select("doc_id", (F.col("before") + F.col("line_no")).alias("line_no"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gatehouse import queries
 from gatehouse.functions import records
 from gatehouse.operators import answering, gates, nested, probes, rag, sampling, selection, similarity
+from gatehouse.queries import learning
 from gatehouse.sources import readers
 from gatehouse.streaming import resume
 
@@ -130,6 +131,17 @@ def test_lines_are_numbered_over_many_splits(spark, tmp_path):
     assert got == [(name, k, line) for name, lines in sorted(texts.items()) for k, line in enumerate(lines)]
 
 
+def test_numbered_lines_go_to_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """More text makes more files, not larger ones, and lines are numbered on from one to the next."""
+    spark.range(3000).select((F.col("id") * 7919 % 3000 * 2).alias("doc_id"), F.when(F.col("id") % 50 > 0, F.expr("repeat('a\r\nb ', 40)")).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(learning, "folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    monkeypatch.setattr(learning, "FILE_BYTES", 50_000, raising=False)
+    got = {r.doc_id: r.line_no for r in queries.QUERIES["numbered_lines"](spark, f"file://{tmp_path}").collect()}
+    assert got == {2 * k: k for k in range(3000)}
+    sizes = [p.stat().st_size for p in (tmp_path / "lines").glob("part-*")]
+    assert len(sizes) == 12 and max(sizes) < 150_000
+
+
 def test_a_run_is_resumed_where_it_broke_off(spark, tmp_path):
     rows, output, seen = spark.createDataFrame([(k, k % 4) for k in range(40)], "id long, v long"), f"file://{tmp_path}/out", []
 
