@@ -15,6 +15,12 @@ def margin(scores: Column, missing: str) -> Column:
     return {"null": value, "zero": F.coalesce(value, F.lit(0.0)), "inf": F.coalesce(value, F.lit(float("inf")))}[missing]
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """The double times 10 ** digits to the nearest whole, halves away from zero, as the SQL of the queries has it.  ``F.round``
+    goes by a double's shortest decimal: it takes 0.145, which lies below its name, up to 0.15."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def gate(value: Column, threshold: Column | float, inclusive: bool) -> Column:
     """A low margin triggers; null never does."""
     return F.coalesce(value <= threshold if inclusive else value < threshold, F.lit(False))

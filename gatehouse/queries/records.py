@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import records as R
-from ..functions.ranking import rank_value
+from ..functions.ranking import rank_value, rounded
 from ..views import HYBRID_SQL, candidate_lists, hybrid, table
 from .registry import registry
 
@@ -43,7 +43,7 @@ def candidate_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five candidates of three texts, with scores of two digits so that some tie."""
     rows = candidate_lists(spark, sf_dir, 5)
     text = lambda label: F.concat(F.element_at(F.array(*[F.lit(x) for x in ("alarm", "email", "music")]), (label + 1).cast("int")), F.lit("_"), label.cast("string"))
-    scores = F.transform("scores", lambda x: F.struct(x["rank"].alias("rank"), x["sample_id"].alias("sample_id"), text(x["sample_id"].cast("long") % 3).alias("text"), F.round(x["score"], 2).alias("score")))
+    scores = F.transform("scores", lambda x: F.struct(x["rank"].alias("rank"), x["sample_id"].alias("sample_id"), text(x["sample_id"].cast("long") % 3).alias("text"), rounded(x["score"], 2).alias("score")))
     rows = rows.select("vec_id", F.col("label").cast("string").alias("own"), text(F.col("label") % 3).alias("target"), scores.alias("scores"))
     ids, own, target = F.transform("scores", lambda x: x["sample_id"]), F.col("own"), F.col("target")
     memories = F.transform("scores", lambda x: F.struct(x["sample_id"].alias("memory_id"), x["text"].alias("summary")))

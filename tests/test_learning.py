@@ -4,7 +4,10 @@ import json
 import math
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +238,27 @@ def test_context_audit(spark):
     assert got == {"q1": (True, False, True, True, True, False, False), "q2": (False, False, False, False, False, False, True), "q3": (False, True, False, True, False, True, False)}
     with pytest.raises(Exception, match="no answer key for q3"):
         rag.context_audit(rows, documents, keys.where("sample_id != 'q3'")).collect()
+
+
+@pytest.fixture(scope="module")
+def halfway(tmp_path_factory):
+    """Embeddings whose scores against five labels lie halfway between two cents, beside one that is a tie if they go down
+    (or up)."""
+    pairs = [(k / 200, (k - 1) / 200) for k in range(1, 140)] + [(-k / 200, -(k + 1) / 200) for k in range(1, 81)]
+    vectors = [[1e9 * (p == c) for p in range(64)] for c in range(5)]
+    for a, b in pairs:
+        v = [a, b, *[min(b, 0) - 0.02 * k for k in (1, 2, 3)]]
+        vectors.append([*v, *[0.0] * 58, math.sqrt(1 - sum(x * x for x in v))])
+    folder = tmp_path_factory.mktemp("halfway")
+    label = pa.array([k % 5 for k in range(len(vectors))], pa.int32())
+    pq.write_table(pa.table({"vec_id": range(len(vectors)), "label": label, "embedding": pa.array(vectors, pa.list_(pa.float32()))}), folder / "embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["candidate_accessors"])
+def test_scores_halfway_between_cents_round_as_in_sql(spark, halfway, name):
+    df = queries.QUERIES[name](spark, halfway)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{halfway}/embeddings.parquet'")
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
