@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranking import rounded
 from ..operators import fitting as T
 from ..shared import materialize
 from ..views import HYBRID_SQL, candidate_lists, hybrid, label_name
@@ -125,7 +126,7 @@ def materialized_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rerank_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best labels; texts repeat modulo 3, so that some lists have few texts."""
     text = lambda label: F.concat(F.lit("t"), (label % 3).cast("string"))
-    item = lambda x: F.struct(x["sample_id"].alias("sample_id"), text(x["sample_id"].cast("long")).alias("text"), F.round(x["score"], 2).alias("score"))
+    item = lambda x: F.struct(x["sample_id"].alias("sample_id"), text(x["sample_id"].cast("long")).alias("text"), rounded(x["score"], 2).alias("score"))
     margin = F.round(F.get("scores", F.lit(0))["score"] - F.get("scores", F.lit(1))["score"], 6)
     rows = candidate_lists(spark, sf_dir, 5).select("vec_id", F.col("label").cast("string").alias("sample_id"), text(F.col("label")).alias("target"), margin.alias("margin"), F.transform("scores", item).alias("scores"))
     return rows.withColumn("base_hit", (F.get("scores", F.lit(0))["text"] == F.col("target")) | (F.get("scores", F.lit(0))["sample_id"] == F.col("sample_id")))

@@ -255,7 +255,7 @@ def halfway(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["candidate_accessors"])
+@pytest.mark.parametrize("name", ["candidate_accessors", "reranked_rows"])
 def test_scores_halfway_between_cents_round_as_in_sql(spark, halfway, name):
     df = queries.QUERIES[name](spark, halfway)
     con = duckdb.connect()
