@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import records
-from ..functions.ranking import NO_RANK, portable_hash
+from ..functions.ranking import NO_RANK, portable_hash, rounded
 from ..functions.text import col, label_family
 from . import gates, metrics, order, resample
 
@@ -157,7 +157,7 @@ def select_threshold(rows: DataFrame, by: list[str]) -> DataFrame:
     gain = ((alt == target).cast("int") - (base == target).cast("int")).alias("gain")
     loss = ((base == target) & (alt != target)).cast("int").alias("loss")
     same = label_family(base) == label_family(alt)
-    margin = F.round("base_margin", ROUND)
+    margin = rounded(F.col("base_margin"), ROUND)
     kept = rows.select(*by, gain, loss, same.alias("same"), (base == target).cast("int").alias("was"), margin.alias("t"), (F.col("base_margin") < margin).alias("below"))
     whole = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("was").alias("was"))
     counted = kept.where("t IS NOT NULL").groupBy(*by, "t", "below", "same").agg(F.count(F.lit(1)).alias("used"), F.sum("gain").alias("gain"), F.sum("loss").alias("loss"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import portable_hash
+from ..functions.ranking import portable_hash, rounded
 from . import metrics, sampling, similarity
 
 #: Pooling methods, and the conditionings of a probe.
@@ -84,7 +84,7 @@ def above_chance(rows: DataFrame) -> DataFrame:
     above = F.col("ci_low") > F.col("chance")
     span = F.concat(F.lit("CI ["), F.col("ci_low").cast("string"), F.lit(", "), F.col("ci_high").cast("string"), F.lit("]"))
     said = F.when(above, F.concat(span, F.lit(" lies above chance "), F.col("chance").cast("string"))).otherwise(F.concat(span, F.lit(" includes chance "), F.col("chance").cast("string")))
-    return rows.withColumns({"ratio_over_chance": F.round(F.col("accuracy") / F.col("chance"), 2), "ci_excludes_chance": above, "interpretation": said})
+    return rows.withColumns({"ratio_over_chance": rounded(F.col("accuracy") / F.col("chance"), 2), "ci_excludes_chance": above, "interpretation": said})
 
 
 def rank_order(scores: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import rounded
 from . import metrics, resample, sampling
 
 
@@ -23,7 +24,7 @@ def split(df: DataFrame, seed: int | str, proposal: float = 0.2, selection: floa
 def leaderboard(df: DataFrame, by: list[str], r3_weight: float = 0.1, mrr_weight: float = 0.1) -> DataFrame:
     """n, acc_at_1, recall_at_3, recall_at_5, mrr, mean_rank, reward of each candidate (with its pos) and split."""
     out = df.groupBy(*by).agg(*metrics.rank_aggregates("rank", (3, 5)))
-    return out.withColumn("reward", F.round(F.col("acc_at_1") + r3_weight * F.col("recall_at_3") + mrr_weight * F.col("mrr"), 6))
+    return out.withColumn("reward", rounded(F.col("acc_at_1") + r3_weight * F.col("recall_at_3") + mrr_weight * F.col("mrr"), 6))
 
 
 def best(board: DataFrame, by: list[str], keys: list[Column]) -> DataFrame:
@@ -86,7 +87,7 @@ def accept_asr_like(board: DataFrame, baseline: str, recall_weight: float = 0.1,
     utility = F.col("acc_at_1") + recall_weight * F.col("recall_at_3") + mrr_weight * F.col("mrr")
     base = board.where(F.col("candidate") == baseline).select(F.col("acc_at_1").alias("b1"), F.col("recall_at_3").alias("b3"), utility.alias("bu"))
     out = board.where(F.col("candidate") != baseline).join(F.broadcast(base))
-    out = out.withColumns({"primary_delta": F.round(F.col("acc_at_1") - F.col("b1"), 6), "recall_delta": F.round(F.col("recall_at_3") - F.col("b3"), 6), "utility_delta": F.round(utility - F.col("bu"), 6)})
+    out = out.withColumns({"primary_delta": F.round(F.col("acc_at_1") - F.col("b1"), 6), "recall_delta": F.round(F.col("recall_at_3") - F.col("b3"), 6), "utility_delta": rounded(utility - F.col("bu"), 6)})
     reasons = reject_reasons([(F.col("primary_delta") <= 0, "primary_metric_not_improved"), (F.col("utility_delta") <= 0, "utility_not_improved"), (F.col("recall_delta") < -max_recall_regression, "recall_regression"), (F.col("ci_low") <= 0, "paired_ci_lower_bound_not_positive"), (F.col("regression_rate") > max_regression, "paired_regression_rate_too_high")])
     return out.withColumn("reject_reasons", reasons).withColumn("accepted", F.col("reject_reasons") == "").drop("b1", "b3", "bu")
 
@@ -95,7 +96,7 @@ def accept_tool(board: DataFrame, baseline: str, mrr_weight: float = 0.5, max_pr
     """Candidates with acc_at_1, recall_at_3, mrr, unsafe_rate, regression_rate held to the four clauses."""
     base = board.where(F.col("candidate") == baseline).select(F.col("acc_at_1").alias("b1"), F.col("recall_at_3").alias("b3"), F.col("mrr").alias("bm"), F.col("unsafe_rate").alias("bu"))
     out = board.where(F.col("candidate") != baseline).join(F.broadcast(base))
-    out = out.withColumns({"primary_delta": F.round(F.col("acc_at_1") - F.col("b1"), 6), "quality_delta": F.round(F.col("recall_at_3") - F.col("b3") + mrr_weight * (F.col("mrr") - F.col("bm")), 6), "unsafe_delta": F.round(F.col("unsafe_rate") - F.col("bu"), 6)})
+    out = out.withColumns({"primary_delta": F.round(F.col("acc_at_1") - F.col("b1"), 6), "quality_delta": rounded(F.col("recall_at_3") - F.col("b3") + mrr_weight * (F.col("mrr") - F.col("bm")), 6), "unsafe_delta": F.round(F.col("unsafe_rate") - F.col("bu"), 6)})
     reasons = reject_reasons([(F.col("primary_delta") < -max_primary_regression, "primary_metric_regression"), (F.col("quality_delta") <= 0, "candidate_quality_not_improved"), (F.col("unsafe_delta") > max_unsafe_increase, "unsafe_wrong_tool_increased"), (F.col("regression_rate") > max_regression, "paired_regression_rate_too_high")])
     return out.withColumn("reject_reasons", reasons).withColumn("accepted", F.col("reject_reasons") == "").drop("b1", "b3", "bm", "bu")
 

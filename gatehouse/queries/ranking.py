@@ -305,7 +305,7 @@ def audio_gate_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accepted gate of the best utility (success less cost and regressions), else text only."""
     m = audio_metrics(audio_rows(spark, sf_dir))
     base = m.where("gate = 'text_only'").select(F.col("success").alias("b"))
-    u = m.join(F.broadcast(base)).withColumns({"utility": F.round(F.col("success") - F.col("b") - 0.001 * F.col("mean_cost") - 0.5 * F.col("regressions") / F.col("n"), 6), "accepted": (F.col("success") > F.col("b")) & (F.col("regressions") / F.col("n") <= 0.2)})
+    u = m.join(F.broadcast(base)).withColumns({"utility": R.rounded(F.col("success") - F.col("b") - 0.001 * F.col("mean_cost") - 0.5 * F.col("regressions") / F.col("n"), 6), "accepted": (F.col("success") > F.col("b")) & (F.col("regressions") / F.col("n") <= 0.2)})
     top = u.where("accepted").orderBy(F.desc("utility"), F.desc("success"), "gate").limit(1).agg(F.coalesce(F.max("gate"), F.lit("text_only")).alias("top"))
     return u.join(F.broadcast(top)).select("gate", "success", "mean_cost", "utility", "accepted", (F.col("gate") == F.col("top")).alias("selected"))
 

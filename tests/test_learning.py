@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gatehouse import queries
 from gatehouse.functions import records
-from gatehouse.operators import answering, gates, nested, probes, rag, sampling, selection, similarity
+from gatehouse.operators import answering, fitting, gates, nested, probes, rag, sampling, selection, similarity
 from gatehouse.queries import learning
 from gatehouse.sources import readers
 from gatehouse.streaming import resume
@@ -262,3 +262,46 @@ def test_scores_halfway_between_cents_round_as_in_sql(spark, halfway, name):
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{halfway}/embeddings.parquet'")
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+
+
+def differing(got, sql):
+    """The rows (key, value) that are not those of the SQL."""
+    return {tuple(r) for r in got.collect()} ^ set(duckdb.sql(sql).fetchall())
+
+
+def test_weighted_sums_of_rounded_numbers_round_as_in_sql(spark):
+    r = random.Random(3)
+    rows = [("base", 0.5, 0.25, 0.125, 0.1, 0.0, 0.0)] + [(f"c{k}", *(round(r.random(), 6) for _ in range(4)), 0.0, 0.0) for k in range(4000)]
+    names = ["candidate", "acc_at_1", "recall_at_3", "mrr", "unsafe_rate", "ci_low", "regression_rate"]
+    df = spark.createDataFrame(rows, names)
+    board = pa.table(dict(zip(names, zip(*rows, strict=True), strict=True)))
+    duckdb.register("board", board)
+    both = "FROM board b, (SELECT * FROM board WHERE candidate = 'base') a WHERE b.candidate <> 'base'"
+    utility = f"SELECT b.candidate, round(b.acc_at_1 + 0.1 * b.recall_at_3 + 0.1 * b.mrr - (a.acc_at_1 + 0.1 * a.recall_at_3 + 0.1 * a.mrr), 6) {both}"
+    quality = f"SELECT b.candidate, round(b.recall_at_3 - a.recall_at_3 + 0.5 * (b.mrr - a.mrr), 6) {both}"
+    assert not differing(selection.accept_asr_like(df, "base").select("candidate", "utility_delta"), utility)
+    assert not differing(selection.accept_tool(df, "base").select("candidate", "quality_delta"), quality)
+
+
+def test_rewards_round_as_in_sql(spark):
+    r = random.Random(4)
+    ranks = pa.table({"candidate": [k // 7 for k in range(28_000)], "rank": [r.randint(1, 9) for _ in range(28_000)]})
+    df = spark.createDataFrame(ranks.to_pandas())
+    duckdb.register("ranks", ranks)
+    sql = """WITH m AS (SELECT candidate, round(avg(CAST(rank = 1 AS INT)), 6) AS a, round(avg(CAST(rank <= 3 AS INT)), 6) AS b, round(avg(1e0 / rank), 6) AS c FROM ranks GROUP BY candidate)
+    SELECT candidate, round(a + 0.1 * b + 0.1 * c, 6) FROM m"""
+    assert not differing(selection.leaderboard(df, ["candidate"]).select("candidate", "reward"), sql)
+
+
+def test_ratios_to_chance_round_as_in_sql(spark):
+    rows = spark.range(1000).select(((F.col("id") * 2 + 1) / 2000).alias("accuracy"), F.lit(0.1).alias("chance"), F.lit(0.0).alias("ci_low"), F.lit(1.0).alias("ci_high"))
+    sql = "SELECT a, round(a / 0.1e0, 2) FROM (SELECT (2 * range + 1) / 2000e0 AS a FROM range(1000))"
+    assert not differing(probes.above_chance(rows).select("accuracy", "ratio_over_chance"), sql)
+
+
+def test_fitted_thresholds_round_as_in_sql(spark):
+    """A margin halfway between two thresholds is routed by its own if that goes up, else by the next, 0.99."""
+    at = spark.range(2500, 9500).select((F.col("id") / 10000 + 0.00005).alias("m")).select(F.round("m", 6).alias("m"))
+    rows = at.select("m", F.inline(F.array(*[F.struct(F.lit(t).alias("target"), x.alias("base_margin")) for t, x in (("a_2", F.col("m")), ("a_1", F.lit(0.99)))])))
+    got = fitting.select_threshold(rows.withColumns({"base": F.lit("a_1"), "alt": F.lit("a_2")}), ["m"]).where("mode = 'margin_low'").select("m", "threshold")
+    assert not differing(got, "SELECT m, CASE WHEN m < round(m, 4) THEN round(m, 4) ELSE 0.99e0 END FROM (SELECT round(range / 1e4 + 0.00005e0, 6) AS m FROM range(2500, 9500))")
